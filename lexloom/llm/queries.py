@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, decontam, mpeg, warc
+from lexloom.llm import bpe, decontam, html_template, line_dedup, mpeg, token_shards, toxicity, warc
 from lexloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,26 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_features(_table(spark, sf_dir, "documents")).drop("seek_offsets")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,5 +50,5 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mpeg_audio, op4_bpe_transducer, op9_decontamination, op10_warc_revisit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
 SQL: dict[str, str] = {"op10_warc_revisit": warc.ORACLE_SQL}
