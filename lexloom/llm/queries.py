@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, decontam, html_template, line_dedup, mpeg, token_shards, toxicity, warc
+from lexloom.llm import bpe, decontam, html_template, line_dedup, minhash, mpeg, token_shards, toxicity, warc
 from lexloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_features(_table(spark, sf_dir, "documents")).drop("seek_offsets")
 
@@ -50,5 +54,5 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
 SQL: dict[str, str] = {"op10_warc_revisit": warc.ORACLE_SQL}
