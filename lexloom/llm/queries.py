@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, decontam, html_template, line_dedup, minhash, mpeg, token_shards, toxicity, warc
+from lexloom.llm import bpe, decontam, html_template, line_dedup, minhash, mpeg, suffix_dedup, token_shards, toxicity, warc
 from lexloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_template.extract(_table(spark, sf_dir, "pages"))
 
@@ -54,5 +58,5 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op5_suffix_dedup, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
 SQL: dict[str, str] = {"op10_warc_revisit": warc.ORACLE_SQL}
