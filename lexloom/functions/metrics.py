@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ORDERS = 4
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     count = F.size(tokens) - (n - 1)
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), "\u0001"))).otherwise(F.array().cast("array<string>"))
@@ -15,8 +20,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def numbered(grams: Column) -> Column:
     """Each element with how often it came before, so that a set intersection clips counts."""
-    ordered = F.array_sort(grams)
-    return F.transform(ordered, lambda g, i: F.concat(g, F.lit("\u0002"), (i + 1 - F.array_position(ordered, g)).cast("string")))
+    return let(F.array_sort(grams), lambda ordered: F.transform(ordered, lambda g, i: F.concat(g, F.lit("\u0002"), (i + 1 - F.array_position(ordered, g)).cast("string"))))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -80,12 +84,17 @@ def chrf(hyp: Column, ref: Column, chars: int = 6, words: int = 2, beta: float =
     """chrF++ of two texts, 0 to 100."""
     letters = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", ""), ""), lambda x: x != "")
     apart = lambda c: F.filter(F.split(F.trim(F.regexp_replace(c, r"(\p{Punct})", " $1 ")), r"\s+"), lambda x: x != "")
-    pairs = [(ngrams(letters(hyp), n), ngrams(letters(ref), n)) for n in range(1, chars + 1)] + [(ngrams(apart(hyp), n), ngrams(apart(ref), n)) for n in range(1, words + 1)]
-    rows = F.array(*(F.struct(overlap(a, b).cast("double").alias("m"), F.size(a).cast("double").alias("h"), F.size(b).cast("double").alias("r")) for a, b in pairs))
-    live = F.filter(rows, lambda x: (x["h"] > 0) & (x["r"] > 0))
-    mean = lambda f: F.aggregate(F.transform(live, lambda x: x["m"] / x[f]), F.lit(0.0), lambda s, x: s + x) / F.size(live)
-    p, r = mean("h"), mean("r")
-    return F.when(F.size(live) == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(100 * (1 + beta**2) * p * r, beta**2 * p + r), F.lit(0.0)))
+
+    def order(a: Column, b: Column) -> Column:
+        made = F.struct(a.alias("h"), b.alias("r"))
+        return let(made, lambda g: F.struct(overlap(g["h"], g["r"]).cast("double").alias("m"), F.size(g["h"]).cast("double").alias("h"), F.size(g["r"]).cast("double").alias("r")))
+
+    units = F.struct(letters(hyp).alias("ch"), letters(ref).alias("cr"), apart(hyp).alias("wh"), apart(ref).alias("wr"))
+    rows = let(units, lambda u: F.array(*(order(ngrams(u["ch"], n), ngrams(u["cr"], n)) for n in range(1, chars + 1)), *(order(ngrams(u["wh"], n), ngrams(u["wr"], n)) for n in range(1, words + 1))))
+    mean = lambda live, f: F.aggregate(F.transform(live, lambda x: x["m"] / x[f]), F.lit(0.0), lambda s, x: s + x) / F.size(live)
+    score = lambda z: F.coalesce(F.try_divide(100 * (1 + beta**2) * z["p"] * z["r"], beta**2 * z["p"] + z["r"]), F.lit(0.0))
+    final = lambda live: F.when(F.size(live) == 0, F.lit(0.0)).otherwise(let(F.struct(mean(live, "h").alias("p"), mean(live, "r").alias("r")), score))
+    return let(F.filter(rows, lambda x: (x["h"] > 0) & (x["r"] > 0)), final)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -1,7 +1,656 @@
-"""Queries of the catalogue over the supplied tables, each with its SQL."""
+"""Queries of the catalogue over the supplied tables, each with SQL that says the same.
+
+Roles: ``lang`` is the language, ``source`` the file, ``doc_id`` the line, consecutive user and
+assistant turns a parallel pair, ``benchmark`` the evaluation set.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.functions import gloss, metrics, parse, text
+from lexloom.operators import assessment, corpus, dedup, dictionary, evaluation, lookup, morph, retrieval
+from lexloom.session import ship_package
+
 FLAGSHIP = "pair_dictionary_topk"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+FUNCTION_WORDS = ("the", "and", "of", "to", "in", "a", "der", "die", "das", "und", "le", "la", "les", "de", "el", "los", "que", "en")
+PRIVILEGED = ("es", "fr")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+# -- profiling, subsets and splits -------------------------------------------------------------
+
+
+@query("""
+SELECT lang, count(*) AS total, count(*) FILTER (quality = 1) AS segmented, count(*) FILTER (quality IS NULL OR quality <> 1) AS unsegmented
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+""")
+def lang_stats(spark, sf_dir):
+    return corpus.group_stats(docs_labels(spark, sf_dir), "lang", F.col("quality") == 1)
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (quality = 1) AS segmented, count(DISTINCT lang) AS languages, count(DISTINCT source) AS sources
+FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def corpus_totals(spark, sf_dir):
+    return docs_labels(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("quality") == 1).alias("segmented"), F.count_distinct("lang").alias("languages"), F.count_distinct("source").alias("sources"))
+
+
+_RANKED = "row_number() OVER ({part} ORDER BY md5('42:' || doc_id)) AS rk, count(*) OVER ({part}) AS n"
+
+
+@query(f"""
+WITH r AS (SELECT lang, {_RANKED.format(part='')} FROM documents),
+s AS (SELECT lang, CASE WHEN rk <= floor(n * 0.8) THEN 'train' WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'valid' ELSE 'test' END AS split FROM r),
+c AS (SELECT split, lang, count(*) AS cnt FROM s GROUP BY ALL)
+SELECT split, lang, cnt, CAST(sum(cnt) OVER (PARTITION BY split) AS BIGINT) AS "of", round(cnt / sum(cnt) OVER (PARTITION BY split), 6) AS share FROM c
+""")
+def lang_share_by_split(spark, sf_dir):
+    rows = corpus.split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return corpus.share_by_split(rows, "split", "lang").withColumn("share", F.round("share", 6))
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, lang, source, {_RANKED.format(part='PARTITION BY lang')} FROM documents)
+SELECT doc_id, lang, source FROM r WHERE lang IN ('es', 'fr') OR rk <= least(n, greatest(1, floor(0.42 * n)))
+""")
+def stratified_subset(spark, sf_dir):
+    return corpus.stratified_subset(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "lang", PRIVILEGED, "doc_id")
+
+
+@query("""
+SELECT doc_id, lang FROM documents WHERE CAST(('0x' || left(md5('42:' || doc_id), 8)) AS BIGINT) / 4294967296.0 < 0.42
+""")
+def bernoulli_subset(spark, sf_dir):
+    return corpus.bernoulli_subset(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, lang = 'es' AS special, {_RANKED.format(part="PARTITION BY lang = 'es'")} FROM documents)
+SELECT doc_id, special, CASE WHEN special THEN CASE WHEN rk <= floor(n * 8 / 9) THEN 'train' ELSE 'valid' END
+  WHEN rk <= floor(n * 0.8) THEN 'train' WHEN rk <= floor(n * 0.8) + floor(n * 0.1) THEN 'valid' ELSE 'test' END AS split FROM r
+""")
+def stratum_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return corpus.two_stratum_split(docs, "doc_id", F.col("lang") == "es").select("doc_id", "special", "split")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, lang, source, {_RANKED.format(part='PARTITION BY lang, source')} FROM documents)
+SELECT doc_id, lang, source FROM r WHERE rk <= 5
+""")
+def sample_k_per_group(spark, sf_dir):
+    return corpus.sample_per_group(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 5)
+
+
+@query("""
+SELECT source, coalesce(bool_or(toxic = 1), false) AS seen, count(*) AS cnt FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
+""")
+def seen_unseen(spark, sf_dir):
+    return corpus.seen_unseen(docs_labels(spark, sf_dir), "source", F.col("toxic") == 1)
+
+
+@query("""
+SELECT k.key AS source, coalesce(c.cnt, 0) AS cnt, c.cnt IS NOT NULL AS found
+FROM (SELECT 'src' || (n_nationkey * 2) AS key FROM nation) k LEFT JOIN (SELECT source, count(*) AS cnt FROM documents WHERE source IS NOT NULL GROUP BY source) c ON c.source = k.key
+""")
+def semi_anti_keys(spark, sf_dir):
+    wanted = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), (F.col("n_nationkey") * 2).cast("string")).alias("source"))
+    return corpus.coverage_of_keys(table(spark, sf_dir, "documents"), wanted, "source")
+
+
+@query("""
+SELECT 'both' AS kind, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'documents only', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels)
+""")
+def key_set_operations(spark, sf_dir):
+    a, b = (table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    one = lambda kind, df: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    return one("both", a.intersect(b)).union(one("documents only", a.exceptAll(b).distinct())).union(one("either", a.union(b).distinct()))
+
+
+@query("""
+SELECT CASE WHEN lower(coalesce(regexp_extract(text, '(\\S+)', 1), '')) = '' THEN 'blank'
+  WHEN lower(regexp_extract(text, '(\\S+)', 1)) IN ('the', 'and') THEN 'keep' WHEN lower(regexp_extract(text, '(\\S+)', 1)) IN ('of', 'de') THEN 'remove' ELSE 'other' END AS route, count(*) AS n
+FROM documents GROUP BY 1
+""")
+def first_token_route(spark, sf_dir):
+    route = corpus.route_by_code(F.col("text"), ("the", "and"), ("of", "de"))
+    return table(spark, sf_dir, "documents").groupBy(route.alias("route")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE NOT (coalesce(source = 'src0', false) AND coalesce(lang = 'en', false))")
+def conjunctive_removal(spark, sf_dir):
+    kept, _ = corpus.remove_matching(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), source="src0", lang="en")
+    return kept.select("doc_id", "lang")
+
+
+@query("SELECT lang, count(*) AS cnt FROM documents GROUP BY lang ORDER BY cnt DESC, lang LIMIT 20")
+def top_groups(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "lang").limit(20)
+
+
+# -- duplicates -----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)")
+def dedup_keep_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    first = dedup.first_ids(docs, "doc_id", dedup.key_hash("text")).select(F.col("first_id").alias("doc_id"))
+    return docs.select("doc_id", "lang", "source").join(first, "doc_id", "left_semi")
+
+
+@query("SELECT min(doc_id) AS first_id, count(*) AS cnt, count(*) - 1 AS excess FROM documents GROUP BY text HAVING count(*) > 1")
+def dup_report(spark, sf_dir):
+    return dedup.duplicate_groups(table(spark, sf_dir, "documents"), "doc_id", dedup.key_hash("text"))
+
+
+@query("""
+SELECT doc_id, first_id, cnt FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS cnt FROM documents) WHERE doc_id > first_id
+""")
+def dup_later(spark, sf_dir):
+    return dedup.later_occurrences(table(spark, sf_dir, "documents"), "doc_id", dedup.key_hash("text"))
+
+
+@query("SELECT min(doc_id) AS first_id, count(DISTINCT source) AS groups, count(*) AS cnt FROM documents GROUP BY text HAVING count(DISTINCT source) > 1")
+def dup_across_sources(spark, sf_dir):
+    return dedup.across_groups(table(spark, sf_dir, "documents"), "source", "doc_id", dedup.key_hash("text"))
+
+
+@query("SELECT md5(html) AS md5, count(*) AS cnt, min(page_id) AS first_id FROM pages GROUP BY 1 HAVING count(*) > 1")
+def dup_by_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(F.md5(F.col("html").cast("binary")).alias("md5")).agg(F.count("*").alias("cnt"), F.min("page_id").alias("first_id")).where("cnt > 1")
+
+
+@query("""
+SELECT count(*) AS entries, count(DISTINCT text) AS uniq, count(*) - count(DISTINCT text) AS excess FROM documents
+""")
+def dup_statistics(spark, sf_dir):
+    groups = dedup.first_ids(table(spark, sf_dir, "documents"), "doc_id", dedup.key_hash("text"))
+    return groups.agg(F.sum("cnt").alias("entries"), F.count("*").alias("uniq"), F.sum(F.col("cnt") - 1).alias("excess"))
+
+
+# -- words ------------------------------------------------------------------------------------------
+
+_FW = ", ".join(f"'{w}'" for w in FUNCTION_WORDS)
+
+
+@query(f"""
+SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)
+WHERE length(w) >= 2 AND w NOT IN ({_FW}) GROUP BY w ORDER BY cnt DESC, word LIMIT 100
+""")
+def token_freq_filtered(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    kept = words.where((F.length("word") >= 2) & ~F.col("word").isin(*FUNCTION_WORDS))
+    return kept.groupBy("word").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "word").limit(100)
+
+
+_CLEAN = "regexp_replace(lower(t), '[^\\p{L}\\p{N}_\\s]', '', 'g')"
+
+
+@query(f"""
+SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(trim(text, ' \t\n\r'), '\\s+'), lambda t: t <> '' AND length({_CLEAN}) >= 2 AND {_CLEAN} NOT IN ({_FW})), ' ') AS line FROM conversations
+""")
+def filtered_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", dictionary.filtered_line(F.col("text"), FUNCTION_WORDS).alias("line"))
+
+
+@query("""
+SELECT lower(w) AS folded, arg_min(w, k) AS canonical, count(DISTINCT w) AS forms, count(*) AS cnt FROM (
+  SELECT doc_id * 1000000 + i AS k, string_split_regex(text, '\\s+')[i] AS w FROM (SELECT doc_id, trim(text, ' \t\n\r') AS text, unnest(range(1, len(string_split_regex(trim(text, ' \t\n\r'), '\\s+')) + 1)) AS i FROM documents WHERE lang = 'en'))
+WHERE w <> '' GROUP BY 1
+""")
+def canonical_case_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    words = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "src"))
+    return dictionary.canonical_case(words, ["doc_id", "pos"])
+
+
+# -- dictionaries -----------------------------------------------------------------------------------
+
+
+def parallel(spark, sf_dir) -> DataFrame:
+    """(conv_id, turn, src, tgt): a user's turn and the assistant's next, as word lists."""
+    turns = table(spark, sf_dir, "conversations")
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
+    answer = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
+    return user.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", text.word_tokens(F.col("source")).alias("src"), text.word_tokens(F.col("target")).alias("tgt"))
+
+
+def dictionary_pairs(spark, sf_dir) -> DataFrame:
+    lines = parallel(spark, sf_dir).withColumn("alignment", dictionary.monotone(F.col("src"), F.col("tgt")))
+    return dictionary.count_pairs(dictionary.aligned_words(lines, ["conv_id", "turn"], "src", "tgt", "alignment"), ["conv_id", "turn", "pos"])
+
+
+_W = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
+_PARALLEL = f"""pairs AS (SELECT u.conv_id, u.turn, {_W.format('u.text')} AS src, {_W.format('a.text')} AS tgt
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
+_COUNTS = f"""{_PARALLEL}, al AS (SELECT conv_id, turn, i, src[i] AS s, tgt[i] AS t FROM (SELECT *, unnest(range(1, least(len(src), len(tgt)) + 1)) AS i FROM pairs)),
+counts AS (SELECT s AS src, t AS tgt, count(*) AS cnt, min(conv_id * 1000000000 + turn * 1000000 + i) AS first_pos FROM al GROUP BY ALL)"""
+_BEST = f"{_COUNTS}, best AS (SELECT src, tgt, cnt FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, first_pos, tgt) AS rk FROM counts) WHERE rk = 1)"
+
+
+@query(f"WITH {_BEST} SELECT src, tgt, cnt FROM best")
+def pair_dictionary_best(spark, sf_dir):
+    return dictionary.best_translation(dictionary_pairs(spark, sf_dir))
+
+
+@query(f"""
+WITH {_COUNTS} SELECT src, tgt, cnt, CAST(rk AS INTEGER) AS rank, round(cnt / total, 6) AS confidence, rk = 1 AS is_primary FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, first_pos, tgt) AS rk, sum(cnt) OVER (PARTITION BY src) AS total FROM counts WHERE cnt >= 2) WHERE rk <= 3
+""")
+def pair_dictionary_topk(spark, sf_dir):
+    return dictionary.top_translations(dictionary_pairs(spark, sf_dir), 3, 2).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_COUNTS} SELECT cnt, count(*) AS pairs FROM counts GROUP BY cnt")
+def freq_of_freq(spark, sf_dir):
+    return dictionary.frequency_of_frequencies(dictionary_pairs(spark, sf_dir))
+
+
+@query(f"""
+WITH {_COUNTS} SELECT src || ' -> ' || string_agg(tgt || ' (' || cnt || ')', ', ' ORDER BY rk) AS line FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY cnt DESC, first_pos, tgt) AS rk FROM counts WHERE cnt >= 2) WHERE rk <= 3 GROUP BY src
+""")
+def dictionary_lines(spark, sf_dir):
+    return dictionary.rendered(dictionary.top_translations(dictionary_pairs(spark, sf_dir), 3, 2))
+
+
+_APPLIED = f"""{_BEST}, d AS (SELECT src, tgt FROM best WHERE cnt >= 2),
+w AS (SELECT doc_id, i, string_split_regex(text, '\\s+')[i] AS w FROM (SELECT doc_id, trim(text, ' \t\n\r') AS text, unnest(range(1, len(string_split_regex(trim(text, ' \t\n\r'), '\\s+')) + 1)) AS i FROM documents)),
+b AS (SELECT doc_id, i, w, split_part(w, '-', 1) AS base, substr(w, length(split_part(w, '-', 1)) + 1) AS tail FROM w WHERE w <> ''),
+m AS (SELECT b.*, e.tgt AS exact, f.tgt AS folded, regexp_full_match(base, '\\p{{Nd}}*\\.?\\p{{Nd}}*') AND regexp_matches(base, '\\p{{Nd}}') AS num
+  FROM b LEFT JOIN d e ON e.src = b.base LEFT JOIN d f ON f.src = lower(b.base)),
+o AS (SELECT doc_id, i, w, CASE WHEN num THEN 'number' WHEN exact IS NOT NULL THEN 'exact' WHEN folded IS NOT NULL THEN 'folded' ELSE 'kept' END AS how,
+  CASE WHEN num THEN base WHEN exact IS NOT NULL THEN exact WHEN folded IS NULL THEN base WHEN base = upper(base) AND base <> lower(base) THEN upper(folded)
+    WHEN left(base, 1) = upper(left(base, 1)) AND left(base, 1) <> lower(left(base, 1)) THEN upper(left(folded, 1)) || lower(substr(folded, 2)) ELSE folded END || tail AS r FROM m)"""
+
+
+def applied(spark, sf_dir) -> DataFrame:
+    entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
+    return dictionary.translated_tokens(table(spark, sf_dir, "documents"), entries, "doc_id", F.col("text"))
+
+
+@query(f"WITH {_APPLIED} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (how <> 'kept') AS n_replaced, md5(string_agg(r, ' ' ORDER BY i)) AS text_md5 FROM o GROUP BY doc_id")
+def dict_apply(spark, sf_dir):
+    return dictionary.rejoined(applied(spark, sf_dir), "doc_id").select("doc_id", "n_tokens", "n_replaced", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+WITH {_APPLIED} SELECT count(*) AS total_words, count(*) FILTER (how <> 'kept') AS replaced, count(*) FILTER (how = 'kept') AS not_replaced,
+  count(DISTINCT CASE WHEN how = 'kept' THEN w END) AS unique_not_replaced, count(DISTINCT CASE WHEN how <> 'kept' THEN w END) AS unique_replaced,
+  count(DISTINCT CASE WHEN how = 'exact' THEN w END) AS used_exact, round(count(*) FILTER (how <> 'kept') / count(*), 6) AS replacement_rate FROM o
+""")
+def dict_coverage(spark, sf_dir):
+    return dictionary.coverage(applied(spark, sf_dir), 0).withColumn("replacement_rate", F.round("replacement_rate", 6))
+
+
+@query(f"""
+WITH {_BEST}, k AS (SELECT src AS key, row_number() OVER (ORDER BY src) AS ord FROM best WHERE length(src) >= 3),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM benchmark)
+SELECT word, arg_min(key, ord) AS key FROM w JOIN k ON starts_with(word, key) OR starts_with(key, word) WHERE length(word) >= 3 GROUP BY word
+""")
+def prefix_lookup(spark, sf_dir):
+    keys = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).select(F.col("src").alias("ord"), F.col("src").alias("key"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    return lookup.prefix_matches(words, keys).select("word", "key")
+
+
+# -- gloss tags -----------------------------------------------------------------------------------
+
+
+def gloss_lines(spark, sf_dir) -> DataFrame:
+    """Parts as gloss tokens: the name, and tags by key from each list of tags."""
+    every = [t for names in gloss.PRIORITIES for t in names] + ["PUNC", "CV:INCE", "CPL:EVID", "COND", "Q"]
+    pool = F.array(*(F.lit(t) for t in every))
+    pick = lambda m: F.element_at(pool, (F.pmod(F.col("p_partkey") * m, F.lit(len(every))) + 1).cast("int"))
+    token = F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("_")), pick(7), pick(13), pick(29), pick(31))
+    return table(spark, sf_dir, "part").select("p_partkey", token.alias("token"))
+
+
+_TAGS = "[" + ", ".join(f"'{t}'" for t in [t for names in gloss.PRIORITIES for t in names] + ["PUNC", "CV:INCE", "CPL:EVID", "COND", "Q"]) + "]"
+_LINES = f"lines AS (SELECT p_partkey, replace(p_name, ' ', '_') AS base, list_transform([7, 13, 29, 31], lambda m: {_TAGS}[CAST((p_partkey * m) % len({_TAGS}) AS BIGINT) + 1]) AS tags FROM part)"
+_PRIO = "CASE " + " ".join(f"WHEN {{t}} IN ({', '.join(repr(x) for x in names)}) THEN {k}" for k, names in enumerate(gloss.PRIORITIES, 1)) + " ELSE 5 END"
+_SIMPLE = "CASE " + " ".join(f"WHEN starts_with(t, '{m}:') THEN '{m}'" for m in gloss.MERGED) + f" WHEN t IN ({', '.join(repr(x) for x in gloss.DROPPED)}) THEN NULL ELSE t END"
+_POS = ", ".join(repr(x) for x in gloss.POS_TAGS)
+
+
+@query(f"""
+WITH {_LINES}, x AS (SELECT p_partkey, base, i, tags[i] AS t FROM (SELECT *, unnest(range(1, 5)) AS i FROM lines)),
+k AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY {_PRIO.format(t='t')}, i) AS rk FROM x WHERE t NOT IN ('', 'PUNC'))
+SELECT p_partkey, base || '-' || string_agg(t, '-' ORDER BY rk) AS token FROM k WHERE rk <= 2 GROUP BY p_partkey, base
+""")
+def priority_topk_tags(spark, sf_dir):
+    lines = gloss_lines(spark, sf_dir)
+    return lines.select("p_partkey", gloss.render(gloss.base(F.col("token")), gloss.top_tags(gloss.tags(F.col("token")), 2)).alias("token"))
+
+
+@query(f"""
+WITH {_LINES} SELECT t AS tag, coalesce({_SIMPLE}, 'REMOVED') AS simplified, count(*) AS cnt FROM (SELECT unnest(tags) AS t FROM lines) WHERE t NOT IN ('', 'PUNC') GROUP BY ALL
+""")
+def tag_mapping_stats(spark, sf_dir):
+    found = gloss_lines(spark, sf_dir).select(F.explode(gloss.tags(F.col("token"))).alias("tag")).where(~F.col("tag").isin(*gloss.IGNORED))
+    return found.groupBy("tag", F.coalesce(gloss.simplify_tag(F.col("tag")), F.lit("REMOVED")).alias("simplified")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"""
+WITH {_LINES}, p AS (SELECT *, list_position(list_transform(tags, lambda t: t IN ({_POS})), true) AS f FROM lines)
+SELECT p_partkey, array_to_string(list_concat([base], [tags[i] FOR i IN range(1, 5) IF i <> coalesce(f, 0)]), '-') AS token FROM p
+""")
+def remove_first_pos(spark, sf_dir):
+    lines = gloss_lines(spark, sf_dir)
+    return lines.select("p_partkey", gloss.render(gloss.base(F.col("token")), gloss.without_pos(gloss.tags(F.col("token")))).alias("token"))
+
+
+@query(f"""
+WITH {_LINES}, c AS (SELECT t AS tag, count(*) AS cnt FROM (SELECT unnest(tags) AS t FROM lines) WHERE t IN ({_POS}) GROUP BY t)
+SELECT tag, cnt, round(cnt / (SELECT sum(len(tags)) FROM lines), 6) AS share FROM c
+""")
+def pos_tag_counts(spark, sf_dir):
+    found = gloss_lines(spark, sf_dir).select(F.explode(gloss.tags(F.col("token"))).alias("tag"))
+    counts = found.groupBy("tag").agg(F.count("*").alias("cnt"))
+    total = counts.agg(F.sum("cnt").alias("all"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col("tag").isin(*gloss.POS_TAGS)).select("tag", "cnt", F.round(F.col("cnt") / F.col("all"), 6).alias("share"))
+
+
+_TAGCASE = "CASE " + " ".join(f"WHEN {{t}} = '{a}' THEN '{b}'" for a, b in gloss.TAG_MAP.items()) + " ELSE upper({t}) END"
+
+
+@query(f"""
+SELECT event_id, event_type || '-' || array_to_string(list_transform(list_concat(string_split(['N', 'N:prop', 'V', 'Adj', 'zz:x'][event_id % 5 + 1], ':'), [['past', 'p1s', 'pl', 'odd'][event_id % 4 + 1]]), lambda t: {_TAGCASE.format(t='t')}), '-') AS token FROM events
+""")
+def retag_map_default(spark, sf_dir):
+    pick = lambda names, m: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col("event_id") % m + 1).cast("int"))
+    analysis = F.concat(F.col("event_type"), F.lit("<"), pick(("N", "N:prop", "V", "Adj", "zz:x"), 5), F.lit("><"), pick(("past", "p1s", "pl", "odd"), 4), F.lit(">"))
+    return table(spark, sf_dir, "events").select("event_id", gloss.convert_analysis(analysis).alias("token"))
+
+
+# -- names and features ---------------------------------------------------------------------------
+
+
+@query("""
+WITH asked AS (SELECT DISTINCT n FROM (SELECT r_name AS n FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT split_part(p_type, ' ', 1) FROM part)),
+hits AS (SELECT n, min(struct_pack(rank := CASE WHEN lower(n) = lower(r) THEN 1 WHEN contains(lower(n), lower(r)) OR contains(lower(r), lower(n)) THEN 2 ELSE 3 END, ord := ord, code := code)) AS b
+  FROM asked JOIN (SELECT n_name AS r, n_nationkey AS ord, 'c' || n_nationkey AS code FROM nation) ref
+  ON lower(n) = lower(r) OR contains(lower(n), lower(r)) OR contains(lower(r), lower(n)) OR len(list_filter(string_split_regex(lower(n), '\\s+'), lambda w: length(w) > 3 AND contains(lower(r), w))) > 0 GROUP BY n)
+SELECT a.n AS name, coalesce(b.code, CASE WHEN regexp_replace(a.n, '[^a-zA-Z]', '', 'g') = '' THEN 'und' ELSE lower(left(regexp_replace(a.n, '[^a-zA-Z]', '', 'g'), 3)) END) AS code,
+  coalesce(['exact', 'contains', 'word'][b.rank], 'fallback') AS method FROM asked a LEFT JOIN hits h ON h.n = a.n
+""")
+def name_match_cascade(spark, sf_dir):
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(table(spark, sf_dir, "nation").select("n_name")).union(table(spark, sf_dir, "part").select(F.get(F.split("p_type", " "), F.lit(0))))
+    ref = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("code"))
+    return lookup.resolve_names(names, ref)
+
+
+@query("""
+WITH v AS (SELECT DISTINCT user_id AS e, event_type AS p, arg_min(CAST(floor(value / 20) AS BIGINT), event_id) AS v FROM events GROUP BY ALL),
+q AS (SELECT a.user_id AS a, b.user_id AS b FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 100 = 0) a JOIN (SELECT DISTINCT user_id FROM events) b ON b.user_id = a.user_id + 1),
+m AS (SELECT a, b, count(*) AS shared, count(*) FILTER (x.v = y.v) AS matches FROM q JOIN v x ON x.e = a JOIN v y ON y.e = b AND y.p = x.p GROUP BY ALL),
+s AS (SELECT e, count(*) AS n FROM v GROUP BY e)
+SELECT q.a, q.b, coalesce(shared, 0) AS shared, sa.n + sb.n - coalesce(shared, 0) AS total, coalesce(matches, 0) AS matches,
+  CASE WHEN coalesce(shared, 0) >= 1 THEN round(coalesce(matches, 0) / (sa.n + sb.n - coalesce(shared, 0)), 6) END AS similarity
+FROM q LEFT JOIN m ON m.a = q.a AND m.b = q.b JOIN s sa ON sa.e = q.a JOIN s sb ON sb.e = q.b
+""")
+def feature_similarity(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    values = events.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("parameter")).agg(F.min_by(F.floor(F.col("value") / 20), "event_id").alias("value"))
+    users = events.select("user_id").distinct()
+    pairs = users.where("user_id % 100 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b")).join(users.select(F.col("user_id").alias("b")), "b")
+    return evaluation.feature_similarity(values, pairs).withColumn("similarity", F.round("similarity", 6))
+
+
+# -- analyses -----------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id, run, event_type ORDER BY value DESC, length(props), event_id) AS rk FROM r)
+SELECT user_id, CAST(run AS BIGINT) AS run, event_type, md5(props) AS best_md5, value FROM b WHERE rk = 1
+""")
+def run_best(spark, sf_dir):
+    rows = morph.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    best = morph.best_of_runs(rows, ["user_id"], "event_type", "props", "value", "event_id")
+    return best.select("user_id", F.col("run").cast("long").alias("run"), "event_type", F.md5(F.col("props").cast("binary")).alias("best_md5"), "value")
+
+
+_NEXT = """nw AS (SELECT doc_id, w[i] AS word, w[i + 1] AS nxt FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents))),
+a AS (SELECT doc_id, word, count(DISTINCT nxt) AS analyses FROM nw GROUP BY ALL)"""
+
+
+def next_words(spark, sf_dir) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", text.word_tokens(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("i", "word"))
+    return morph.word_analyses(words.select("doc_id", "word", F.get("w", F.col("i") + 1).alias("nxt")), ["doc_id", "word"], "nxt")
+
+
+@query(f"""
+WITH {_NEXT} SELECT count(*) AS total_words, count(*) FILTER (analyses > 0) AS analyzed_words, round(avg(CASE WHEN analyses > 0 THEN analyses END), 6) AS average,
+  max(CASE WHEN analyses > 0 THEN analyses END) AS most, min(CASE WHEN analyses > 0 THEN analyses END) AS least, CAST(sum(analyses) AS BIGINT) AS total_analyses, round(100.0 * count(*) FILTER (analyses > 0) / count(*), 6) AS coverage FROM a
+""")
+def analysis_stats(spark, sf_dir):
+    out = morph.coverage(next_words(spark, sf_dir))
+    return out.withColumn("average", F.round("average", 6)).withColumn("coverage", F.round(F.col("coverage").cast("double"), 6))
+
+
+@query(f"WITH {_NEXT} SELECT word, CAST(sum(analyses) AS BIGINT) AS n FROM a GROUP BY word ORDER BY n DESC, word LIMIT 10")
+def most_analysed_words(spark, sf_dir):
+    return next_words(spark, sf_dir).groupBy("word").agg(F.sum("analyses").alias("n")).orderBy(F.desc("n"), "word").limit(10)
+
+
+@query("""
+WITH m AS (SELECT p_brand AS tags, count(*) AS ca, count(DISTINCT p_type) AS va FROM part GROUP BY 1), rm AS (SELECT p_type AS root, p_brand AS tags, count(*) AS cra FROM part GROUP BY ALL)
+SELECT p_partkey, round(ln((ca + 1.0) / ((SELECT count(*) FROM part) + (SELECT count(*) FROM m))) + ln((coalesce(cra, 0) + 1.0) / (ca + va)), 6) AS score
+FROM part JOIN m ON m.tags = p_brand LEFT JOIN rm ON rm.root = p_type AND rm.tags = p_brand
+""")
+def analysis_log_probability(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("root"), F.col("p_brand").alias("tags"))
+    by_tags = part.groupBy("tags").agg(F.count("*").alias("ca"), F.count_distinct("root").alias("va"))
+    by_pair = part.groupBy("root", "tags").agg(F.count("*").alias("cra"))
+    sizes = by_tags.agg(F.sum("ca").alias("n"), F.count("*").alias("t")).first()
+    return morph.log_probability(part, by_tags, by_pair, sizes.n, sizes.t, 1).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+# -- retrieval -----------------------------------------------------------------------------------
+
+
+@query("""
+WITH q AS (SELECT item_id AS qi, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM benchmark WHERE item_id % 100 = 0),
+p AS (SELECT doc_id AS ci, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents),
+s AS (SELECT qi, ci, len(list_intersect(q.t, p.t)) AS b, len(q.t) AS nq, len(p.t) AS nc FROM q JOIN p ON list_has_any(q.t, p.t))
+SELECT query_id, cand_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT qi AS query_id, ci AS cand_id, round(b / (nq + nc - b), 6) AS score, row_number() OVER (PARTITION BY qi ORDER BY b / (nq + nc - b) DESC, ci) AS rank FROM s) WHERE rank <= 3
+""")
+def jaccard_topk(spark, sf_dir):
+    words = lambda df, key, name: df.select(F.col(key).alias(name), F.array_distinct(text.word_tokens(F.col("text"))).alias("tokens"))
+    queries = words(table(spark, sf_dir, "benchmark").where("item_id % 100 = 0"), "item_id", "query_id")
+    return retrieval.jaccard_topk(queries, words(table(spark, sf_dir, "documents"), "doc_id", "cand_id")).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS cand_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings a JOIN embeddings b ON a.embedding IS DISTINCT FROM b.embedding WHERE a.vec_id % 100 = 0)
+SELECT query_id, cand_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank FROM s) WHERE rank <= 3
+""")
+def cosine_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.cosine_topk(queries, vectors.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("cand")))
+
+
+@query()
+def chrf_topk(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    queries = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.chrf_topk(queries, items.select(F.col("item_id").alias("cand_id"), F.col("text").alias("cand")))
+
+
+# -- evaluation -----------------------------------------------------------------------------------
+
+_GRAMS = "[array_to_string({x}[i:i+{n}-1], ' ') FOR i IN range(1, len({x}) - {n} + 2)]"
+_STATS = f"""{_PARALLEL}, g AS (SELECT conv_id, turn, n, unnest(h) AS g, 1 AS side FROM (SELECT conv_id, turn, unnest([1, 2, 3, 4]) AS n, unnest([{', '.join(_GRAMS.format(x='tgt', n=n) for n in range(1, 5))}]) AS h FROM pairs)
+  UNION ALL SELECT conv_id, turn, n, unnest(h) AS g, 0 FROM (SELECT conv_id, turn, unnest([1, 2, 3, 4]) AS n, unnest([{', '.join(_GRAMS.format(x='src', n=n) for n in range(1, 5))}]) AS h FROM pairs)),
+c AS (SELECT conv_id, turn, n, g, least(count(*) FILTER (side = 1), count(*) FILTER (side = 0)) AS m FROM g GROUP BY ALL),
+o AS (SELECT conv_id, turn, sum(CASE WHEN n = 1 THEN m ELSE 0 END) AS m1, sum(CASE WHEN n = 2 THEN m ELSE 0 END) AS m2, sum(CASE WHEN n = 3 THEN m ELSE 0 END) AS m3, sum(CASE WHEN n = 4 THEN m ELSE 0 END) AS m4 FROM c GROUP BY ALL),
+s AS (SELECT p.conv_id, p.turn, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4, greatest(len(tgt), 1) AS t1, greatest(len(tgt) - 1, 1) AS t2, greatest(len(tgt) - 2, 1) AS t3, greatest(len(tgt) - 3, 1) AS t4, len(tgt) AS hyp, len(src) AS ref
+  FROM pairs p LEFT JOIN o USING (conv_id, turn))"""
+_BP = "CASE WHEN hyp > ref THEN 1.0 ELSE exp(1 - ref / hyp) END"
+_M1 = f"CASE WHEN m1 = 0 OR hyp = 0 THEN 0.0 ELSE {_BP} * exp((" + " + ".join(f"ln(CASE WHEN m{n} = 0 THEN 0.1 ELSE m{n} END / t{n})" for n in range(1, 5)) + ") / 4) END"
+_ZERO = {n: " + ".join(f"CASE WHEN m{k} = 0 THEN 1 ELSE 0 END" for k in range(1, n + 1)) for n in range(1, 5)}
+_EXP = f"CASE WHEN m1 = 0 OR hyp = 0 THEN 0.0 ELSE 100 * {_BP} * exp((" + " + ".join(f"ln(CASE WHEN m{n} = 0 THEN 1 / (pow(2.0, {_ZERO[n]}) * t{n}) ELSE m{n} / t{n} END)" for n in range(1, 5)) + ") / 4) END"
+_SUMS = ", ".join(f"sum({c}) AS {c}" for c in ["m1", "m2", "m3", "m4", "t1", "t2", "t3", "t4", "hyp", "ref"])
+
+
+@query(f"WITH {_STATS} SELECT conv_id, turn, round({_M1}, 6) AS bleu FROM s")
+def bleu_sentence(spark, sf_dir):
+    return parallel(spark, sf_dir).select("conv_id", "turn", F.round(metrics.sentence_bleu(metrics.bleu_stats(F.col("tgt"), F.col("src"))), 6).alias("bleu"))
+
+
+@query(f"WITH {_STATS}, x AS (SELECT count(*) AS pairs, {_SUMS} FROM s) SELECT pairs, CAST(hyp AS BIGINT) AS hyp, CAST(ref AS BIGINT) AS ref, round({_M1}, 6) AS bleu FROM x")
+def bleu_corpus(spark, sf_dir):
+    return evaluation.corpus_bleu(parallel(spark, sf_dir), "tgt", "src").withColumn("bleu", F.round("bleu", 6))
+
+
+@query(f"WITH {_STATS}, x AS (SELECT CAST(floor(ref / 10) * 10 AS BIGINT) AS bin, count(*) AS pairs, {_SUMS} FROM (SELECT *, ref AS r0 FROM s) GROUP BY CAST(floor(r0 / 10) * 10 AS BIGINT) HAVING count(*) > 1) SELECT bin, pairs, CAST(hyp AS BIGINT) AS hyp, CAST(ref AS BIGINT) AS ref, round({_EXP}, 6) AS bleu FROM x".replace("SELECT CAST(floor(ref / 10) * 10 AS BIGINT) AS bin", "SELECT CAST(floor(r0 / 10) * 10 AS BIGINT) AS bin"))
+def bleu_by_length(spark, sf_dir):
+    return evaluation.bleu_by_length(parallel(spark, sf_dir), "tgt", "src").withColumn("bleu", F.round("bleu", 6))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    pairs = parallel(spark, sf_dir)
+    scores = evaluation.bootstrap(pairs, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "tgt", "src", 100)
+    return evaluation.interval(scores, 100)
+
+
+@query(f"WITH {_PARALLEL} SELECT round(sum(len(tgt)) / sum(len(src)), 6) AS length_ratio, round(avg(len(src)), 6) AS mean_ref, round(avg(len(tgt)), 6) AS mean_hyp FROM pairs")
+def length_ratio(spark, sf_dir):
+    return parallel(spark, sf_dir).agg(F.round(F.try_divide(F.sum(F.size("tgt")), F.sum(F.size("src"))), 6).alias("length_ratio"), F.round(F.avg(F.size("src")), 6).alias("mean_ref"), F.round(F.avg(F.size("tgt")), 6).alias("mean_hyp"))
+
+
+@query(f"""
+WITH {_PARALLEL} SELECT conv_id, turn, CASE WHEN len(tgt) = 0 THEN 0.0 ELSE round(len(list_distinct(tgt)) / len(tgt), 6) END AS non_repetition,
+  CASE WHEN len(src) = 0 THEN CASE WHEN len(tgt) = 0 THEN 1.0 ELSE 0.0 END ELSE round(len(list_intersect(list_distinct(tgt), list_distinct(src))) / len(list_distinct(src)), 6) END AS word_match,
+  CASE WHEN len(src) + len(tgt) = 0 THEN 0.0 ELSE round(len(list_intersect(list_distinct(tgt), list_distinct(src))) / len(list_distinct(list_concat(src, tgt))), 6) END AS jaccard FROM pairs
+""")
+def overlap_scores(spark, sf_dir):
+    hyp, ref = F.col("tgt"), F.col("src")
+    return parallel(spark, sf_dir).select("conv_id", "turn", F.round(metrics.non_repetition(hyp), 6).alias("non_repetition"), F.round(metrics.set_recall(hyp, ref), 6).alias("word_match"), F.round(metrics.jaccard(hyp, ref), 6).alias("jaccard"))
+
+
+@query("""
+SELECT conv_id, CAST(floor(turn / 2) AS BIGINT) AS exchange, coalesce(min(CASE WHEN role = 'user' THEN md5(text) END), '') AS "user", coalesce(min(CASE WHEN role = 'assistant' THEN md5(text) END), '') AS assistant, coalesce(min(CASE WHEN role = 'system' THEN md5(text) END), '') AS system
+FROM conversations GROUP BY ALL
+""")
+def wide_results(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("turn") / 2).alias("exchange"), "role", F.md5(F.col("text").cast("binary")).alias("v"))
+    return evaluation.wide(rows, ["conv_id", "exchange"], "role", "v", ["user", "assistant", "system"])
+
+
+# -- parsing and text rules -------------------------------------------------------------------------
+
+
+@query("""
+SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS bare_md5, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages
+""")
+def tag_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(gloss.strip_tags(F.col("html")).cast("binary")).alias("bare_md5"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+def _sql_chain(x: str, rules: list[tuple[str, str]]) -> str:
+    for a, b in rules:
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
+
+
+_DETOK = _sql_chain("trim(regexp_replace(replace(spaced, '▁', ' '), '\\s+', ' ', 'g'))", [
+    (" ([.,!?:;)\\]}])", "\\1"), ("([({\\[]) ", "\\1"), (' " ', ' "'), (" '' ", " ''"), (" \\. \\. \\.", "..."), ("\\. \\. \\.", "..."),
+    ("(\\d) \\. (\\d)", "\\1.\\2"), ("(\\d) , (\\d)", "\\1,\\2"), ("(\\d{1,4}) / (\\d{1,2}) / (\\d{1,4})", "\\1/\\2/\\3"), ("(\\d{1,4}) - (\\d{1,2}) - (\\d{1,4})", "\\1-\\2-\\3"), ("(\\d{1,2}) : (\\d{2})", "\\1:\\2"), ("(\\d) %", "\\1%"),
+    ("([A-Z]) \\. ([A-Z]) \\. ([A-Z]) \\.", "\\1.\\2.\\3."), ("([A-Z]) \\. ([A-Z]) \\.", "\\1.\\2."), *((f"{w} \\.", f"{w}.") for w in text.TITLES + text.SUFFIXES),
+])
+_SPACED = "s AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '([.,!?:;])', ' \\1 ', 'g'), ' +', ' ', 'g') AS spaced FROM conversations)"
+
+
+def spaced(spark, sf_dir) -> DataFrame:
+    apart = F.regexp_replace(F.regexp_replace("text", "([.,!?:;])", " $1 "), " +", " ")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", apart.alias("spaced"))
+
+
+@query(f"WITH {_SPACED} SELECT conv_id, turn, md5({_DETOK}) AS text_md5 FROM s")
+def detok_chain(spark, sf_dir):
+    return spaced(spark, sf_dir).select("conv_id", "turn", F.md5(text.detokenize(F.col("spaced")).cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+WITH {_SPACED}, d AS (SELECT conv_id, turn, spaced, {_DETOK} AS t FROM s), f AS (SELECT conv_id, turn, length(t) - length(replace(t, '▁', '')) AS marks_left, len(regexp_extract_all(t, '  +')) AS double_spaces,
+  len(regexp_extract_all(t, ' [.,!?:;]')) AS bad_punctuation, regexp_replace(spaced, '[^\\p{{L}}\\p{{N}}]', '', 'g') = regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS content_preserved FROM d)
+SELECT conv_id, turn, marks_left, double_spaces, bad_punctuation, content_preserved, marks_left = 0 AND double_spaces = 0 AND bad_punctuation = 0 AND content_preserved AS is_consistent FROM f
+""")
+def consistency_flags(spark, sf_dir):
+    flags = text.consistency(F.col("spaced"), text.detokenize(F.col("spaced")))
+    return spaced(spark, sf_dir).select("conv_id", "turn", *(c.alias(n) for n, c in flags.items()))
+
+
+@query("""
+WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' WHEN 2 THEN 'CORRECT' ELSE 'UNCLEAR' END AS verdict, doc_id % 4 = 1 AND doc_id % 3 <> 0 AS fixed FROM documents)
+SELECT count(*) AS total, count(*) FILTER (verdict = 'CORRECT') AS correct, count(*) FILTER (verdict = 'INCORRECT') AS incorrect, count(*) FILTER (fixed) AS corrected, count(*) FILTER (verdict = 'UNCLEAR') AS unclear,
+  round(count(*) FILTER (verdict = 'CORRECT') / count(*), 6) AS accuracy, round(count(*) FILTER (fixed) / count(*) FILTER (verdict = 'INCORRECT'), 6) AS correction_rate FROM r
+""")
+def verdict_rules(spark, sf_dir):
+    answer = F.when(F.col("doc_id") % 4 == 0, "<verdict>Correct</verdict>").when(F.col("doc_id") % 4 == 2, "Correct, it is.").when(F.col("doc_id") % 4 == 3, "no idea").otherwise(F.when(F.col("doc_id") % 3 == 0, "<VERDICT>INCORRECT</VERDICT><CORRECTION>this is the meaning</CORRECTION>").otherwise("<VERDICT>INCORRECT</VERDICT> <CORRECTION>dog</CORRECTION>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("köpek").alias("source"), F.lit("cat").alias("target"), answer.alias("response"))
+    out = assessment.summary(assessment.assessed(rows))
+    return out.withColumn("accuracy", F.round("accuracy", 6)).withColumn("correction_rate", F.round("correction_rate", 6))
+
+
+@query("""
+SELECT event_id, event_id AS step, round(CAST(CASE WHEN event_id % 2 = 0 THEN event_id / 100 END AS DOUBLE), 6) AS train_loss, CASE WHEN event_id % 2 = 1 THEN CAST(event_id % 10 AS DOUBLE) END AS perplexity FROM events
+""")
+def log_metrics(spark, sf_dir):
+    cents = F.concat(F.floor(F.col("event_id") / 100).cast("string"), F.lit("."), F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    line = F.concat(F.lit("Step "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("; Train avg loss: "), cents)).otherwise(F.concat(F.lit("; ppl: "), (F.col("event_id") % 10).cast("string"), F.lit(" lr: 1.0e-3"))))
+    found = parse.log_metrics(line)
+    return table(spark, sf_dir, "events").select("event_id", found["step"].alias("step"), F.round(found["train_loss"], 6).alias("train_loss"), found["perplexity"].alias("perplexity"))
+
+
+@query(f"""
+SELECT doc_id, len(regexp_extract_all(text, '{text.URL.replace("'", "''")}')) AS urls, len(regexp_extract_all(text, '{text.EMAIL}')) AS emails, len(regexp_extract_all(text, '{text.IPV4}')) AS addresses FROM documents
+""")
+def url_email_flags(spark, sf_dir):
+    count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", count(text.URL).alias("urls"), count(text.EMAIL).alias("emails"), count(text.IPV4).alias("addresses"))
+
+
+@query()
+def hyphenate(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", text.hyphenate(F.col("word")).alias("hyphenated"))
+
+
+@query("SELECT conv_id, turn, lower(replace(text, 'İ', 'i')) = lower(text) AS same, len(list_filter(string_split_regex(trim(text, ' \t\n\r'), '\\s+'), lambda t: t <> '')) AS n_words, coalesce(nullif(regexp_extract(text, '(\\S+)', 1), ''), 'unknown') AS first_word FROM conversations")
+def text_scalars(spark, sf_dir):
+    c = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (text.turkish_lower(c) == F.lower(c)).alias("same"), text.word_count(c).alias("n_words"), text.first_token(c).alias("first_word"))
