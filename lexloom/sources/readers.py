@@ -148,7 +148,8 @@ def sentences(document: DataFrame) -> DataFrame:
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines). Lines that do not parse are reported, not fatal."""
-    rows = spark.read.json(path, schema=f"{schema}, _corrupt_record string", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    made = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = spark.read.text(path).where(F.trim("value") != "").select(made.alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 
