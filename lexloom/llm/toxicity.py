@@ -70,7 +70,7 @@ class Model:
         if len(self.hashes) and len(words.hashes):
             row, k = present(self.hashes, words)
             z += np.bincount(row, self.weights[k], n)
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return np.where(z <= -500, 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def present(known: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
