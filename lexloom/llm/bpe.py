@@ -13,7 +13,8 @@ Decoding. Token bytes are fed to an incremental UTF-8 state machine, which holds
 bytes; what is not UTF-8 becomes U+FFFD, one for each maximal invalid part.
 
 Defined results: null or empty text gives no ids and decodes to the empty text; equal texts give
-equal ids. Pieces' encodings are cached per Python worker, up to ``CACHE`` pieces.
+equal ids. Pieces' encodings are cached per Python worker, up to ``CACHE`` pieces, and looked up
+for many texts at once (see ``Batch``).
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm._text import fmix, powers
 from lexloom.llm._text import pieces as text_pieces
 
-CACHE = 300_000
+CACHE = 250_000
+SHORT = 48
 CHUNK = 1 << 16
 #: White space as Unicode defines it, and English contractions of the pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -115,7 +119,9 @@ class ByteBPE:
             self.bytes_of[i] = s.encode()
         self._apart: dict[tuple[int, int], bool] = {}
         self._spines: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self._cache: dict[str, list[int]] = {}
+        self._cache: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
+        self._prefixes: dict[bytes, tuple[int, ...]] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols at one edge of a token while it is built, each with the rank that ends it."""
@@ -196,22 +202,47 @@ class ByteBPE:
             at = start[at]
         return out[::-1]
 
-    def piece(self, text: str) -> list[int]:
-        ids = self._cache.get(text)
+    def piece(self, text: str) -> tuple[int, ...]:
+        """Ids of a piece. What is found is kept in two generations: when the young one is full, it
+        takes the place of the old, so that pieces in use stay."""
+        ids = self._old.pop(text, None)
         if ids is None:
             raw = text.encode("utf-8", "surrogatepass")
-            ids = list(self.stream([raw] if len(raw) <= CHUNK else (raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))))
-            if len(text) < 64:
-                if len(self._cache) >= CACHE:
-                    self._cache.clear()
-                self._cache[text] = ids
+            if len(raw) > SHORT:
+                parts = (raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))
+                return tuple(self.stream(parts))
+            ids = self._prefix(raw)
+        if len(self._cache) >= CACHE:
+            self._cache, self._old, self._prefixes = {}, self._cache, {}
+        self._cache[text] = ids
+        return ids
+
+    def _prefix(self, raw: bytes) -> tuple[int, ...]:
+        """The transducer's state after these bytes, as all ids so far: its last token is the one
+        that stays apart from the last token of what is before it. Pieces share their prefixes'."""
+        ids = self._prefixes.get(raw)
+        if ids is None:
+            node, ends, k = self.trie, [], len(raw)
+            while k and (node := node.get(raw[k - 1])) is not None:
+                k -= 1
+                if -1 in node:
+                    ends.append((k, node[-1]))
+            for k, token in reversed(ends):
+                if not k:
+                    ids = (token,)
+                    break
+                before = self._prefix(raw[:k])
+                if self.stays_apart(before[-1], token):
+                    ids = (*before, token)
+                    break
+            self._prefixes[raw] = ids
         return ids
 
     def encode(self, text: str | None) -> Iterator[list[int]]:
         """Ids of a text, a list for each part that is done."""
         for part, special in self._sections(text or ""):
             for found in cut_pieces(part):
-                get = self._cache.get
+                get = self._cache.get  # the young generation at the time; the rest goes through piece()
                 yield list(chain.from_iterable([get(p) or self.piece(p) for p in found]))
             if special is not None:
                 yield [special]
@@ -234,6 +265,155 @@ class ByteBPE:
         yield machine.decode(b"", True)
 
 
+LETTER, NUMBER, BLANK, BREAK = 1, 2, 3, 4
+STOP = 0x110000  # stands between texts
+TABLE_BITS = 20
+POOL = 6_000_000
+_U = np.uint64
+_known: list[np.ndarray] = []
+
+
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Class and hash value of every character."""
+    if not _known:
+        kinds = {"L": LETTER, "N": NUMBER}
+        classes = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(STOP)), np.uint8, STOP)
+        classes = np.append(classes, np.uint8(BREAK))
+        for part in re.findall("(.)(?:-(.))?", SPACE, re.S):
+            classes[ord(part[0]) : ord(part[1] or part[0]) + 1] = BLANK
+        _known.extend([classes, fmix(np.arange(STOP + 1, dtype=_U) + _U(0x51ED2701)) | _U(1)])
+    return _known[0], _known[1]
+
+
+def piece_starts(chars: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Whether a piece of the pattern starts at each character: runs of one class, with one space
+    before them; of other white space all but what is last goes first; contractions apart."""
+    n = len(chars)
+    kind = classes[chars]
+    start = np.ones(n, bool)
+    start[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == BREAK)
+    ahead = np.flatnonzero((kind[:-1] == BLANK) & (kind[1:] < BLANK))  # the last blank before a word
+    start[ahead] = True
+    start[ahead[chars[ahead] == 32] + 1] = False
+    for q in np.flatnonzero((chars[:-1] == 39) & start[:-1] & (kind[1:] == LETTER)).tolist():
+        one, two = chr(chars[q + 1]), "".join(map(chr, chars[q + 1 : q + 3].tolist())) if q + 2 < n and chars[q + 2] < STOP else ""
+        k = 1 if one in "stmd" else 2 if two in ("re", "ve", "ll") else 0
+        if k:
+            start[q + 1] = False
+            if q + 1 + k < n:
+                start[q + 1 + k] = True
+    return start
+
+
+def gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of a pool one after another, and where each ends."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at], ends
+
+
+class Batch:
+    """Encodes many texts at once. Pieces are found, hashed and looked up as arrays, in a table with
+    one place for each value of some bits; pieces that it does not hold go through the transducer."""
+
+    def __init__(self, bpe: ByteBPE):
+        self.bpe = bpe
+        self.classes, self.values = _characters()
+        self._clear()
+        top = max(bpe.bytes_of) + 1
+        raws, texts = [bpe.bytes_of.get(i, b"") for i in range(top)], [f"{i},".encode() for i in range(top)]
+        self.raw, self.raw_size = np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws])
+        self.dec, self.dec_size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(r) for r in texts])
+        self.raw_at, self.dec_at = np.cumsum(self.raw_size) - self.raw_size, np.cumsum(self.dec_size) - self.dec_size
+
+    def _clear(self) -> None:
+        self.hash = np.zeros(1 << TABLE_BITS, _U)
+        self.begin = np.zeros(1 << TABLE_BITS, np.int64)
+        self.size = np.zeros(1 << TABLE_BITS, np.int64)
+        self.pool = np.zeros(POOL, np.int32)
+        self.used = 0
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and each text's range of them."""
+        special = self.bpe.special
+        odd = [len(t) > 1 << 20 or any(s in t for s in special) for t in texts]
+        if any(odd):
+            parts = [np.fromiter(chain.from_iterable(self.bpe.encode(t)), np.int32) if o else self._plain([t])[0] for t, o in zip(texts, odd, strict=True)]
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return self._plain(texts)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(t) for t in texts])
+        chars = np.full(int(sizes.sum()) + len(texts), STOP, np.uint32)
+        own = np.ones(len(chars), bool)
+        stops = np.cumsum(sizes + 1) - 1
+        own[stops] = False
+        chars[own] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.flatnonzero(piece_starts(chars, self.classes))
+        ends = np.append(starts[1:], len(chars))
+        live = chars[starts] != STOP
+        starts, ends = starts[live], ends[live]
+        power, inverse = powers(len(chars) + 1)
+        sums = np.zeros(len(chars) + 1, _U)
+        np.cumsum(self.values[chars] * power[:-1], out=sums[1:])
+        h = fmix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U)) | _U(1)
+        place = (h >> _U(64 - TABLE_BITS)).astype(np.int64)
+        missing = np.flatnonzero(self.hash[place] != h)
+        extra: dict[int, list[int]] = {}
+        if len(missing):
+            self._learn(missing, chars, starts, ends, h, place)
+            missing = np.flatnonzero(self.hash[place] != h)  # what lost its place to another
+            for k in missing.tolist():
+                extra[k] = self.bpe.piece(self._text(chars, starts[k], ends[k]))
+        begin, size = self.begin[place], self.size[place]
+        pool = self.pool
+        if extra:
+            more = [np.array(extra[k], np.int32) for k in missing.tolist()]
+            size[missing] = [len(m) for m in more]
+            begin[missing] = POOL + np.cumsum(size[missing]) - size[missing]
+            pool = np.concatenate([pool, *more])
+        ids, ids_end = gathered(pool, begin, size)
+        # a text's pieces begin after the stop before it
+        upto = np.concatenate([[0], ids_end])[np.searchsorted(starts, stops)]
+        return ids, np.concatenate([[0], upto])
+
+    @staticmethod
+    def _text(chars: np.ndarray, a: int, b: int) -> str:
+        return chars[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+
+    def _learn(self, missing: np.ndarray, chars, starts, ends, h, place) -> None:
+        _, first = np.unique(h[missing], return_index=True)
+        if self.used + (ends - starts)[missing[first]].sum() * 4 > POOL:
+            self._clear()
+        for k in missing[first].tolist():
+            if ends[k] - starts[k] > SHORT:
+                continue
+            ids = self.bpe.piece(self._text(chars, starts[k], ends[k]))
+            if self.used + len(ids) <= POOL:
+                at = place[k]
+                self.hash[at], self.begin[at], self.size[at] = h[k], self.used, len(ids)
+                self.pool[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
+
+    def decimal(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids in decimal, a comma after each, and where each ends."""
+        out, ends = gathered(self.dec, self.dec_at[ids], self.dec_size[ids])
+        return out.tobytes(), ends
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        out, ends = gathered(self.raw, self.raw_at[ids], self.raw_size[ids])
+        return out.tobytes(), ends
+
+
+def decoded(raw: bytes, chunk: int = 1 << 20) -> Iterator[str]:
+    """Text of token bytes through the incremental machine."""
+    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    for i in range(0, len(raw), chunk):
+        yield machine.decode(raw[i : i + chunk])
+    yield machine.decode(b"", True)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -253,15 +433,15 @@ def load(path: str) -> dict:
     return {"tokens": tokens, "merges": [(raw(a), raw(b)) for a, b in merges], "special": special}
 
 
-_built: dict[int, ByteBPE] = {}
+_built: dict[int, Batch] = {}
 
 
-def of_worker(shared) -> ByteBPE:
+def of_worker(shared) -> Batch:
     """The transducer of a broadcast vocabulary, built once in each Python worker."""
     key = id(shared.value)
     if key not in _built:
         _built.clear()
-        _built[key] = ByteBPE(shared.value)
+        _built[key] = Batch(ByteBPE(shared.value))
     return _built[key]
 
 
@@ -281,30 +461,21 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     schema = T.StructType([slim.schema["id"], *DIGESTS.fields, *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = of_worker(shared)
+        coder = of_worker(shared)
         for batch in text_pieces(batches, "body", 1_000_000):
-            counts, ids_hex, decoded_hex, kept = [], [], [], []
-            for text in batch.column("body").to_pylist():
-                n, of_ids, of_text, own = 0, hashlib.sha256(), hashlib.sha256(), []
-
-                def noted(text=text, of_ids=of_ids, own=own):
-                    nonlocal n
-                    for ids in bpe.encode(text):
-                        if ids:
-                            of_ids.update(("," if n else "").encode() + ",".join(map(bpe.text_of.__getitem__, ids)).encode())
-                            n += len(ids)
-                            if with_ids:
-                                own += ids
-                        yield ids
-
-                for s in bpe.decode(noted()):
-                    of_text.update(s.encode("utf-8", "surrogatepass"))
-                counts.append(n)
-                ids_hex.append(of_ids.hexdigest())
+            ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
+            text, text_end = coder.decimal(ids)
+            raw, raw_end = coder.bytes_of(ids)
+            text_at, raw_at = np.concatenate([[0], text_end])[bounds].tolist(), np.concatenate([[0], raw_end])[bounds].tolist()
+            ids_hex, decoded_hex = [], []
+            for k in range(batch.num_rows):
+                ids_hex.append(hashlib.sha256(text[text_at[k] : max(text_at[k], text_at[k + 1] - 1)]).hexdigest())
+                of_text = hashlib.sha256()
+                for part in decoded(raw[raw_at[k] : raw_at[k + 1]]):
+                    of_text.update(part.encode("utf-8"))
                 decoded_hex.append(of_text.hexdigest())
-                kept.append(own)
-            cols = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(decoded_hex)]
-            cols += [pa.array(kept, pa.list_(pa.int32()))] if with_ids else []
+            cols = [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
+            cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)

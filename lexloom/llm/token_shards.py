@@ -71,16 +71,15 @@ def _encoded(docs: DataFrame, shared, seq_len: int, width: int, id_col: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, at = bpe.of_worker(shared), TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "body", 1_000_000):
-            rows: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                raw = b"".join(np.array(ids, f"<u{width}").tobytes() for ids in coder.encode(text))
-                if raw:
-                    parts = -(-len(raw) // (width * seq_len))
-                    for col, v in zip(rows, (at, parts, doc, raw), strict=True):
-                        col.append(v)
-                    at += parts
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([task] * len(rows[0]), pa.int64()), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["task", "start", "parts", "doc", "ids"])
+            ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
+            sizes = np.diff(bounds)
+            live = np.flatnonzero(sizes)
+            parts = -(-sizes[live] // seq_len)
+            starts = at + np.cumsum(parts) - parts
+            at += int(parts.sum())
+            raw = ids.astype(f"<u{width}")
+            body = pa.array([raw[bounds[k] : bounds[k + 1]].tobytes() for k in live], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), task), pa.int64()), pa.array(starts), pa.array(parts), batch.column("doc").take(pa.array(live)), body], names=["task", "start", "parts", "doc", "ids"])
 
     return slim.mapInArrow(run, "task long, start long, parts long, doc long, ids binary")
 
