@@ -17,16 +17,15 @@ def hash_fraction(order: Column) -> Column:
     return F.conv(F.left(order, F.lit(8)), 16, 10).cast("double") / (1 << 32)
 
 
-def hash_rank(df: DataFrame, order: Column, within: list[str] | None = None, digits: int = 2, name: str = "rank") -> DataFrame:
+def hash_rank(df: DataFrame, order: Column, within: list[str] | None = None, digits: int = 3, name: str = "rank") -> DataFrame:
     """Ranks from 1 by ``order`` (a hex text), over all rows or within groups, and the groups' sizes
-    as n. Rows are dealt by the first digits of their order, so no group, however hot, is one
-    task; the sizes before each part come from a small table."""
+    as n. Rows are dealt by the first digits of their order, so no group, however hot, is one task;
+    the sizes before each part come from a table of at most 16**digits rows for each group."""
     keys = within or []
     parted = df.withColumn("__o", order).withColumn("__p", F.left("__o", F.lit(digits)))
     sizes = parted.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
-    grouped = sizes.groupBy(*keys).agg(F.sum("__n").alias("n"), F.array_sort(F.collect_list(F.struct("__p", "__n"))).alias("__parts"))
-    before = F.aggregate(F.filter("__parts", lambda x: x["__p"] < F.col("__p")), F.lit(0).cast("long"), lambda s, x: s + x["__n"])
-    offsets = sizes.drop("__n").join(grouped, keys) if keys else sizes.drop("__n").crossJoin(F.broadcast(grouped))
-    offsets = offsets.withColumn("__before", before).drop("__parts")
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("__before", before).withColumn("n", F.sum("__n").over(whole)).drop("__n")
     ranked = parted.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__p").orderBy("__o")))
     return ranked.join(offsets, [*keys, "__p"]).withColumn(name, F.col("__r") + F.col("__before")).drop("__o", "__p", "__r", "__before")

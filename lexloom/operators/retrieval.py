@@ -10,6 +10,9 @@ from lexloom.functions.metrics import chrf, cosine
 from lexloom.functions.parse import example_section, filled
 
 
+BLOCK = 2000
+
+
 def _top(scored: DataFrame, k: int) -> DataFrame:
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "cand_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -19,18 +22,25 @@ def jaccard_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     """The k candidates with most of their tokens in common, through an inverted index.
 
     queries (query_id, tokens) and pool (cand_id, tokens) hold distinct tokens. Only candidates
-    that share a token are scored; the queries' tokens, being few, are broadcast."""
+    that share a token are scored; common tokens are split between tasks by adaptive execution."""
     q = queries.select("query_id", F.size("tokens").alias("nq"), F.explode("tokens").alias("token"))
     c = pool.select("cand_id", F.size("tokens").alias("nc"), F.explode("tokens").alias("token"))
     shared = c.join(q, "token").groupBy("query_id", "cand_id").agg(F.count("*").alias("both"), F.first("nq").alias("nq"), F.first("nc").alias("nc"))
     return _top(shared.withColumn("score", F.col("both") / (F.col("nq") + F.col("nc") - F.col("both"))), k).select("query_id", "cand_id", "score", "rank")
 
 
-def scored_topk(queries: DataFrame, pool: DataFrame, score, k: int = 3) -> DataFrame:
-    """The k best candidates by any score of (query, candidate) columns. The query set is stated
-    and small; it is broadcast, and each candidate is read once. Equal texts are left out."""
-    pairs = pool.join(F.broadcast(queries), ~F.col("query").eqNullSafe(F.col("cand")))
-    return _top(pairs.select("query_id", "cand_id", score(F.col("query"), F.col("cand")).alias("score")), k)
+def scored_topk(queries: DataFrame, pool: DataFrame, score, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """The k best candidates by any score of (query, candidate) columns. The stated query set is
+    broadcast in blocks of about ``block`` queries, and each block reads the candidates once. Equal
+    texts are left out."""
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        pairs = pool.join(F.broadcast(part), ~F.col("query").eqNullSafe(F.col("cand")))
+        best = _top(pairs.select("query_id", "cand_id", score(F.col("query"), F.col("cand")).alias("score")), k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def chrf_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
