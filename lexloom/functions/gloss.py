@@ -139,3 +139,17 @@ def analysis_failed(analyses: Column, plus_mark: bool = True) -> Column:
     """Whether there is no analysis, or any is a failure mark."""
     bad = lambda a: (F.contains(a, F.lit("+?")) & F.lit(plus_mark)) | F.contains(a, F.lit("no result")) | (F.trim(a) == "")
     return (F.size(analyses) == 0) | F.exists(analyses, bad)
+
+
+def infinitive(stem: Column) -> Column:
+    """A verb's stem with -mek or -mak, by the harmony of its last vowel."""
+    last = F.regexp_extract(stem, "([aeıioöuüâîû])[^aeıioöuüâîû]*$", 1)
+    return F.concat(stem, F.when(last.isin("e", "i", "ö", "ü", "î"), "mek").otherwise("mak"))
+
+
+def stem_of(analysis: Column, with_pos: bool = False) -> Column:
+    """The lemma of an analysis, verbs as infinitives, and its part of speech if asked for."""
+    lemma = F.substring_index(analysis, "<", 1)
+    pos = F.regexp_extract(analysis, "<([A-Za-z]+)", 1)
+    out = F.when(pos == "V", infinitive(lemma)).otherwise(lemma)
+    return F.concat(out, F.lit("<"), pos, F.lit(">")) if with_pos else out

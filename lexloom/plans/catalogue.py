@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions import gloss, metrics, parse, text
-from lexloom.operators import assessment, corpus, dedup, dictionary, evaluation, lookup, morph, retrieval
+from lexloom.functions import gloss, metrics, parse, text, unicode
+from lexloom.operators import alignment, assessment, corpus, dedup, dictionary, evaluation, lookup, morph, retrieval
 from lexloom.session import ship_package
+from lexloom.sources import readers
 
 FLAGSHIP = "pair_dictionary_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +655,122 @@ def hyphenate(spark, sf_dir):
 def text_scalars(spark, sf_dir):
     c = F.col("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (text.turkish_lower(c) == F.lower(c)).alias("same"), text.word_count(c).alias("n_words"), text.first_token(c).alias("first_word"))
+
+
+# -- further operators ----------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {_BEST}, d AS (SELECT src, tgt FROM best WHERE cnt >= 2),
+a AS (SELECT conv_id, turn, i, p.src[i] AS s, d.tgt AS t FROM (SELECT *, unnest(range(1, len(src) + 1)) AS i FROM pairs) p JOIN d ON d.src = p.src[i] WHERE list_contains(p.tgt, d.tgt))
+SELECT conv_id, turn, array_to_string(list(s || '=' || t ORDER BY i), ' ') AS pairs, count(*) AS num_alignments FROM a GROUP BY ALL HAVING count(*) >= 2
+""")
+def alignment_examples(spark, sf_dir):
+    entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
+    found = alignment.dictionary_alignments(parallel(spark, sf_dir), entries, ["conv_id", "turn"])
+    made = alignment.examples(found, ["conv_id", "turn"])
+    return made.select("conv_id", "turn", F.array_join(F.transform("alignments", lambda p: F.array_join(p, "=")), " ").alias("pairs"), "num_alignments")
+
+
+@query("""
+WITH r AS (SELECT len(string_split_regex(trim(text, ' \t\n\r'), '\\s+')) AS n FROM conversations WHERE text <> '')
+SELECT CAST(count(*) * 64 AS BIGINT) AS total, CAST(sum(greatest(least(n, 64) - 4, 0)) AS BIGINT) AS live, round((count(*) * 64 - sum(greatest(least(n, 64) - 4, 0))) / (count(*) * 64), 6) AS masked_share FROM r
+""")
+def label_mask_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text <> ''")
+    ids = F.transform(text.tokens(F.col("text")), lambda t, i: i)
+    return alignment.label_statistics(rows, ids, F.lit(4), 64).withColumn("masked_share", F.round("masked_share", 6))
+
+
+@query("""
+SELECT u.conv_id, u.turn, md5('<|user|>' || chr(10) || u.text || chr(10) || '<|assistant|>' || chr(10) || a.text) AS chat_md5 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'
+""")
+def chat_records(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("u"))
+    answer = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    records = user.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", alignment.chat(F.col("u"), F.col("a")).alias("messages"))
+    return records.select("conv_id", "turn", F.md5(parse.serialised(F.col("messages")).cast("binary")).alias("chat_md5"))
+
+
+@query("""
+WITH q AS (SELECT item_id, text FROM benchmark WHERE item_id % 100 = 0), s AS (SELECT q.item_id AS qi, b.item_id AS ci, b.text AS t, len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}_]+')), list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}_]+'))))
+  / len(list_distinct(list_concat(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}_]+'), regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}_]+')))) AS score FROM q JOIN benchmark b ON b.item_id <> q.item_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY score DESC, ci) AS rk FROM s WHERE score > 0)
+SELECT qi AS query_id, md5(string_agg('Example ' || rk || ':' || chr(10) || 'Input: ' || t || chr(10) || 'Output: item ' || ci, chr(10) || chr(10) ORDER BY rk) || chr(10) || 'Translate: ' || any_value(q.text)) AS prompt_md5
+FROM k JOIN q ON q.item_id = qi WHERE rk <= 3 GROUP BY qi
+""")
+def prompt_assembly(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    words = F.array_distinct(text.word_tokens(F.col("text")))
+    asked = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), words.alias("tokens"), F.col("text").alias("query"))
+    pool = items.select(F.col("item_id").alias("cand_id"), words.alias("tokens"), F.col("text").alias("input"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("output"))
+    top = retrieval.jaccard_topk(asked, pool, 4).where("query_id <> cand_id").drop("rank")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_id"))
+    top = top.withColumn("rank", best).where("rank <= 3")
+    return retrieval.prompts(top, asked, pool, "{examples}\nTranslate: {input_text}").select("query_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+@query("""
+SELECT 'model_step_' || max(event_id) || '.pt' AS name, max(event_id) AS step FROM events
+""")
+def latest_checkpoint(spark, sf_dir):
+    names = table(spark, sf_dir, "events").select(F.concat(F.lit("model_step_"), F.col("event_id").cast("string"), F.lit(".pt")).alias("name"))
+    return readers.checkpoints(names)
+
+
+@query("""
+WITH m AS (SELECT role AS metric, avg(length(text)) AS value FROM conversations WHERE conv_id % 2 = 0 GROUP BY role), b AS (SELECT role AS metric, avg(length(text)) AS previous FROM conversations WHERE conv_id % 2 = 1 GROUP BY role)
+SELECT metric, round(value, 6) AS value, round(previous, 6) AS previous, round(value - previous, 6) AS change FROM m JOIN b USING (metric)
+""")
+def metric_comparison(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    means = lambda parity: turns.where(F.col("conv_id") % 2 == parity).groupBy(F.col("role").alias("metric")).agg(F.avg(F.length("text")).alias("value"))
+    out = evaluation.compared(means(0), means(1))
+    return out.select("metric", *(F.round(c, 6).alias(c) for c in ("value", "previous", "change")))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents WHERE lang = 'en')
+SELECT word, CASE WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND length(word) > 3 THEN left(word, length(word) - 1) WHEN word LIKE '%ed' AND length(word) > 4 THEN left(word, length(word) - 2) WHEN word LIKE '%ing' AND length(word) > 5 THEN left(word, length(word) - 3) ELSE word END AS lemma FROM w
+""")
+def english_lemmas(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", gloss.english_lemma(F.col("word")).alias("lemma"))
+
+
+@query("""
+SELECT p_partkey, regexp_extract(p_name, '^[^<]*') || CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN regexp_extract(p_name, '([aeıioöuüâîû])[^aeıioöuüâîû]*$', 1) IN ('e', 'i', 'ö', 'ü', 'î') THEN 'mek' ELSE 'mak' END ELSE '' END AS stem FROM part
+""")
+def stems(spark, sf_dir):
+    analysis = F.concat(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, "<V><past>").otherwise("<N><pl>"))
+    return table(spark, sf_dir, "part").select("p_partkey", gloss.stem_of(analysis).alias("stem"))
+
+
+@query("""
+SELECT doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS batch, CAST(floor(doc_id / 50) AS BIGINT) * 50 + doc_id % 50 + 1 AS pair_id FROM documents
+""")
+def batch_numbers(spark, sf_dir):
+    return alignment.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50)
+
+
+@query("""
+SELECT lang, quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL ORDER BY quality DESC NULLS LAST, lang
+""")
+def sort_nulls_last(spark, sf_dir):
+    return docs_labels(spark, sf_dir).groupBy("lang", "quality").agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("quality"), "lang")
+
+
+@query("""
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(string_split_regex(trim(text, ' \t\n\r'), '\\s+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_replace(split_part(t, '-', 1), '[!"#$%&''()*+,./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g') = '' THEN ''
+  ELSE CASE WHEN regexp_matches(split_part(t, '-', 1), '[''"]') THEN lower(regexp_replace(split_part(t, '-', 1), '[!"#$%&''()*+,./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g')) ELSE regexp_replace(split_part(t, '-', 1), '[!"#$%&''()*+,./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g') END || substr(t, length(split_part(t, '-', 1)) + 1) END), lambda t: t <> ''), ' ') AS line FROM conversations
+""")
+def gloss_clean(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gloss.clean_line(F.col("text")).alias("line"))
+
+
+@query()
+def normalised_texts(spark, sf_dir):
+    normalise = unicode.normaliser()
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(normalise(F.col("text")).cast("binary")).alias("text_md5"))
