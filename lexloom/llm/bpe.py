@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import fmix, powers
+from lexloom.llm._text import fmix, lean, powers
 from lexloom.llm._text import pieces as text_pieces
 
-CACHE = 250_000
+CACHE = 40_000
 SHORT = 48
 CHUNK = 1 << 16
 #: White space as Unicode defines it, and English contractions of the pattern.
@@ -235,6 +235,8 @@ class ByteBPE:
                 if self.stays_apart(before[-1], token):
                     ids = (*before, token)
                     break
+            if len(self._prefixes) >= 4 * CACHE:
+                self._prefixes.clear()
             self._prefixes[raw] = ids
         return ids
 
@@ -268,7 +270,7 @@ class ByteBPE:
 LETTER, NUMBER, BLANK, BREAK = 1, 2, 3, 4
 STOP = 0x110000  # stands between texts
 TABLE_BITS = 20
-POOL = 6_000_000
+POOL = 4_000_000
 _U = np.uint64
 _known: list[np.ndarray] = []
 
@@ -346,10 +348,10 @@ class Batch:
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in texts])
         chars = np.full(int(sizes.sum()) + len(texts), STOP, np.uint32)
-        own = np.ones(len(chars), bool)
         stops = np.cumsum(sizes + 1) - 1
-        own[stops] = False
-        chars[own] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "\0".join(texts)
+        chars[: len(whole)] = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars[stops] = STOP
         starts = np.flatnonzero(piece_starts(chars, self.classes))
         ends = np.append(starts[1:], len(chars))
         live = chars[starts] != STOP
@@ -362,10 +364,10 @@ class Batch:
         missing = np.flatnonzero(self.hash[place] != h)
         extra: dict[int, list[int]] = {}
         if len(missing):
-            self._learn(missing, chars, starts, ends, h, place)
+            self._learn(missing, whole, starts, ends, h, place)
             missing = np.flatnonzero(self.hash[place] != h)  # what lost its place to another
             for k in missing.tolist():
-                extra[k] = self.bpe.piece(self._text(chars, starts[k], ends[k]))
+                extra[k] = self.bpe.piece(whole[starts[k] : ends[k]])
         begin, size = self.begin[place], self.size[place]
         pool = self.pool
         if extra:
@@ -378,23 +380,22 @@ class Batch:
         upto = np.concatenate([[0], ids_end])[np.searchsorted(starts, stops)]
         return ids, np.concatenate([[0], upto])
 
-    @staticmethod
-    def _text(chars: np.ndarray, a: int, b: int) -> str:
-        return chars[a:b].tobytes().decode("utf-32-le", "surrogatepass")
-
-    def _learn(self, missing: np.ndarray, chars, starts, ends, h, place) -> None:
-        _, first = np.unique(h[missing], return_index=True)
-        if self.used + (ends - starts)[missing[first]].sum() * 4 > POOL:
+    def _learn(self, missing: np.ndarray, whole: str, starts, ends, h, place) -> None:
+        """Encode the pieces that the table lacks, one for each of its places, and store them."""
+        missing = missing[ends[missing] - starts[missing] <= SHORT]
+        missing = missing[np.unique(h[missing], return_index=True)[1]]
+        missing = missing[np.unique(place[missing], return_index=True)[1]]
+        made = [self.bpe.piece(whole[a:b]) for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
+        sizes = np.array([len(m) for m in made], np.int64)
+        total = int(sizes.sum())
+        if self.used + total > POOL:
             self._clear()
-        for k in missing[first].tolist():
-            if ends[k] - starts[k] > SHORT:
-                continue
-            ids = self.bpe.piece(self._text(chars, starts[k], ends[k]))
-            if self.used + len(ids) <= POOL:
-                at = place[k]
-                self.hash[at], self.begin[at], self.size[at] = h[k], self.used, len(ids)
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        if not total or total > POOL:
+            return
+        at = place[missing]
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(made), np.int32, total)
+        self.hash[at], self.begin[at], self.size[at] = h[missing], self.used + np.cumsum(sizes) - sizes, sizes
+        self.used += total
 
     def decimal(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Ids in decimal, a comma after each, and where each ends."""
@@ -433,15 +434,15 @@ def load(path: str) -> dict:
     return {"tokens": tokens, "merges": [(raw(a), raw(b)) for a, b in merges], "special": special}
 
 
-_built: dict[int, Batch] = {}
+_built: dict[tuple[int, type], Batch] = {}
 
 
-def of_worker(shared) -> Batch:
-    """The transducer of a broadcast vocabulary, built once in each Python worker."""
-    key = id(shared.value)
+def of_worker(shared, kind: type[ByteBPE] = ByteBPE) -> Batch:
+    """The encoder of a broadcast vocabulary, built once in each Python worker."""
+    key = (id(shared.value), kind)
     if key not in _built:
         _built.clear()
-        _built[key] = Batch(ByteBPE(shared.value))
+        _built[key] = Batch(kind(shared.value))
     return _built[key]
 
 
@@ -478,4 +479,4 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import Words, pieces
+from lexloom.llm._text import Words, lean, pieces
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         shared = docs.sparkSession.sparkContext.broadcast(block)
         last = k == len(blocks) - 1
         schema = T.StructType([out.schema["id"], *SCANNED.fields]) if last else out.schema
-        out = out.mapInArrow(_scanner(shared, window, last), schema)
+        out = out.mapInArrow(lean(_scanner(shared, window, last)), schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -242,7 +242,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max
     items = items.select("*")
     blocks = list(_blocks(items, how.get("item_id", "item_id"), how.get("item_text", "text"), how.get("block_bytes", BLOCK_BYTES)))
     shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    return docs.mapInArrow(_cutter(shared, text_col, window, max_coverage), docs.schema)
+    return docs.mapInArrow(lean(_cutter(shared, text_col, window, max_coverage)), docs.schema)
 
 
 def _cutter(shared: list, text_col: str, window: int, max_coverage: float):
@@ -304,3 +304,18 @@ def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object,
                     names |= grams[g]
         out.append((d, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     return out
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPELLED = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, {_SPELLED} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPELLED} AS w FROM benchmark),
+g AS (SELECT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT item, w, least(len(w), {WINDOW}) AS n FROM b WHERE len(w) > 0))),
+x AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+m AS (SELECT doc_id, i, n, item FROM x JOIN g USING (n, gram)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import Words, fmix, pieces, powers
+from lexloom.llm._text import Words, fmix, lean, pieces, powers
 from lexloom.llm.decontam import with_text
 
 MIN_WORDS = 30
@@ -94,7 +94,7 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
             content = _runs(lines.sums, first, after)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array((first - lines.rows[row]).astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(minima.view(np.int64)), pa.array(content.view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = with_text(batch, text_col, texts)
             yield out.select([n for n in out.schema.names if n != "__runs"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)
 
 
 REPORT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed", "n_runs")] + [T.StructField("kept_sha256", T.StringType())])
@@ -166,7 +166,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
             out = [_cut(lines, r, runs or []) for r, runs in enumerate(batch.column("__runs").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(lines.rows), pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b, _, _ in out], pa.string())], names=schema.names)
 
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def brute_force(docs: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> list[tuple]:

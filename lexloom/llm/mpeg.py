@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import pieces
+from lexloom.llm._text import lean, pieces
 from lexloom.llm.storage import materialise
 
 #: Fixed values of ISO 11172-3: kbit/s of Layer III by index, sampling rates, samples in a frame.
@@ -219,7 +219,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             media = [mux(r + bytes(max(UNIT, -(-len(r) // UNIT) * UNIT) - len(r))) for r in raws]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -244,7 +244,7 @@ def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import WORD_VALUE, Words, fmix, pieces, prefix_sums, spans_hash
+from lexloom.llm._text import WORD_VALUE, Words, fmix, lean, pieces, prefix_sums, spans_hash
 
 MAX_ROWS = 20_000
 MAX_FEATURES = 4096
@@ -118,7 +118,7 @@ def _counted(rows: DataFrame, shared) -> DataFrame:
             pos = np.bincount(inverse, toxic[row], len(own)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(pos), pa.array(np.bincount(inverse, minlength=len(own)) - pos)], names=["h", "pos", "neg"])
 
-    return rows.mapInArrow(run, "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInArrow(lean(run), "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _design(rows: DataFrame, shared, terms: tuple[str, ...]) -> DataFrame:
@@ -148,7 +148,7 @@ def _design(rows: DataFrame, shared, terms: tuple[str, ...]) -> DataFrame:
                 other.append(sorted(({*own} - drop) | add))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(have, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "other"])
 
-    return rows.mapInArrow(run, "toxic int, own array<int>, other array<int>")
+    return rows.mapInArrow(lean(run), "toxic int, own array<int>, other array<int>")
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in pieces(batches, "body"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(Words(batch.column("body"))))], names=["id", "score"])
 
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> DataFrame:
@@ -235,4 +235,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **h
             scores = shared.value.score(Words(batch.column(batch.schema.get_field_index(text_col))))
             yield batch.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
