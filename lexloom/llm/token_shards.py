@@ -1,6 +1,7 @@
 """Token-ID / binary output: training-order materialisation (operator 7).
 
-Each text is encoded (operator 4) and cut into sequences of ``seq_len`` ids, the last padded. A task
+Each text is encoded with the same vocabulary as in operator 4 (pieces by a compiled library, as
+the transducer is not asked for here) and cut into sequences of ``seq_len`` ids, the last padded. A task
 numbers its own sequences; the tasks' counts (one number a task) give each task its offset, so the
 sequences are numbered 0 to n-1 without a sort. A keyed Feistel permutation on the smallest even
 number of bits that holds n, walked along its cycle until it falls below n, gives every sequence
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm import bpe
-from lexloom.llm._text import fmix, pieces
+from lexloom.llm._text import fmix, lean, pieces
 from lexloom.llm.storage import drop, fresh_path, materialise
 
 SEQ_LEN = 512
@@ -59,6 +61,22 @@ def permute(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
+class QuickBPE(bpe.ByteBPE):
+    """Pieces by tiktoken, where ids are in the order of the merges, which is what it goes by."""
+
+    def __init__(self, spec: dict):
+        super().__init__(spec)
+        ids = {b: i for i, b in spec["tokens"]}
+        made = [ids[a + b] for a, b in spec["merges"]]
+        ordered = all(a < b for a, b in zip(made, made[1:], strict=False))
+        self._core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ids, special_tokens={})._core_bpe if ordered else None
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        if self._core is None:
+            return super().piece(text)
+        return tuple(self._core.encode_single_piece(text.encode("utf-8", "surrogatepass")))
+
+
 def stride_of(seq_len: int, width: int) -> int:
     return HEAD.itemsize + seq_len * width
 
@@ -69,7 +87,7 @@ def _encoded(docs: DataFrame, shared, seq_len: int, width: int, id_col: str, tex
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, at = bpe.of_worker(shared), TaskContext.get().partitionId(), 0
+        coder, task, at = bpe.of_worker(shared, QuickBPE), TaskContext.get().partitionId(), 0
         for batch in pieces(batches, "body", 1_000_000):
             ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
             sizes = np.diff(bounds)
@@ -81,7 +99,7 @@ def _encoded(docs: DataFrame, shared, seq_len: int, width: int, id_col: str, tex
             body = pa.array([raw[bounds[k] : bounds[k + 1]].tobytes() for k in live], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), task), pa.int64()), pa.array(starts), pa.array(parts), batch.column("doc").take(pa.array(live)), body], names=["task", "start", "parts", "doc", "ids"])
 
-    return slim.mapInArrow(run, "task long, start long, parts long, doc long, ids binary")
+    return slim.mapInArrow(lean(run), "task long, start long, parts long, doc long, ids binary")
 
 
 def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: int, width: int, key: int) -> DataFrame:
@@ -114,7 +132,7 @@ def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: i
                 records = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.arange(len(part) + 1) * stride).astype(np.int32)), pa.py_buffer(block)])
                 yield pa.RecordBatch.from_arrays([pa.array(slots), records], names=["slot", "record"])
 
-    return encoded.mapInArrow(run, "slot long, record binary")
+    return encoded.mapInArrow(lean(run), "slot long, record binary")
 
 
 SHARD = "shard long, first_slot long, n_slots long, stride long, data binary"
@@ -143,7 +161,7 @@ def _packed(slotted: DataFrame, per_shard: int, stride: int, partitions: int) ->
         if slots:
             yield closed()
 
-    return ordered.mapInArrow(run, SHARD)
+    return ordered.mapInArrow(lean(run), SHARD)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY) -> int:
@@ -178,7 +196,7 @@ def read(spark: SparkSession, path: str, from_slot: int = 0, seq_len: int = SEQ_
                 out = pa.RecordBatch.from_arrays([pa.array(first + np.arange(n)), pa.array(head["doc"]), pa.array(head["part"].astype(np.int64)), pa.array(head["n"].astype(np.int64)), pa.array(crc, pa.int64())], names=["slot", "doc", "part", "n", "crc32"])
                 yield out.slice(max(0, from_slot - first))
 
-    return shards.select("first_slot", "n_slots", "stride", "data").mapInArrow(run, "slot long, doc long, part long, n long, crc32 long")
+    return shards.select("first_slot", "n_slots", "stride", "data").mapInArrow(lean(run), "slot long, doc long, part long, n long, crc32 long")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", per_shard: int = PER_SHARD, seq_len: int = SEQ_LEN, **how) -> DataFrame:
