@@ -14,7 +14,8 @@ Bytes covered by a ``span``-byte string that also starts in a document of a smal
    run all but those of the smallest id are repeats.
 4. Repeats return to their documents as intervals and are cut.
 
-Equal texts are one from the start. Memory is bounded by ``RANGE_BYTES`` of text for each range.
+Equal texts are one from the start. Memory is bounded: a range of anchors stands for about
+``RANGE_BYTES`` of text, and a suffix array for about ``SORTED_BYTES`` of segments.
 
 Defined results: null is empty; ids are integers, rows with a null id repeat nothing and are left
 as they are; rows with equal ids and texts all have that document's result; texts under ``span``
@@ -33,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import fmix, pieces, powers, prefix_sums, string_buffer
+from lexloom.llm._text import fmix, lean, pieces, powers, prefix_sums, string_buffer
 from lexloom.llm.storage import drop, materialise
 from lexloom.llm.suffix_array import adjacent_prefixes, two_stage_sort, words_at
 
 SPAN = 50
 GRAM = 16
-RANGE_BYTES = 24_000_000
-HELD_BYTES = 24_000_000
-SEEN = 500_000
+RANGE_BYTES = 8_000_000
+HELD_BYTES = 8_000_000
+SORTED_BYTES = 3_000_000
+SEEN = 200_000
 _U = np.uint64
 
 
@@ -73,6 +75,12 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray
     return place[head], grams[place[head]], ok[head], ok[tail]
 
 
+def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+    """An even share of the anchors for each range: their hashes, being minima, are small, and are
+    mixed anew."""
+    return ((fmix(h ^ _U(0x7E57ED)) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
 def _rows_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, "right") - 1
 
@@ -102,7 +110,7 @@ def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
             order, heads, repeats = _grouped(rows["h"], rows["doc"])
             rows = rows[order]
             rows["known"] = np.repeat(repeats, np.diff(np.append(heads, len(rows))))
-            ranged = ((rows["h"] >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+            ranged = _range_of(rows["h"], ranges)
             p = np.where(rows["known"] == 1, np.arange(len(rows)) % ranges, ranged)
             lead = heads[repeats]
             marks = rows[lead]
@@ -129,7 +137,7 @@ def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
         if held:
             yield flushed()
 
-    return docs.mapInArrow(run, "p int, body binary")
+    return docs.mapInArrow(lean(run), "p int, body binary")
 
 
 def _packed(doc: np.ndarray, key: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
@@ -167,7 +175,7 @@ def _repeated(gathered: DataFrame, ranges: int) -> DataFrame:
             if (out := _packed(rows["doc"], rows["key"], rows["at"])) is not None:
                 yield out
 
-    return gathered.repartition(ranges, "p").mapInArrow(run, _PACKED)
+    return gathered.repartition(ranges, "p").mapInArrow(lean(run), _PACKED)
 
 
 _SEGMENT = "p int, id long, key long, at long, body binary"
@@ -186,7 +194,7 @@ def _segments(docs: DataFrame, ranges: int, span: int) -> DataFrame:
             told = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) + o for x, o in zip(batch.column("places").to_pylist(), offsets, strict=False)]
             hit = np.isin(at, np.concatenate(told)) if told else np.zeros(len(at), bool)
             h, first, last, row = h[hit], first[hit], last[hit], row[hit]
-            p = ((h >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+            p = _range_of(h, ranges)
             ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("key"))
             raw = buf.tobytes()
             bodies, spread = [], []
@@ -204,7 +212,7 @@ def _segments(docs: DataFrame, ranges: int, span: int) -> DataFrame:
             if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(ids[row]), pa.array(keys[row]), pa.array(first - offsets[row]), pa.array(bodies, pa.binary())], names=["p", "id", "key", "at", "body"])
 
-    return docs.mapInArrow(run, _SEGMENT)
+    return docs.mapInArrow(lean(run), _SEGMENT)
 
 
 def repeats_of(segments: list[bytes], doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +265,7 @@ def _intervals(segments: DataFrame, ranges: int, span: int) -> DataFrame:
             if (out := _packed(doc[s], key[s], np.stack([at[s] + a, at[s] + b + span], 1).astype("<i8"))) is not None:
                 yield out
 
-    return segments.repartition(ranges, "p").mapInArrow(run, _PACKED)
+    return segments.repartition(ranges, "p").mapInArrow(lean(run), _PACKED)
 
 
 def _release(spark: SparkSession) -> None:
@@ -293,6 +301,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _release(spark)
     found = places.groupBy("id", "key").agg(F.collect_list("body").alias("places"))
     met = slim.join(found, ["id", "key"]).join(copies, ["id", "key"], "left_anti").select("id", "key", "body", "places")
+    told = (places.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // 4
+    ranges = max(4, -(-told * (2 * span - GRAM) // SORTED_BYTES))
     segments = _segments(met.sortWithinPartitions("id"), ranges, span)
     spans, _ = materialise(_intervals(segments, ranges, span), "spans")
     drop(spark, places_at)
@@ -322,7 +332,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=schema.names)
 
-    return joined.mapInArrow(run, schema).withColumnRenamed("own", id_col)
+    return joined.mapInArrow(lean(run), schema).withColumnRenamed("own", id_col)
 
 
 def brute_force(docs: list[tuple[int, str | None]], span: int = SPAN) -> list[tuple]:
@@ -342,3 +352,18 @@ def brute_force(docs: list[tuple[int, str | None]], span: int = SPAN) -> list[tu
         runs = sum(gone[i] and not (i and gone[i - 1]) for i in range(len(b)))
         out.append((d, len(b), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=False) if not g)).hexdigest()))
     return out
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+e AS (SELECT doc_id, 512 * c AS o, substr(x, 1024 * c + 1, {1022 + 2 * SPAN}) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 1024 + 1)) AS c FROM d)),
+w AS (SELECT doc_id, o + j AS i, hash(substr(y, 2 * j + 1, {2 * SPAN})) AS g FROM (SELECT doc_id, o, y, unnest(range(0, length(y) // 2 - {SPAN - 1})) AS j FROM e WHERE length(y) >= {2 * SPAN})),
+f AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE doc_id > least),
+s AS (SELECT doc_id, i, CASE WHEN i <= max(i + {SPAN}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s),
+v AS (SELECT doc_id, run, min(i) AS a, max(i) + {SPAN} AS b FROM n GROUP BY ALL),
+c AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS following, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM v),
+k AS (SELECT d.doc_id, string_agg(CASE WHEN c.k = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * b + 1, 2 * (coalesce(following, length(x) // 2) - b)), '' ORDER BY a) AS kept, sum(b - a) AS gone, count(*) AS spans FROM d JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
