@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,7 +96,23 @@ def _grouped(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, heads, np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
 
 
-_ANCHORS = np.dtype([("h", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("known", "u1")])
+_ANCHORS = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("known", "u1")])
+
+
+def _columns(rows: np.ndarray) -> bytes:
+    """Anchors column by column, in order of documents, which compresses."""
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    return len(rows).to_bytes(8, "little") + b"".join(rows[n].tobytes() for n in _ANCHORS.names)
+
+
+def _anchors_of(body: bytes) -> np.ndarray:
+    n, at = int.from_bytes(body[:8], "little"), 8
+    out = np.zeros(n, _ANCHORS)
+    for name in _ANCHORS.names:
+        kind = _ANCHORS[name]
+        out[name] = np.frombuffer(body, kind, n, at)
+        at += n * kind.itemsize
+    return out
 
 
 def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
@@ -119,7 +136,7 @@ def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
             by = np.argsort(p, kind="stable")
             cuts = np.searchsorted(p[by], np.arange(ranges + 1))
             live = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([rows[by[cuts[k] : cuts[k + 1]]].tobytes() for k in live], pa.binary())], names=["p", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([_columns(rows[by[cuts[k] : cuts[k + 1]]]) for k in live], pa.binary())], names=["p", "body"])
 
         for batch in pieces(batches, "body", 500_000):
             buf, offsets = string_buffer(batch.column("body"))
@@ -128,7 +145,7 @@ def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
                 row = _rows_of(offsets, at)
                 own = np.zeros(len(at), _ANCHORS)
                 own["h"], own["at"] = h, at - offsets[row]
-                own["doc"], own["key"] = np.asarray(batch.column("id"))[row], np.asarray(batch.column("key"))[row]
+                own["doc"] = np.asarray(batch.column("id"))[row]
                 held.append(own)
             size += len(buf)
             if size > HELD_BYTES and held:
@@ -155,15 +172,15 @@ _PACKED = "id long, key long, body binary"
 
 
 def _repeated(gathered: DataFrame, ranges: int) -> DataFrame:
-    """(id, key, body): positions of a document's anchors that other documents have too."""
+    """(id, 0, body): positions of a document's anchors that other documents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, body in zip(batch.column("p").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                rows = np.frombuffer(body, _ANCHORS)
+                rows = _anchors_of(body)
                 sure = rows[rows["known"] == 1]
-                if (out := _packed(sure["doc"], sure["key"], sure["at"])) is not None:
+                if (out := _packed(sure["doc"], np.zeros(len(sure), np.int64), sure["at"])) is not None:
                     yield out
                 by.setdefault(p, []).append(rows[rows["known"] != 1])
         while by:
@@ -172,7 +189,7 @@ def _repeated(gathered: DataFrame, ranges: int) -> DataFrame:
             repeats = (repeats | np.logical_or.reduceat(rows["known"][order] == 2, heads)) if len(heads) else repeats
             rows = rows[order][np.repeat(repeats, np.diff(np.append(heads, len(rows))))]
             rows = rows[rows["known"] == 0]
-            if (out := _packed(rows["doc"], rows["key"], rows["at"])) is not None:
+            if (out := _packed(rows["doc"], np.zeros(len(rows), np.int64), rows["at"])) is not None:
                 yield out
 
     return gathered.repartition(ranges, "p").mapInArrow(lean(run), _PACKED)
@@ -270,8 +287,10 @@ def _intervals(segments: DataFrame, ranges: int, span: int) -> DataFrame:
 
 def _release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of what is no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # Python's references go first, then the JVM's; the cleaner takes a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
@@ -297,10 +316,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = slim.select("id", "key", F.md5(F.col("body").cast("binary")).alias("digest"))
     least = heads.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
     copies = heads.join(least, "digest").where("id > least").select("id", "key").distinct().withColumn("whole", F.lit(True))
-    places, places_at = materialise(_repeated(_gathered(slim.select("id", "key", "body"), ranges, span), ranges), "places")
+    places, places_at = materialise(_repeated(_gathered(slim.select("id", "body"), ranges, span), ranges), "places")
     _release(spark)
-    found = places.groupBy("id", "key").agg(F.collect_list("body").alias("places"))
-    met = slim.join(found, ["id", "key"]).join(copies, ["id", "key"], "left_anti").select("id", "key", "body", "places")
+    found = places.groupBy("id").agg(F.collect_list("body").alias("places"))  # of all texts with this id
+    met = slim.join(found, "id").join(copies, ["id", "key"], "left_anti").select("id", "key", "body", "places")
     told = (places.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // 4
     ranges = max(4, -(-told * (2 * span - GRAM) // SORTED_BYTES))
     segments = _segments(met.sortWithinPartitions("id"), ranges, span)
