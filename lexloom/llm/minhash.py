@@ -17,7 +17,10 @@ edges of its maximum spanning forest by estimated similarity, and where that lea
 best partners of each text, so a bucket of any kind never emits all its pairs. A bucket over
 ``MOST`` texts is dealt anew by samples of each of the next bands (``FINER``), which similar texts
 share, and if need be into parts that have the bucket's first text in common. Every candidate is verified by the exact weighted Jaccard similarity of the whole texts;
-verified links at ``threshold`` or more make the classes, as connected components.
+verified links at ``threshold`` or more make the classes, as connected components. Further rounds
+then take the buckets that still hold several classes: texts send their next partners in other
+classes, ``EACH`` times more each round, until every pair of different classes whose estimate is
+within ``DOUBT`` of the threshold is verified.
 
 Defined results: null counts as empty; texts without words belong together if they are equal; a
 text with fewer than five words is one shingle; null ids are left out; an empty table gives none.
@@ -45,6 +48,8 @@ SLOTS = 1 << 18
 MOST = 512
 FINER = (4, 3)  # a large bucket is dealt anew by this many bands, each by so many of its samples
 DOUBT = 0.18
+EACH = 8  # partners that a text sends in the first further round; each later round sends so many times more
+BLOCK = 256, 2048  # texts of a part of a bucket that ask, and that are asked
 SENT = 1_000_000  # ids of candidates that are broadcast at most; beyond, they are joined by shuffle
 _U = np.uint64
 
@@ -135,12 +140,12 @@ def signatures(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray, k: int) ->
 
 
 def _signed(docs: DataFrame, shared_idf) -> DataFrame:
-    """Per document: id, digest of the text, signature (null without words)."""
-    schema = T.StructType([docs.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    """Per document: id, digest of the text, signature and sum of weights (null without words)."""
+    schema = T.StructType([docs.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("mass", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = np.frombuffer(shared_idf.value)
-        known: dict[bytes, bytes | None] = {}
+        known: dict[bytes, tuple[bytes | None, float | None]] = {}
         for batch in pieces(batches, "body", 400_000):
             digests = [hashlib.md5(t or b"").digest() for t in batch.column("body").cast(pa.binary()).to_pylist()]
             fresh = [i for i, d in enumerate(digests) if d not in known]
@@ -148,9 +153,10 @@ def _signed(docs: DataFrame, shared_idf) -> DataFrame:
                 known = {d: known[d] for d in digests if d in known}
             h, w, bounds = weighted_shingles(Words(batch.column("body").take(pa.array(fresh, pa.int64()))), idf)
             sig = signatures(h, w, bounds, BANDS * ROWS)
-            for i, s, n in zip(fresh, sig, np.diff(bounds), strict=True):
-                known[digests[i]] = s.tobytes() if n else None
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array([known[d] for d in digests], pa.binary())], names=schema.names)
+            mass = np.bincount(np.repeat(np.arange(len(fresh)), np.diff(bounds)), w, len(fresh)).tolist()
+            for i, s, m, n in zip(fresh, sig, mass, np.diff(bounds), strict=True):
+                known[digests[i]] = (s.tobytes(), m) if n else (None, None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array([known[d][0] for d in digests], pa.binary()), pa.array([known[d][1] for d in digests], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
@@ -318,27 +324,124 @@ def similarities(one: tuple, two: tuple) -> np.ndarray:
     return np.where(total > 0, common / np.maximum(total - common, 1e-300), 0.0)
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of rows (bucket, id), those of buckets that hold more than one class, with the class."""
+    told = rows.select("bucket", "id").join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class"))
+    mixed = told.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+    return told.join(mixed, "bucket")
+
+
+def _blocks(mixed: DataFrame, block: tuple[int, int]) -> DataFrame:
+    """Rows (key, id, class, asks) such that any two texts of a bucket that are of different classes
+    meet under a key, one of them asking. The texts of a bucket's largest class need not ask, so a
+    bucket that is one class but for a few texts is sent about once, whatever its size."""
+    counts = mixed.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
+    dealt = mixed.join(sizes, "bucket").withColumn("asking", F.ceil(F.col("others") / block[0])).withColumn("asked", F.ceil(F.col("size") / block[1]))
+    asking = dealt.where("class <> largest").select("bucket", "id", "class", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id", "bucket"), "asking").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked") - 1)).alias("j"))
+    asked = dealt.select("bucket", "id", "class", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("i"), F.pmod(F.xxhash64("id", "bucket"), "asked").alias("j"))
+    return asking.union(asked.select(asking.columns)).select(F.xxhash64("bucket", "i", "j").alias("key"), "id", "class", "asks")
+
+
+def _further(mixed: DataFrame, texts: DataFrame, threshold: float, each: int, block: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of texts of different classes, for each text that asks the ``each`` best under a
+    key by estimate, and whether there are more. Pairs whose sums of weights alone rule out the
+    threshold are passed over."""
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("more", T.BooleanType())])
+    rows = _blocks(mixed, block).join(texts.select("id", "sig", "mass"), "id").select("key", "id", "class", "asks", "sig", "mass")
+    least = threshold - DOUBT
+
+    def of_keys(table: pa.Table) -> pa.RecordBatch:
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(table.num_rows, -1)
+        mass = table.column("mass").to_numpy()
+        own = np.asarray(table.column("class").combine_chunks().dictionary_encode().indices)
+        asks = np.asarray(table.column("asks").to_pylist(), bool)
+        key = table.column("key").to_numpy()
+        asking, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
+        low, high = np.searchsorted(key[asked], key[asking]), np.searchsorted(key[asked], key[asking], "right")
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(asking):  # some 100,000 pairs at a time
+            end = max(at + 1, int(np.searchsorted(total, total[at] + 100_000, "right")) - 1)
+            n = (high - low)[at:end]
+            x = np.repeat(asking[at:end], n)
+            y = asked[np.repeat(low[at:end] - (total[at:end] - total[at]), n) + np.arange(n.sum())]
+            able = (own[x] != own[y]) & (np.minimum(mass[x], mass[y]) >= (threshold - 1e-9) * np.maximum(mass[x], mass[y]))
+            x, y = x[able], y[able]
+            near = (sig[x] == sig[y]).mean(1) if len(x) else np.zeros(0)
+            x, y, near = x[near >= least], y[near >= least], near[near >= least]
+            order = np.lexsort((y, -near, x))
+            x, y = x[order], y[order]
+            rank = np.arange(len(x)) - np.searchsorted(x, x)
+            count = np.searchsorted(x, x, "right") - np.searchsorted(x, x)
+            found.append((x[rank < each], y[rank < each], (count > each)[rank < each]))
+            at = end
+        x, y, more = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
+        ids = table.column("id").combine_chunks()
+        a, b = ids.take(pa.array(x, pa.int64())), ids.take(pa.array(y, pa.int64()))
+        return pa.RecordBatch.from_arrays([a, b, pa.array(more.astype(bool))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by key: all but the last key is complete
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = table.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut:
+                yield of_keys(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield of_keys(table)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), schema).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+
+
+def _linked(pairs: DataFrame, slim: DataFrame, shared_idf, threshold: float) -> DataFrame:
+    """The pairs that verify, as a table of its own."""
+    spark = slim.sparkSession
+    wanted, wanted_at = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    small = wanted.count() <= SENT  # then the texts need not be shuffled to find those of candidates
+    bodies, bodies_at = materialise(slim.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    links, _ = materialise(_verified(pairs, bodies, shared_idf, threshold), "links")
+    for path in (wanted_at, bodies_at):
+        drop(spark, path)
+    return links
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most: int = MOST, each: int = EACH, block: tuple[int, int] = BLOCK) -> DataFrame:
     """Per document: id, and class_id, the smallest id of its class of near copies."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).where("id is not null")
     df, n = document_frequencies(slim, "body")
     shared = spark.sparkContext.broadcast(inverse_frequencies(df, n).tobytes())
     signed, _ = materialise(_signed(slim, shared), "signed")
-    firsts, _ = materialise(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "firsts")
-    texts = firsts.where("sig is not null").select("id", "sig")
+    firsts, _ = materialise(signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("mass").alias("mass")), "firsts")
+    texts = firsts.where("sig is not null").select("id", "sig", "mass")
     banded, banded_at = materialise(_banded(texts), "banded")
     rows = _refined(banded, texts, most) if banded.groupBy("bucket").count().where(F.col("count") > most).limit(1).count() else banded
-    members = _shared(rows, most).join(texts, "id").select("bucket", "id", "sig")
-    pairs, pairs_at = materialise(_candidates(members, threshold), "pairs")
+    met, met_at = materialise(_shared(rows, most), "met")
+    pairs, _ = materialise(_candidates(met.join(texts, "id").select("bucket", "id", "sig"), threshold), "pairs")
     drop(spark, banded_at)
-    wanted, _ = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    small = wanted.count() <= SENT  # then the texts need not be shuffled to find those of candidates
-    bodies, bodies_at = materialise(slim.join(F.broadcast(wanted) if small else wanted, "id", "left_semi").dropDuplicates(["id"]), "bodies")
-    links, _ = materialise(_verified(pairs, bodies, shared, threshold), "links")
-    for path in (pairs_at, bodies_at):
-        drop(spark, path)
-    classes = connected_components(links)
+    links = _linked(pairs, slim, shared, threshold)
+    classes, _ = materialise(connected_components(links), "classes")
+    while True:  # until no two texts of a bucket are of different classes and unverified
+        mixed, mixed_at = materialise(_mixed(met, classes), "mixed")
+        drop(spark, met_at)
+        further, further_at = materialise(_further(mixed, texts, threshold, each, block), "further")
+        more = further.where("more").limit(1).count() > 0
+        fresh, _ = materialise(further.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "fresh")
+        drop(spark, further_at)
+        found = _linked(fresh, slim, shared, threshold)
+        if found.limit(1).count():
+            links = links.union(found)
+            classes, _ = materialise(connected_components(links), "classes")
+        if not more:
+            break
+        met, met_at, pairs, each = mixed, mixed_at, pairs.union(fresh), each * EACH
+    drop(spark, mixed_at)
     by_text = firsts.select("digest", F.col("id").alias("first")).join(classes.withColumnRenamed("id", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("class_id"))
     return signed.select("id", "digest").join(by_text, "digest").select(F.col("id").alias(id_col), "class_id")
 

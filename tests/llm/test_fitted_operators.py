@@ -52,6 +52,29 @@ def test_near_classes(spark, rng, most):
     assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == sorted(set(want.values()))
 
 
+def near_copies(rng, n, length, edits):
+    base = [f"w{rng.randrange(400)}" for _ in range(length)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(length), rng.choice(edits)):
+            copy[at] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def both_ways(spark, rows, **how):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    freq, n = minhash.document_frequencies(df)
+    return {r.doc_id: r.class_id for r in minhash.near_classes(df, **how).collect()}, classes_by_hand(rows, minhash.inverse_frequencies(freq, n))
+
+
+def test_partners_beyond_the_best_three(spark, rng):
+    got, want = both_ways(spark, near_copies(rng, 300, 400, [5, 6, 7]))
+    assert 1 < len(set(want.values())) < 300
+    assert got == want
+
+
 def test_sampling_follows_similarity():
     idf = np.ones(minhash.SLOTS)
     gen = np.random.default_rng(3)
