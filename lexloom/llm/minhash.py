@@ -16,9 +16,11 @@ a bucket. Buckets are read in sorted order and each emits a linear number of can
 edges of its maximum spanning forest by estimated similarity, and where that leaves doubt the three
 best partners of each text, so a bucket of any kind never emits all its pairs. A bucket over
 ``MOST`` texts is dealt anew by samples of each of the next bands (``FINER``), which similar texts
-share, and if need be into parts that have the bucket's first text in common. Every candidate is verified by the exact weighted Jaccard similarity of the whole texts;
+share, and if need be into parts that have the bucket's first text in common; this is for the first
+round only. Every candidate is verified by the exact weighted Jaccard similarity of the whole texts;
 verified links at ``threshold`` or more make the classes, as connected components. Further rounds
-then take the buckets that still hold several classes: texts send their next partners in other
+then take the whole buckets, of any size, that still hold several classes, in blocks of parts of
+those texts that are not of the bucket's largest class against parts of all its texts: texts send their next partners in other
 classes, ``EACH`` times more each round, until every pair of different classes whose estimate is
 within ``DOUBT`` of the threshold is verified.
 
@@ -422,9 +424,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = firsts.where("sig is not null").select("id", "sig", "mass")
     banded, banded_at = materialise(_banded(texts), "banded")
     rows = _refined(banded, texts, most) if banded.groupBy("bucket").count().where(F.col("count") > most).limit(1).count() else banded
-    met, met_at = materialise(_shared(rows, most), "met")
-    pairs, _ = materialise(_candidates(met.join(texts, "id").select("bucket", "id", "sig"), threshold), "pairs")
-    drop(spark, banded_at)
+    pairs, _ = materialise(_candidates(_shared(rows, most).join(texts, "id").select("bucket", "id", "sig"), threshold), "pairs")
+    met, met_at = banded, banded_at  # whole buckets, not their parts
     links = _linked(pairs, slim, shared, threshold)
     classes, _ = materialise(connected_components(links), "classes")
     while True:  # until no two texts of a bucket are of different classes and unverified

@@ -75,6 +75,12 @@ def test_partners_beyond_the_best_three(spark, rng):
     assert got == want
 
 
+def test_large_buckets_are_not_cut(spark, rng):
+    got, want = both_ways(spark, near_copies(rng, 200, 400, [5, 6, 7]), most=8, block=(16, 32))
+    assert 1 < len(set(want.values())) < 200
+    assert got == want
+
+
 def test_sampling_follows_similarity():
     idf = np.ones(minhash.SLOTS)
     gen = np.random.default_rng(3)
