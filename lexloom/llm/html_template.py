@@ -8,8 +8,7 @@ host's pages are ever gathered. A class is valid if it has two tokens or more an
 host's pages; valid classes nest by their paths into the host's template, in the order of their mean
 places. Where a page's tokens follow the template, its slots are what lies between template tokens:
 text nodes that are template tokens themselves are the host's, the rest is the page's. Of the slots
-those of the main container are extracted: the article if the page has one, else main, else the
-path that holds most of the page's own text. Slots of menus, headers, footers, asides, forms,
+those of all articles and mains are extracted, or without such, all that are the page's own. Slots of menus, headers, footers, asides, forms,
 adverts, notices, comments and the like are never main text.
 
 Defined results: null or empty html, or html without text, gives the empty text; a page of a host
@@ -182,23 +181,9 @@ class Page:
         """Main blocks in page order, one to a line."""
         theirs = template.texts if template is not None and template.fits(self.tokens) else frozenset()
         own = [b for b in self.blocks if not b.outside]
-        size: dict[int, int] = {}
-        for b in own:
-            if b.container >= 0:
-                size[b.container] = size.get(b.container, 0) + len(b.parts[0])
-        if size:
-            kinds = {k: self.containers[k].startswith("article") for k in size}
-            best = max(size, key=lambda k: (kinds[k], size[k], -k))
-            return "\n".join(b.parts[0] for b in own if b.container == best)
-        own = [b for b in own if token_hash(f"{b.path}\t{b.parts[0]}") not in theirs]
-        if not own:
-            return ""
-        held: dict[str, int] = {}
-        for b in own:
-            up = b.path.rpartition("/")[0] if re.search(r"/(?:p|h[1-6]|li|td|th|blockquote|pre|dd|dt)[^/]*$", b.path) else b.path
-            held[up] = held.get(up, 0) + len(b.parts[0])
-        slot = max(held, key=lambda p: (held[p], p))
-        return "\n".join(b.parts[0] for b in own if b.path == slot or b.path.startswith(slot + "/"))
+        contained = [b for b in own if b.container >= 0]
+        kept = contained or [b for b in own if token_hash(f"{b.path}\t{b.parts[0]}") not in theirs]
+        return "\n".join(b.parts[0] for b in kept)
 
 
 def token_hash(token: str) -> int:

@@ -148,6 +148,13 @@ def test_html(spark):
     assert "h" in classes and "g" in classes and "z" not in classes
 
 
+def test_html_keeps_all_parts():
+    split = "<div class='title'><h1>Head</h1></div><div class='body'><section class='a'><p>a long first part</p></section><section class='b'><p>second</p></section></div>"
+    assert html_template.Page(FRAME.format(split)).main_text() == "Head\na long first part\nsecond"
+    several = "<main><h1>Head</h1><article><p>a long first part</p></article><article><p>second</p></article><div class='share'>no</div></main>"
+    assert html_template.Page(FRAME.format(several)).main_text() == "Head\na long first part\nsecond"
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seen = docs
