@@ -543,8 +543,8 @@ def bleu_by_length(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     pairs = parallel(spark, sf_dir)
-    scores = evaluation.bootstrap(pairs, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "tgt", "src", 100)
-    return evaluation.interval(scores, 100)
+    scores = evaluation.bootstrap(pairs, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "tgt", "src", 1000)
+    return evaluation.interval(scores, 1000)
 
 
 @query(f"WITH {_PARALLEL} SELECT round(sum(len(tgt)) / sum(len(src)), 6) AS length_ratio, round(avg(len(src)), 6) AS mean_ref, round(avg(len(tgt)), 6) AS mean_hyp FROM pairs")

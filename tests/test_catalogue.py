@@ -31,3 +31,8 @@ def test_query(spark, duck, sf_dir, name):
     told = duck.sql(catalogue.SQL[name])
     assert columns == sorted(told.columns)
     assert normal(rows) == normal(told.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+
+
+def test_bootstrap_has_all_replicates(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalogue.evaluation, "interval", lambda scores, replicates: (scores.count(), replicates))
+    assert catalogue.bootstrap_ci(spark, sf_dir) == (1000, 1000)
