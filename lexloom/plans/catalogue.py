@@ -425,6 +425,23 @@ def feature_similarity(spark, sf_dir):
     return evaluation.feature_similarity(values, pairs).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""
+WITH v AS (SELECT DISTINCT user_id AS e, event_type AS p, arg_min(CAST(floor(value / 20) AS BIGINT), event_id) AS v FROM events GROUP BY ALL),
+s AS (SELECT e, count(*) AS n FROM v GROUP BY e),
+q AS (SELECT r.e AS a, s.e AS b FROM (SELECT min(e) AS e FROM s) r JOIN s ON s.e <> r.e),
+m AS (SELECT a, b, count(*) AS shared, count(*) FILTER (x.v = y.v) AS matches FROM q JOIN v x ON x.e = a JOIN v y ON y.e = b AND y.p = x.p GROUP BY ALL)
+SELECT q.a, q.b, coalesce(shared, 0) AS shared, sa.n + sb.n - coalesce(shared, 0) AS total, coalesce(matches, 0) AS matches,
+  CASE WHEN coalesce(shared, 0) >= 1 THEN round(coalesce(matches, 0) / (sa.n + sb.n - coalesce(shared, 0)), 6) END AS similarity
+FROM q LEFT JOIN m ON m.a = q.a AND m.b = q.b JOIN s sa ON sa.e = q.a JOIN s sb ON sb.e = q.b
+""")
+def feature_similarity_reference(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    values = events.groupBy(F.col("user_id").alias("entity"), F.col("event_type").alias("parameter")).agg(F.min_by(F.floor(F.col("value") / 20), "event_id").alias("value"))
+    users = events.where("user_id is not null").select("user_id").distinct()
+    pairs = users.select(F.col("user_id").alias("b")).join(F.broadcast(users.agg(F.min("user_id").alias("a"))), F.col("a") != F.col("b")).select("a", "b")
+    return evaluation.feature_similarity(values, pairs).withColumn("similarity", F.round("similarity", 6))
+
+
 # -- analyses -----------------------------------------------------------------------------------
 
 

@@ -36,3 +36,8 @@ def test_query(spark, duck, sf_dir, name):
 def test_bootstrap_has_all_replicates(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalogue.evaluation, "interval", lambda scores, replicates: (scores.count(), replicates))
     assert catalogue.bootstrap_ci(spark, sf_dir) == (1000, 1000)
+
+
+def test_reference_meets_every_entity(spark, sf_dir):
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().count()
+    assert catalogue.QUERIES["feature_similarity_reference"](spark, sf_dir).count() == users - 1
