@@ -36,6 +36,7 @@ def fmix(h: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = _table(256, 7) | _U(1)
+OTHER_VALUE = _table(256, 0x0DD) | _U(1)  # for a second, independent hash
 _lower = np.arange(256)
 _lower[65:91] += 32
 WORD_VALUE = BYTE_VALUE[_lower]
@@ -128,8 +129,18 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def ragged(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+def dumped(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed string, for a row that stands for many; ``loaded`` reads it."""
+    sizes = np.array([len(columns), *(c.nbytes for c in columns)], "<u8")
+    raw = sizes.tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def loaded(body: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(memoryview(body)[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+    sizes = np.frombuffer(raw, "<u8", len(kinds) + 1)
+    ends = sizes.nbytes + np.cumsum(sizes[1:].astype(np.int64))
+    return [np.frombuffer(raw[end - int(n) : end], kind) for kind, end, n in zip(kinds, ends, sizes[1:], strict=True)]
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[tuple[SparkSession, str]] = []
 
 
@@ -41,7 +42,12 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     executor costs a re-read rather than a recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREED)
+    spark.conf.set(_FREED, "true")  # the shuffle files go as soon as the table is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_FREED, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -9,10 +9,9 @@ _U = np.uint64
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The 8 bytes from every position, as big-endian numbers; zeros follow the end."""
-    padded = np.concatenate([text, np.zeros(64, np.uint8)]).astype(_U)
-    out = np.zeros(len(text) + 56, _U)
-    for k in range(8):
-        out = out << _U(8) | padded[k : k + len(out)]
+    out = np.concatenate([text, np.zeros(63, np.uint8)]).astype(_U)
+    for k in (1, 2, 4):  # of 2 k bytes, from two of k
+        out = out[:-k] << _U(8 * k) | out[k:]
     return out
 
 

@@ -3,77 +3,99 @@
 Bytes covered by a ``span``-byte string that also starts in a document of a smaller id are removed.
 
 1. Winnowing: of each ``span``-byte window the smallest hash of its ``GRAM``-byte grams is its
-   anchor; equal windows have equal anchors at equal places. Anchors' hashes are gathered by hash
-   range; a task first looks for repeats among its own, which do not travel but for one, so that
-   a string in a third of all documents sends at most a row for each task.
-2. Documents meet the positions of their repeated anchors and send the segments whose windows these
-   stand for; of segments that a task has seen before (its documents come in order of id) only the
-   first is sent, the others are repeats already.
-3. Each range of anchors builds a suffix array of its segments by two-stage sorting (see
-   ``suffix_array``); windows whose adjacent common prefix reaches ``span`` are equal, and of each
-   run all but those of the smallest id are repeats.
-4. Repeats return to their documents as intervals and are cut.
-
-Equal texts are one from the start. Memory is bounded: a range of anchors stands for about
-``RANGE_BYTES`` of text, and a suffix array for about ``SORTED_BYTES`` of segments.
+   anchor; equal windows have equal anchors at equal places. Anchors are gathered by hash range; a
+   task first looks for repeats among its own, which do not travel but for one, so that a string in
+   a third of all documents sends at most a mark for each task. An anchor in very many documents
+   (``HOT``, estimated from every ``SAMPLED``-th document, which decides about balance only) gives
+   way to its windows one by one, so its contexts are spread over all ranges.
+2. Ranges answer by bucket of documents, a row for each; documents meet their bucket's answers and
+   send the segments whose windows the repeated anchors stand for. Of equal segments that a task
+   holds only that of the smallest id is sent, the others are repeats already.
+3. Each range of anchors keeps one of equal segments, builds a suffix array of these by two-stage
+   sorting (see ``suffix_array``); windows whose adjacent common prefix reaches ``span`` are equal,
+   and of each run all but those of the smallest id are repeats.
+4. Repeats return to their bucket as intervals, and are cut.
+
+Equal segments are recognised by 128-bit hashes, equal texts by MD5. Memory is bounded: a range or
+bucket stands for about ``RANGE_BYTES`` of text, and a suffix array for about ``SORTED_BYTES`` of
+segments.
 
 Defined results: null is empty; ids are integers, rows with a null id repeat nothing and are left
-as they are; rows with equal ids and texts all have that document's result; texts under ``span``
-bytes lose nothing; an empty table gives an empty result; only id and text are read.
+as they are; rows with equal ids and texts all have that document's result, rows with equal ids and
+other texts do not repeat each other; texts under ``span`` bytes lose nothing; an empty table gives
+an empty result; only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import fmix, lean, pieces, powers, prefix_sums, string_buffer
+from lexloom.llm._text import BYTE_VALUE, OTHER_VALUE, dumped, fmix, lean, loaded, pieces, powers, prefix_sums, spans_hash, string_buffer
 from lexloom.llm.storage import drop, materialise
 from lexloom.llm.suffix_array import adjacent_prefixes, two_stage_sort, words_at
 
 SPAN = 50
 GRAM = 16
-RANGE_BYTES = 8_000_000
-HELD_BYTES = 8_000_000
-SORTED_BYTES = 3_000_000
-SEEN = 200_000
+RANGE_BYTES = 16_000_000
+HELD_BYTES = 16_000_000
+PIECE_BYTES = 150_000  # whose arrays stay in a core's cache
+SORTED_BYTES = 4_000_000
+#: Documents from which an anchor is split into its windows; the share of documents that is looked
+#: at for this; and how many anchors are split at most. These change the balance, never a result.
+HOT, SAMPLED, MOST_HOT = 50_000, 64, 100_000
 _U = np.uint64
+_NONE = np.zeros(0, np.int64)
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows inside rows: anchors' positions, hashes, and the first and last start of the
-    windows that each stands for (they are neighbours)."""
+def anchors(buf: np.ndarray, offsets: np.ndarray, span: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows inside rows: anchors' hashes, and the first and last start of the windows that
+    each stands for (they are neighbours). hot: sorted hashes of anchors to split."""
     n, wide = len(buf), span - GRAM + 1
-    none = np.zeros(0, np.int64)
     if n < span:
-        return none, none.astype(_U), none, none
+        return _NONE.astype(_U), _NONE, _NONE
     sums = prefix_sums(buf)
-    at = np.arange(n - GRAM + 1)
-    grams = fmix((sums[GRAM:] - sums[:-GRAM]) * powers(n)[1][at])
+    inverse = powers(n + 1)[1]
+    grams = fmix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
     bits = _U(n.bit_length())
-    low = grams >> bits << bits | at.astype(_U)  # the position breaks ties, the same way in equal windows
+    low = grams >> bits << bits | np.arange(len(grams), dtype=_U)  # the position breaks ties, the same way in equal windows
     size = 1
     while 2 * size <= wide:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if wide > size:
         low = np.minimum(low[: size - wide], low[wide - size :])
-    starts = np.arange(len(low))
-    row_end = np.repeat(offsets[1:], np.diff(offsets))[: len(low)]
-    ok = np.flatnonzero(starts + span <= row_end)
+    inside = np.zeros(len(low) + 1, np.int32)
+    lengths = np.diff(offsets)
+    long = lengths >= span
+    inside[offsets[:-1][long]] += 1
+    np.subtract.at(inside, (offsets[1:][long] - span + 1), 1)
+    ok = np.flatnonzero(np.cumsum(inside[:-1]))
     place = (low[ok] & ((_U(1) << bits) - _U(1))).astype(np.int64)
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (ok[1:] != ok[:-1] + 1)]) if len(ok) else np.zeros(0, bool)
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(ok)) - 1
-    return place[head], grams[place[head]], ok[head], ok[tail]
+    h, first, last = grams[place[head]], ok[head], ok[np.append(head[1:], len(ok)) - 1] if len(head) else ok
+    if hot is not None and len(hot) and len(h):
+        split = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        if split.any():
+            each = _ranges(first[split], last[split] - first[split] + 1)
+            own = ~fmix((sums[each + span] - sums[each]) * inverse[each])
+            h, first, last = np.concatenate([h[~split], own]), np.concatenate([first[~split], each]), np.concatenate([last[~split], each])
+            order = np.argsort(first, kind="stable")
+            h, first, last = h[order], first[order], last[order]
+    return h, first, last
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -86,160 +108,270 @@ def _rows_of(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, "right") - 1
 
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _grouped(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by hash, each group's start, and whether it has two documents or more."""
-    order = np.argsort(h, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else np.zeros(0, np.int64)
+    order = np.argsort(h)
+    heads = _heads(h[order])
     if not len(h):
         return order, heads, np.zeros(0, bool)
     d = doc[order]
     return order, heads, np.minimum.reduceat(d, heads) != np.maximum.reduceat(d, heads)
 
 
-_ANCHORS = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("known", "u1")])
+def _parted(p: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and where, in order."""
+    by = np.argsort(p.astype(np.uint16) if parts <= 1 << 16 else p, kind="stable")
+    cuts = np.searchsorted(p[by], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), by[cuts[k] : cuts[k + 1]]
 
 
-def _columns(rows: np.ndarray) -> bytes:
-    """Anchors column by column, in order of documents, which compresses."""
-    rows = rows[np.argsort(rows["doc"], kind="stable")]
-    return len(rows).to_bytes(8, "little") + b"".join(rows[n].tobytes() for n in _ANCHORS.names)
+def _listed(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of documents: which documents, how many of each, and the gaps."""
+    heads = _heads(doc)
+    gaps = np.diff(at, prepend=0)
+    gaps[heads] = at[heads]
+    return doc[heads], np.diff(np.append(heads, len(doc))).astype("<u4"), gaps.astype("<u4")
 
 
-def _anchors_of(body: bytes) -> np.ndarray:
-    n, at = int.from_bytes(body[:8], "little"), 8
-    out = np.zeros(n, _ANCHORS)
-    for name in _ANCHORS.names:
-        kind = _ANCHORS[name]
-        out[name] = np.frombuffer(body, kind, n, at)
-        at += n * kind.itemsize
-    return out
+def _places(counts: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    total = np.cumsum(gaps.astype(np.int64))
+    heads = np.cumsum(counts.astype(np.int64)) - counts
+    return total - np.repeat(total[heads] - gaps[heads], counts) if len(gaps) else total
+
+
+def hot_anchors(docs: DataFrame, span: int, hot: int, sampled: int) -> np.ndarray:
+    """Sorted hashes of anchors that about ``hot`` documents have or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 500_000):
+            buf, offsets = string_buffer(batch.column("text"))
+            h, first, _ = anchors(buf, offsets, span)
+            row = _rows_of(offsets, first)
+            order = np.lexsort((row, h))
+            one = order[_heads(h[order], row[order])]
+            each = _heads(h[one])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one][each].view(np.int64)), pa.array(np.diff(np.append(each, len(one))))], names=["h", "n"])
+
+    seen = docs.where(F.pmod(F.xxhash64("id"), F.lit(sampled)) == 0).select("text").mapInArrow(lean(run), "h long, n long")
+    found = seen.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, hot // sampled)).orderBy(F.desc("n"), "h").limit(MOST_HOT).toArrow()
+    return np.sort(found.column("h").to_numpy().view(_U))
 
 
-def _gathered(docs: DataFrame, ranges: int, span: int) -> DataFrame:
+_OPEN = ("<u4", *("<i8", "<i4", "<u4", "<u4", "<u4", "u1") * 2)
+
+
+def _gathered(docs: DataFrame, ranges: int, span: int, shared_hot) -> DataFrame:
     """(p, body): anchors by hash range; those that the task knows to repeat go anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        hot = shared_hot.value
+        held: list[tuple[np.ndarray, ...]] = []
+        docs_held: list[np.ndarray] = []
+        size = n_docs = 0
 
         def flushed() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            order, heads, repeats = _grouped(rows["h"], rows["doc"])
-            rows = rows[order]
-            rows["known"] = np.repeat(repeats, np.diff(np.append(heads, len(rows))))
-            ranged = _range_of(rows["h"], ranges)
-            p = np.where(rows["known"] == 1, np.arange(len(rows)) % ranges, ranged)
-            lead = heads[repeats]
-            marks = rows[lead]
-            marks["known"] = 2  # tells others that it repeats; needs no answer
-            rows, p = np.concatenate([rows, marks]), np.concatenate([p, ranged[lead]])
-            by = np.argsort(p, kind="stable")
-            cuts = np.searchsorted(p[by], np.arange(ranges + 1))
-            live = np.flatnonzero(np.diff(cuts))
-            return pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array([_columns(rows[by[cuts[k] : cuts[k + 1]]]) for k in live], pa.binary())], names=["p", "body"])
-
-        for batch in pieces(batches, "body", 500_000):
-            buf, offsets = string_buffer(batch.column("body"))
-            at, h, _, _ = anchors(buf, offsets, span)
-            if len(at):
-                row = _rows_of(offsets, at)
-                own = np.zeros(len(at), _ANCHORS)
-                own["h"], own["at"] = h, at - offsets[row]
-                own["doc"] = np.asarray(batch.column("id"))[row]
-                held.append(own)
+            h, doc, at, wide = (np.concatenate([x[k] for x in held]) for k in range(4))
+            ids, buckets = (np.concatenate([x[k] for x in docs_held]) for k in range(2))
+            order, heads, repeats = _grouped(h, ids[doc])
+            known = np.zeros(len(h), bool)
+            known[order] = np.repeat(repeats, np.diff(np.append(heads, len(h))))
+            marks = h[order][heads[repeats]]  # tell others that it repeats; need no answer
+            p = np.where(known, doc % ranges, _range_of(h, ranges))
+            marked = dict(_parted(_range_of(marks, ranges), ranges))
+            parts, bodies = [], []
+            for k, where in _parted(p, ranges):
+                sure = known[where]
+                open_, told = where[~sure], where[sure]
+                body = [marks[marked.pop(k, _NONE)].astype("<u4")]
+                for w in (open_, told):
+                    d, counts, gaps = _listed(doc[w], at[w])
+                    body += [ids[d], buckets[d], counts, gaps, h[w].astype("<u4"), wide[w]]
+                parts.append(k)
+                bodies.append(dumped(*body))
+            for k, where in marked.items():
+                parts.append(k)
+                bodies.append(dumped(marks[where].astype("<u4"), *(_NONE.astype(kind) for kind in _OPEN[1:])))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], names=["p", "body"])
+
+        for batch in pieces(batches, "text", PIECE_BYTES):
+            buf, offsets = string_buffer(batch.column("text"))
+            h, first, last = anchors(buf, offsets, span, hot)
+            if len(h):
+                row = _rows_of(offsets, first)
+                held.append((h, (row + n_docs).astype(np.int32), (first - offsets[row]).astype(np.uint32), (last - first).astype(np.uint8)))
+            docs_held.append((np.asarray(batch.column("id")), np.asarray(batch.column("bucket"))))
+            n_docs += batch.num_rows
             size += len(buf)
             if size > HELD_BYTES and held:
                 yield flushed()
-                held, size = [], 0
+                held, docs_held, size, n_docs = [], [], 0, 0
         if held:
             yield flushed()
 
     return docs.mapInArrow(lean(run), "p int, body binary")
 
 
-def _packed(doc: np.ndarray, key: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
-    """(id, key, body): the values of each document as bytes."""
-    if not len(doc):
-        return None
-    order = np.lexsort((key, doc))
-    doc, key, values = doc[order], key[order], np.ascontiguousarray(values[order])
-    heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
-    ends = np.append(heads[1:], len(doc))
-    return pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(key[heads]), pa.array([values[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())], names=["id", "key", "body"])
-
-
-_PACKED = "id long, key long, body binary"
-
-
 def _repeated(gathered: DataFrame, ranges: int) -> DataFrame:
-    """(id, 0, body): positions of a document's anchors that other documents have too."""
+    """(bucket, n, body): places of the bucket's documents' anchors that other documents have too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
+        by: dict[int, list[bytes]] = {}
         for batch in batches:
             for p, body in zip(batch.column("p").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                rows = _anchors_of(body)
-                sure = rows[rows["known"] == 1]
-                if (out := _packed(sure["doc"], np.zeros(len(sure), np.int64), sure["at"])) is not None:
-                    yield out
-                by.setdefault(p, []).append(rows[rows["known"] != 1])
+                by.setdefault(p, []).append(body)
         while by:
-            rows = np.concatenate(by.popitem()[1])
-            order, heads, repeats = _grouped(rows["h"], rows["doc"])
-            repeats = (repeats | np.logical_or.reduceat(rows["known"][order] == 2, heads)) if len(heads) else repeats
-            rows = rows[order][np.repeat(repeats, np.diff(np.append(heads, len(rows))))]
-            rows = rows[rows["known"] == 0]
-            if (out := _packed(rows["doc"], np.zeros(len(rows), np.int64), rows["at"])) is not None:
-                yield out
-
-    return gathered.repartition(ranges, "p").mapInArrow(lean(run), _PACKED)
+            marks, *open_ = both = [[] for _ in range(11)]
+            for body in by.popitem()[1]:
+                own, *rest = loaded(body, *_OPEN)
+                marks.append(own)
+                for into, (ids, buckets, counts, gaps, h, wide) in ((open_[:5], rest[:6]), (open_[5:], rest[6:])):
+                    for col, v in zip(into, (np.repeat(ids, counts), np.repeat(buckets, counts), _places(counts, gaps), h, wide), strict=True):
+                        col.append(v)
+            marks, *open_ = (np.concatenate(c) for c in both)
+            doc, h = open_[0], open_[3]
+            order, heads, repeats = _grouped(h, doc)
+            hit = np.zeros(len(h), bool)
+            hit[order] = np.repeat(repeats, np.diff(np.append(heads, len(h))))
+            hit |= np.isin(h, marks)
+            cols = [np.concatenate([x[hit], y]) for x, y in zip(open_[:5], open_[5:], strict=True)]
+            order = np.lexsort((cols[2], cols[0], cols[1]))
+            doc, bucket, at, h, wide = (c[order] for c in cols)
+            heads = _heads(bucket)
+            ends = np.append(heads[1:], len(doc))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), pa.array(ends - heads), pa.array([dumped(*_listed(doc[a:b], at[a:b]), h[a:b], wide[a:b]) for a, b in zip(heads, ends, strict=True)], pa.binary())], names=["bucket", "n", "body"])
+
+    return gathered.repartitionById(ranges, "p").mapInArrow(lean(run), "bucket int, n long, body binary")
+
+
+def _met(docs: DataFrame, told: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+    """Documents dealt by bucket, each bucket's answers and copies before them."""
+    answers = told.select("bucket", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast(docs.schema["own"].dataType).alias("own"), F.lit(None).cast("string").alias("text"), "body")
+    whole = copies.select("bucket", F.lit(1).alias("kind"), "id", "key", F.lit(None).cast(docs.schema["own"].dataType).alias("own"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("body"))
+    rows = docs.select("bucket", F.lit(2).alias("kind"), "id", "key", "own", "text", F.lit(None).cast("binary").alias("body"))
+    return answers.unionByName(whole).unionByName(rows).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind", "id")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list[bytes], set, pa.RecordBatch]]:
+    """Documents in some batches of a bucket, with all answers and copies of the bucket."""
+    now, bodies, whole = None, [], set()
+    for batch in pieces(batches, "text", most):
+        bucket, kind = np.asarray(batch.column("bucket")), np.asarray(batch.column("kind"))
+        heads = _heads(bucket, kind)
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows], strict=True):
+            if bucket[a] != now:
+                now, bodies, whole = int(bucket[a]), [], set()
+            part = batch.slice(a, b - a)
+            if kind[a] == 0:
+                bodies.extend(part.column("body").to_pylist())
+            elif kind[a] == 1:
+                whole.update(zip(part.column("id").to_pylist(), part.column("key").to_pylist(), strict=True))
+            else:
+                yield now, bodies, whole, part
+
+
+def _marks(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each span."""
+    return spans_hash(prefix_sums(text, BYTE_VALUE), starts, ends), spans_hash(prefix_sums(text, OTHER_VALUE), starts, ends)
+
+
+def _united(doc: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of intervals, which are in order of document and place."""
+    if not len(doc):
+        return doc, at, end
+    wide = int(end.max()) + 1
+    number = np.zeros(len(doc), np.int64)
+    number[_heads(doc)[1:]] = 1
+    shift = np.cumsum(number) * wide
+    reach = np.maximum.accumulate(end + shift)
+    new = np.flatnonzero(np.concatenate([[True], (at + shift)[1:] > reach[:-1]]) | np.concatenate([[True], doc[1:] != doc[:-1]]))
+    stop = np.append(new[1:], len(doc)) - 1
+    return doc[new], at[new], (reach - shift)[stop]
 
 
-_SEGMENT = "p int, id long, key long, at long, body binary"
+_SEGMENTS = (*("<i8", "<i8", "<i4", "<u4", "<u4", "<u4"), "u1", *("<i8", "<i8", "<i4", "<u4", "<u4", "<u4"))
 
 
-def _segments(docs: DataFrame, ranges: int, span: int) -> DataFrame:
-    """Segments to compare, by anchor range, and (without a body but its length) those that repeat
-    an earlier document's of the same task. docs: id, key, body, places; in order of id."""
+def _segments(met: DataFrame, ranges: int, span: int) -> DataFrame:
+    """(p, body): segments to compare, by anchor range, and intervals that repeat already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_of: dict[bytes, int] = {}
-        for batch in pieces(batches, "body", 500_000):
-            buf, offsets = string_buffer(batch.column("body"))
-            at, h, first, last = anchors(buf, offsets, span)
-            row = _rows_of(offsets, at)
-            told = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) + o for x, o in zip(batch.column("places").to_pylist(), offsets, strict=False)]
-            hit = np.isin(at, np.concatenate(told)) if told else np.zeros(len(at), bool)
-            h, first, last, row = h[hit], first[hit], last[hit], row[hit]
-            p = _range_of(h, ranges)
+        held: list[tuple[np.ndarray, ...]] = []
+        docs_held: list[tuple[np.ndarray, ...]] = []
+        size = n_docs = 0
+        now, doc, places = None, _NONE, _NONE[None]
+
+        def flushed() -> pa.RecordBatch:
+            p, doc, at, length, one, two, raw = (np.concatenate([x[k] for x in held]) for k in range(7))
+            ids, keys, buckets = (np.concatenate([x[k] for x in docs_held]) for k in range(3))
+            begins = np.cumsum(length) - length
+            order = np.lexsort((ids[doc], two, one))
+            heads = _heads(one[order], two[order])
+            least = np.repeat(ids[doc[order[heads]]], np.diff(np.append(heads, len(order))))
+            sure = np.zeros(len(doc), bool)
+            sure[order] = ids[doc[order]] > least
+            united = _united(doc[sure], at[sure], at[sure] + length[sure])
+            spread = dict(_parted(united[0] % ranges, ranges))
+            mine = np.flatnonzero(~sure)
+            sent = {k: mine[where] for k, where in _parted(p[mine], ranges)}
+            parts, bodies = [], []
+            for k in sorted({*sent, *spread}):
+                w, v = sent.get(k, _NONE), spread.get(k, _NONE)
+                d, counts, gaps = _listed(doc[w], at[w])
+                e, numbers, steps = _listed(united[0][v], united[1][v])
+                parts.append(k)
+                bodies.append(dumped(ids[d], keys[d], buckets[d], counts, gaps, length[w].astype("<u4"), raw[_ranges(begins[w], length[w])], ids[e], keys[e], buckets[e], numbers, steps, (united[2] - united[1])[v].astype("<u4")))
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(bodies, pa.binary())], names=["p", "body"])
+
+        for bucket, answers, whole, batch in _buckets(batches, PIECE_BYTES):
+            if bucket != now:
+                found = [loaded(b, "<i8", "<u4", "<u4", "<u4", "u1") for b in answers]
+                doc, at, h, wide = (np.concatenate([_NONE, *x]) for x in ((np.repeat(f[0], f[1]) for f in found), (_places(f[1], f[2]) for f in found), (f[3] for f in found), (f[4] for f in found)))
+                order = np.lexsort((at, doc))
+                doc, places, now = doc[order], np.stack([at[order], wide[order] + span, _range_of(h[order].astype(_U), ranges)]), bucket
             ids, keys = np.asarray(batch.column("id")), np.asarray(batch.column("key"))
-            raw = buf.tobytes()
-            bodies, spread = [], []
-            for k, (a, b, d) in enumerate(zip(first.tolist(), (last + span).tolist(), ids[row].tolist(), strict=True)):
-                body = raw[a:b]
-                mark = hashlib.blake2b(body, digest_size=12).digest()
-                if first_of.get(mark, d) < d:
-                    bodies.append(len(body).to_bytes(4, "little"))
-                    spread.append(k)
-                else:
-                    if len(first_of) < SEEN:
-                        first_of[mark] = d
-                    bodies.append(body)
-            p[spread] = np.arange(len(spread)) % ranges
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(ids[row]), pa.array(keys[row]), pa.array(first - offsets[row]), pa.array(bodies, pa.binary())], names=["p", "id", "key", "at", "body"])
-
-    return docs.mapInArrow(lean(run), _SEGMENT)
-
-
-def repeats_of(segments: list[bytes], doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that start in a smaller document too: segment, first start, last start."""
-    sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"".join(segments), np.uint8)
+            lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
+            live = (hi > lo) & np.array([k not in whole for k in zip(ids.tolist(), keys.tolist(), strict=True)], bool)
+            if not live.any():
+                continue
+            batch, ids, keys, lo, hi = batch.filter(pa.array(live)), ids[live], keys[live], lo[live], hi[live]
+            buf, offsets = string_buffer(batch.column("text"))
+            row = np.repeat(np.arange(len(ids)), hi - lo)
+            at, length, p = places[:, _ranges(lo, hi - lo)]
+            inside = at + length <= np.diff(offsets)[row]  # answers are by id, and may be of another text
+            at, length, p, row = at[inside], length[inside], p[inside], row[inside]
+            first = at + offsets[row]
+            one, two = _marks(buf, first, first + length)
+            held.append((p, row + n_docs, at, length, one, two, buf[_ranges(first, length)]))
+            docs_held.append((ids, keys, np.full(len(ids), bucket, np.int32)))
+            n_docs += len(ids)
+            size += int(length.sum())
+            if size > HELD_BYTES and held:
+                yield flushed()
+                held, docs_held, size, n_docs = [], [], 0, 0
+        if held:
+            yield flushed()
+
+    return met.mapInArrow(lean(run), "p int, body binary")
+
+
+def repeats_of(text: np.ndarray, sizes: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments laid end to end, runs of windows that start in a smaller document too: segment,
+    first start, last start."""
     begins = np.cumsum(sizes) - sizes
     counts = sizes - span + 1
     of = np.repeat(np.arange(len(sizes)), counts)
-    wanted = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    wanted = _ranges(begins, counts)
     words = words_at(text)
     order = two_stage_sort(text, wanted, span, words)
     common = adjacent_prefixes(order, span, words)
@@ -258,100 +390,113 @@ def repeats_of(segments: list[bytes], doc: np.ndarray, span: int) -> tuple[np.nd
 
 
 def _intervals(segments: DataFrame, ranges: int, span: int) -> DataFrame:
-    """(id, key, body): intervals of repeated bytes, as pairs of numbers."""
+    """(bucket, body): intervals of repeated bytes of the bucket's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list, list, list]] = {}
-
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            sure: tuple[list, list, list] = ([], [], [])
-            for p, d, k, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(body) == 4:
-                    sure[0].append(d)
-                    sure[1].append(k)
-                    sure[2].append((at, at + int.from_bytes(body, "little")))
-                else:
-                    for col, v in zip(held.setdefault(p, ([], [], [], [])), (d, k, at, body), strict=True):
-                        col.append(v)
-            if sure[0]:
-                yield _packed(np.array(sure[0]), np.array(sure[1]), np.array(sure[2], "<i8"))
+            for p, body in zip(batch.column("p").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                held.setdefault(p, []).append(body)
         while held:
-            doc, key, at, bodies = held.popitem()[1]
-            doc, key, at = np.array(doc), np.array(key), np.array(at)
-            s, a, b = repeats_of(bodies, doc, span)
-            if (out := _packed(doc[s], key[s], np.stack([at[s] + a, at[s] + b + span], 1).astype("<i8"))) is not None:
-                yield out
-
-    return segments.repartition(ranges, "p").mapInArrow(lean(run), _PACKED)
-
-
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of what is no longer referred to."""
-    for _ in range(3):  # Python's references go first, then the JVM's; the cleaner takes a moment
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+            cols: list[list[np.ndarray]] = [[] for _ in range(11)]
+            for body in held.popitem()[1]:
+                ids, keys, buckets, counts, gaps, length, raw, *sure = loaded(body, *_SEGMENTS)
+                own = (np.repeat(x, counts) for x in (ids, keys, buckets))
+                told = (np.repeat(x, sure[3]) for x in sure[:3])
+                for col, v in zip(cols, (*own, _places(counts, gaps), length.astype(np.int64), raw, *told, _places(sure[3], sure[4]), sure[5].astype(np.int64)), strict=True):
+                    col.append(v)
+            doc, key, bucket, at, length, raw, *sure = (np.concatenate(c) for c in cols)
+            if len(doc):
+                begins = np.cumsum(length) - length
+                one, two = _marks(raw, begins, begins + length)
+                order = np.lexsort((doc, two, one))
+                heads = _heads(one[order], two[order])
+                group = np.zeros(len(doc), np.int64)
+                group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+                kept = order[heads]  # one of the smallest id stands for equal segments
+                s, a, b = repeats_of(raw[_ranges(begins[kept], length[kept])], length[kept], doc[kept], span)
+                late = doc > doc[kept][group]
+                mine = np.flatnonzero(~late)
+                lo, hi = np.searchsorted(s, group[mine]), np.searchsorted(s, group[mine], "right")
+                each, of = _ranges(lo, hi - lo), np.repeat(mine, hi - lo)
+                late = np.flatnonzero(late)
+                own = np.concatenate([of, late])
+                sure = [np.concatenate([x, y]) for x, y in zip(sure, (doc[own], key[own], bucket[own], np.concatenate([at[of] + a[each], at[late]]), np.concatenate([b[each] - a[each] + span, length[late]])), strict=True)]
+            doc, key, bucket, at, length = sure
+            if not len(doc):
+                continue
+            order = np.lexsort((at, key, doc, bucket))
+            doc, key, bucket, at, end = doc[order], key[order], bucket[order], at[order], (at + length)[order]
+            text = _heads(doc, key, bucket)
+            number = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(doc))))
+            number, at, end = _united(number, at, end)
+            bucket = bucket[text][number]
+            heads = _heads(bucket)
+            bodies = []
+            for x, y in zip(heads, np.append(heads[1:], len(number)), strict=True):
+                t, counts, gaps = _listed(number[x:y], at[x:y])
+                bodies.append(dumped(doc[text[t]], key[text[t]], counts, gaps, (end - at)[x:y].astype("<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+
+    return segments.repartitionById(ranges, "p").mapInArrow(lean(run), "bucket int, body binary")
 
 
 OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
 
 
-def union_of(pairs: np.ndarray) -> np.ndarray:
-    """Maximal runs of the union of intervals."""
-    if not len(pairs):
-        return pairs
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    reach = np.maximum.accumulate(pairs[:, 1])
-    new = np.flatnonzero(np.concatenate([[True], pairs[1:, 0] > reach[:-1]]))
-    return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], 1)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """Per document with any: id, key (a hash of its text), spans: pairs of numbers as bytes, and
-    whole, whether an equal text has a smaller id."""
+def spans_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, sampled: int = SAMPLED) -> DataFrame:
+    """The documents (own, id, key, text) dealt by bucket behind their answers: bodies of repeated
+    intervals, and the copies of whole texts, of which nothing stays; see ``_buckets``."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).where(F.col("id").isNotNull() & (F.octet_length("body") >= span)).withColumn("key", F.xxhash64("body"))
-    total = slim.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    rows = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(4, -(-total // RANGE_BYTES))
-    heads = slim.select("id", "key", F.md5(F.col("body").cast("binary")).alias("digest"))
-    least = heads.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = heads.join(least, "digest").where("id > least").select("id", "key").distinct().withColumn("whole", F.lit(True))
-    places, places_at = materialise(_repeated(_gathered(slim.select("id", "body"), ranges, span), ranges), "places")
-    _release(spark)
-    found = places.groupBy("id").agg(F.collect_list("body").alias("places"))  # of all texts with this id
-    met = slim.join(found, "id").join(copies, ["id", "key"], "left_anti").select("id", "key", "body", "places")
-    told = (places.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // 4
-    ranges = max(4, -(-told * (2 * span - GRAM) // SORTED_BYTES))
-    segments = _segments(met.sortWithinPartitions("id"), ranges, span)
-    spans, _ = materialise(_intervals(segments, ranges, span), "spans")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
+    slim = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= span))
+    heads = slim.select("bucket", "id", "key", F.md5(F.col("text").cast("binary")).alias("digest"))
+    least = heads.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    copies, _ = materialise(heads.join(least, "digest").where("id > least").select("bucket", "id", "key").distinct(), "copies")
+    shared = spark.sparkContext.broadcast(hot_anchors(slim, span, hot, sampled))
+    places, places_at = materialise(_repeated(_gathered(slim.select("bucket", "id", "text"), ranges, span, shared), ranges), "places")
+    told = places.agg(F.sum("n")).first()[0] or 0
+    parts = max(4, -(-told * (2 * span - GRAM) // SORTED_BYTES))
+    met = _met(slim, places, copies, ranges)
+    spans, _ = materialise(_intervals(_segments(met, parts, span), parts, span), "spans")
     drop(spark, places_at)
-    del found, met, segments, places
-    _release(spark)
-    joined = spans.groupBy("id", "key").agg(F.collect_list("body").alias("spans"))
-    return joined.join(copies, ["id", "key"], "full").select("id", "key", F.coalesce("spans", F.array().cast("array<binary>")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
+    return _met(rows, spans, copies, ranges)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, **how) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    slim = docs.select(F.col(id_col).alias("own"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("key", F.xxhash64("body"))
-    joined = slim.join(repeated_spans(docs, id_col, text_col, span), ["id", "key"], "left").select("own", "body", "spans", "whole")
     schema = T.StructType([T.StructField("own", docs.schema[id_col].dataType), *OUT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "body"):
-            rows = []
-            for body, spans, whole in zip(batch.column("body").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
-                runs = np.array([[0, len(body)]]) if whole else union_of(np.frombuffer(b"".join(spans or ()), "<i8").reshape(-1, 2))
+        now, of, spans = None, {}, []
+        for bucket, bodies, whole, batch in _buckets(batches, 2_000_000):
+            if bucket != now:
+                found = [loaded(b, "<i8", "<i8", "<u4", "<u4", "<u4") for b in bodies]
+                doc, key, at, length = (np.concatenate([_NONE, *x]) for x in ((np.repeat(f[0], f[2]) for f in found), (np.repeat(f[1], f[2]) for f in found), (_places(f[2], f[3]) for f in found), (f[4] for f in found)))
+                order = np.lexsort((at, key, doc))
+                heads = _heads(doc[order], key[order])
+                number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+                number, a, b = _united(number, at[order], (at + length)[order])
+                cuts = np.searchsorted(number, np.arange(len(heads) + 1))
+                of = {k: n for n, k in enumerate(zip(doc[order][heads].tolist(), key[order][heads].tolist(), strict=True))}
+                spans, now = np.stack([a, b], 1), bucket
+            out = []
+            for body, d, k in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("id").to_pylist(), batch.column("key").to_pylist(), strict=True):
+                n = of.get((d, k))
+                runs = [[0, len(body)]] if (d, k) in whole else [] if n is None else spans[cuts[n] : cuts[n + 1]].tolist()
                 kept, at = hashlib.sha256(), 0
-                for a, b in runs.tolist():
+                for a, b in runs:
                     kept.update(body[at:a])
                     at = b
                 kept.update(body[at:])
-                rows.append((len(body), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept.hexdigest()))
-            cols = list(zip(*rows, strict=True))
+                out.append((len(body), sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+            cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=schema.names)
 
-    return joined.mapInArrow(lean(run), schema).withColumnRenamed("own", id_col)
+    return spans_of(docs, id_col, text_col, span, **how).mapInArrow(lean(run), schema).withColumnRenamed("own", id_col)
 
 
 def brute_force(docs: list[tuple[int, str | None]], span: int = SPAN) -> list[tuple]:
