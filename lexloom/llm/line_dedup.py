@@ -2,19 +2,26 @@
 
 Lines are compared by their words (``_text``); lines without words are kept and passed over. A
 window is a smallest run of lines that begins, or that ends, at a given line and has at least
-``min_words`` words. Each window selects the smallest of its line hashes as its fingerprint, so any
-two runs of at least ``min_words`` words that are equal select equal fingerprints at equal places:
-nothing that long is missed. Positions are joined on fingerprint and window content, the earliest
-(id, line) of each is the original, and every later one is a match. Matches extend both ways by
-merging the windows that begin and end at the neighbouring lines, which reaches exactly the ends of
-the longest equal runs, since such a run's first window begins and its last window ends with it.
-The later runs' lines are deleted, judged on the input as it was.
-
-No group is ever gathered: originals are a partial minimum, and each later window meets one row.
-
-Defined results: null or empty text, or rows with a null id, stay as they are; rows with one id
-count as one document and do not delete each other's lines; an empty table gives an empty result;
-columns other than id and text are carried along untouched (``n_chars``, if there, follows the text).
+``min_words`` words. Each window selects the smallest of its line hashes, the first of equal ones, as
+its fingerprint, so any two runs of at least ``min_words`` words that are equal select equal
+fingerprints at equal places: nothing that long is missed. Only selected positions travel, one row
+for each, with the lines around them as one hash for each window that selected it.
+
+Positions are joined on the fingerprint alone; where it occurs once, nothing repeats and the
+position goes no further. Those that meet others are extended both ways to the windows that they
+stand for; of equal windows the earliest (id, text, line) is the original, and every later one is a
+match. Merged with the windows that begin and end at the neighbouring lines, matches reach exactly
+the ends of the longest equal runs, since such a run's first window begins and its last window ends
+with it. The later runs' lines are deleted, judged on the input as it was.
+
+No group is ever gathered: fingerprints and originals are partial minima, and each later window
+meets one row.
+
+Defined results: null or empty text, or rows with a null id, stay as they are; rows with one id and
+different texts are different documents, in the order of their texts' hashes; rows that repeat an id
+and its text all keep the same lines; an empty table gives an empty result; columns other than id and
+text may have any name and are carried along untouched (``n_chars``, if there, follows the text). Not
+caught: a passage that repeats within a longer line, or that begins or ends in mid-line.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ from pyspark.sql import types as T
 
 from lexloom.llm._text import Words, fmix, lean, pieces, powers
 from lexloom.llm.decontam import with_text
+from lexloom.llm.storage import materialise
 
 MIN_WORDS = 30
 _U = np.uint64
@@ -79,8 +87,10 @@ def _runs(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return fmix((sums[b] - sums[a]) * powers(len(sums))[1][a] + (b - a).astype(_U))
 
 
-def _windows(docs: DataFrame, min_words: int) -> DataFrame:
-    schema = T.StructType([docs.schema["id"], T.StructField("line", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("fingerprint", T.LongType()), T.StructField("content", T.LongType())])
+def _selected(docs: DataFrame, min_words: int) -> DataFrame:
+    """Per selected position: fingerprint, id, key, place, and the windows that selected it."""
+    window = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("content", T.LongType())])
+    schema = T.StructType([T.StructField("fingerprint", T.LongType()), docs.schema["id"], T.StructField("key", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("windows", T.ArrayType(window))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
@@ -88,23 +98,40 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
             first, after, row = lines.windows(min_words)
             if not len(first):
                 continue
-            lengths = after - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            minima = np.minimum.reduceat(lines.hashes[at], np.cumsum(lengths) - lengths)
-            content = _runs(lines.sums, first, after)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array((first - lines.rows[row]).astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(minima.view(np.int64)), pa.array(content.view(np.int64))], names=schema.names)
+            place = minima(lines.hashes, first, after)
+            order = np.argsort(place, kind="stable")
+            first, after, row, place = first[order], after[order], row[order], place[order]
+            heads = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            begins = lines.rows[row]
+            content = _runs(lines.sums, first, after).view(np.int64)
+            windows = pa.StructArray.from_arrays([pa.array((first - begins).astype(np.int32)), pa.array((after - first).astype(np.int32)), pa.array(content)], names=window.names)
+            rows = pa.array(row[heads])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.hashes[place[heads]].view(np.int64)), batch.column("id").take(rows), batch.column("key").take(rows), pa.array((place - begins)[heads].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(heads, len(place)).astype(np.int32)), windows)], names=schema.names)
 
     return docs.mapInArrow(lean(run), schema)
 
 
+def minima(hashes: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Where each window's smallest hash is, the first of equal ones."""
+    lengths = after - first
+    begins = np.cumsum(lengths) - lengths
+    at = np.repeat(first - begins, lengths) + np.arange(lengths.sum())
+    least = np.flatnonzero(hashes[at] == np.repeat(np.minimum.reduceat(hashes[at], begins), lengths))
+    return at[least[np.searchsorted(least, begins)]]
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with any: id and runs, an array of <line, n>: the windows that repeat earlier
-    ones. Lines are counted among those that have words."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null")
-    windows = _windows(slim, min_words)
-    origin = windows.groupBy("fingerprint", "content", "n").agg(F.min(F.struct("id", "line")).alias("origin"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = windows.join(origin, ["fingerprint", "content", "n"]).where(F.struct("id", "line") > F.col("origin"))
-    return later.groupBy("id").agg(F.collect_list(F.struct("line", "n")).alias("runs"))
+    """Per text with any: id, key (the text's hash) and runs, an array of <line, n>: the windows that
+    repeat earlier ones. Lines are counted among those that have words."""
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).where("id is not null and body is not null").withColumn("key", F.xxhash64("body"))
+    selected, _ = materialise(_selected(slim, min_words), "selected")
+    place = F.xxhash64("id", "key", "place")
+    met = selected.groupBy("fingerprint").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("fingerprint")
+    windows = selected.join(met, "fingerprint", "left_semi").select("id", "key", F.inline("windows"))
+    at = F.struct("id", "key", "line")
+    origin = windows.groupBy("content", "n").agg(F.min(at).alias("origin"), F.max(at).alias("last")).where("origin < last").drop("last")
+    later = windows.join(origin, ["content", "n"]).where(at > F.col("origin"))
+    return later.groupBy("id", "key").agg(F.collect_set(F.struct("line", "n")).alias("runs"))
 
 
 def _cut(lines: Lines, row: int, runs: list[dict]) -> tuple[bytes, int, int]:
@@ -125,30 +152,32 @@ def _cut(lines: Lines, row: int, runs: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _with_runs(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, runs): each document whole, and its repeated runs."""
     runs = repeated_lines(docs, id_col, text_col, min_words)
-    return docs.withColumn("__id", F.col(id_col)).join(runs.withColumnRenamed("id", "__id").withColumnRenamed("runs", "__runs"), "__id", "left").drop("__id")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"))
+    return rows.join(runs, ["id", "key"], "left").select("row", "runs")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later repeated runs of lines, in the same columns. A document that
     loses every line that had words goes altogether: an earlier document has all it said."""
-    joined = _with_runs(docs, id_col, text_col, min_words)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            texts, keep = batch.column(batch.schema.get_field_index(text_col)).to_pylist(), []
-            found = batch.column(batch.schema.get_field_index("__runs")).to_pylist()
-            lines = Lines(batch.column(batch.schema.get_field_index(text_col))) if any(found) else None
+        flat = (pa.RecordBatch.from_arrays([*b.column("row").flatten(), b.column("runs")], names=[*names, "\0runs"]) for b in batches)
+        for batch in pieces(flat, text_col):
+            texts, keep = batch.column(names.index(text_col)).to_pylist(), []
+            found = batch.column(len(names)).to_pylist()
+            lines = Lines(batch.column(names.index(text_col))) if any(found) else None
             for r, runs in enumerate(found):
                 keep.append(True)
                 if runs:
                     raw, n, _ = _cut(lines, r, runs)
                     keep[-1] = n < lines.rows[r + 1] - lines.rows[r]
                     texts[r] = raw.decode("utf-8", "replace")
-            out = with_text(batch, text_col, texts)
-            yield out.select([n for n in out.schema.names if n != "__runs"]).filter(pa.array(keep))
+            yield with_text(batch.select(range(len(names))), text_col, texts).filter(pa.array(keep))
 
-    return joined.mapInArrow(lean(run), docs.schema)
+    return _with_runs(docs, id_col, text_col, min_words).mapInArrow(lean(run), docs.schema)
 
 
 REPORT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed", "n_runs")] + [T.StructField("kept_sha256", T.StringType())])
@@ -157,13 +186,13 @@ REPORT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_lines", "n_re
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: id, n_lines with words, n_removed of them, in n_runs, and kept_sha256, of the
     text that is left."""
-    joined = _with_runs(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, min_words).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), "__runs")
+    joined = _with_runs(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "id", "body", min_words).select("row.id", "row.body", "runs")
     schema = T.StructType([joined.schema["id"], *REPORT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
             lines = Lines(batch.column("body"))
-            out = [_cut(lines, r, runs or []) for r, runs in enumerate(batch.column("__runs").to_pylist())]
+            out = [_cut(lines, r, runs or []) for r, runs in enumerate(batch.column("runs").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(lines.rows), pa.int64()), pa.array([n for _, n, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b, _, _ in out], pa.string())], names=schema.names)
 
     return joined.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
@@ -193,3 +222,21 @@ def brute_force(docs: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
         text = "\n".join(line for k, line in enumerate(split[d]) if k not in drop)
         out.append((d, len(told[d]), len(drop), len([k for k in gone[d] if k - 1 not in gone[d]]), hashlib.sha256(text.encode()).hexdigest()))
     return out
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE_SQL = f"""
+WITH s AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS k FROM s),
+w AS (SELECT doc_id, k, line, regexp_extract_all(translate(line, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM l),
+t AS (SELECT doc_id, k, array_to_string(ws, ' ') AS spelled, len(ws) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM w WHERE len(ws) > 0),
+p AS (SELECT a.doc_id, a.i AS i, b.i AS j FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.n >= {MIN_WORDS} AND (b.upto - b.n - a.upto + a.n < {MIN_WORDS} OR b.upto - a.upto < {MIN_WORDS})),
+c AS (SELECT p.doc_id, p.i, p.j, string_agg(t.spelled, chr(10) ORDER BY t.i) AS content FROM p JOIN t ON t.doc_id = p.doc_id AND t.i BETWEEN p.i AND p.j GROUP BY ALL),
+o AS (SELECT content, min((doc_id, i)) AS origin FROM c GROUP BY content),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM c JOIN o USING (content) WHERE (doc_id, i) > origin),
+r AS (SELECT g.doc_id, count(*) AS n_removed, count(*) FILTER (b.i IS NULL) AS n_runs FROM g LEFT JOIN g b ON b.doc_id = g.doc_id AND b.i = g.i - 1 GROUP BY g.doc_id),
+d AS (SELECT t.doc_id, t.k FROM g JOIN t USING (doc_id, i)),
+q AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.k) AS kept FROM l ANTI JOIN d ON d.doc_id = l.doc_id AND d.k = l.k GROUP BY l.doc_id)
+SELECT s.doc_id, (SELECT count(*) FROM t WHERE t.doc_id = s.doc_id) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN r ON r.doc_id = s.doc_id LEFT JOIN q ON q.doc_id = s.doc_id
+"""

@@ -61,6 +61,7 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op5_suffix_dedup, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
 SQL: dict[str, str] = {
     "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
     "op10_warc_revisit": warc.ORACLE_SQL,
 }
