@@ -34,6 +34,23 @@ def test_line_dedup(spark, rng, least):
             assert hashlib.sha256((kept[d] or "").encode()).hexdigest() == digest
 
 
+def test_line_dedup_of_rows_with_one_id(spark):
+    one, other = ("\n".join(f"{a} {i} b c d e f g h" for i in range(12)) for a in "xy")
+    docs = spark.createDataFrame([(1, one, 5), (7, one, 6), (7, other, 7), (7, other, 8), (None, one, 9)], "doc_id long, text string, __runs int").selectExpr("*", "1 as runs", "2 as row", "3 as key", "'' as id")
+    got = sorted((r.n_removed for r in line_dedup.report(docs.where("doc_id is not null")).collect()))
+    assert got == [0, 0, 0, 12]
+    kept = line_dedup.dedup_lines(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["__runs"], r.text) for r in kept.collect()) == [(5, one), (7, other), (8, other), (9, one)]
+
+
+def test_only_minima_travel(spark, rng):
+    """Of windows of w lines about 2 / (w + 1) of the positions are selected."""
+    docs = [(i, "\n".join(f"{rng.random()} a b c" for _ in range(400))) for i in range(20)]
+    slim = frame(spark, docs).selectExpr("doc_id as id", "text as body", "0L as key")
+    assert line_dedup._selected(slim, 45).count() < 0.35 * 20 * 400
+
+
 @pytest.mark.parametrize(("window", "block"), [(2, 8_000_000), (4, 8_000_000), (3, 20)])
 def test_decontamination(spark, rng, window, block):
     docs = texts(rng, 80, "abcd  ", 60) + [(80, None), (81, ""), (82, "A b C d")]
@@ -46,12 +63,14 @@ def test_decontamination(spark, rng, window, block):
     assert rows_of(decontam.report(frame(spark, docs), table.limit(0), window=window)) == [(d, n, 0, 0, hashlib.sha256(b"").hexdigest(), False) for d, n, *_ in want]
 
 
-def test_suffix_dedup(spark, rng):
+@pytest.mark.parametrize("hot", [50_000, 3])
+def test_suffix_dedup(spark, rng, hot):
     parts = ["".join(rng.choice("abcé ") for _ in range(rng.choice([30, 55, 80, 200]))) for _ in range(12)]
     noise = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randrange(60)))
     docs = [(i * 3 % 151, "".join(rng.choice([rng.choice(parts)[rng.randrange(5) :], noise()]) for _ in range(rng.randrange(6)))) for i in range(150)]
     docs += [(1000, None), (1001, ""), (1002, "a" * 49), (1003, "a" * 50), (1004, "a" * 300)] + [(2000 + i, docs[5][1]) for i in range(4)]
-    assert rows_of(suffix_dedup.report(frame(spark, docs))) == sorted(suffix_dedup.brute_force(docs))
+    docs += [docs[9], (docs[9][0], docs[11][1] + parts[0]), (3000, docs[11][1] + parts[0] + "q"), (docs[12][0], None)]
+    assert rows_of(suffix_dedup.report(frame(spark, docs), hot=hot, sampled=1)) == sorted(suffix_dedup.brute_force(docs))
     assert suffix_dedup.report(frame(spark, docs).limit(0)).count() == 0
 
 
@@ -117,18 +136,42 @@ def test_mpeg_round_trip(spark, rng):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
-def test_warc(spark, rng):
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_warc(spark, rng, sent):
     same, small = "<p>" + "x" * 200, "tiny"
     rows = [(5, "http://a/1", same), (3, "http://a/2", same), (9, None, same), (4, "http://b\r\n/", small), (2, "u", small), (7, "v", None), (8, "w", "WARC/1.1\r\n\r\n" * 20), (11, "w", "é\n\r\n" * 100)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in warc.archive_report(pages).collect()}
-    assert len(got) == len(rows)
+    rows += [(None, "n", same), (None, "n", small), (None, None, "only " * 50), (12, "w", same + "2"), (12, "w", same + "3"), (12, "w", same + "3")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as digest", "'' as own", "0 as page")
+    got = warc.archive_report(pages, sent=sent, archive_bytes=400).collect()
+    want = []
     for i, _, html in rows:
         raw = (html or "").encode()
-        first = min(k for k, _, h in rows if h == html)
-        again = len(raw) >= 100 and first != i
-        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None)
+        first = min((k for k, _, h in rows if h == html and k is not None), default=None)
+        again = len(raw) >= 100 and first is not None and first != i
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
+    key = lambda r: (r[0] is None, *map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert warc.archive_report(pages.limit(0)).count() == 0
+    odd = ["a\r\nb", "", " ", "é/%2F"]
+    named = spark.createDataFrame([(i, "u", same) for i in odd], "page_id string, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc.archive_report(named).collect()} == {(i, None if i == min(odd) else min(odd)) for i in odd}
+
+
+def test_warc_members(spark, tmp_path):
+    """Each record is a gzip member of its own, and every file begins with what it is."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>" + "y" * (200 + i % 3)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, f"file://{tmp_path}/w")
+    (file,) = (tmp_path / "w").glob("*.warc.gz")
+    data, kinds = file.read_bytes(), []
+    while data.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        text = member.decompress(data)
+        data = member.unused_data
+        assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n")
+        kinds.append(text.split(b"WARC-Type: ")[1].split(b"\r\n")[0])
+    assert kinds[0] == b"warcinfo" and kinds.count(b"response") == 3 and kinds.count(b"revisit") == 17
+    whole = warc.read(spark, f"file://{tmp_path}/w", with_payload=True)
+    assert sorted(r.payload.decode() for r in whole.where("payload is not null").collect()) == sorted("<p>" + "y" * (200 + i) for i in range(3))
 
 
 def test_permutation_is_one():

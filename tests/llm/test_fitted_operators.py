@@ -45,8 +45,8 @@ def test_near_classes(spark, rng, most):
             rows.append((len(rows), " ".join(copy)))
     rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    freq, n = minhash.document_frequencies(df)
-    want = classes_by_hand(rows, minhash.inverse_frequencies(freq, n))
+    found = minhash.document_frequencies(df)
+    want = classes_by_hand(rows, (found.words, found.weights()))
     got = {r.doc_id: r.class_id for r in minhash.near_classes(df, most=most).collect()}
     assert got == want
     assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == sorted(set(want.values()))
@@ -65,8 +65,8 @@ def near_copies(rng, n, length, edits):
 
 def both_ways(spark, rows, **how):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    freq, n = minhash.document_frequencies(df)
-    return {r.doc_id: r.class_id for r in minhash.near_classes(df, **how).collect()}, classes_by_hand(rows, minhash.inverse_frequencies(freq, n))
+    found = minhash.document_frequencies(df)
+    return {r.doc_id: r.class_id for r in minhash.near_classes(df, **how).collect()}, classes_by_hand(rows, (found.words, found.weights()))
 
 
 def test_partners_beyond_the_best_three(spark, rng):
@@ -76,13 +76,36 @@ def test_partners_beyond_the_best_three(spark, rng):
 
 
 def test_large_buckets_are_not_cut(spark, rng):
-    got, want = both_ways(spark, near_copies(rng, 200, 400, [5, 6, 7]), most=8, block=(16, 32))
+    got, want = both_ways(spark, near_copies(rng, 200, 400, [5, 6, 7]), most=8, block=(16, 32), block_bytes=(20_000, 60_000))
     assert 1 < len(set(want.values())) < 200
     assert got == want
 
 
+def test_one_class_of_many(spark, rng):
+    """Copies, each near to one text but not to each other: every one joins its class."""
+    got, want = both_ways(spark, near_copies(rng, 1000, 120, [1, 4, 5]))
+    assert max(list(want.values()).count(c) for c in set(want.values())) > 900
+    assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
+
+
+def test_frequencies(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None), (4, "b")], "doc_id long, text string")
+    found = minhash.document_frequencies(df)
+    assert sorted(found.df.tolist()) == [1, 1, 3] and found.n == 4 and found.others == 0
+    few = minhash.document_frequencies(df, known=1)
+    assert few.df.tolist() == [3] and few.others == 1 and few.weights()[-1] > few.weights()[0]
+
+
+def test_rows_with_one_id(spark, rng):
+    (_, one), (_, two) = near_copies(rng, 2, 300, [1])
+    other = " ".join(f"q{i}" for i in range(50))
+    df = spark.createDataFrame([(1, one), (5, other), (5, two), (7, other)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_classes(df).collect())) == [(1, 1), (5, 1), (5, 5), (7, 5)]
+    assert sorted(map(tuple, minhash.keep_one(df).collect())) == [(1, one), (5, other)]
+
+
 def test_sampling_follows_similarity():
-    idf = np.ones(minhash.SLOTS)
+    idf = np.zeros(0, np.uint64), np.ones(1)
     gen = np.random.default_rng(3)
     a = [f"w{i}" for i in gen.integers(0, 10**6, 400)]
     b = [*a[:300], *(f"v{i}" for i in gen.integers(0, 10**6, 100))]
