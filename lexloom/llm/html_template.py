@@ -5,15 +5,26 @@ elements, and whole text nodes at their path. Over the pages of a host, each tok
 vector: how often each page has it. Tokens with equal vectors form an equivalence class; vectors are
 compared by an exclusive-or of hashes of (page, count), so they are a partial aggregate and no
 host's pages are ever gathered. A class is valid if it has two tokens or more and enough of the
-host's pages; valid classes nest by their paths into the host's template, in the order of their mean
-places. Where a page's tokens follow the template, its slots are what lies between template tokens:
-text nodes that are template tokens themselves are the host's, the rest is the page's. Of the slots
-those of all articles and mains are extracted, or without such, all that are the page's own. Slots of menus, headers, footers, asides, forms,
-adverts, notices, comments and the like are never main text.
+host's pages. Valid classes nest into the host's template: each tag token hangs on the nearest
+element above it that is in the template as well; those that every page has once are its frame, in
+the order of their mean places.
+
+Where a page's tokens follow the frame, its slots are what lies below the template's elements. The
+template says of each slot what it is: text that is a template token itself is the host's; an
+element that is a fixture of the host's pages and holds little but links is a menu; one that is a
+fixture and is named like an advert or a sidebar is one. What remains is the page's. Elements settle
+what the template leaves open: menus, headers, footers, asides, forms and reader comments are never
+main text, and where slots lie in articles or mains, those are taken alone.
+
+Text that a host repeats inside its main slots counts as its own only if all of ``SURE_PAGES`` pages
+or more have it and it is the lesser part (``LESSER``), so that copies of an article do not take each
+other for a template; and a page keeps its slots if nothing else would remain.
 
 Defined results: null or empty html, or html without text, gives the empty text; a page of a host
-with few pages, or that does not follow its template, is read by its own structure alone; unclosed
-elements, comments and scripts end with the page; a null url counts as one host.
+with few pages, or that does not follow its frame, is read by its own structure alone; unclosed
+elements, comments and scripts end with the page; a null url counts as one host; rows with a null or
+repeated id are pages like others, one result each; an empty table gives an empty result; columns
+other than the three named may have any name.
 """
 
 from __future__ import annotations
@@ -30,10 +41,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm._text import lean, pieces
+from lexloom.llm.storage import materialise
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.3
-#: Templates with up to this many tokens in all are broadcast; larger ones are joined by host.
+SURE_PAGES = 8
+LESSER = 0.3
+LINKS = 0.6
+#: Templates with up to this many tokens in all are broadcast; larger ones are joined by host. This
+#: changes the cost, not a result.
 BROADCAST_TOKENS = 200_000
 
 #: HTML element names by what they mean here.
@@ -47,6 +63,9 @@ WORDS = frozenset(
     " comments comment respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations breadcrumb breadcrumbs"
     " newsletter subscribe subscription signup login toolbar pagination pager disclaimer copyright search widget widgets".split()
 )
+#: Of these, those that say enough as a whole class name where no template is there to confirm them.
+STRONG = frozenset("ad ads adv advert adverts advertisement banner sponsored promo sidebar newsletter subscribe related pagination breadcrumb breadcrumbs share sharing social cookie popup".split())
+COMMENTS = frozenset("comment comments respond disqus".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
@@ -56,20 +75,33 @@ _space = re.compile(r"\s+")
 _host = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
     path: str
-    outside: bool
-    container: int  # number of the article or main that it is in, or -1
+    above: Element | None
+    outside: bool = False  # never main text
+    container: int = -1  # number of the article or main that it is in
+    named: Element | None = None  # the innermost element inside a container that is named like an advert
+    strong: bool = False
+    kind: int = 0
+    token: int | None = None
 
+    def hash(self) -> int:
+        if self.token is None:
+            self.token = token_hash(self.path)
+        return self.token
 
-@dataclass
+
+#: What a token is: text, an article or main, named like an advert, in a container, never main text.
+TEXT, CONTAINER, NAMED, INSIDE, OUTER = 1, 2, 4, 8, 16
+
+
+@dataclass(slots=True)
 class Block:
-    path: str
-    container: int
-    outside: bool
+    element: Element
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
 
     def text(self) -> str:
         return _space.sub(" ", "".join(self.parts)).strip()
@@ -80,10 +112,10 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _about(name: str, attributes: str) -> tuple[str, set[str], str]:
-    """Signature of class and id, their words, and the role."""
+def _about(attributes: str) -> tuple[str, set[str], set[str], str]:
+    """Signature of class and id, their names, the words of these, and the role."""
     if "=" not in attributes and "hidden" not in attributes:
-        return "", set(), ""
+        return "", set(), set(), ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)}
     named = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(re.split(r"[^a-z]+", named)) - {""}
@@ -92,7 +124,7 @@ def _about(name: str, attributes: str) -> tuple[str, set[str], str]:
         role = "menu"
     if found.get("itemprop", "").lower() == "articlebody":
         role = "article"
-    return "." + re.sub(r"\d+", "#", named.strip()) if named.strip() else "", words, role
+    return "." + re.sub(r"\d+", "#", named.strip()) if named.strip() else "", set(named.split()), words, role
 
 
 class Page:
@@ -100,10 +132,11 @@ class Page:
 
     def __init__(self, source: str | None):
         self.blocks: list[Block] = []
-        self.tokens: list[str] = []
+        self.tokens: list[tuple[str, Element, int]] = []  # spelled, its element or the one that it is in, kind
         self.containers: list[str] = []
-        self._stack = [Element("", "", False, -1)]
+        self._stack = [Element("", "", None)]
         self._open: Block | None = None
+        self._link = False
         at, source = 0, source or ""
         while m := _token.search(source, at):
             self._text(source[at : m.start()])
@@ -117,7 +150,7 @@ class Page:
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>|\Z", re.I).search(source, at)
                 at = end.end() if end else len(source)
-                self.tokens.append(f"{self._stack[-1].path}/{name}")
+                self.tokens.append((f"{self._stack[-1].path}/{name}", self._stack[-1], OUTER))
                 continue
             self._start(name, m[3])
         self._text(source[at:])
@@ -127,132 +160,203 @@ class Page:
         if not raw:
             return
         if self._open is None:
-            top = self._stack[-1]
-            self._open = Block(top.path, top.container, top.outside)
+            self._open = Block(self._stack[-1])
         self._open.parts.append(entities.unescape(raw) if "&" in raw else raw)
+        if self._link:
+            self._open.linked += len(raw)
 
     def _flush(self) -> None:
         if self._open is not None and (text := self._open.text()):
             self._open.parts = [text]
             self.blocks.append(self._open)
-            self.tokens.append(f"{self._open.path}\t{text}")
+            e = self._open.element
+            self.tokens.append((f"{e.path}\t{text}", e, TEXT | (e.kind & (INSIDE | OUTER)) | (INSIDE if e.container >= 0 else 0)))
         self._open = None
 
     def _start(self, name: str, attributes: str) -> None:
         if name in INLINE:
             if name == "br":
                 self._text(" ")
+            elif name == "a":
+                self._link = True
             return
         self._flush()
         close = CLOSES.get(name, ("p",) if name in ENDS_P else ())
         while len(self._stack) > 1 and self._stack[-1].name in close:
             self._stack.pop()
         top = self._stack[-1]
-        signature, words, role = _about(name, attributes)
-        path = f"{top.path}/{name}{signature}"
-        self.tokens.append(path)
-        if name in VOID:
-            return
-        container, outside = top.container, top.outside
-        comment = bool(words & {"comment", "comments", "respond", "disqus"})
+        signature, names, words, role = _about(attributes)
+        e = Element(name, f"{top.path}/{name}{signature}", top, top.outside, top.container, top.named, top.strong)
+        comment = bool(words & COMMENTS)
         if (name in ("article", "main") or role in ("article", "main")) and not comment:
-            if container < 0 or self.containers[container].startswith("main"):
-                if not any(e.name in OUTSIDE for e in self._stack):
-                    outside = False
-                container = len(self.containers)
-                self.containers.append(("article" if name == "article" or role == "article" else "main") + path)
-        elif name in OUTSIDE and not (name == "header" and container >= 0) or role in ROLES:
-            outside = True
-        elif comment or name not in ("html", "body") and words & WORDS:
-            outside = True
-        self._stack.append(Element(name, path, outside, container))
+            if top.container < 0 or self.containers[top.container].startswith("main"):
+                if not any(x.name in OUTSIDE for x in self._stack):
+                    e.outside = False
+                e.container = len(self.containers)
+                self.containers.append(("article" if name == "article" or role == "article" else "main") + e.path)
+                e.kind |= CONTAINER
+        elif name in OUTSIDE and not (name == "header" and top.container >= 0) or role in ROLES or comment:
+            e.outside = True
+        elif name not in ("html", "body") and words & WORDS:
+            if top.container >= 0:
+                e.named, e.strong = e, bool(names & STRONG)
+                e.kind |= NAMED
+            else:
+                e.outside = True
+        e.kind |= (INSIDE if top.container >= 0 else 0) | (OUTER if e.outside else 0)
+        self.tokens.append((e.path, e, e.kind))
+        if name not in VOID:
+            self._stack.append(e)
 
     def _close(self, name: str) -> None:
         if name in INLINE:
+            if name == "a":
+                self._link = False
             return
         self._flush()
+        self._link = False
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k].name == name:
-                self.tokens.append(f"{self._stack[k].path}>")
+                self.tokens.append((f"{self._stack[k].path}>", self._stack[k], self._stack[k].kind))
                 del self._stack[k:]
                 return
 
     def main_text(self, template: Template | None = None) -> str:
         """Main blocks in page order, one to a line."""
-        theirs = template.texts if template is not None and template.fits(self.tokens) else frozenset()
-        own = [b for b in self.blocks if not b.outside]
-        contained = [b for b in own if b.container >= 0]
-        kept = contained or [b for b in own if token_hash(f"{b.path}\t{b.parts[0]}") not in theirs]
-        return "\n".join(b.parts[0] for b in kept)
+        if template is not None and not template.fits(self):
+            template = None
+        if template is None:
+            own = [b for b in self.blocks if not b.element.outside and not (b.element.named and b.element.strong)]
+        else:
+            own = [b for b in self.blocks if not b.element.outside and template.slot(b.element) == PAGES]
+        slots = [b for b in own if b.element.container >= 0] or own
+        if template is not None:
+            theirs = [template.sure_texts, template.texts]
+            page = [b for b in slots if token_hash(f"{b.element.path}\t{b.parts[0]}") not in theirs[b.element.container < 0]]
+            slots = page or slots
+        return "\n".join(b.parts[0] for b in slots)
 
 
 def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: What the slots below an element of the template are.
+PAGES, MENU, ADVERT = 0, 1, 2
+
+
 @dataclass
 class Template:
-    """A host's valid classes: tag tokens in their order, and text tokens."""
+    """A host's valid classes, nested: the frame in its order, what the slots below each element
+    are, and texts that are the host's."""
 
-    order: list[int]
+    frame: list[int]
+    slots: dict[int, int]
     texts: frozenset[int]
+    sure_texts: frozenset[int]
 
-    def fits(self, tokens: list[str]) -> bool:
-        """Whether the template's single tokens come once each, in order."""
-        rank = {t: i for i, t in enumerate(self.order)}
-        seen = [rank[h] for t in tokens if (h := token_hash(t)) in rank]
+    def fits(self, page: Page) -> bool:
+        """Whether the frame's tokens come once each, in order."""
+        rank = {t: i for i, t in enumerate(self.frame)}
+        seen = [rank[h] for t, _, _ in page.tokens if (h := token_hash(t)) in rank]
         return len(seen) >= 0.8 * len(rank) and all(a < b for a, b in zip(seen, seen[1:], strict=False))
 
+    def slot(self, element: Element | None) -> int:
+        """What the slot is that lies below the nearest element of the template."""
+        while element is not None:
+            if (found := self.slots.get(element.hash())) is not None:
+                return found
+            element = element.above
+        return PAGES
+
+
+_MEMBERS = ("vector", "pages", "total", "place", "kind", "above", "chars", "linked")
+
 
 def _vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: its occurrence vector's hash, pages, total, mean place, and kind."""
+    """Per host and token: its occurrence vector's hash, pages, total, mean place, kind, the element
+    above it, and the characters of text below it, of which some are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
             found: dict[tuple[str, int], list] = {}
             for page, url, source in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                host, tokens = host_of(url), Page(source).tokens
+                host, read = host_of(url), Page(source)
                 counts: dict[str, list] = {}
-                for i, t in enumerate(tokens):
-                    c = counts.setdefault(t, [0, i])
+                for i, (t, e, kind) in enumerate(read.tokens):
+                    c = counts.setdefault(t, [0, i, kind, e, 0, 0])
                     c[0] += 1
-                for t, (n, place) in counts.items():
+                for b in read.blocks:
+                    n, e = len(b.parts[0]), b.element
+                    counts[f"{e.path}\t{b.parts[0]}"][4] += n
+                    while e.above is not None:
+                        c = counts[e.path]
+                        c[4] += n
+                        c[5] += min(n, b.linked)
+                        e = e.above
+                for t, (n, place, kind, e, chars, linked) in counts.items():
                     v = xxhash.xxh64_intdigest(f"{page}:{n}") - (1 << 63)
-                    f = found.setdefault((host, token_hash(t)), [0, 0, 0, 0.0, "\t" in t])
+                    own = e.path == t and e.above is not None
+                    f = found.setdefault((host, token_hash(t)), [0, 0, 0, 0.0, kind, (e.above if own else e).hash(), 0, 0])
                     f[0] ^= v
                     f[1] += 1
                     f[2] += n
-                    f[3] += place / len(tokens)
+                    f[3] += place / len(read.tokens)
+                    f[6] += chars
+                    f[7] += linked
             if found:
                 keys, values = list(found), list(found.values())
-                vec = [v[0] - (1 << 64) if v[0] >= 1 << 63 else v[0] for v in values]
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), pa.array(vec, pa.int64()), *(pa.array([v[j] for v in values], kind) for j, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.bool_())))], names=["host", "token", "vector", "pages", "total", "place", "is_text"])
+                for v in values:
+                    v[0] -= (1 << 64) if v[0] >= 1 << 63 else 0
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[j] for v in values], kind) for j, kind in enumerate(kinds))], names=["host", "token", *_MEMBERS])
 
-    rows = pages.mapInArrow(lean(run), "host string, token long, vector long, pages long, total long, place double, is_text boolean")
-    return rows.groupBy("host", "token", "is_text").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("place").alias("place"))
+    rows = pages.mapInArrow(lean(run), "host string, token long, vector long, pages long, total long, place double, kind int, above long, chars long, linked long")
+    sums = (F.sum(c).alias(c) for c in ("pages", "total", "place", "chars", "linked"))
+    return rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), *sums, F.bit_or("kind").alias("kind"), F.min("above").alias("above"))
 
 
 def deduce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Per host with a template: host, classes: an array of <token, vector, pages, total, place,
-    is_text> of its valid equivalence classes. Its length is bounded by the tokens of a page."""
+    """Per host with a template: host, classes: an array of the tokens of its valid equivalence
+    classes (see ``_vectors``). Its length is bounded by the tokens of a page."""
     slim = pages.select(F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     tokens = _vectors(slim)
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     sizes = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("all"))
     common = tokens.where(F.col("pages") >= least_pages).join(sizes, "host").where(F.col("pages") >= least_share * F.col("all"))
-    member = F.struct("token", "vector", "pages", "total", (F.col("place") / F.col("pages")).alias("place"), "is_text")
+    member = F.struct("token", "vector", "pages", "total", (F.col("place") / F.col("pages")).alias("place"), "kind", "above", "chars", "linked")
     classes = common.groupBy("host", "vector", "pages", "total").agg(F.collect_list(member).alias("members")).where(F.size("members") >= 2)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("members")).alias("classes"))
 
 
-def _template(classes: list | None) -> Template | None:
-    """Single tokens of the class with most pages are the frame; texts are of any class."""
+def template_of(classes: list | None, sure_pages: int = SURE_PAGES, lesser: float = LESSER, links: float = LINKS) -> Template | None:
+    """The valid classes of a host, nested."""
     if not classes:
         return None
-    single = [c for c in classes if c["pages"] == c["total"] and not c["is_text"]]
+    tags = {c["token"]: c for c in classes if not c["kind"] & TEXT}
+    texts = [c for c in classes if c["kind"] & TEXT]
+    single = [c for c in tags.values() if c["pages"] == c["total"]]
     most = max((c["pages"] for c in single), default=0)
     frame = sorted((c["place"], c["token"]) for c in single if c["pages"] == most)
-    return Template([t for _, t in frame], frozenset(c["token"] for c in classes if c["is_text"]))
+    fixed = {c["token"] for c in single}
+    slots: dict[int, int] = {}
+
+    def slot(token: int) -> int:
+        """An element's own, or that of the one above it in the template."""
+        if token not in slots:
+            c = tags[token]
+            above = slot(c["above"]) if c["above"] in tags and c["above"] != token else PAGES
+            few = c["kind"] & CONTAINER or c["linked"] <= links * c["chars"] or c["kind"] & INSIDE and not c["pages"] == most >= sure_pages
+            slots[token] = above or (ADVERT if token in fixed and c["kind"] & NAMED else MENU if token in fixed and not few else PAGES)
+        return slots[token]
+
+    for token in tags:
+        slot(token)
+    # in the main slots, only what all pages have, and only if it is the lesser part of them
+    main = sum(c["chars"] for c in tags.values() if c["kind"] & CONTAINER and not c["kind"] & INSIDE)
+    inner = [c for c in texts if c["kind"] & INSIDE and not c["kind"] & OUTER and c["pages"] == c["total"] == most >= sure_pages]
+    sure = inner if sum(c["chars"] for c in inner) <= lesser * main else []
+    return Template([t for _, t in frame], slots, frozenset(c["token"] for c in texts if not c["kind"] & INSIDE), frozenset(c["token"] for c in sure))
 
 
 OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -261,23 +365,21 @@ OUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_char
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = BROADCAST_TOKENS, **how) -> DataFrame:
     """Per page: id, url, text of the main slots, n_chars."""
     spark = pages.sparkSession
-    templates = deduce(pages, id_col, url_col, html_col, **how).persist()
+    templates, _ = materialise(deduce(pages, id_col, url_col, html_col, **how), "templates")
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     schema = T.StructType([slim.schema["id"], slim.schema["url"], *OUT.fields])
     small = (templates.agg(F.sum(F.size("classes"))).first()[0] or 0) <= broadcast_tokens
-    shared = spark.sparkContext.broadcast({r.host: _template(r.classes) for r in templates.collect()} if small else {})
+    shared = spark.sparkContext.broadcast({r.host: template_of(r.classes) for r in templates.collect()} if small else {})
     if small:
         source = slim
     else:
         host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
         source = slim.withColumn("host", host).join(templates, "host", "left").drop("host")
-    if small:
-        templates.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html"):
             urls = batch.column("url").to_pylist()
-            found = [shared.value.get(host_of(u)) for u in urls] if small else [_template(c) for c in batch.column("classes").to_pylist()]
+            found = [shared.value.get(host_of(u)) for u in urls] if small else [template_of(c) for c in batch.column("classes").to_pylist()]
             texts = [Page(h).main_text(t) for h, t in zip(batch.column("html").to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 

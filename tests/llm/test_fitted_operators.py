@@ -171,6 +171,58 @@ def test_html(spark):
     assert "h" in classes and "g" in classes and "z" not in classes
 
 
+def pages_of(spark, sources, host="h"):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", x) for i, x in enumerate(sources)], "page_id long, url string, html string")
+
+
+def without_template(sources):
+    return [html_template.Page(x).main_text() for x in sources]
+
+
+def test_html_by_template_alone(spark):
+    """No element or name says what is what: only that menus, notices and ends repeat."""
+    body = "<div class='qa'><div class='qb'><a href='/a'>one</a> <a href='/b'>page {0}</a></div><div class='qc'><div class='qd'>head {0}</div><div class='qe'>text of {0}<div class='qf'>more {0}</div></div></div><div class='qg'>all rights</div></div>"
+    sources = [body.format(i) for i in range(8)]
+    got = {r.page_id: r.text for r in html_template.extract(pages_of(spark, sources)).collect()}
+    assert [got[i] for i in range(8)] == [f"head {i}\ntext of {i}\nmore {i}" for i in range(8)]
+    assert sum(got[i] != t for i, t in enumerate(without_template(sources))) == 8
+
+
+def test_html_inside_articles(spark):
+    notice = "<div class='zz'>Support us today</div><div class='share-of-voice'>Share {0} of voice</div>"
+    sources = [f"<article><h1>Head {i}</h1>{notice.format(i) if i < 12 else ''}<p>{'long text ' * 9}{i}</p></article><article><p>second {i}</p></article>" for i in range(12)]
+    sources[3] = sources[3].replace("<article><p>", "<article><div class='side'>Side A of the record</div><p>")
+    got = {r.page_id: r.text for r in html_template.extract(pages_of(spark, sources)).collect()}
+    assert all("Support us" not in t and t.endswith(f"second {i}") and t.startswith(f"Head {i}\n") for i, t in got.items())
+    assert "Side A of the record" in got[3] and "Side A of the record" in without_template(sources)[3]
+    copies = ["<article><h1>Same</h1><p>words of all</p></article>"] * 9
+    assert {r.text for r in html_template.extract(pages_of(spark, copies)).collect()} == {"Same\nwords of all"}
+
+
+def test_classes_by_hand(spark, rng):
+    sources = [f"<div class='a'>{'<p>x</p>' * rng.randrange(3)}<ul>{''.join(f'<li>{rng.randrange(3)}</li>' for _ in range(rng.randrange(4)))}</ul></div><div class='b'>{'same' if rng.random() < 0.8 else i}</div>" for i in range(8)]
+    counts: dict = {}
+    for i, x in enumerate(sources):
+        for t, _, _ in html_template.Page(x).tokens:
+            counts.setdefault(html_template.token_hash(t), [0] * 8)[i] += 1
+    by_vector: dict = {}
+    for t, v in counts.items():
+        if sum(map(bool, v)) >= 3:
+            by_vector.setdefault(tuple(v), set()).add(t)
+    want = {frozenset(x) for x in by_vector.values() if len(x) >= 2}
+    found: dict = {}
+    for c in html_template.deduce(pages_of(spark, sources)).first().classes:
+        found.setdefault(c.vector, set()).add(c.token)
+    assert {frozenset(x) for x in found.values()} == want
+
+
+def test_html_awkward(spark):
+    pages = spark.createDataFrame([(None, "http://h/", "<p>a"), (1, None, "<p>b"), (1, None, "<p>b"), (2, "u", None)], "page_id long, url string, html string").selectExpr("*", "1 as id", "'' as host", "2 as classes", "0 as text")
+    got = sorted(map(tuple, html_template.extract(pages).select("page_id", "text", "n_chars").collect()), key=str)
+    assert got == sorted([(None, "a", 1), (1, "b", 1), (1, "b", 1), (2, "", 0)], key=str)
+    assert html_template.extract(pages.limit(0)).count() == 0
+
+
 def test_html_keeps_all_parts():
     split = "<div class='title'><h1>Head</h1></div><div class='body'><section class='a'><p>a long first part</p></section><section class='b'><p>second</p></section></div>"
     assert html_template.Page(FRAME.format(split)).main_text() == "Head\na long first part\nsecond"
