@@ -94,6 +94,14 @@ def top_tags(tag_list: Column, most: int = 2) -> Column:
     return F.when(F.size(tag_list) <= most, tag_list).otherwise(F.transform(F.slice(ranked, 1, most), lambda z: z["t"]))
 
 
+def dropped_tags(tag_list: Column, most: int = 2) -> Column:
+    """The tags that ``top_tags`` drops for their priority."""
+    kept = F.filter(tag_list, lambda t: ~t.isin(*IGNORED))
+    ranked = F.array_sort(F.transform(kept, lambda t, i: F.struct(priority(t).alias("p"), i.alias("i"), t.alias("t"))))
+    over = (F.size(tag_list) > most) & (F.size(ranked) > most)
+    return F.when(over, F.transform(F.slice(ranked, F.lit(most + 1), F.greatest(F.size(ranked) - most, F.lit(1))), lambda z: z["t"])).otherwise(F.array().cast("array<string>"))
+
+
 def without_pos(tag_list: Column, every: bool = False) -> Column:
     """Tags without the first part-of-speech tag, or without all of them."""
     first = F.array_position(F.transform(tag_list, lambda t: t.isin(*POS_TAGS)), F.lit(True)) - 1
@@ -123,8 +131,10 @@ def lemma_and_tags(analysis: Column) -> tuple[Column, Column]:
     return F.regexp_extract(analysis, pattern, 1), F.regexp_extract(analysis, pattern, 2)
 
 
-def english_lemma(word: Column) -> Column:
-    """Plural, past and progressive endings cut."""
+def english_lemma(word: Column, known: Column | None = None) -> Column:
+    """The known lemma of a word, else the word with plural, past or progressive endings cut."""
+    if known is not None:
+        return F.coalesce(known, english_lemma(F.lower(word)))
     n = F.length(word)
     cut = lambda k: F.left(word, n - k)
     return F.when(F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("ss")) & (n > 3), cut(1)).when(F.endswith(word, F.lit("ed")) & (n > 4), cut(2)).when(F.endswith(word, F.lit("ing")) & (n > 5), cut(3)).otherwise(word)

@@ -19,8 +19,15 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def numbered(grams: Column) -> Column:
-    """Each element with how often it came before, so that a set intersection clips counts."""
-    return let(F.array_sort(grams), lambda ordered: F.transform(ordered, lambda g, i: F.concat(g, F.lit("\u0002"), (i + 1 - F.array_position(ordered, g)).cast("string"))))
+    """Each element with how often it came before, so that a set intersection clips counts. Runs of
+    the sorted elements are numbered, in time linear in them but for the sort."""
+
+    def of_sorted(ordered: Column) -> Column:
+        starts = F.filter(F.transform(ordered, lambda g, i: F.when((i == 0) | (g != F.get(ordered, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+        run = lambda heads: lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get(heads, k + 1), F.size(ordered)) - 1), lambda j: F.concat(F.get(ordered, s), F.lit("\u0002"), (j - s).cast("string")))
+        return let(starts, lambda heads: F.flatten(F.transform(heads, run(heads))))
+
+    return F.when(F.size(grams) == 0, F.array().cast("array<string>")).otherwise(let(F.array_sort(grams), of_sorted))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -28,10 +35,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
-def bleu_stats(hyp: Column, ref: Column, orders: int = ORDERS) -> Column:
-    """struct<m array, t array, hyp, ref>: clipped matches, totals and lengths of a row."""
+def bleu_stats(hyp: Column, ref: Column, orders: int = ORDERS, least: int = 1) -> Column:
+    """struct<m array, t array, hyp, ref>: clipped matches, totals (``least`` where a row is too
+    short) and lengths of a row."""
     m = F.array(*(overlap(ngrams(hyp, n), ngrams(ref, n)).cast("long") for n in range(1, orders + 1)))
-    t = F.array(*(F.greatest(F.size(hyp) - (n - 1), F.lit(1)).cast("long") for n in range(1, orders + 1)))
+    t = F.array(*(F.greatest(F.size(hyp) - (n - 1), F.lit(least)).cast("long") for n in range(1, orders + 1)))
     return F.struct(m.alias("m"), t.alias("t"), F.size(hyp).cast("long").alias("hyp"), F.size(ref).cast("long").alias("ref"))
 
 
@@ -61,6 +69,30 @@ def bleu_exponential(m: list[Column], t: list[Column], hyp: Column, ref: Column)
     return F.when((m[0] == 0) | (hyp == 0), F.lit(0.0)).otherwise(100 * _brevity(hyp, ref) * F.exp(sum(logs[1:], logs[0]) / len(logs)))
 
 
+def bleu_international(m: list[Column], t: list[Column], hyp: Column, ref: Column, effective: bool = False) -> Column:
+    """BLEU as international scoring has it, 0 to 100: the k-th zero precision counts 1 / (2^k
+    total); orders that the text is too short for make it 0, or with ``effective`` do not count. Totals
+    are those of ``bleu_stats`` with least 0."""
+    zeros, logs = F.lit(0), []
+    for a, b in zip(m, t, strict=True):
+        zeros = zeros + F.when((a == 0) & (b > 0), 1).otherwise(0)
+        logs.append(F.when(b == 0, 0.0).when(a == 0, -F.ln(F.pow(F.lit(2.0), zeros) * b)).otherwise(F.ln(a / F.greatest(b, F.lit(1)))))
+    live = sum((F.when(b > 0, 1).otherwise(0) for b in t[1:]), F.when(t[0] > 0, 1).otherwise(0))
+    score = 100 * _brevity(hyp, ref) * F.exp(sum(logs[1:], logs[0]) / F.greatest(live, F.lit(1)))
+    return F.when((sum(m[1:], m[0]) == 0) | (hyp == 0) | (F.lit(not effective) & (live < len(t))), 0.0).otherwise(score)
+
+
+def bleu_effective(m: list[Column], t: list[Column], hyp: Column, ref: Column) -> Column:
+    """The same for a sentence: only orders that it is long enough for count."""
+    return bleu_international(m, t, hyp, ref, effective=True)
+
+
+def precisions(orders: int = ORDERS) -> list[Column]:
+    """Percentages p1.. and bp of columns that ``summed`` made."""
+    each = [F.coalesce(F.try_divide(100.0 * F.col(f"m{n}"), F.col(f"t{n}")), F.lit(0.0)).alias(f"p{n}") for n in range(1, orders + 1)]
+    return [*each, _brevity(F.col("hyp"), F.col("ref")).alias("bp")]
+
+
 def sentence_bleu(stats: Column, how=bleu_method1, orders: int = ORDERS) -> Column:
     each = lambda f: [stats[f][n] for n in range(orders)]
     return how(each("m"), each("t"), stats["hyp"], stats["ref"])
@@ -113,5 +145,24 @@ def set_recall(hyp: Column, ref: Column) -> Column:
     return F.when(F.size(r) == 0, F.when(F.size(h) == 0, F.lit(1.0)).otherwise(0.0)).otherwise(F.size(F.array_intersect(h, r)) / F.size(r))
 
 
+def map_agreement(hyp: Column, ref: Column) -> Column:
+    """Share of a reference map's entries that the hypothesis has with the same value."""
+    same = F.size(F.filter(F.map_keys(ref), lambda k: F.try_element_at(hyp, k).eqNullSafe(F.try_element_at(ref, k)) & F.try_element_at(hyp, k).isNotNull()))
+    return F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, F.lit(1.0)).otherwise(0.0)).otherwise(same / F.size(ref))
+
+
+def adjacent(labels: Column, words: Column, first: str, second: str) -> Column:
+    """Distinct pairs <a, b> of each word labelled ``first`` with the next one labelled ``second``."""
+    marked = F.filter(F.zip_with(words, labels, lambda w, t: F.struct(w.alias("w"), t.alias("t"))), lambda x: x["t"].isin(first, second))
+    pairs = F.transform(marked, lambda x, i: F.when((x["t"] == first) & (F.get(marked, i + 1)["t"] == second), F.concat_ws("\u0001", x["w"], F.get(marked, i + 1)["w"])))
+    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def labelled(labels: Column, words: Column, wanted: str) -> Column:
+    """Distinct words with a label; without labels, all distinct words."""
+    chosen = F.transform(F.filter(F.zip_with(words, labels, lambda w, t: F.struct(w.alias("w"), t.alias("t"))), lambda x: x["t"] == wanted), lambda x: x["w"])
+    return F.array_distinct(F.when(labels.isNull(), words).otherwise(chosen))
+
+
 def non_repetition(tokens: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_distinct(tokens)).cast("double"), F.size(tokens)), F.lit(0.0))

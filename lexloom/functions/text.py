@@ -9,12 +9,26 @@ WORD = r"[\p{L}\p{N}_]+"
 NOT_WORD = r"[^\p{L}\p{N}_\s]"
 #: ASCII punctuation but the hyphen.
 PUNCTUATION = r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~]"""
+#: Titles, company suffixes, vowels and consonants, marks that a token is skipped for.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof")
 SUFFIXES = ("Inc", "Ltd", "Corp", "Co")
 VOWELS = "eiöüEİÖÜîÎaıouAIOUâÂûÛ"
 CONSONANTS = "bdcgvzjfğlmnrwyBDCGVZJFĞLMNRWYptçkfsşhPTÇKFSŞH"
 
 
+SKIPPED_MARKS = ".,!?;:-—()\"'"
+
+
+def is_skipped_mark(word: Column) -> Column:
+    """Whether a token is a run of these marks as they stand in the list."""
+    return F.contains(F.lit(SKIPPED_MARKS), word)
+
+
+def lower_word_runs(text: Column) -> Column:
+    """A dictionary line in lower case; only word characters have any."""
+    return F.lower(text)
+
+
 def tokens(text: Column) -> Column:
     """Pieces between runs of white space; none of an empty text."""
     return F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
@@ -184,10 +198,10 @@ def hyphenate(word: Column) -> Column:
     return F.regexp_replace(out, f"([{VOWELS}][{CONSONANTS}'’]*?)(?={apostrophe}[{CONSONANTS}]{apostrophe}[{VOWELS}])", "$1-")
 
 
+#: Patterns of addresses.
 URL = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"<>]*)?"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
-HOST = r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b"
 
 
 def ascii_fold(text: Column) -> Column:

@@ -75,8 +75,50 @@ def two_stratum_split(df: DataFrame, id_col: str, special: Column, seed: int = 4
     return ranked.withColumn("split", F.when(F.col("special"), F.when(r <= F.floor(n * 8 / 9), "train").otherwise("valid")).otherwise(other)).drop("rank", "n")
 
 
-def head_tail_split(df: DataFrame, line_col: str, n: int, share: float = 0.9) -> DataFrame:
-    return df.withColumn("split", F.when(F.col(line_col) < int(n * share), "train").otherwise("eval"))
+def head_tail_split(df: DataFrame, line_col: str, n: int, share: float = 0.9, fallback: int = 100) -> DataFrame:
+    """Lines from 0 to n - 1: the head trains, the tail evaluates. Where the share leaves no tail,
+    the last ``fallback`` lines evaluate, and train as well."""
+    head = int(n * share)
+    if head < n:
+        return df.withColumn("split", F.when(F.col(line_col) < head, "train").otherwise("eval"))
+    return df.withColumn("split", F.lit("train")).unionByName(df.where(F.col(line_col) >= max(0, n - fallback)).withColumn("split", F.lit("eval")))
+
+
+def first_of_splits(df: DataFrame, split_col: str, order: tuple[str, ...], by: list[str], columns: list[str]) -> DataFrame:
+    """The first row, by ``by``, of the first of these splits that has any."""
+    rank = F.array_position(F.array(*(F.lit(s) for s in order)), F.col(split_col))
+    best = F.min_by(F.struct(split_col, *columns), F.struct(rank, *by))
+    return df.where(F.col(split_col).isin(*order)).agg(best.alias("r")).where("r is not null").select("r.*")
+
+
+def subtotals(df: DataFrame, key: str, special: Column) -> DataFrame:
+    """Rows of each group, and of all special ones against the rest (groups null)."""
+    counts = df.groupBy(F.col(key).alias("key"), F.coalesce(special, F.lit(False)).alias("special")).agg(F.count("*").alias("cnt"))
+    return counts.unionByName(counts.groupBy("special").agg(F.sum("cnt").alias("cnt")).withColumn("key", F.lit(None).cast(counts.schema["key"].dataType)))
+
+
+def kept_and_skipped(df: DataFrame, names: list[str]) -> DataFrame:
+    """How many rows have text in all of these columns, and how many are skipped."""
+    good = F.lit(True)
+    for n in names:
+        good = good & (F.trim(F.coalesce(F.col(n), F.lit(""))) != "")
+    return df.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("skipped"))
+
+
+def from_line(df: DataFrame, line_col: str, resume: int) -> DataFrame:
+    """Lines from the 1-based ``resume`` on; what is under 1 means all."""
+    return df.where(F.col(line_col) >= max(0, resume - 1))
+
+
+def key_summary(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Of keys in df and wanted ones: how many there are, are found, rows that have one, and the
+    percentages of keys and of rows."""
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("cnt"))
+    met = rows.join(wanted.where(F.col(key).isNotNull()).select(key).distinct().withColumn("__w", F.lit(True)), key, "full")
+    found = F.col("cnt").isNotNull() & F.col("__w").isNotNull()
+    out = met.agg(F.count("cnt").alias("keys"), F.count("__w").alias("wanted"), F.count_if(found).alias("found"), F.coalesce(F.sum(F.when(found, F.col("cnt"))), F.lit(0)).alias("rows_found"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"))
+    share = lambda a, b: F.coalesce(F.try_divide(100.0 * F.col(a), F.col(b)), F.lit(0.0))
+    return out.withColumn("keys_percent", share("found", "wanted")).withColumn("rows_percent", share("rows_found", "rows"))
 
 
 def sample_per_group(df: DataFrame, keys: list[str], id_col: str, k: int, seed: int = 42) -> DataFrame:
@@ -90,6 +132,13 @@ def share_by_split(df: DataFrame, split_col: str, key: str) -> DataFrame:
     return counts.join(F.broadcast(totals), split_col).withColumn("share", F.col("cnt") / F.col("of"))
 
 
+def shares(df: DataFrame, key: str) -> DataFrame:
+    """Rows of each key, and their percentage of all."""
+    counts = df.groupBy(key).agg(F.count("*").alias("cnt"))
+    total = counts.agg(F.sum("cnt").alias("__all"))
+    return counts.join(F.broadcast(total)).select(key, "cnt", (100.0 * F.col("cnt") / F.col("__all")).cast("double").alias("percentage"))
+
+
 def seen_unseen(df: DataFrame, key: str, is_train: Column) -> DataFrame:
     return df.groupBy(key).agg(F.coalesce(F.bool_or(is_train), F.lit(False)).alias("seen"), F.count("*").alias("cnt"))
 

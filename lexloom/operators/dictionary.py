@@ -7,6 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import case_like, clean_word, is_number, split_base, tokens, turkish_lower
+from lexloom.operators.sizes import broadcast_if_small
+
+#: English function words, by kind.
+ENGLISH_FUNCTION_WORDS = tuple(dict.fromkeys("""
+a an the
+in on at to for with by from of about around between among through throughout during until till since before after above below over under behind beside beneath across along into onto within without
+and but or nor so yet because although since unless while where if that than
+is am are was were be been being have has had do does did will would shall should can could may might must
+i me my mine myself you your yours yourself he him his himself she her hers herself it its itself we us our ours ourselves they them their theirs themselves
+this that these those who whom whose which what
+as not no yes all any each every some many much more most few little other another such only very too just even still rather quite somewhat
+""".split()))
 
 
 def pharaoh_pairs(alignment: Column) -> Column:
@@ -35,9 +47,16 @@ def count_pairs(words: DataFrame, order: list[str]) -> DataFrame:
 
 
 def best_translation(pairs: DataFrame) -> DataFrame:
-    """Per src: the most frequent tgt, the first seen of equals, as a partial aggregate."""
+    """Per src: the most frequent tgt, the first seen of equals, as a partial aggregate; and
+    first_pos, where src was first seen."""
     best = F.min(F.struct((-F.col("cnt")).alias("n"), "first_pos", "tgt"))
-    return pairs.groupBy("src").agg(best.alias("b")).select("src", F.col("b.tgt").alias("tgt"), (-F.col("b.n")).alias("cnt"))
+    return pairs.groupBy("src").agg(best.alias("b"), F.min("first_pos").alias("first_pos")).select("src", F.col("b.tgt").alias("tgt"), (-F.col("b.n")).alias("cnt"), "first_pos")
+
+
+def case_folded(dictionary: DataFrame) -> DataFrame:
+    """Per lower-cased src: the entry of the spelling that came into the dictionary last, by where
+    each was seen first."""
+    return dictionary.groupBy(turkish_lower(F.col("src")).alias("low")).agg(F.max_by("tgt", F.struct("first_pos", "src")).alias("folded"))
 
 
 def top_translations(pairs: DataFrame, most: int = 3, least: int = 1) -> DataFrame:
@@ -49,7 +68,7 @@ def top_translations(pairs: DataFrame, most: int = 3, least: int = 1) -> DataFra
     return ranked.join(totals, "src").select("src", "tgt", "cnt", "rank", (F.col("cnt") / F.col("__of")).alias("confidence"), (F.col("rank") == 1).alias("is_primary"))
 
 
-def without_function_words(pairs: DataFrame, words: tuple[str, ...], least: int = 2) -> DataFrame:
+def without_function_words(pairs: DataFrame, words: tuple[str, ...] = ENGLISH_FUNCTION_WORDS, least: int = 2) -> DataFrame:
     """Pairs whose words, cleaned, are no function words and have some length."""
     keep = F.lit(True)
     for c in ("src", "tgt"):
@@ -77,16 +96,18 @@ def translated_tokens(texts: DataFrame, dictionary: DataFrame, line: str, text:
     """A row for each token: line, pos, word, out, how: number, exact, folded or kept.
 
     The base before the first hyphen is looked up as it is, then case-folded with its case pattern
-    carried over. Distinct bases are looked up, not tokens, so the join is as small as the
-    vocabulary; the dictionary (src, tgt) has one row for each src."""
+    carried over. The dictionary (src, tgt, first_pos) has one row for each src. While it is small it
+    is broadcast and tokens are not shuffled; beyond, distinct bases are looked up, not tokens."""
     words = texts.select(F.col(line), F.posexplode(tokens(text)).alias("pos", "word"))
     base, tail = split_base(F.col("word"))
     words = words.withColumn("base", base).withColumn("tail", tail)
-    exact = dictionary.select(F.col("src").alias("base"), F.col("tgt").alias("exact"))
-    folded = dictionary.groupBy(turkish_lower(F.col("src")).alias("low")).agg(F.max_by("tgt", "src").alias("folded"))
-    vocabulary = words.select("base").distinct().withColumn("low", turkish_lower(F.col("base")))
-    found = vocabulary.join(exact, "base", "left").join(folded, "low", "left").drop("low")
-    met = words.join(found, "base", "left")
+    exact, small = broadcast_if_small(dictionary.select(F.col("src").alias("base"), F.col("tgt").alias("exact")))
+    folded = case_folded(dictionary)
+    if small:
+        met = words.join(exact, "base", "left").withColumn("low", turkish_lower(F.col("base"))).join(F.broadcast(folded), "low", "left")
+    else:
+        vocabulary = words.select("base").distinct().withColumn("low", turkish_lower(F.col("base")))
+        met = words.join(vocabulary.join(exact, "base", "left").join(folded, "low", "left").drop("low"), "base", "left")
     number = is_number(F.col("base"))
     how = F.when(number, "number").when(F.col("exact").isNotNull(), "exact").when(F.col("folded").isNotNull(), "folded").otherwise("kept")
     out = F.when(number, F.col("base")).otherwise(F.coalesce("exact", case_like(F.col("base"), F.col("folded")), "base"))
@@ -99,14 +120,44 @@ def rejoined(translated: DataFrame, line: str) -> DataFrame:
     return translated.groupBy(line).agg(F.count("*").alias("n_tokens"), F.count_if(F.col("how") != "kept").alias("n_replaced"), joined.alias("text"))
 
 
-def coverage(translated: DataFrame, dictionary_size: Column | int) -> DataFrame:
-    """Totals, rates and distinct words, replaced or not; numbers count as replaced."""
+def coverage(translated: DataFrame, dictionary_size: Column | int | None = None) -> DataFrame:
+    """Totals, rates and distinct words, replaced or not; numbers count as replaced. With the
+    dictionary's size also which share of its entries was used, in percent. Words are counted
+    first, so that no token is copied for a distinct count."""
+    words = translated.groupBy("word", "how").agg(F.count("*").alias("n"))
     kept = F.col("how") == "kept"
-    used = F.count_distinct(F.when(F.col("how") == "exact", F.col("word")))
-    return translated.agg(
-        F.count("*").alias("total_words"), F.count_if(~kept).alias("replaced"), F.count_if(kept).alias("not_replaced"),
-        F.count_distinct(F.when(kept, F.col("word"))).alias("unique_not_replaced"), F.count_distinct(F.when(~kept, F.col("word"))).alias("unique_replaced"), used.alias("used_exact"),
+    out = words.agg(
+        F.sum("n").alias("total_words"), F.sum(F.when(~kept, F.col("n")).otherwise(0)).alias("replaced"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("not_replaced"),
+        F.count_if(kept).alias("unique_not_replaced"), F.count_if(~kept).alias("unique_replaced"), F.count_if(F.col("how") == "exact").alias("used_exact"),
     ).withColumn("replacement_rate", F.coalesce(F.try_divide("replaced", "total_words"), F.lit(0.0)))
+    return out if dictionary_size is None else out.withColumn("usage_rate", F.coalesce(F.try_divide(100.0 * F.col("used_exact"), F.lit(dictionary_size) if isinstance(dictionary_size, int) else dictionary_size), F.lit(0.0)))
+
+
+def replacements(translated: DataFrame, line: str) -> tuple[DataFrame, DataFrame]:
+    """(replaced words with their last value, words that were not replaced, in order)."""
+    replaced = translated.where("how in ('exact', 'folded')").groupBy("word").agg(F.max_by("out", F.struct(line, "pos")).alias("out"))
+    return replaced, translated.where("how = 'kept'").select("word").distinct().orderBy("word")
+
+
+def removed_tokens(texts: DataFrame, text: Column, words: tuple[str, ...] = ENGLISH_FUNCTION_WORDS, least: int = 2) -> DataFrame:
+    """Per lower-cased token: occurrences, and whether a filter by function words and length drops
+    it. What stands before the first bar is a line's number and is no token."""
+    body = F.when(F.contains(text, F.lit("|")), F.substr(text, F.locate("|", text) + 1)).otherwise(text)
+    found = texts.select(F.explode(tokens(F.lower(body))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return found.withColumn("removed", clean_word(F.col("word")).isin(*words) | (F.length(clean_word(F.col("word"))) < least))
+
+
+def filtering_totals(removed: DataFrame) -> DataFrame:
+    """Of ``removed_tokens``: words before and after, removed ones and their percentage."""
+    out = removed.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("before"), F.coalesce(F.sum(F.when(~F.col("removed"), F.col("cnt"))), F.lit(0)).alias("after"))
+    return out.select("before", "after", (F.col("before") - F.col("after")).alias("removed"), F.coalesce(F.try_divide(100.0 * (F.col("before") - F.col("after")), F.col("before")), F.lit(0.0)).alias("percentage"))
+
+
+def alignment_counters(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """What a filter of pairs did: alignments and words before, and what is left."""
+    one = lambda df, tag: df.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias(f"alignments_{tag}"), F.count_distinct("src").alias(f"words_{tag}"))
+    out = one(pairs, "before").join(one(kept, "after"))
+    return out.withColumn("filtered", F.col("alignments_before") - F.col("alignments_after"))
 
 
 def filtered_line(text: Column, words: tuple[str, ...], least: int = 2, keep_function_words: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.metrics import bleu_exponential, bleu_method1, bleu_stats, combined_bleu, summed
+from lexloom.functions.metrics import bleu_effective, bleu_exponential, bleu_international, bleu_method1, bleu_stats, combined_bleu, let, precisions, sentence_bleu, summed, thirteen_a
 
 
 def corpus_bleu(pairs: DataFrame, hyp: str, ref: str, keys: list[str] | None = None, how=bleu_method1) -> DataFrame:
@@ -21,26 +21,55 @@ def bleu_by_length(pairs: DataFrame, hyp: str, ref: str, width: int = 10) -> Dat
     return corpus_bleu(binned, hyp, ref, ["bin"], bleu_exponential).where("pairs > 1")
 
 
-def bootstrap(pairs: DataFrame, line: Column, hyp: str, ref: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Corpus BLEU of each replicate. A row's multiplicity in a replicate is a Poisson(1) draw from
-    its hash, which resamples in one pass without joining draws to rows."""
-    stats = pairs.select(line.alias("line"), bleu_stats(F.col(hyp), F.col(ref)).alias("s"))
+def international_bleu(pairs: DataFrame, hyp: str, ref: str) -> DataFrame:
+    """Corpus BLEU of texts by the usual rules of international scoring: pairs, lengths, brevity
+    penalty, the precisions of each order in percent, and the score."""
+    words = pairs.select(thirteen_a(F.col(hyp)).alias("h"), thirteen_a(F.col(ref)).alias("r"))
+    rows = words.select(bleu_stats(F.col("h"), F.col("r"), least=0).alias("s"))
+    return rows.agg(*summed("s"), F.count("*").alias("pairs")).select("pairs", "hyp", "ref", *precisions(), combined_bleu(bleu_international).alias("bleu"))
+
+
+def international_sentence_bleu(hyp: Column, ref: Column) -> Column:
+    """The same for one sentence, over the orders that it is long enough for."""
+    words = F.struct(thirteen_a(hyp).alias("h"), thirteen_a(ref).alias("r"))
+    return let(let(words, lambda z: bleu_stats(z["h"], z["r"], least=0)), lambda s: sentence_bleu(s, bleu_effective))
+
+
+def bleu_sums(hyp: str, ref: str, orders: int = 4) -> tuple[dict[str, Column], Column]:
+    """What ``bootstrap`` needs for BLEU: sums of a row, and the score of their totals."""
+    s = bleu_stats(F.col(hyp), F.col(ref), orders)
+    own = {f"{f}{n}": s[f][n - 1] for f in "mt" for n in range(1, orders + 1)} | {"hyp": s["hyp"], "ref": s["ref"]}
+    return own, combined_bleu(bleu_exponential, orders)
+
+
+def bootstrap(rows: DataFrame, line: Column, metric: tuple[dict[str, Column], Column], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(b, score): any metric that is a function of sums over rows, of each replicate. metric: the
+    sums by name, and the score as a column of these names. A row's multiplicity in a replicate is
+    a Poisson(1) draw from its hash, which resamples in one pass without joining draws to rows; only
+    sums, one row for each replicate and task, are shuffled."""
+    sums, score = metric
+    stats = rows.select(line.alias("line"), *(c.alias(n) for n, c in sums.items()))
     u = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("line")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    steps = poisson_steps()
+    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
+    drawn = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", times).where("k > 0")
+    return drawn.groupBy("b").agg(*(F.sum(F.col("k") * F.col(n)).alias(n) for n in sums)).select("b", score.alias("score"))
+
+
+def poisson_steps(most: int = 8) -> list[float]:
+    """Where a uniform number begins to count 1, 2, ... times under Poisson(1)."""
     steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
+    for k in range(most):
         total += p
         steps.append(total)
         p /= k + 1
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    drawn = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", times).where("k > 0")
-    sums = [F.sum(F.col("k") * F.col(f"s.{f}")[n - 1]).alias(f"{f}{n}") for f in "mt" for n in range(1, 5)] + [F.sum(F.col("k") * F.col("s.hyp")).alias("hyp"), F.sum(F.col("k") * F.col("s.ref")).alias("ref")]
-    return drawn.groupBy("b").agg(*sums).select("b", combined_bleu(bleu_exponential).alias("bleu"))
+    return steps
 
 
 def interval(scores: DataFrame, replicates: int) -> DataFrame:
     """Mean and the 2.5 and 97.5 percent places of sorted replicate scores (a bounded number)."""
-    s = F.array_sort(F.collect_list("bleu"))
-    return scores.agg(F.avg("bleu").alias("mean"), F.get(s, F.lit(int(replicates * 0.025))).alias("low"), F.get(s, F.lit(int(replicates * 0.975))).alias("high"))
+    s = F.array_sort(F.collect_list("score"))
+    return scores.agg(F.avg("score").alias("mean"), F.get(s, F.lit(int(replicates * 0.025))).alias("low"), F.get(s, F.lit(int(replicates * 0.975))).alias("high"))
 
 
 def wide(results: DataFrame, index: list[str], setting: str, value: str, settings: list[str]) -> DataFrame:
@@ -53,6 +82,16 @@ def compared(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("metric", F.col("value").alias("previous")), "metric").withColumn("change", F.col("value") - F.col("previous"))
 
 
+def macro_averages(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Each score's mean over the rows, in percent."""
+    return rows.agg(*(F.coalesce(100 * F.avg(n), F.lit(0.0)).alias(n) for n in names))
+
+
+def attached(rows: DataFrame, scores: DataFrame, position: str = "idx") -> DataFrame:
+    """Rows with the scores that an outside model gave for their positions."""
+    return rows.join(scores, position, "left")
+
+
 def feature_similarity(values: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
     """For pairs (a, b) of entities of values (entity, parameter, value): shared parameters, all
     parameters of either, equal values, and matches over all; null under ``least`` shared."""

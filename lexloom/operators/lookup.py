@@ -6,26 +6,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.gloss import english_lemma
 from lexloom.functions.text import fallback_code
+from lexloom.operators.sizes import broadcast_if_small
 
 #: Names that no method would resolve, and their codes.
 KNOWN_CODES = {"Unknown language": "und", "Japhug": "jya", "Sanzhi": "xzr", "Pichi": "fpe", "Tsez": "ddo"}
 
 
-def resolve_names(names: DataFrame, table: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """For distinct names and a reference table (ord, name, code), which is small and is
-    broadcast: name, code, method: manual, exact, contains (either way, first of the table), word
-    (of more than three letters) or fallback."""
+def resolve_names(names: DataFrame, table: DataFrame, known: dict[str, str] | None = None, countries: DataFrame | None = None) -> DataFrame:
+    """For distinct names and a reference table (ord, name, code): name, code, method: manual,
+    exact, contains (either way, first of the table), word (of more than three letters), country (a
+    name of ``countries`` (ord, name) in it that an entry of the table has in its name as well) or
+    fallback. The reference tables are lists of languages and countries; they are broadcast while
+    they are small (``sizes``)."""
     known = KNOWN_CODES if known is None else known
     manual = F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("name")) if known else F.lit(None).cast("string")
     asked = names.select("name").distinct().withColumn("low", F.lower("name"))
-    ref = F.broadcast(table.select("ord", F.lower("name").alias("r"), "code"))
+    ref, _ = broadcast_if_small(table.select("ord", F.lower("name").alias("r"), "code"))
     word = F.exists(F.split("low", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.col("r"), w))
     rank = F.when(F.col("low") == F.col("r"), 1).when(F.contains(F.col("low"), F.col("r")) | F.contains(F.col("r"), F.col("low")), 2).when(word, 3)
     hits = asked.join(ref, rank.isNotNull(), "left").groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "ord", "code")).alias("best"))
-    label = F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("word")), F.col("best.rank"))
-    resolved = hits.select("name", manual.alias("m"), F.when(F.col("best.rank").isNotNull(), F.col("best.code")).alias("c"), F.when(F.col("best.rank").isNotNull(), label).alias("l"))
-    return resolved.select("name", F.coalesce("m", "c", fallback_code(F.col("name"))).alias("code"), F.when(F.col("m").isNotNull(), "manual").otherwise(F.coalesce("l", F.lit("fallback"))).alias("method"))
+    hits = hits.withColumn("best", F.when(F.col("best.rank").isNotNull(), F.col("best")))
+    if countries is not None:
+        c, _ = broadcast_if_small(countries.select(F.col("ord").alias("c_ord"), F.lower("name").alias("c")))
+        spoken = ref.join(c, F.contains(F.col("r"), F.col("c"))).groupBy("c", "c_ord").agg(F.min_by("code", "ord").alias("c_code"))
+        spoken, _ = broadcast_if_small(spoken)
+        by_country = asked.join(spoken, F.contains(F.col("low"), F.col("c"))).groupBy("name").agg(F.min_by("c_code", "c_ord").alias("c_code"))
+        hits = hits.join(by_country, "name", "left")
+    else:
+        hits = hits.withColumn("c_code", F.lit(None).cast("string"))
+    label = F.when(F.col("best.rank").isNotNull(), F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("word")), F.col("best.rank")))
+    method = F.when(manual.isNotNull(), "manual").otherwise(F.coalesce(label, F.when(F.col("c_code").isNotNull(), "country"), F.lit("fallback")))
+    return hits.select("name", F.coalesce(manual, "best.code", "c_code", fallback_code(F.col("name"))).alias("code"), method.alias("method"))
 
 
 def mapped(df: DataFrame, mapping: DataFrame, key: str, value: str, default: str) -> DataFrame:
@@ -51,3 +64,39 @@ def lemma_pairs(df: DataFrame, order: str, inflected: str, lemmas: str) -> DataF
     """Inflected word and lemma of lines whose token lists are equally long; the last wins."""
     rows = df.where(F.size(inflected) == F.size(lemmas)).select(order, F.explode(F.arrays_zip(F.col(inflected).alias("a"), F.col(lemmas).alias("b"))).alias("z"))
     return last_wins(rows.select(order, F.col("z.a").alias("word"), F.col("z.b").alias("lemma")), "word", "lemma", order)
+
+
+def lemma_entries(rows: DataFrame) -> DataFrame:
+    """(word, lemma) in lower case of dictionary rows (line_no, src, tgt): what is its own lemma, or
+    one character long, is left out; the last line of a word wins."""
+    kept = rows.where((F.col("src") != F.col("tgt")) & (F.length("src") > 1))
+    return last_wins(kept.select("line_no", F.lower("src").alias("word"), F.lower("tgt").alias("lemma")), "word", "lemma", "line_no")
+
+
+def with_lemmas(words: DataFrame, lemmas: DataFrame, word: str = "word", rules: bool = True) -> DataFrame:
+    """Column lemma: the known lemma of the lower-cased word, else by English rules, or with
+    ``rules`` off the word itself in lower case."""
+    table, _ = broadcast_if_small(lemmas.select(F.col("word").alias("__low"), F.col("lemma").alias("__known")))
+    met = words.withColumn("__low", F.lower(word)).join(table, "__low", "left")
+    lemma = english_lemma(F.col(word), F.col("__known")) if rules else F.coalesce("__known", "__low")
+    return met.withColumn("lemma", lemma).drop("__low", "__known")
+
+
+def sentence_matches(tokens: DataFrame, dictionary: DataFrame, line: list[str], least: int = 3) -> DataFrame:
+    """(line..., pos, token, src, tgt, how): for tokens (line..., pos, token, others), others being
+    the lower-cased words of the other side, the entry of the dictionary (ord, src, tgt) whose
+    target is among them: the token's own (exact), else the first of those of which one is the
+    other's prefix (prefix). Candidates are found for distinct tokens."""
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda n: F.left(F.col(c), n)))
+    keys = dictionary.select("ord", "src", "tgt", F.lower("tgt").alias("__t"))
+    distinct = tokens.select("token").distinct()
+    longer = distinct.select("token", prefixes("token").alias("src")).join(keys.where(F.length("src") >= least), "src")
+    shorter = keys.where(F.length("src") >= least).select("ord", "src", "tgt", "__t", prefixes("src").alias("token"))
+    short = keys.where(F.length("src") >= least).select("ord", "src", "tgt", "__t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(1, least - 1))), lambda n: F.left("src", n))).alias("token"))
+    shorter = distinct.join(shorter.unionByName(short), "token")
+    exact = distinct.join(keys.withColumn("token", F.col("src")), "token")
+    names = ["token", "ord", "src", "tgt", "__t"]
+    every = exact.select(*names, F.lit(0).alias("rank")).unionByName(longer.select(*names, F.lit(1).alias("rank"))).unionByName(shorter.select(*names, F.lit(1).alias("rank")))
+    met = tokens.join(every, "token").where(F.array_contains("others", F.col("__t")))
+    best = F.min(F.struct("rank", "ord", "src", "tgt")).alias("b")
+    return met.groupBy(*line, "pos", "token").agg(best).select(*line, "pos", "token", "b.src", "b.tgt", F.when(F.col("b.rank") == 0, "exact").otherwise("prefix").alias("how"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.gloss import analysis_failed
+from lexloom.functions.metrics import let
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], word: str) -> DataFrame:
@@ -54,6 +55,28 @@ def coverage(words: DataFrame, count: str = "analyses") -> DataFrame:
     ).withColumn("coverage", F.coalesce(F.try_divide(100.0 * F.col("analyzed_words"), F.col("total_words")), F.lit(0.0)))
 
 
+def per_sentence(words: Column, successors: Column) -> Column:
+    """struct<total, analyzed, analyses, most, least> of one sentence's distinct words: successors
+    are the distinct ``word analysis`` pairs of a sentence as texts. All of it is inside a row, so
+    nothing is shuffled before the totals."""
+
+    def of_sorted(owners: Column) -> Column:
+        starts = F.filter(F.transform(owners, lambda w, i: F.when((i == 0) | (w != F.get(owners, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+        sizes = lambda heads: F.transform(heads, lambda s, k: (F.coalesce(F.get(heads, k + 1), F.size(owners)) - s).cast("long"))
+        return let(starts, sizes)
+
+    runs = let(F.array_sort(F.transform(successors, lambda p: F.substring_index(p, " ", 1))), of_sorted)
+    total = F.size(F.array_distinct(words)).cast("long")
+    return let(runs, lambda n: F.struct(total.alias("total"), F.size(n).cast("long").alias("analyzed"), F.size(successors).cast("long").alias("analyses"), F.array_max(n).alias("most"), F.array_min(n).alias("least")))
+
+
+def coverage_of_sentences(rows: DataFrame, stats: str) -> DataFrame:
+    """The same as ``coverage``, of the sentences' own statistics."""
+    s = lambda f: F.col(f"{stats}.{f}")
+    out = rows.agg(F.coalesce(F.sum(s("total")), F.lit(0)).alias("total_words"), F.coalesce(F.sum(s("analyzed")), F.lit(0)).alias("analyzed_words"), F.max(s("most")).alias("most"), F.min(s("least")).alias("least"), F.coalesce(F.sum(s("analyses")), F.lit(0)).alias("total_analyses"))
+    return out.withColumn("average", F.try_divide("total_analyses", "analyzed_words")).withColumn("coverage", F.coalesce(F.try_divide(100.0 * F.col("analyzed_words"), F.col("total_words")), F.lit(0.0)))
+
+
 def unanalysed(documents: DataFrame) -> DataFrame:
     """(sentence_id, word) of failed words of (sentence_id, analyses map)."""
     return documents.select("sentence_id", F.explode("analyses").alias("word", "found")).where(analysis_failed(F.col("found"))).select("sentence_id", "word")

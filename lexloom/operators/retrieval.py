@@ -31,13 +31,14 @@ def jaccard_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
 
 def scored_topk(queries: DataFrame, pool: DataFrame, score, k: int = 3, block: int = BLOCK) -> DataFrame:
     """The k best candidates by any score of (query, candidate) columns. The stated query set is
-    broadcast in blocks of about ``block`` queries, and each block reads the candidates once. Equal
-    texts are left out."""
+    broadcast in blocks of about ``block`` queries, and each block reads the candidates once. Texts
+    that are equal but for case are left out."""
     n = max(1, -(-queries.count() // block))
+    fold = lambda c: F.lower(c) if dict(queries.dtypes)["query"] == "string" else F.col(c)
     out = None
     for b in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        pairs = pool.join(F.broadcast(part), ~F.col("query").eqNullSafe(F.col("cand")))
+        pairs = pool.join(F.broadcast(part), ~fold("query").eqNullSafe(fold("cand")))
         best = _top(pairs.select("query_id", "cand_id", score(F.col("query"), F.col("cand")).alias("score")), k)
         out = best if out is None else out.union(best)
     return out
@@ -51,6 +52,43 @@ def cosine_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
     return scored_topk(queries, pool, lambda a, b: F.round(cosine(a, b), 6), k)
 
 
+def refilled(best: DataFrame, queries: DataFrame, pool: DataFrame, score, k: int = 3, block: int = BLOCK) -> DataFrame:
+    """The k examples of each query: first those that a retriever found (query_id, cand_id, score),
+    texts equal to the query but for case left out, then the best of the rest, down to k."""
+    fold = lambda c: F.lower(F.col(c))
+    first = best.join(queries, "query_id").join(pool, "cand_id").where(~fold("query").eqNullSafe(fold("cand"))).select("query_id", "cand_id", "score", F.lit(0).alias("turn"))
+    rest = scored_topk(queries, pool, score, k + best.groupBy("query_id").count().agg(F.max("count")).first()[0] if best.limit(1).count() else k, block).select("query_id", "cand_id", "score", F.lit(1).alias("turn"))
+    rest = rest.join(first.select("query_id", "cand_id"), ["query_id", "cand_id"], "left_anti")
+    order = W.partitionBy("query_id").orderBy("turn", F.desc("score"), "cand_id")
+    return first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "cand_id", "score", "rank")
+
+
+def random_examples(queries: DataFrame, pool: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """k examples of each query, drawn by hash; texts equal to the query but for case are left out.
+    Each candidate meets each stated query once, and only k of a task go on."""
+    draw = lambda q, c: F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("cand_id").cast("string")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double")
+    return scored_topk(queries, pool, draw, k)
+
+
+#: What begins and ends a template's examples, and its place for the input.
+EXAMPLES_BEGIN = ("Here are some examples", "Here are examples", "Example 1:", "Examples:")
+EXAMPLES_END = ("Now translate", "translate the following", "Translate the following")
+INPUT_PLACE = "{input_text}"
+
+
+def template_parts(template: str) -> tuple[str, str]:
+    """What a template has before its examples, with the line that opens them, and after, from the
+    line that closes them on. Without both, it is cut before the line with the input's place. Lines
+    with translation tags inside the examples belong to these."""
+    lines = template.split("\n")
+    begin = next((i for i, x in enumerate(lines) if any(m in x for m in EXAMPLES_BEGIN)), None)
+    end = None if begin is None else next((i for i, x in enumerate(lines) if i > begin and any(m in x for m in EXAMPLES_END)), None)
+    if end is None:
+        place = next((i for i, x in enumerate(lines) if INPUT_PLACE in x), len(lines))
+        return "\n".join(lines[:place]), "\n".join(lines[place:])
+    return "\n".join(lines[: begin + 1]), "\n".join(lines[end:])
+
+
 def prompts(top: DataFrame, queries: DataFrame, pool: DataFrame, template: str) -> DataFrame:
     """A prompt for each query: its examples in order of rank, then its input."""
     item = F.struct("rank", F.col("input"), F.col("output"))

@@ -223,11 +223,11 @@ def filtered_text(spark, sf_dir):
 
 @query("""
 SELECT lower(w) AS folded, arg_min(w, k) AS canonical, count(DISTINCT w) AS forms, count(*) AS cnt FROM (
-  SELECT doc_id * 1000000 + i AS k, string_split_regex(text, '\\s+')[i] AS w FROM (SELECT doc_id, trim(text, ' \t\n\r') AS text, unnest(range(1, len(string_split_regex(trim(text, ' \t\n\r'), '\\s+')) + 1)) AS i FROM documents WHERE lang = 'en'))
+  SELECT doc_id * 1000000 + unnest(range(len(l))) AS k, unnest(l) AS w FROM (SELECT doc_id, string_split_regex(trim(text, ' \t\n\r'), '\\s+') AS l FROM documents))
 WHERE w <> '' GROUP BY 1
 """)
 def canonical_case_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     words = docs.select("doc_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "src"))
     return dictionary.canonical_case(words, ["doc_id", "pos"])
 
@@ -258,7 +258,7 @@ _BEST = f"{_COUNTS}, best AS (SELECT src, tgt, cnt FROM (SELECT *, row_number()
 
 @query(f"WITH {_BEST} SELECT src, tgt, cnt FROM best")
 def pair_dictionary_best(spark, sf_dir):
-    return dictionary.best_translation(dictionary_pairs(spark, sf_dir))
+    return dictionary.best_translation(dictionary_pairs(spark, sf_dir)).drop("first_pos")
 
 
 @query(f"""
@@ -308,7 +308,7 @@ WITH {_APPLIED} SELECT count(*) AS total_words, count(*) FILTER (how <> 'kept')
   count(DISTINCT CASE WHEN how = 'exact' THEN w END) AS used_exact, round(count(*) FILTER (how <> 'kept') / count(*), 6) AS replacement_rate FROM o
 """)
 def dict_coverage(spark, sf_dir):
-    return dictionary.coverage(applied(spark, sf_dir), 0).withColumn("replacement_rate", F.round("replacement_rate", 6))
+    return dictionary.coverage(applied(spark, sf_dir)).withColumn("replacement_rate", F.round("replacement_rate", 6))
 
 
 @query(f"""
@@ -471,7 +471,9 @@ WITH {_NEXT} SELECT count(*) AS total_words, count(*) FILTER (analyses > 0) AS a
   max(CASE WHEN analyses > 0 THEN analyses END) AS most, min(CASE WHEN analyses > 0 THEN analyses END) AS least, CAST(sum(analyses) AS BIGINT) AS total_analyses, round(100.0 * count(*) FILTER (analyses > 0) / count(*), 6) AS coverage FROM a
 """)
 def analysis_stats(spark, sf_dir):
-    out = morph.coverage(next_words(spark, sf_dir))
+    words = table(spark, sf_dir, "documents").select(text.word_tokens(F.col("text")).alias("w"))
+    pairs = words.select("w", F.array_distinct(F.when(F.size("w") < 2, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))))).alias("p"))
+    out = morph.coverage_of_sentences(pairs.select(morph.per_sentence(F.col("w"), F.col("p")).alias("s")), "s")
     return out.withColumn("average", F.round("average", 6)).withColumn("coverage", F.round(F.col("coverage").cast("double"), 6))
 
 
@@ -519,13 +521,6 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_topk(queries, vectors.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("cand")))
 
 
-@query()
-def chrf_topk(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")
-    queries = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.chrf_topk(queries, items.select(F.col("item_id").alias("cand_id"), F.col("text").alias("cand")))
-
-
 # -- evaluation -----------------------------------------------------------------------------------
 
 _GRAMS = "[array_to_string({x}[i:i+{n}-1], ' ') FOR i IN range(1, len({x}) - {n} + 2)]"
@@ -557,13 +552,6 @@ def bleu_by_length(spark, sf_dir):
     return evaluation.bleu_by_length(parallel(spark, sf_dir), "tgt", "src").withColumn("bleu", F.round("bleu", 6))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    pairs = parallel(spark, sf_dir)
-    scores = evaluation.bootstrap(pairs, F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "tgt", "src", 1000)
-    return evaluation.interval(scores, 1000)
-
-
 @query(f"WITH {_PARALLEL} SELECT round(sum(len(tgt)) / sum(len(src)), 6) AS length_ratio, round(avg(len(src)), 6) AS mean_ref, round(avg(len(tgt)), 6) AS mean_hyp FROM pairs")
 def length_ratio(spark, sf_dir):
     return parallel(spark, sf_dir).agg(F.round(F.try_divide(F.sum(F.size("tgt")), F.sum(F.size("src"))), 6).alias("length_ratio"), F.round(F.avg(F.size("src")), 6).alias("mean_ref"), F.round(F.avg(F.size("tgt")), 6).alias("mean_hyp"))
@@ -662,7 +650,10 @@ def url_email_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", count(text.URL).alias("urls"), count(text.EMAIL).alias("emails"), count(text.IPV4).alias("addresses"))
 
 
-@query()
+_HYPHENS = _sql_chain("word", [(f"([{text.VOWELS}])([{text.VOWELS}])", "\\1-\\2")] * 2 + [(f"([{text.VOWELS}][{text.CONSONANTS}]*?)([{text.CONSONANTS}][{text.VOWELS}])", "\\1-\\2")] * 2)
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents) SELECT word, {_HYPHENS} AS hyphenated FROM w")
 def hyphenate(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", text.hyphenate(F.col("word")).alias("hyphenated"))
