@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import gloss, metrics, text
+from lexloom.functions import gloss, metrics, phonology, text
 from lexloom.operators import corpus, dedup, dictionary, evaluation, lookup, retrieval
 from lexloom.plans.catalogue import _BEST, _COUNTS, _LINES, _M1, _PARALLEL, _PRIO, _STATS, _SUMS, dictionary_pairs, docs_labels, gloss_lines, parallel, query, table
 
@@ -352,3 +352,57 @@ def name_match_countries(spark, sf_dir):
     few = part.where("p_partkey <= 60").join(F.broadcast(nation), F.col("n_nationkey") == F.col("p_partkey") % 25)
     ref = few.select(F.col("p_partkey").alias("ord"), F.concat(F.get(F.split("p_type", " "), F.lit(0)), F.lit(" "), "n_name").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("code"))
     return lookup.resolve_names(names, ref, countries=nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name")))
+
+
+# -- Turkish words ----------------------------------------------------------------------------------
+
+_SPELL = """list_concat(CASE WHEN {h} = 0 THEN [] WHEN {h} = 1 THEN ['yüz'] ELSE [u[{h} + 1], 'yüz'] END, CASE WHEN {t} = 0 THEN [] ELSE [t[{t}]] END, CASE WHEN {d} = 0 THEN [] ELSE [u[{d} + 1]] END)"""
+
+
+def _spell(n: str) -> str:
+    return _SPELL.format(h=f"(({n}) // 100)", t=f"((({n}) // 10) % 10)", d=f"(({n}) % 10)")
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, p_partkey * 37 AS n, [{', '.join(repr(x) for x in phonology.UNITS)}] AS u, [{', '.join(repr(x) for x in phonology.TENS)}] AS t FROM part),
+g AS (SELECT p_partkey, n, list_concat(CASE n // 1000000 WHEN 0 THEN [] ELSE list_concat({_spell('n // 1000000')}, ['milyon']) END, CASE n // 1000 % 1000 WHEN 0 THEN [] WHEN 1 THEN ['bin'] ELSE list_concat({_spell('n // 1000 % 1000')}, ['bin']) END, {_spell('n % 1000')}) AS l FROM w)
+SELECT p_partkey, CASE WHEN n = 0 THEN 'sıfır' ELSE array_to_string(l, ' ') END AS spelled, CAST(n AS BIGINT) AS value FROM g
+""")
+def number_words(spark, sf_dir):
+    words = phonology.spelled_number(F.col("p_partkey") * 37)
+    return table(spark, sf_dir, "part").select("p_partkey", words.alias("w")).select("p_partkey", F.array_join("w", " ").alias("spelled"), phonology.number_value(F.col("w")).alias("value"))
+
+
+_MARKS = ", ".join(repr(x) for x in phonology.SENTENCE_ENDS)
+_QUOTED = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{phonology.PLAIN_TOKEN.replace("'", "''")}') AS t FROM conversations),
+o AS (SELECT *, coalesce(list_position(list_transform(t, lambda x: x IN ({_QUOTED(phonology.OPENING)})), true), 0) AS first FROM t)
+SELECT conv_id, turn, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5,
+  len([i FOR i IN range(1, len(t) + 1) IF t[i] IN ({_MARKS}) AND NOT (i > 1 AND regexp_full_match(t[greatest(i - 1, 1)], '[0-9]+')) AND NOT (i < len(t) AND t[i + 1] IN ({_QUOTED(phonology.CLOSING)}) AND first > 0 AND first <= i - 1) AND NOT (i < len(t) AND t[i + 1] IN ({_MARKS}))]) AS n_ends FROM o
+""")
+def sentence_tokens(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", phonology.sentence_tokens(F.col("text"), initials=False).alias("t"))
+    found = rows.select("conv_id", "turn", "t", phonology.sentences(F.col("t")).alias("s"))
+    ends = F.size(F.filter("s", lambda x: F.element_at(x, -1).isin(*phonology.SENTENCE_ENDS))) - F.when((F.size("t") > 0) & F.col("open"), 1).otherwise(0)
+    # a last sentence may end in a mark that ends none, after a number
+    last = F.element_at("t", -1)
+    spared = F.when(F.size("t") > 1, F.get("t", F.size("t") - 2).rlike("^[0-9]+$") & last.isin(*phonology.SENTENCE_ENDS)).otherwise(False)
+    return found.withColumn("open", spared).select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"), ends.cast("long").alias("n_ends"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
+SELECT w AS word, upper(replace(left(w, 1), 'i', 'İ')) || substr(w, 2) AS first, upper(replace(w, 'i', 'İ')) AS whole, translate(w, 'âîûÂÎÛ', 'aiuAİU') AS plain, translate(w, 'âîûÂÎÛçğıöşüÇĞİÖŞÜ', 'aiuAIUcgiosuCGIOSU') AS ascii FROM w WHERE regexp_full_match(w, '[a-zçğıöşüâîû]+')
+""")
+def case_variants(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct().where(F.col("word").rlike("^[a-zçğıöşüâîû]+$"))
+    return words.select("word", *(c.alias(n) for n, c in phonology.spellings(F.col("word")).items()))
+
+
+@query()
+def word_sounds(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct()
+    return words.where(F.col("word").rlike("^[a-zçğıöşüâîû]+$")).select("word", phonology.sounds(F.col("word")).alias("sounds"))

@@ -1,7 +1,7 @@
 """Readers. Every text reader attaches line_no, from 0, because row order carries meaning.
 
-Small files are read whole, so that a line's number is its place; files over ``WHOLE`` bytes go
-line by line, numbered by offsets of partitions (``zipWithIndex``), with one task for each split.
+A file is read in splits, one task each; a line's number is its place in its split and the lines of the
+splits before it, so files of any size go the same way and no task sees a whole file.
 """
 
 from __future__ import annotations
@@ -13,34 +13,42 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import tokens
 from lexloom.sources import schemas
 
-WHOLE = 64 << 20
+CHUNK = 100_000
 
 
-def _size(spark: SparkSession, path: str) -> int:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sum(s.getLen() for s in fs.globStatus(target) or [])
+def lines(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
+    """(line_no, line) of one file; blanks stay. Lines end with a line feed, before which a carriage
+    return is dropped; an empty file has none."""
+    read = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = read.groupBy("__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = splits.withColumn("__before", F.sum("__n").over(W.orderBy("__split")) - F.col("__n")).drop("__n")  # a row for each split
+    rows = read.join(F.broadcast(before), "__split").select((F.col("__id") - F.col("__first") + F.col("__before")).alias("line_no"), "line")
+    return rows.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")) if trim else rows
 
 
-def lines(spark: SparkSession, path: str, trim: bool = True, whole: int = WHOLE) -> DataFrame:
-    """(line_no, line) of one file; blanks stay."""
-    if _size(spark, path) <= whole:
-        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n\\z", ""), "\r?\n")).alias("line_no", "line"))
-        rows = rows.withColumn("line_no", F.col("line_no").cast("long"))
-    else:
-        numbered = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-        rows = spark.createDataFrame(numbered, "line_no long, line string")
-    return rows.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")) if trim else rows
+def counted_before(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """Column name: how many flagged rows there are up to each, in order of line_no. Chunks of lines
+    are counted first, so no window is one task but that over the chunks' counts."""
+    chunked = rows.withColumn("__c", F.floor(F.col("line_no") / CHUNK)).withColumn("__f", F.when(flag, 1).otherwise(0))
+    sums = chunked.groupBy("__c").agg(F.sum("__f").alias("__s"))
+    before = sums.withColumn("__before", F.sum("__s").over(W.orderBy("__c")) - F.col("__s")).drop("__s")
+    here = F.sum("__f").over(W.partitionBy("__c").orderBy("line_no"))
+    return chunked.withColumn("__here", here).join(F.broadcast(before), "__c").withColumn(name, F.col("__here") + F.col("__before")).drop("__c", "__f", "__here", "__before")
 
 
 def non_blank(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """Non-blank lines, numbered anew by partial counts; a cap counts raw lines."""
+    """Non-blank lines, numbered anew; a cap counts raw lines."""
     kept = rows.where((F.col("line") != "") & (F.lit(cap is None) | (F.col("line_no") < (cap or 0))))
-    block = kept.withColumn("__b", F.floor(F.col("line_no") / 100_000))
-    sizes = block.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.alias("x").join(F.broadcast(sizes.alias("y")), F.col("y.__b") < F.col("x.__b"), "left").groupBy(F.col("x.__b").alias("__b")).agg(F.coalesce(F.sum("y.__n"), F.lit(0)).alias("__before"))
-    at = F.row_number().over(W.partitionBy("__b").orderBy("line_no")) - 1
-    return block.withColumn("__at", at).join(F.broadcast(before), "__b").select((F.col("__at") + F.col("__before")).alias("line_no"), "line")
+    return counted_before(kept, F.lit(True), "__at").select((F.col("__at") - 1).alias("line_no"), "line")
+
+
+def length_report(*sides: DataFrame, names: list[str]) -> DataFrame:
+    """Lines of each side, and how many of them ``zipped`` cuts off."""
+    rows = None
+    for side, name in zip(sides, names, strict=True):
+        one = side.agg(F.lit(name).alias("side"), F.count("*").alias("lines"))
+        rows = one if rows is None else rows.union(one)
+    return rows.join(F.broadcast(rows.agg(F.min("lines").alias("least")))).select("side", "lines", (F.col("lines") - F.col("least")).alias("cut"))
 
 
 def zipped(*sides: DataFrame, names: list[str], strict: bool = False) -> DataFrame:
@@ -126,11 +134,46 @@ def sectioned_mapping(rows: DataFrame, begin: str = "Core Mappings", end: str =
 def disambiguated(rows: DataFrame) -> DataFrame:
     """(line_no, block, prob, word, analysis) of ``prob: word analysis`` lines; blank lines end a
     block. Malformed lines are left out but do not."""
-    blocks = rows.withColumn("block", F.sum(F.when(F.col("line") == "", 1).otherwise(0)).over(W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = counted_before(rows, F.col("line") == "", "block")
     pattern = r"^(-?[0-9.eE+-]+):\s+(\S+)\s+(.+)$"
     return blocks.where(F.col("line").rlike(pattern)).select("line_no", "block", F.regexp_extract("line", pattern, 1).try_cast("double").alias("prob"), F.regexp_extract("line", pattern, 2).alias("word"), F.regexp_extract("line", pattern, 3).alias("analysis")).where("prob is not null")
 
 
+def strict_pairs(rows: DataFrame, mark: str = " -> ") -> tuple[DataFrame, DataFrame]:
+    """((line_no, src, tgt) of every line with the mark, repeats and all; lines that have none)."""
+    has = F.contains("line", F.lit(mark))
+    src = F.trim(F.substring_index("line", mark, 1))
+    tgt = F.trim(F.substr("line", F.locate(mark, F.col("line")) + len(mark)))
+    return rows.where(has).select("line_no", src.alias("src"), tgt.alias("tgt")), rows.where(~has & (F.trim("line") != ""))
+
+
+def keys(rows: DataFrame, mark: str = "->") -> DataFrame:
+    """(line_no, src): what stands before the mark."""
+    return rows.where(F.contains("line", F.lit(mark))).select("line_no", F.trim(F.substring_index("line", mark, 1)).alias("src"))
+
+
+def repeated_entries(rows: DataFrame, mark: str = "->") -> DataFrame:
+    """(line_no, src, tgt, first_line) of entries whose source an earlier line has."""
+    entries = dictionary_audit(rows, mark).where("reason is null").drop("reason")
+    first = entries.groupBy("src").agg(F.min("line_no").alias("first_line"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return entries.join(first, "src").where("line_no > first_line").select("line_no", "src", "tgt", "first_line")
+
+
+def settings(spark: SparkSession, path: str) -> dict[str, str]:
+    """``key: value`` lines of a small file of settings, those of sections as section.key; quotes
+    and comments go. Read on the driver."""
+    out, section = {}, ""
+    for line in spark.read.text(path, wholetext=True).first()[0].splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#") or ":" not in bare:
+            continue
+        name, _, value = bare.partition(":")
+        if bare[0] not in " \t":
+            section = "" if value.strip() else f"{name.strip()}."
+        out |= {(section if bare[0] in " \t" else "") + name.strip(): value.strip().strip("'\"")} if value.strip() else {}
+    return out
+
+
 def segmentations(rows: DataFrame) -> DataFrame:
     """(line_no, word, segmented) of two-column lines."""
     f = F.split("line", "\t")

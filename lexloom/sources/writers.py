@@ -21,13 +21,19 @@ def text_lines(df: DataFrame, path: str, column: str, order: str | None = None)
 
 
 def parallel_text(df: DataFrame, path: str, columns: list[str], order: str) -> None:
-    """A folder for each column; line i of each belongs to one row, as all are cut at the same places."""
-    ordered = df.repartitionByRange(max(1, df.rdd.getNumPartitions()), order).sortWithinPartitions(order).persist()
-    try:
-        for c in columns:
-            ordered.select(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n", " ").alias("value")).write.mode("overwrite").text(f"{path}/{c}")
-    finally:
-        ordered.unpersist()
+    """A folder for each column, part files in order; line i of each belongs to one row. The rows are
+    staged once with the number of their part, by which every column is dealt, so all are cut at the
+    same places, whatever has to be run again."""
+    spark = df.sparkSession
+    staged = f"{path}/_rows"
+    df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()).write.mode("overwrite").parquet(staged)
+    rows = spark.read.parquet(staged)
+    parts = (rows.agg(F.max("__part")).first()[0] or 0) + 1
+    dealt = rows.repartitionById(parts, "__part").sortWithinPartitions(order)
+    for c in columns:
+        dealt.select(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\n", " ").alias("value")).write.mode("overwrite").text(f"{path}/{c}")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def by_field(df: DataFrame, path: str, keys: list[str], fields: list[str]) -> None:
@@ -64,6 +70,48 @@ def by_verdict(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("verdict").parquet(path)
 
 
+def verdict_files(rows: DataFrame, path: str) -> None:
+    """Lines ``source -> target`` of right pairs, of corrected ones (with the correction), and of
+    both together, sorted by source."""
+    line = lambda t: F.concat("source", F.lit(" -> "), t)
+    right = rows.where("verdict = 'CORRECT'").select("source", line(F.col("target")).alias("line"))
+    fixed = rows.where("verdict = 'INCORRECT' and correction <> ''").select("source", line(F.col("correction")).alias("line"))
+    for name, part in (("correct", right), ("corrected", fixed), ("clean", right.union(fixed))):
+        text_lines(part, f"{path}/{name}", "line", "source")
+
+
+def keyed_csv(df: DataFrame, path: str, key: str) -> None:
+    """A CSV table whose first column is the key."""
+    csv(df.select(key, *(c for c in df.columns if c != key)), path)
+
+
+def dictionary_export(top: DataFrame, statistics: DataFrame, path: str) -> None:
+    """A dictionary (src, tgt, cnt, rank, confidence, is_primary) as JSON entries, as lines of best
+    translations, as a table of all, and its statistics as (name, value) lines."""
+    entry = F.array_sort(F.collect_list(F.struct("rank", "tgt", "cnt", "confidence")))
+    json_lines(top.groupBy("src").agg(entry.alias("translations")), f"{path}/entries")
+    text_lines(top.where("is_primary").select("src", F.concat("src", F.lit(" → "), "tgt").alias("line")), f"{path}/simple", "line", "src")
+    csv(top.select("src", "tgt", "cnt", "is_primary", "confidence"), f"{path}/detailed")
+    names = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in statistics.columns))
+    text_lines(statistics.select(F.explode(names).alias("s")).select(F.concat_ws(": ", "s.name", "s.value").alias("line")), f"{path}/statistics", "line")
+
+
+def sentence_scores(df: DataFrame, path: str, number: str, metrics: list[str]) -> None:
+    """A CSV table of sentences, counted from 1, and their scores."""
+    csv(df.orderBy(number).select((F.col(number) + 1).alias("Sentence ID"), *metrics), path)
+
+
+def metric_table(df: DataFrame, path: str) -> None:
+    """(metric, score, low, high) as a CSV table; what is missing is N/A."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    csv(df.select(F.col("metric").alias("Metric"), cell("score").alias("Score"), cell("low").alias("Lower Bound"), cell("high").alias("Upper Bound")), path)
+
+
+def predictions_by_language(df: DataFrame, path: str, generated: str = "generated", language: str = "language") -> None:
+    """Generated texts, trimmed and the empty one for none, below a folder for each language."""
+    df.select(F.col(language).alias("language"), F.trim(F.coalesce(F.col(generated), F.lit(""))).alias("value")).write.mode("overwrite").partitionBy("language").text(path)
+
+
 def appended(df: DataFrame, path: str, batch: str) -> None:
     """A batch of partial results; a repeated batch takes the place of its first try."""
     df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue
+from lexloom.plans import catalogue, further
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -34,8 +34,8 @@ def test_query(spark, duck, sf_dir, name):
 
 
 def test_bootstrap_has_all_replicates(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(catalogue.evaluation, "interval", lambda scores, replicates: (scores.count(), replicates))
-    assert catalogue.bootstrap_ci(spark, sf_dir) == (1000, 1000)
+    monkeypatch.setattr(further, "_interval", lambda scores, replicates: (scores.count(), replicates))
+    assert further.bootstrap_ci(spark, sf_dir) == (1000, 1000)
 
 
 def test_reference_meets_every_entity(spark, sf_dir):

@@ -5,7 +5,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.functions import gloss, metrics, parse, text
+from lexloom.functions import gloss, metrics, parse, phonology, text
+from lexloom.operators import retrieval
 
 
 def value(spark, column):
@@ -95,3 +96,32 @@ def test_bleu_and_chrf(spark):
     assert value(spark, metrics.chrf(lit("xx"), lit("yy"))) == 0.0
     assert value(spark, metrics.chrf(lit(""), lit("yy"))) == 0.0
     assert value(spark, F.concat_ws("|", metrics.thirteen_a(lit("Hi, 3.5 (x)!")))) == "Hi|,|3.5|(|x|)|!"
+
+
+def test_template_parts():
+    whole = "Task.\nHere are some examples\n<translation>x</translation>\nIn: a\nNow translate:\n{input_text}"
+    assert retrieval.template_parts(whole) == ("Task.\nHere are some examples", "Now translate:\n{input_text}")
+    assert retrieval.template_parts("Say\nIt: {input_text}\nend") == ("Say", "It: {input_text}\nend")
+    assert retrieval.template_parts("nothing") == ("nothing", "")
+
+
+def test_phonology(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(phonology.syllables(F.lit(w))) for w in ("Araba", "saat", "Türkçe", "IŞIK", "kontrol")] == ["a.ra.ba", "sa.at", "türk.çe", "ı.şık", "kont.rol"]
+    assert [one(phonology.sounds(F.lit(w))) for w in ("baba", "ev", "dağ", "çiçek")] == ["bɑbˈɑ", "ˈev", "dˈɑ:", "tʃʰitʃʰˈec" + "ʰ"]
+    assert one(phonology.case_variants(F.lit("ışık"))) == ["ışık", "Işık", "IŞIK", "isik"]
+    assert one(phonology.case_variants(F.lit("kâr")))[:4] == ["kâr", "Kâr", "KÂR", "kar"]
+    text = 'Dr. Ali 3.5 kilo aldı. "Gel!" dedi... Saat 5. sırada. A. Veli\'nin evi?'
+    tokens = one(phonology.sentence_tokens(F.lit(text)))
+    assert tokens[:5] == ["Dr", ".", "Ali", "3.5", "kilo"] and "A." in tokens and "Veli'nin" in tokens and "..." in tokens
+    found = one(phonology.sentences(F.array(*(F.lit(t) for t in tokens)), ("Dr",)))
+    assert [" ".join(s) for s in found] == ["Dr . Ali 3.5 kilo aldı .", '" Gel ! " dedi ...', "Saat 5 . sırada .", "A. Veli'nin evi ?"]
+    assert one(phonology.sentences(F.array(F.lit("a"), F.lit("b")))) == [["a", "b"]] and one(phonology.sentences(F.array().cast("array<string>"))) == []
+
+
+def test_number_words(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 1, 15, 100, 101, 234, 1000, 1001, 2345, 10_000, 100_100, 1_000_000, 987_654_321, 5_000_000_000_007)], "n long")
+    words = phonology.spelled_number(F.col("n"))
+    assert [(r.n, r.v) for r in df.select("n", phonology.number_value(words).alias("v")).collect()] == [(r.n, r.n) for r in df.collect()]
+    assert " ".join(df.where("n = 2345").select(words.alias("w")).first().w) == "iki bin üç yüz kırk beş"
+    assert spark.range(1).select(phonology.number_value(F.array(F.lit("kedi"))).alias("v")).first().v is None

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus, dictionary, morph
+from lexloom.operators import corpus, dictionary, lookup, morph
 from lexloom.sources import readers, writers
 from lexloom.streaming import logs
 
@@ -21,7 +21,16 @@ def test_lines_keep_blanks_and_places(spark, tmp_path):
     path = put(tmp_path, "a.txt", " one \n\nthree\n")
     want = [(0, "one"), (1, ""), (2, "three")]
     assert rows(readers.lines(spark, path), "line_no") == want
-    assert rows(readers.lines(spark, path, whole=0), "line_no") == want
+    assert readers.lines(spark, put(tmp_path, "empty.txt", "")).count() == 0
+    many = put(tmp_path, "many.txt", "".join(f"{i} x\r\n" if i % 3 else f"{i} a\rb\n" for i in range(500)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        split = readers.lines(spark, many)
+        assert split.rdd.getNumPartitions() > 5
+        assert rows(split, "line_no") == [(i, f"{i} x" if i % 3 else f"{i} a\rb") for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert rows(readers.non_blank(readers.lines(spark, path)), "line_no") == [(0, "one"), (1, "three")]
 
 
@@ -44,6 +53,54 @@ def test_dictionaries(spark, tmp_path):
     assert rows(pairs, "pos") == [(0, 0, "ev", "house")]
 
 
+def test_dictionary_scans(spark, tmp_path):
+    lines = readers.lines(spark, put(tmp_path, "d", "a -> b\nc->d\n\na -> e\nx\n"))
+    good, bad = readers.strict_pairs(lines)
+    assert rows(good, "line_no") == [(0, "a", "b"), (3, "a", "e")] and [r[1] for r in rows(bad, "line_no")] == ["c->d", "x"]
+    assert [r[1] for r in rows(readers.keys(lines), "line_no")] == ["a", "c", "a"]
+    assert rows(readers.repeated_entries(lines), "line_no") == [(3, "a", "e", 0)]
+    entries = spark.createDataFrame([(0, "Cats", "cat"), (1, "dog", "dog"), (2, "x", "y"), (3, "cats", "feline")], "line_no int, src string, tgt string")
+    assert rows(lookup.lemma_entries(entries), "word") == [("cats", "feline")]
+    assert readers.settings(spark, put(tmp_path, "y", "# c\nmodel:\n  layers: 2 # two\n  name: 'a'\nseed: 42\n")) == {"model.layers": "2", "model.name": "a", "seed": "42"}
+    report = readers.length_report(lines, lines.limit(2), names=["s", "t"])
+    assert rows(report, "side") == [("s", 5, 3), ("t", 2, 0)]
+
+
+def test_non_blank_cap(spark, tmp_path):
+    lines = readers.lines(spark, put(tmp_path, "a", "a\n\nb\n\nc\n"))
+    assert rows(readers.non_blank(lines, cap=3), "line_no") == [(0, "a"), (1, "b")]
+
+
+def test_exports(spark, tmp_path):
+    top = spark.createDataFrame([("ev", "house", 3, 1, 0.75, True), ("ev", "home", 1, 2, 0.25, False)], "src string, tgt string, cnt long, rank int, confidence double, is_primary boolean")
+    writers.dictionary_export(top, spark.range(1).selectExpr("1 as entries", "75.0 as rate"), f"{tmp_path}/d")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/d/simple").collect()] == ["ev → house"]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/d/statistics").collect()) == ["entries: 1", "rate: 75.0"]
+    assert spark.read.json(f"{tmp_path}/d/entries").first().translations[1].tgt == "home"
+    assert spark.read.csv(f"{tmp_path}/d/detailed", header=True).count() == 2
+    scores = spark.createDataFrame([(0, 1.5), (1, None)], "n int, bleu double")
+    writers.sentence_scores(scores, f"{tmp_path}/s", "n", ["bleu"])
+    assert spark.read.csv(f"{tmp_path}/s", header=True).columns == ["Sentence ID", "bleu"]
+    writers.metric_table(spark.createDataFrame([("bleu", 1.0, None, None)], "metric string, score double, low double, high double"), f"{tmp_path}/m")
+    assert tuple(spark.read.csv(f"{tmp_path}/m", header=True).first()) == ("bleu", "1.0", "N/A", "N/A")
+    made = spark.createDataFrame([("tr", " a "), ("tr", None), ("en", "b")], "language string, generated string")
+    writers.predictions_by_language(made, f"{tmp_path}/p")
+    assert sorted((r.language, r.value) for r in spark.read.text(f"{tmp_path}/p").collect()) == [("en", "b"), ("tr", ""), ("tr", "a")]
+    rated = spark.createDataFrame([("a", "b", "CORRECT", ""), ("c", "d", "INCORRECT", "e"), ("f", "g", "UNCLEAR", "")], "source string, target string, verdict string, correction string")
+    writers.verdict_files(rated, f"{tmp_path}/v")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/v/clean").collect()) == ["a -> b", "c -> e"]
+    writers.keyed_csv(made, f"{tmp_path}/k", "generated")
+    assert spark.read.csv(f"{tmp_path}/k", header=True).columns == ["generated", "language"]
+
+
+def test_fallbacks(spark):
+    df = spark.range(3).withColumnRenamed("id", "n")
+    assert sorted((r.n, r.split) for r in corpus.head_tail_split(df, "n", 3, share=1.0, fallback=1).collect()) == [(0, "train"), (1, "train"), (2, "eval"), (2, "train")]
+    assert corpus.from_line(df, "n", 0).count() == 3 and corpus.from_line(df, "n", 3).count() == 1
+    rows_ = df.selectExpr("n", "if(n = 0, 'test', 'eval') as split")
+    assert corpus.first_of_splits(rows_, "split", ("train", "eval", "test"), ["n"], ["n"]).first().n == 1
+
+
 def test_blocks_and_runs(spark, tmp_path):
     lines = readers.lines(spark, put(tmp_path, "r", "-1.0: ev ev<N>\n-0.5: ev ev<V>\nbad\n\n-2.0: gel gel<V>\n"))
     found = readers.disambiguated(lines)
