@@ -5,13 +5,16 @@ Each document is streamed through it, tracking the longest run of words ending a
 that some item contains. A position whose run reaches the window length completes a window: those
 words are hits. An item shorter than the window counts as one window of its own length.
 
-Defined results: a null or empty text has no words and no hits; items without words never match;
-equal items each count; an empty item table leaves every document clean; very long texts are
-streamed, never cut. Only the id and text columns are read, so extra columns cannot clash.
+Items are read and broadcast in blocks of about ``block_bytes`` of text, which bounds an automaton (some
+300 bytes for each byte of text) and the driver alike: a table of several blocks goes over the
+documents block by block, each time from a table in the shared folder that has what was found
+before, and only one block is in memory at a time. A Python worker builds a block's automaton once.
 
-Items are broadcast in blocks of at most ``block_bytes`` of text. A larger table runs in several
-blocks over the same documents, whose hits and items are joined exactly, so the memory of a task
-stays bounded at any number of items.
+Defined results: a null or empty text has no words and no hits; items without words never match;
+equal items each count; rows with a null or repeated id are documents like others; items with a null
+id or text are left out; an empty item table leaves every document clean, an empty document table
+gives an empty result; very long texts are streamed, never cut; columns other than the id and text
+may have any name.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import Words, lean, pieces
+from lexloom.llm._text import Words, cache, lean, pieces
+from lexloom.llm.storage import drop, materialise
 
 WINDOW = 10
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 1_000_000
 MAX_COVERAGE = 0.8
 
 
@@ -166,54 +170,83 @@ SCANNED = T.StructType([
 ])
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    slim = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    slim = slim.where("i is not null and t is not null")
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """Blocks of items, read one at a time, and whether a block is the last."""
+    slim = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
         part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+        yield [(r.i, r.t) for r in part.collect()], b == n - 1
 
 
-def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: id, n_words, n_hit, hit_items, and hit_spans: byte starts and ends of the hit
-    runs, alternating. ``window`` is the length limit in words."""
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.lit(None).cast(T.ArrayType(T.LongType())).alias("runs"), F.lit(None).cast(T.ArrayType(T.StringType())).alias("names"))
-    blocks = list(_blocks(items, item_id, item_text, block_bytes))
-    for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        last = k == len(blocks) - 1
-        schema = T.StructType([out.schema["id"], *SCANNED.fields]) if last else out.schema
-        out = out.mapInArrow(lean(_scanner(shared, window, last)), schema)
-    return out.withColumnRenamed("id", id_col)
+_built: dict[tuple[int, int], Index] = cache("decontam")
+
 
+def _index(shared, window: int) -> Index:
+    """The automaton of a broadcast block, built once in each Python worker."""
+    key = id(shared.value), window
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(shared.value, window)
+    return _built[key]
 
-def _scanner(shared, window: int, last: bool):
+
+def _over_blocks(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, last_schema: T.StructType, finish) -> DataFrame:
+    """rows (body, ..., runs, names) after all blocks: finish(batch, words, runs, names) makes what
+    the last one returns of word runs and items found."""
+    kept = None
+    for block, last in _blocks(items, item_id, item_text, block_bytes):
+        shared = rows.sparkSession.sparkContext.broadcast(block)
+        out = rows.mapInArrow(lean(_scanner(shared, window, finish if last else None), "decontam"), last_schema if last else rows.schema)
+        if last:
+            return out
+        done, path = materialise(out, "decontam")
+        if kept:
+            drop(rows.sparkSession, kept)
+        shared.destroy()
+        rows, kept = done, path
+
+
+def _scanner(shared, window: int, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in pieces(batches, "body"):
-            index = index or Index(shared.value, window)
             words = Words(batch.column("body"))
-            counts, hit, names, runs = np.diff(words.rows), [], [], []
             before = zip(batch.column("runs").to_pylist(), batch.column("names").to_pylist(), strict=True)
-            for r, ((spans, found), (old, old_names)) in enumerate(zip(index.scan(words), before, strict=True)):
-                spans = _merged([*zip(old[::2], old[1::2], strict=True), *spans]) if old else spans
+            runs, names = [], []
+            for (spans, found), (old, old_names) in zip(_index(shared, window).scan(words), before, strict=True):
+                runs.append(_merged([*zip(old[::2], old[1::2], strict=True), *spans]) if old else spans)
                 names.append(sorted(found | set(old_names or ())))
-                hit.append(sum(b - a for a, b in spans))
-                if last:
-                    w, o = words.rows[r], words.offsets[r]
-                    runs.append([int(x) for a, b in spans for x in (words.starts[w + a] - o, words.ends[w + b - 1] - o)])
-                else:
-                    runs.append([x for span in spans for x in span])
-            if last:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))], names=["id", *SCANNED.names])
+            if finish:
+                yield finish(batch, words, runs, names)
             else:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["id", "body", "runs", "names"])
+                flat = [pa.array([[x for span in r for x in span] for r in runs], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+                yield batch.set_column(batch.num_columns - 2, "runs", flat[0]).set_column(batch.num_columns - 1, "names", flat[1])
 
     return run
 
 
+def _nothing_yet(*columns: Column) -> list[Column]:
+    return [*columns, F.lit(None).cast(T.ArrayType(T.LongType())).alias("runs"), F.lit(None).cast(T.ArrayType(T.StringType())).alias("names")]
+
+
+def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: id, n_words, n_hit, hit_items, and hit_spans: byte starts and ends of the hit
+    runs, alternating. ``window`` is the length limit in words."""
+    rows = docs.select(*_nothing_yet(F.col(id_col).alias("id"), F.col(text_col).alias("body")))
+
+    def finish(batch: pa.RecordBatch, words: Words, runs: list, names: list) -> pa.RecordBatch:
+        spans = []
+        for r, run in enumerate(runs):
+            w, o = words.rows[r], words.offsets[r]
+            spans.append([int(x) for a, b in run for x in (words.starts[w + a] - o, words.ends[w + b - 1] - o)])
+        hit = [sum(b - a for a, b in run) for run in runs]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(words.rows), pa.int64()), pa.array(hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))], names=["id", *SCANNED.names])
+
+    out = _over_blocks(rows, items, item_id, item_text, window, block_bytes, T.StructType([rows.schema["id"], *SCANNED.fields]), finish)
+    return out.withColumnRenamed("id", id_col)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -236,39 +269,30 @@ def report(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, window: int = WINDOW, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = MAX_COVERAGE, window: int = WINDOW, item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without their hit runs, in the same columns. A document with more than
     ``max_coverage`` of its words hit goes altogether. ``n_chars``, if there, follows the text."""
-    items = items.select("*")
-    blocks = list(_blocks(items, how.get("item_id", "item_id"), how.get("item_text", "text"), how.get("block_bytes", BLOCK_BYTES)))
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
-    return docs.mapInArrow(lean(_cutter(shared, text_col, window, max_coverage)), docs.schema)
-
-
-def _cutter(shared: list, text_col: str, window: int, max_coverage: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index(s.value, window) for s in shared] if len(shared) == 1 else None
-        for batch in pieces(batches, text_col):
-            k = batch.schema.get_field_index(text_col)
-            words = Words(batch.column(k))
-            found = [([], set())] * batch.num_rows
-            for index in indexes or (Index(s.value, window) for s in shared):
-                found = [(_merged([*old, *new]), names | more) for (old, names), (new, more) in zip(found, index.scan(words), strict=True)]
-            texts, keep = batch.column(k).to_pylist(), []
-            for r, (spans, _) in enumerate(found):
-                n = int(words.rows[r + 1] - words.rows[r])
-                keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n)
-                if spans and keep[-1]:
-                    w, o = words.rows[r], words.offsets[r]
-                    raw = words.buf[o : words.offsets[r + 1]].tobytes()
-                    cut, at = [], 0
-                    for a, b in spans:
-                        cut.append(raw[at : words.starts[w + a] - o])
-                        at = int(words.ends[w + b - 1] - o)
-                    texts[r] = b"".join([*cut, raw[at:]]).decode("utf-8", "replace")
-            yield with_text(batch, text_col, texts).filter(pa.array(keep))
-
-    return run
+    columns = docs.columns
+    rows = docs.select(*_nothing_yet(F.struct(*(F.col(c) for c in columns if c != text_col), F.lit(0).alias("_")).alias("others"), F.col(text_col).alias("body")))
+
+    def finish(batch: pa.RecordBatch, words: Words, runs: list, names: list) -> pa.RecordBatch:
+        texts, keep = batch.column("body").to_pylist(), []
+        for r, spans in enumerate(runs):
+            n = int(words.rows[r + 1] - words.rows[r])
+            keep.append(not spans or sum(b - a for a, b in spans) <= max_coverage * n)
+            if spans and keep[-1]:
+                w, o = words.rows[r], words.offsets[r]
+                raw = words.buf[o : words.offsets[r + 1]].tobytes()
+                cut, at = [], 0
+                for a, b in spans:
+                    cut.append(raw[at : words.starts[w + a] - o])
+                    at = int(words.ends[w + b - 1] - o)
+                texts[r] = b"".join([*cut, raw[at:]]).decode("utf-8", "replace")
+        others = dict(zip((c for c in columns if c != text_col), batch.column("others").flatten(), strict=False))
+        whole = pa.RecordBatch.from_arrays([batch.column("body") if c == text_col else others[c] for c in columns], names=columns)
+        return with_text(whole, text_col, texts).filter(pa.array(keep))
+
+    return _over_blocks(rows, items, item_id, item_text, window, block_bytes, docs.schema, finish)
 
 
 def with_text(batch: pa.RecordBatch, text_col: str, texts: list[str | None]) -> pa.RecordBatch:
