@@ -2,16 +2,23 @@
 
 A logistic model over the presence of words and of words' first 3 to 6 bytes, hashed to 64 bits.
 Features are chosen where toxic and other labelled texts differ most. Training minimises the log
-loss, a small ridge, and ``cf_weight`` times the squared change of the score that comes from
-swapping each identity term of a labelled sentence for another (or, in sentences without one, from
+loss, a small ridge, and ``cf_weight`` times the mean squared change of the score that comes from
+swapping each identity term of a labelled text for another of its kind (or, in texts without one, from
 mentioning one), so that a neutral mention of a group moves the score as little as the data allow.
+Which one is decided by a hash of the text's words, so training does not depend on how rows are
+dealt out.
 
 Only labelled rows whose crc32(id as text) mod 5 is not 0 are learnt from, and of these a sample of
-about ``max_rows``, chosen by hash; the model's size is bounded by ``max_features``, so it may be
-broadcast. Scoring covers every whole text and uses nothing but the text.
+about ``max_rows``, chosen by hash; ``MAX_CANDIDATES`` bounds the features that are looked at, the
+most frequent of toxic texts, and ``max_features`` the model, so it may be broadcast. The driver
+holds the numbers of the features of ``max_rows`` rows. Scoring covers every whole text and uses
+nothing but the text.
 
 Defined results: null and empty texts score the model's prior; without labelled rows every score is
-0; rows with null labels are not learnt from; extra columns are not read.
+0; rows with null labels or ids are not learnt from; a document with several labels is learnt from
+with each, and so is a text that several rows have; rows with a null id count as not held out, and are
+scored like others; repeated rows have equal scores; an empty table gives an empty result; columns other
+than id and text, and id and label, may have any name.
 """
 
 from __future__ import annotations
@@ -30,16 +37,24 @@ from lexloom.llm._text import WORD_VALUE, Words, fmix, lean, pieces, prefix_sums
 MAX_ROWS = 20_000
 MAX_FEATURES = 4096
 MAX_CANDIDATES = 60_000
-CF_WEIGHT = 5.0
+CF_WEIGHT = 0.5
 PREFIXES = (3, 4, 5, 6)
 _U = np.uint64
-#: Neutral names of groups, swapped with the next in the list.
-IDENTITY_TERMS = (
-    "women", "men", "woman", "man", "girls", "boys", "black", "white", "asian", "latino", "muslim", "christian", "jewish", "hindu",
-    "buddhist", "atheist", "gay", "straight", "lesbian", "bisexual", "transgender", "queer", "immigrants", "refugees", "natives",
-    "disabled", "blind", "deaf", "elderly", "young", "african", "european", "american", "mexican", "chinese", "arab", "frauen",
-    "männer", "femmes", "hommes", "mujeres", "hombres", "muslime", "christen", "juden", "musulmans", "chrétiens", "juifs",
-)
+#: Neutral names of groups by kind; a term is swapped for another of its line.
+IDENTITY_KINDS = tuple(tuple(line.split()) for line in """
+women men woman man girls boys
+frauen männer
+femmes hommes
+mujeres hombres
+black white asian latino african european american mexican chinese arab natives
+muslim christian jewish hindu buddhist atheist
+muslime christen juden
+musulmans chrétiens juifs
+gay straight lesbian bisexual transgender queer
+immigrants refugees
+disabled blind deaf
+elderly young
+""".strip().split("\n"))
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +136,15 @@ def _counted(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(lean(run), "h long, pos long, neg long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _design(rows: DataFrame, shared, terms: tuple[str, ...]) -> DataFrame:
+def _design(rows: DataFrame, shared, kinds: tuple[tuple[str, ...], ...]) -> DataFrame:
     """Per labelled row: label, its features' numbers, and those of its counterfactual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, _U)
-        names = Words(pa.array(terms))
+        terms = [t for kind in kinds for t in kind]
+        first = [k for kind, k in zip(kinds, np.cumsum([0, *map(len, kinds)]).tolist(), strict=False) for _ in kind]
+        size = [len(kind) for kind in kinds for _ in kind]
+        names = Words(pa.array(terms, pa.string()))
         each = [present(known, Words(pa.array([t])))[1].tolist() for t in terms]
         place = {int(h): i for i, h in enumerate(names.hashes)}
         for batch in pieces(batches, "body"):
@@ -137,14 +155,16 @@ def _design(rows: DataFrame, shared, terms: tuple[str, ...]) -> DataFrame:
             mentioned: dict[int, set[int]] = {}
             for r, h in zip(_row_of_word(words)[which].tolist(), words.hashes[which].tolist(), strict=True):
                 mentioned.setdefault(r, set()).add(place[h])
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(words.hashes)])
+            draws = fmix(sums[words.rows[1:]] - sums[words.rows[:-1]]).tolist()
             other = []
-            for r, own in enumerate(have):
+            for own, draw, r in zip(have, draws, range(batch.num_rows), strict=True):
                 drop, add = set(), set()
                 for i in mentioned.get(r, ()):
                     drop |= {*each[i]}
-                    add |= {*each[(i + 1) % len(terms)]}
+                    add |= {*each[first[i] + (i - first[i] + 1 + draw % max(1, size[i] - 1)) % size[i]]}
                 if r not in mentioned and terms:
-                    add = {*each[(len(own) + r) % len(terms)]}
+                    add = {*each[draw % len(terms)]}
                 other.append(sorted(({*own} - drop) | add))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(have, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "other"])
 
@@ -164,13 +184,13 @@ def fit(toxic: np.ndarray, own: list[list[int]], other: list[list[int]], n_featu
     w, b = np.zeros(n_features), -1.0
     seen = np.bincount(k1, minlength=n_features)
     # each weight's own step, from the curvature that its column can have at most
-    rate = 1 / (0.25 * np.bincount(k1, share[r1], n_features) * max(1, len(k1) / max(n, 1)) + 2 * cf_weight * (seen + np.bincount(k2, minlength=n_features)) / n + ridge + 1e-3)
+    rate = 1 / (0.25 * np.bincount(k1, share[r1], n_features) * max(1, len(k1) / max(n, 1)) + 20 * cf_weight * (seen + np.bincount(k2, minlength=n_features)) / n + ridge + 1e-3)
     v, vb = w.copy(), b
     for step in range(steps):
         z = vb + np.bincount(r1, v[k1], n)
         z2 = vb + np.bincount(r2, v[k2], n)
         err = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - toxic) * share
-        change = 2 * cf_weight * (z - z2) / n * 0.1
+        change = 2 * cf_weight * (z - z2) / n
         grad = np.bincount(k1, (err + change)[r1], n_features) - np.bincount(k2, change[r2], n_features) + ridge * v
         w2, b2 = v - rate * grad, vb - 2.0 * err.sum()
         m = step / (step + 3)
@@ -179,7 +199,7 @@ def fit(toxic: np.ndarray, own: list[list[int]], other: list[list[int]], n_featu
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, cf_weight: float = CF_WEIGHT, terms: tuple[str, ...] = IDENTITY_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, cf_weight: float = CF_WEIGHT, kinds: tuple[tuple[str, ...], ...] = IDENTITY_KINDS) -> Model:
     spark = docs.sparkSession
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_rows).persist()
     try:
@@ -198,9 +218,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             apart = ratio / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
             best = counts.withColumn("z", apart).where((F.abs("z") > 2) & (F.abs(ratio) > 1.5)).orderBy(F.desc(F.abs("z")), "h").limit(max_features)
             chosen = np.array([r.h for r in best.collect()], np.int64).view(_U)
-        mine = features(Words(pa.array(terms)))[0] if terms else np.zeros(0, _U)
+        mine = features(Words(pa.array([t for kind in kinds for t in kind], pa.string())))[0]
         chosen = np.unique(np.concatenate([chosen, mine]))
-        data = _design(rows, spark.sparkContext.broadcast(chosen.tobytes()), terms).collect()
+        data = _design(rows, spark.sparkContext.broadcast(chosen.tobytes()), kinds).collect()
         w, b = fit(np.array([r.toxic for r in data], float), [r.own for r in data], [r.other for r in data], len(chosen), cf_weight)
         return Model(chosen, w, b)
     finally:
