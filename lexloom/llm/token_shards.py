@@ -1,9 +1,10 @@
 """Token-ID / binary output: training-order materialisation (operator 7).
 
 Each text is encoded with the same vocabulary as in operator 4 (pieces by a compiled library, as
-the transducer is not asked for here) and cut into sequences of ``seq_len`` ids, the last padded. A task
-numbers its own sequences; the tasks' counts (one number a task) give each task its offset, so the
-sequences are numbered 0 to n-1 without a sort. A keyed Feistel permutation on the smallest even
+the transducer is not asked for here) and cut into sequences of ``seq_len`` ids, the last padded.
+Documents are dealt by the first digits of a hash of their id and ids, and sorted by it within each
+part; the parts' counts (one number a part) give each its offset, so the sequences are numbered 0 to
+n-1 in an order that depends on the documents alone, however the input is split. A keyed Feistel permutation on the smallest even
 number of bits that holds n, walked along its cycle until it falls below n, gives every sequence
 its global slot, a bijection that needs no table. Slots are range-partitioned, sorted, and packed
 into shards of ``per_shard`` records of one fixed stride, so the record of slot s is in shard
@@ -14,8 +15,9 @@ count of ids, then ``seq_len`` ids (uint16 if the vocabulary allows, else uint32
 
 Shards are rows of a Parquet table (shard, first_slot, n_slots, stride, data), committed by Spark's
 writer, so a lost executor only repeats its tasks. Defined results: null and empty texts make no
-sequence; a null id is stored as -1; rows with equal ids are stored as they come; an empty table
-makes no shard.
+sequence; a null id is stored as -1; rows with equal ids and other texts are documents of their own,
+and so are repeated rows; ids are integers; an empty table makes no shard; columns other than id and
+text may have any name.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,9 @@ from lexloom.llm.storage import drop, fresh_path, materialise
 
 SEQ_LEN = 512
 PER_SHARD = 1024
+#: About so much text is numbered in a part. The number of parts is that of the whole text by this,
+#: so equal tables have equal orders.
+PART_BYTES = 16_000_000
 KEY = 0x5EED_0F_0DD
 ROUNDS = 6
 _U = np.uint64
@@ -81,25 +86,44 @@ def stride_of(seq_len: int, width: int) -> int:
     return HEAD.itemsize + seq_len * width
 
 
-def _encoded(docs: DataFrame, shared, seq_len: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document with ids: task, start (its first sequence's number in the task), parts, doc,
-    ids as bytes."""
+def _encoded(docs: DataFrame, shared, parts: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document with ids: p, order, doc, ids as bytes; dealt by p, and in order."""
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, at = bpe.of_worker(shared, QuickBPE), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, "body", 1_000_000):
+        coder = bpe.of_worker(shared, QuickBPE)
+        for batch in pieces(batches, "body", 300_000):
             ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
-            sizes = np.diff(bounds)
-            live = np.flatnonzero(sizes)
-            parts = -(-sizes[live] // seq_len)
-            starts = at + np.cumsum(parts) - parts
-            at += int(parts.sum())
+            live = np.flatnonzero(np.diff(bounds))
             raw = ids.astype(f"<u{width}")
             body = pa.array([raw[bounds[k] : bounds[k + 1]].tobytes() for k in live], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(live), task), pa.int64()), pa.array(starts), pa.array(parts), batch.column("doc").take(pa.array(live)), body], names=["task", "start", "parts", "doc", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live)), body], names=["doc", "ids"])
 
-    return slim.mapInArrow(lean(run), "task long, start long, parts long, doc long, ids binary")
+    made = slim.mapInArrow(lean(run, "bpe"), "doc long, ids binary").withColumn("order", F.xxhash64("doc", "ids"))
+    dealt = made.withColumn("p", F.pmod(F.shiftrightunsigned("order", 20), F.lit(parts)).cast("int"))
+    return dealt.repartitionById(parts, "p").sortWithinPartitions("p", "order", "doc", "ids")
+
+
+def _numbered(encoded: DataFrame, seq_len: int, width: int) -> DataFrame:
+    """p, start (its first sequence's number in the part), parts, doc, ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for batch in batches:  # in order of p
+            if not batch.num_rows:
+                continue
+            p = np.asarray(batch.column("p"))
+            sizes = np.asarray(pc.binary_length(batch.column("ids"))).astype(np.int64) // width
+            parts = -(-sizes // seq_len)
+            total = np.concatenate([[0], np.cumsum(parts)])
+            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+            first = np.where(p[heads] == now, -at, 0) if now is not None else np.zeros(len(heads), np.int64)
+            base = np.repeat(total[heads] + first, np.diff(np.append(heads, len(p))))
+            start = total[:-1] - base
+            now, at = int(p[-1]), int(start[-1] + parts[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(start), pa.array(parts), batch.column("doc"), batch.column("ids")], names=["p", "start", "parts", "doc", "ids"])
+
+    return encoded.select("p", "doc", "ids").mapInArrow(lean(run), "p int, start long, parts long, doc long, ids binary")
 
 
 def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: int, width: int, key: int) -> DataFrame:
@@ -114,7 +138,7 @@ def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: i
                 if not len(parts):
                     continue
                 part = np.concatenate([np.arange(p) for p in parts])
-                first = np.asarray(batch.column("start")) + np.array([shared.value[t] for t in batch.column("task").to_pylist()])
+                first = np.asarray(batch.column("start")) + np.array([shared.value[t] for t in batch.column("p").to_pylist()])
                 slots = permute(np.repeat(first, parts) + part, total, key)
                 block = np.zeros((len(part), stride), np.uint8)
                 head = np.zeros(len(part), HEAD)
@@ -169,11 +193,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
     spark = docs.sparkSession
     spec = bpe.load(vocabulary or bpe.default_vocabulary())
     width = 2 if max([i for i, _ in spec["tokens"]] + [*spec["special"].values()]) < 1 << 16 else 4
-    encoded, kept = materialise(_encoded(docs, spark.sparkContext.broadcast(spec), seq_len, width, id_col, text_col), "tokens")
-    counts = encoded.groupBy("task").agg(F.max(F.col("start") + F.col("parts")).alias("n")).orderBy("task").collect()
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(8, -(-size // PART_BYTES))
+    encoded, kept = materialise(_numbered(_encoded(docs, spark.sparkContext.broadcast(spec), parts, width, id_col, text_col), seq_len, width), "tokens")
+    counts = encoded.groupBy("p").agg(F.max(F.col("start") + F.col("parts")).alias("n")).orderBy("p").collect()
     offsets, total = {}, 0
     for r in counts:
-        offsets[r.task], total = total, total + r.n
+        offsets[r.p], total = total, total + r.n
     partitions = max(1, min(-(-total // per_shard), -(-total * stride_of(seq_len, width) // (32 << 20))))
     slotted = _slotted(encoded, offsets, total, seq_len, width, key)
     _packed(slotted, per_shard, stride_of(seq_len, width), partitions).write.option("compression", "zstd").parquet(path)
@@ -181,10 +207,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
     return total
 
 
-def read(spark: SparkSession, path: str, from_slot: int = 0, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Records from a slot on: slot, doc, part, n, crc32 of the ids' bytes. Only shards that reach
-    the slot are read."""
-    shards = spark.read.schema(SHARD).parquet(path).where(F.col("first_slot") + F.col("n_slots") > from_slot)
+def read(spark: SparkSession, path: str, from_slot: int = 0, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> DataFrame:
+    """Records from a slot on: slot, doc, part, n, crc32 of the ids' bytes. No shard has more than
+    ``per_shard``, so Parquet's own bounds rule out those that end before the slot."""
+    shards = spark.read.schema(SHARD).parquet(path).where((F.col("first_slot") > from_slot - per_shard) & (F.col("first_slot") + F.col("n_slots") > from_slot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,4 +231,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", per_shard: int = PER_SHARD,
     spark = docs.sparkSession
     path = fresh_path(spark, "shards")
     write(docs, path, id_col=id_col, per_shard=per_shard, seq_len=seq_len, **how)
-    return read(spark, path, seq_len=seq_len).select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), F.col("doc").alias(id_col), "part", F.col("n").alias("n_tokens"), "crc32")
+    return read(spark, path, seq_len=seq_len, per_shard=per_shard).select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), F.col("doc").alias(id_col), "part", F.col("n").alias("n_tokens"), "crc32")
