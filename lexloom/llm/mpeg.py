@@ -3,13 +3,17 @@
 ``mux`` stores any payload in a valid MPEG-1 Layer III stream: an ID3v2 tag with the payload's
 length, a frame with a Xing table of the variable bitrate, then mono frames at 44.1 kHz with CRC,
 whose side information is silent and whose remaining bytes (which decoders skip as ancillary
-data) carry the payload, and an ID3v1 tag. ``parse`` reads such a stream, or any with such frames:
-it skips tags, resynchronises on frame headers (a header counts if it is valid, its CRC holds and
-another header, a tag or the end follows), reads the Xing table, and gives exact durations as
-samples over the rate, and the byte offset of every frame for seeking.
+data) carry the payload, and an ID3v1 tag. ``parse`` reads such a stream, or any of MPEG-1, 2 or 2.5,
+Layer I to III: it reads ID3v2 text frames and ID3v1 fields, resynchronises on frame headers (a
+header counts if it is valid, its CRC holds where it covers the side information of Layer III, and
+another header, a tag or the end follows), reads Xing, Info and VBRI tables and compares them with
+the frames that are there, and gives exact durations as samples over the rate, and the byte offset of
+every frame for seeking. ``to_media`` stores durations and offsets beside the stream.
 
 Defined results: a null or empty text has a payload of 64 zero bytes; equal texts have equal
-streams; a stream without frames has 0 samples; bytes between frames are skipped and counted.
+streams; a stream without frames has 0 samples; bytes between frames are skipped and counted; rows
+with a null or repeated id are media like others; an empty table gives an empty result; columns other
+than id and text may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,11 +34,17 @@ from pyspark.sql import types as T
 from lexloom.llm._text import lean, pieces
 from lexloom.llm.storage import materialise
 
-#: Fixed values of ISO 11172-3: kbit/s of Layer III by index, sampling rates, samples in a frame.
+#: Fixed values of ISO 11172-3 and 13818-3: kbit/s by index of MPEG-1 Layers I, II and III, and of MPEG-2
+#: (and 2.5) Layer I, and Layers II and III; sampling rates of MPEG-1, which MPEG-2 halves and MPEG-2.5
+#: quarters; bytes of Layer III's side information for one channel and for two, of MPEG-1 and of the others.
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+KBITS_1_II = (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384)
+KBITS_1_I = (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448)
+KBITS_2_I = (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256)
+KBITS_2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 RATES = (44100, 48000, 32000)
-SAMPLES = 1152
-SIDE_MONO, SIDE_STEREO = 17, 32
+SIDE = {1: (17, 32), 2: (9, 17), 4: (9, 17)}
+SIDE_MONO = SIDE[1][0]
 UNIT = 64
 
 
@@ -62,34 +74,42 @@ def crc16(data: bytes) -> int:
     return r
 
 
-@dataclass
+@dataclass(frozen=True)
 class Header:
     size: int
     rate: int
+    samples: int
     side: int
     protected: bool
+    layer: int
 
 
-def _headers() -> dict[int, Header]:
-    """Every valid header's last three bytes that begin 0xFA or 0xFB (MPEG-1, Layer III)."""
-    out = {}
-    for second in (0xFA, 0xFB):
-        for third in range(256):
-            index, rate, pad = third >> 4, third >> 2 & 3, third >> 1 & 1
-            if 0 < index < 15 and rate < 3:
-                for mode in range(4):
-                    size = 144_000 * KBITS[index] // RATES[rate] + pad
-                    out[second << 16 | third << 8 | mode] = Header(size, RATES[rate], SIDE_MONO if mode == 3 else SIDE_STEREO, second == 0xFA)
-    return out
+def _header(second: int, third: int, fourth: int) -> Header | None:
+    """What the three bytes after 0xFF say, if they make a header."""
+    if second >> 5 != 7:
+        return None
+    divisor, layer = {0: 4, 2: 2, 3: 1}.get(second >> 3 & 3), 4 - (second >> 1 & 3)
+    index, rate, pad = third >> 4, third >> 2 & 3, third >> 1 & 1
+    if divisor is None or layer == 4 or not 0 < index < 15 or rate == 3:
+        return None
+    kbits = ((KBITS_1_I, KBITS_1_II, KBITS) if divisor == 1 else (KBITS_2_I, KBITS_2, KBITS_2))[layer - 1][index]
+    hertz = RATES[rate] // divisor
+    samples = 384 if layer == 1 else 576 if layer == 3 and divisor > 1 else 1152
+    size = (12_000 * kbits // hertz + pad) * 4 if layer == 1 else samples * 125 * kbits // hertz + pad
+    return Header(size, hertz, samples, SIDE[divisor][fourth >> 6 != 3] if layer == 3 else 0, not second & 1, layer)
 
 
-HEADERS = _headers()
+#: Headers that were met, by their last three bytes without what does not matter.
+_met: dict[int, Header | None] = {}
 
 
 def header_at(data: bytes, at: int) -> Header | None:
     if at + 4 > len(data) or data[at] != 0xFF:
         return None
-    return HEADERS.get(data[at + 1] << 16 | data[at + 2] << 8 | data[at + 3] >> 6)
+    key = data[at + 1] << 16 | data[at + 2] << 8 | data[at + 3] & 0xC0
+    if key not in _met:
+        _met[key] = _header(data[at + 1], data[at + 2], data[at + 3])
+    return _met[key]
 
 
 _ROOM = [144_000 * k // 44100 - 4 - 2 - SIDE_MONO if k else 0 for k in KBITS]
@@ -115,6 +135,11 @@ def _syncsafe(n: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """An MPEG stream that carries the payload."""
+    return muxed(payload)[0]
+
+
+def muxed(payload: bytes) -> tuple[bytes, list[int]]:
+    """The stream, and where the frames with payload begin."""
     most = _ROOM[14]
     frames = [_frame(14, payload[i : i + most]) for i in range(0, len(payload) - most + 1, most)]
     if rest := payload[len(frames) * most :]:
@@ -126,62 +151,105 @@ def mux(payload: bytes) -> bytes:
     toc = bytes(min(255, 256 * marks[min(len(marks) - 1, i * len(frames) // 100)] // total) for i in range(100)) if frames else bytes(100)
     xing = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
     tag = b"TAG" + bytes(124) + b"\xff"
-    return b"".join((_id3v2({"payload-bytes": str(len(payload))}), _frame(8, xing), *frames, tag))
+    head = _id3v2({"payload-bytes": str(len(payload))})
+    return b"".join((head, _frame(8, xing), *frames, tag)), [len(head) + m for m in marks[: len(frames)]]
 
 
 @dataclass
 class Parsed:
     tags: dict[str, str] = field(default_factory=dict)
-    xing: tuple[int, int, bytes] | None = None
+    table: tuple[str, int, int, bytes] | None = None  # kind, frames, bytes, places of percents
     rate: int = 0
+    samples: int = 0
     offsets: list[int] = field(default_factory=list)
     bodies: list[bytes] = field(default_factory=list)
     skipped: int = 0
     bad_crc: int = 0
-
-    @property
-    def samples(self) -> int:
-        return SAMPLES * len(self.offsets)
+    first: int = 0  # where the frame with the table is
+    end: int = 0
 
     def payload(self) -> bytes:
         data = b"".join(self.bodies)
         return data[: int(self.tags.get("payload-bytes", len(data)))]
 
-
-def _tags(data: bytes, end: int, into: dict[str, str]) -> None:
-    at = 10
-    while at + 10 <= end and data[at : at + 4] == b"TXXX":
-        size = sum(b << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0), strict=True))
-        k, _, v = data[at + 11 : at + 10 + size].partition(b"\0")
-        into[k.decode("utf-8", "replace")] = v.decode("utf-8", "replace")
+    def table_holds(self) -> bool:
+        """Whether the table has the number of frames, the bytes and the places that are there."""
+        if self.table is None:
+            return False
+        kind, frames, size, places = self.table
+        sound = frames == len(self.offsets) and size == self.end - self.first
+        if kind == "VBRI" or not places:
+            return sound
+        at = [o - self.first for o in self.offsets] or [0]
+        return sound and all(p == min(255, 256 * at[min(len(at) - 1, i * len(self.offsets) // 100)] // max(size, 1)) for i, p in enumerate(places) if self.offsets)
+
+
+#: How ID3v2 text is encoded.
+_ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def _id3v2_into(data: bytes, end: int, into: dict[str, str]) -> None:
+    """Text frames of versions 2.3 and 2.4."""
+    at, version = 10, data[3]
+    while at + 10 <= end and data[at : at + 1] == b"T":
+        size = sum(b << s for b, s in zip(data[at + 4 : at + 8], (21, 14, 7, 0) if version == 4 else (24, 16, 8, 0), strict=True))
+        body = data[at + 10 : at + 10 + size]
+        if body and body[0] < 4:
+            text = body[1:].decode(_ENCODINGS[body[0]], "replace").rstrip("\0")
+            name, _, value = text.partition("\0") if data[at : at + 4] == b"TXXX" else (data[at : at + 4].decode("latin-1"), "", text)
+            into[name] = value
         at += 10 + size
 
 
+def _id3v1_into(tag: bytes, into: dict[str, str]) -> None:
+    for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 125)):
+        if value := tag[a:b].split(b"\0")[0].decode("latin-1").strip():
+            into.setdefault(name, value)
+    if not tag[125] and tag[126]:
+        into.setdefault("track", str(tag[126]))
+
+
+def _table(body: bytes, frame: bytes) -> tuple[str, int, int, bytes] | None:
+    """The table of a first frame, if it has one."""
+    if body[:4] in (b"Xing", b"Info") and len(body) >= 8:
+        flags, at, read = int.from_bytes(body[4:8], "big"), 8, []
+        for k in (1, 2):
+            read.append(int.from_bytes(body[at : at + 4], "big") if flags & k else -1)
+            at += 4 * bool(flags & k)
+        return body[:4].decode(), read[0], read[1], body[at : at + 100] if flags & 4 else b""
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", frame[46:62])
+        return "VBRI", frames, size, frame[62 : 62 + entries * width] if scale else b""
+    return None
+
+
 def parse(data: bytes) -> Parsed:
     out = Parsed()
     at, end = 0, len(data)
     if data[:3] == b"ID3" and end >= 10:
         at = 10 + sum(b << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-        _tags(data, min(at, end), out.tags)
+        _id3v2_into(data, min(at, end), out.tags)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-    first = True
+        _id3v1_into(data[end:], out.tags)
+    first, out.end = True, end
     while at < end:
         h = header_at(data, at)
         after = at + h.size if h else end + 1
         sound = h is not None and after <= end
-        if sound and h.protected:
+        if sound and h.protected and h.layer == 3:
             sound = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.bad_crc += not sound and (after == end or header_at(data, after) is not None)
         if sound and (after == end or header_at(data, after) is not None or data[after : after + 3] == b"TAG"):
             body = data[at + 4 + 2 * h.protected + h.side : after]
-            if first and body[:4] in (b"Xing", b"Info"):
-                flags, frames, size = struct.unpack(">III", body[4:16])
-                out.xing = (frames, size, body[16:116] if flags & 4 else b"")
+            table = _table(body, data[at:after]) if first and h.layer == 3 else None
+            if table:
+                out.table, out.first = table, at
             else:
                 out.offsets.append(at)
                 out.bodies.append(body)
                 out.rate = h.rate
+                out.samples += h.samples
             first = False
             at = after
             continue
@@ -192,7 +260,13 @@ def parse(data: bytes) -> Parsed:
     return out
 
 
-MEDIA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+MEDIA = T.StructType([
+    T.StructField("n_bytes", T.LongType()),
+    T.StructField("media", T.BinaryType()),
+    T.StructField("samples", T.LongType()),
+    T.StructField("sample_rate", T.LongType()),
+    T.StructField("seek_offsets", T.ArrayType(T.LongType())),
+])
 FEATURES = T.StructType([
     T.StructField("n_bytes", T.LongType()),
     T.StructField("payload_bytes", T.LongType()),
@@ -208,41 +282,51 @@ FEATURES = T.StructType([
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_bytes of its UTF-8, and media, the stream that carries it."""
+    """Per document: id, n_bytes of its UTF-8, media, the stream that carries it, its exact duration
+    as samples and sample_rate, and seek_offsets, where its frames begin."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     schema = T.StructType([slim.schema["id"], *MEDIA.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
             raws = batch.column("body").cast(pa.binary()).to_pylist()
-            raws = [r or b"" for r in raws]
-            media = [mux(r + bytes(max(UNIT, -(-len(r) // UNIT) * UNIT) - len(r))) for r in raws]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
+            rows = []
+            for raw in raws:
+                raw = raw or b""
+                media, offsets = muxed(raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)))
+                rows.append((len(raw), media, 1152 * len(offsets), RATES[0], offsets))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
     return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per stored stream: what ``FEATURES`` lists. ``feature`` has frames, exact duration, checksum
-    failures, skipped bytes, the Xing table's frames, and a CRC of the seek offsets."""
-    slim = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    failures, skipped bytes, the bitrate table's frames and whether it holds, a CRC of the seek
+    offsets, and whether duration and offsets are those stored beside the stream."""
+    slim = media.select(F.col(id_col).alias("id"), *MEDIA.names)
     schema = T.StructType([slim.schema["id"], *FEATURES.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+        for whole in batches:
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column("media")), 0)).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:  # some 4 MB of streams at a time
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + 4_000_000)))
+                part = whole.slice(at, end - at)
+                at = end
                 rows = []
-                for n, raw in zip(part.column("n_bytes").to_pylist(), part.column("media").to_pylist(), strict=True):
+                for n, raw, samples, rate, offsets in zip(*(part.column(c).to_pylist() for c in MEDIA.names), strict=True):
                     p = parse(raw or b"")
                     payload = p.payload()
                     seek = zlib.crc32(struct.pack(f">{len(p.offsets)}Q", *p.offsets))
-                    table = p.xing[0] if p.xing else -1
-                    feature = f"frames={len(p.offsets)};duration={p.samples}/{p.rate or 1};bad_crc={p.bad_crc};skipped={p.skipped};xing={table};seek={seek:08x}"
+                    same = (samples, rate, offsets) == (p.samples, p.rate, p.offsets)
+                    table = f"{p.table[1]}/{'ok' if p.table_holds() else 'off'}" if p.table else "none"
+                    feature = f"frames={len(p.offsets)};duration={p.samples}/{p.rate or 1};bad_crc={p.bad_crc};skipped={p.skipped};table={table};seek={seek:08x};stored={'ok' if same else 'off'}"
                     rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw or b""), hashlib.sha256(raw or b"").hexdigest(), feature, p.samples, p.rate, p.offsets))
-                cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
 
     return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
