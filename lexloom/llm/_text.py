@@ -79,7 +79,7 @@ def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` text bytes, so that per-byte arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
@@ -143,20 +143,44 @@ def loaded(body: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[end - int(n) : end], kind) for kind, end, n in zip(kinds, ends, sizes[1:], strict=True)]
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+_caches: dict[str, dict] = {}
+
+
+def cache(name: str) -> dict:
+    """What a Python worker keeps from task to task of one operator, by name."""
+    return _caches.setdefault(name, {})
+
+
+def release(keep: str | None = None) -> bool:
+    """Drop what other operators keep; whether there was any."""
+    others = [held for name, held in _caches.items() if name != keep and held]
+    for held in others:
+        held.clear()
+    return bool(others)
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: str | None = None) -> Callable:
     """The same function for a task, which gives free memory back to the system as it goes: Python
-    workers live on between tasks, beside the executor's heap."""
+    workers live on between tasks, beside the executor's heap. keep: the cache that it uses."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = ctypes.CDLL(None)
         if hasattr(libc, "mallopt"):
             libc.mallopt(-3, 1 << 20)  # larger blocks are mapped, and so unmapped when freed
         pa.set_memory_pool(pa.system_memory_pool())
+        if release(keep):
+            trim()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            trim()
 
     return held

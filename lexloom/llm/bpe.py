@@ -7,13 +7,18 @@ neighbour, itself such a last token, would stay apart from it under the merges.
 only reach back through tokens that start at one of the last M positions, M being the longest
 token that the merge list makes: the sufficient lookahead. Where the paths back from those
 positions meet, all before is stable, is emitted and forgotten, so memory does not grow with the
-piece. Texts are read in chunks as well, of which only an unfinished last piece is carried on.
+piece. Pieces of up to ``SHORT`` bytes are shorter than any need to forget; their transducer keeps
+all its positions, and shares those of equal beginnings. Texts are read in chunks as well, of which
+only an unfinished last piece is carried on; digests of texts over ``LONG`` characters take each
+chunk's ids as they come.
 
 Decoding. Token bytes are fed to an incremental UTF-8 state machine, which holds at most three
 bytes; what is not UTF-8 becomes U+FFFD, one for each maximal invalid part.
 
 Defined results: null or empty text gives no ids and decodes to the empty text; equal texts give
-equal ids. Pieces' encodings are cached per Python worker, up to ``CACHE`` pieces, and looked up
+equal ids; rows with a null or repeated id are encoded like others; an empty table gives an empty
+result; columns other than id and text may have any name. ``SHORT``, ``LONG``, ``CACHE`` and the
+sizes of tables change the cost, not a result. Pieces' encodings are cached per Python worker, up to ``CACHE`` pieces, and looked up
 for many texts at once (see ``Batch``).
 """
 
@@ -34,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import fmix, lean, powers
+from lexloom.llm._text import cache, fmix, lean, powers
 from lexloom.llm._text import pieces as text_pieces
 
-CACHE = 40_000
+CACHE = 20_000
 SHORT = 48
+LONG = 1 << 20
 CHUNK = 1 << 16
 #: White space as Unicode defines it, and English contractions of the pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -107,7 +113,8 @@ class ByteBPE:
             self.rank.setdefault((x, y), r)
             halves.setdefault(z, (x, y, r))
         self.halves = halves
-        self.lookahead = max(map(len, self.bytes_of.values()))
+        # no merge makes a longer token, so no boundary further back can still move
+        self.lookahead = max([len(a) + len(b) for a, b in spec["merges"]] + [len(b) for b in self.bytes_of.values()])
         self.trie: dict = {}
         for b, i in ids.items():
             node = self.trie
@@ -336,10 +343,30 @@ class Batch:
         self.pool = np.zeros(POOL, np.int32)
         self.used = 0
 
+    def is_odd(self, text: str) -> bool:
+        """Whether a text is long, or has special tokens, and so is encoded by itself."""
+        return len(text) > LONG or any(s in text for s in self.bpe.special)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, and hashes of these and of the decoded text, of one text at any length:
+        nothing is held but a chunk."""
+        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+
+        def passing() -> Iterator[list[int]]:
+            nonlocal n
+            for ids in self.bpe.encode(text):
+                if ids:
+                    ids_hash.update(((b"," if n else b"") + ",".join(map(self.bpe.text_of.__getitem__, ids)).encode()))
+                    n += len(ids)
+                yield ids
+
+        for part in self.bpe.decode(passing()):
+            text_hash.update(part.encode("utf-8"))
+        return n, ids_hash.hexdigest(), text_hash.hexdigest()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and each text's range of them."""
-        special = self.bpe.special
-        odd = [len(t) > 1 << 20 or any(s in t for s in special) for t in texts]
+        odd = [self.is_odd(t) for t in texts]
         if any(odd):
             parts = [np.fromiter(chain.from_iterable(self.bpe.encode(t)), np.int32) if o else self._plain([t])[0] for t, o in zip(texts, odd, strict=True)]
             return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
@@ -434,7 +461,7 @@ def load(path: str) -> dict:
     return {"tokens": tokens, "merges": [(raw(a), raw(b)) for a, b in merges], "special": special}
 
 
-_built: dict[tuple[int, type], Batch] = {}
+_built: dict[tuple[int, type], Batch] = cache("bpe")
 
 
 def of_worker(shared, kind: type[ByteBPE] = ByteBPE) -> Batch:
@@ -463,8 +490,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = of_worker(shared)
-        for batch in text_pieces(batches, "body", 1_000_000):
-            ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
+        for batch in text_pieces(batches, "body", 300_000):
+            texts = [t or "" for t in batch.column("body").to_pylist()]
+            alone = {} if with_ids else {k: coder.digests(t) for k, t in enumerate(texts) if coder.is_odd(t)}
+            ids, bounds = coder.encode(["" if k in alone else t for k, t in enumerate(texts)])
             text, text_end = coder.decimal(ids)
             raw, raw_end = coder.bytes_of(ids)
             text_at, raw_at = np.concatenate([[0], text_end])[bounds].tolist(), np.concatenate([[0], raw_end])[bounds].tolist()
@@ -475,8 +504,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
                 for part in decoded(raw[raw_at[k] : raw_at[k + 1]]):
                     of_text.update(part.encode("utf-8"))
                 decoded_hex.append(of_text.hexdigest())
-            cols = [batch.column("id"), pa.array(np.diff(bounds), pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
+            counts = np.diff(bounds).tolist()
+            for k, (n, of_ids, of_text) in alone.items():
+                counts[k], ids_hex[k], decoded_hex[k] = n, of_ids, of_text
+            cols = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())]
             cols += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return slim.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run, "bpe"), schema).withColumnRenamed("id", id_col)

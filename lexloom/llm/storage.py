@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset,
-as in tests, a temporary folder of this machine is used.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and
+Spark runs within one machine, as in tests, a temporary folder of this machine is used; on a cluster
+that is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ _own: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -51,14 +51,14 @@ def test_only_minima_travel(spark, rng):
     assert line_dedup._selected(slim, 45).count() < 0.35 * 20 * 400
 
 
-@pytest.mark.parametrize(("window", "block"), [(2, 8_000_000), (4, 8_000_000), (3, 20)])
+@pytest.mark.parametrize(("window", "block"), [(2, 1_000_000), (4, 1_000_000), (3, 60)])
 def test_decontamination(spark, rng, window, block):
     docs = texts(rng, 80, "abcd  ", 60) + [(80, None), (81, ""), (82, "A b C d")]
     items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(7)))) for i in range(14)] + [(14, None), (15, "a b c d"), (16, "a b c d")]
     table = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontam.brute_force(docs, items, window))
     assert rows_of(decontam.report(frame(spark, docs), table, window=window, block_bytes=block)) == want
-    clean = {r.doc_id: r.text for r in decontam.decontaminate(frame(spark, docs), table, window=window, max_coverage=1.0).collect()}
+    clean = {r.doc_id: r.text for r in decontam.decontaminate(frame(spark, docs), table, window=window, max_coverage=1.0, block_bytes=block).collect()}
     assert all(clean[d] == t for (d, t), w in zip(sorted(docs), want, strict=True) if not w[2])
     assert rows_of(decontam.report(frame(spark, docs), table.limit(0), window=window)) == [(d, n, 0, 0, hashlib.sha256(b"").hexdigest(), False) for d, n, *_ in want]
 
@@ -112,8 +112,58 @@ def test_bpe_is_the_library(spark, rng, library):
 
 def test_transducer_keeps_no_more_than_its_lookahead(library):
     coder = bpe.ByteBPE(bpe.load(bpe.default_vocabulary()))
-    stream = coder.stream(iter([b"abcabd"] * 5000))
+    most = 0
+
+    def parts():
+        nonlocal most
+        for _ in range(5000):
+            yield b"abcabd"
+            most = max(most, len(stream.gi_frame.f_locals["last"]))
+
+    stream = coder.stream(parts())
     assert list(stream) == library.encode("abcabd" * 5000, add_special_tokens=False).ids
+    assert coder.lookahead == max(len(a + b) for a, b in bpe.load(bpe.default_vocabulary())["merges"])
+    assert most <= 5 * coder.lookahead + len(b"abcabd")
+
+
+def test_digests_of_long_texts(library):
+    batch = bpe.Batch(bpe.ByteBPE(bpe.load(bpe.default_vocabulary())))
+    text = "the of and é 12 " * 70_000
+    ids = library.encode(text, add_special_tokens=False).ids
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert batch.is_odd(text) and batch.digests(text) == (len(ids), sha(",".join(map(str, ids))), sha(text))
+    assert batch.digests("") == (0, sha(""), sha(""))
+
+
+def walked(media):
+    """Frames and payload of our own streams, by the formula of MPEG-1 Layer III and nothing else."""
+    at = 10 + int("".join(f"{b:07b}" for b in media[6:10]), 2)
+    size = int(media[10:at].split(b"payload-bytes\0")[1])
+    kbits = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    offsets, bodies = [], []
+    while media[at : at + 3] != b"TAG":
+        assert media[at : at + 2] == b"\xff\xfa"
+        length = 144_000 * kbits[media[at + 2] >> 4] // 44_100
+        if media[at + 23 : at + 27] != b"Xing":
+            offsets.append(at)
+            bodies.append(media[at + 23 : at + length])
+        at += length
+    return offsets, b"".join(bodies)[:size]
+
+
+def test_mpeg_other_streams():
+    for head, length, samples, rate in ((b"\xff\xf3\x84\xc0", 192, 576, 24000), (b"\xff\xe3\x88\xc0", 576, 576, 8000), (b"\xff\xfd\x84\x00", 384, 1152, 48000), (b"\xff\xff\x84\x00", 256, 384, 48000)):
+        stream = (head + bytes(length - 4)) * 5
+        p = mpeg.parse(b"junk" + stream)
+        assert (len(p.offsets), p.samples, p.rate, p.skipped) == (5, 5 * samples, rate, 4), head
+    frame = b"\xff\xfb\x94\x00"
+    table = frame + bytes(32) + b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (5 * 384).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes(8)
+    p = mpeg.parse(table + bytes(384 - len(table)) + (frame + bytes(380)) * 4)
+    assert p.table[:3] == ("VBRI", 4, 5 * 384) and p.table_holds() and len(p.offsets) == 4
+    tag = b"ID3\x03\0\0" + bytes((0, 0, 0, 15)) + b"TIT2" + (5).to_bytes(4, "big") + b"\0\0" + b"\x01\xff\xfeH\0"
+    old = b"TAG" + b"Title".ljust(30, b"\0") + b"Band".ljust(30, b"\0") + bytes(30) + b"1999" + bytes(28) + b"\0\x07" + b"\xff"
+    p = mpeg.parse(tag + (frame + bytes(380)) * 2 + old)
+    assert p.tags["TIT2"] == "H" and p.tags["title"] == "Title" and p.tags["artist"] == "Band" and p.tags["year"] == "1999" and p.tags["track"] == "7"
 
 
 def test_mpeg_round_trip(spark, rng):
@@ -122,7 +172,8 @@ def test_mpeg_round_trip(spark, rng):
         media = mpeg.mux(payload)
         p = mpeg.parse(media)
         assert p.payload() == payload and not p.skipped and not p.bad_crc
-        assert p.xing[0] == len(p.offsets) and p.samples == 1152 * len(p.offsets)
+        assert p.table[:2] == ("Xing", len(p.offsets)) and p.table_holds() and p.samples == 1152 * len(p.offsets)
+        assert walked(media) == (p.offsets, payload)
         assert all(mpeg.header_at(media, at) for at in p.offsets)
         noisy = mpeg.parse(b"\xff\xfb\x00junk" + media[media.index(b"\xff\xfa") :])  # resynchronises
         assert noisy.skipped == 7 and b"".join(noisy.bodies)[:n] == payload
@@ -193,9 +244,16 @@ def test_shards(spark, rng, library, tmp_path):
             ids.setdefault(int(head["doc"]), {})[int(head["part"])] = np.frombuffer(record[16 : 16 + 2 * head["n"]], "<u2").tolist()
     for d, t in docs:
         assert [x for _, part in sorted(ids.get(d, {}).items()) for x in part] == library.encode(t or "", add_special_tokens=False).ids
-    whole = rows_of(token_shards.read(spark, f"file://{tmp_path}/s", seq_len=32))
+    again = token_shards.write(frame(spark, docs[::-1], 3), f"file://{tmp_path}/t", seq_len=32, per_shard=8)
+    whole = rows_of(token_shards.read(spark, f"file://{tmp_path}/s", seq_len=32, per_shard=8))
+    assert again == total and rows_of(token_shards.read(spark, f"file://{tmp_path}/t", seq_len=32, per_shard=8)) == whole
+    plan = token_shards.read(spark, f"file://{tmp_path}/s", from_slot=13, seq_len=32, per_shard=8)._jdf.queryExecution().toString()
+    assert "GreaterThan(first_slot,5)" in plan
     assert [r[0] for r in whole] == list(range(total))
-    assert rows_of(token_shards.read(spark, f"file://{tmp_path}/s", from_slot=13, seq_len=32)) == whole[13:]
+    assert rows_of(token_shards.read(spark, f"file://{tmp_path}/s", from_slot=13, seq_len=32, per_shard=8)) == whole[13:]
+
+
+ITEM = "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11"
 
 
 def test_awkward_rows(spark, awkward):
@@ -203,8 +261,39 @@ def test_awkward_rows(spark, awkward):
     n = docs.count()
     assert line_dedup.report(docs).count() == suffix_dedup.report(docs).count() == bpe.encode(docs).count() == mpeg.media_features(docs).count() == n
     assert line_dedup.dedup_lines(awkward).columns == awkward.columns
-    items = spark.createDataFrame([(1, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11")], "item_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     hit = {r.doc_id: r.contaminated for r in decontam.report(docs, items).collect()}
     assert hit == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 6: False, 7: False}
     assert decontam.decontaminate(awkward, items).columns == awkward.columns
     assert token_shards.report(awkward).count() > 0
+
+
+def test_awkward_values(spark, awkward, library):
+    """Null ids, repeated rows and odd columns: each row has the result of its text."""
+    rows = [(r.doc_id, r.text or "") for r in awkward.collect()]
+    sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+    key = lambda r: (r[0] is None, *map(str, r))
+    ids = [library.encode(t, add_special_tokens=False).ids for _, t in rows]
+    want = [(d, len(i), sha(",".join(map(str, i))), sha(t)) for (d, t), i in zip(rows, ids, strict=True)]
+    assert sorted(map(tuple, bpe.encode(awkward).collect()), key=key) == sorted(want, key=key)
+    padded = [t.encode() + bytes(max(64, -(-len(t.encode()) // 64) * 64) - len(t.encode())) for _, t in rows]
+    want = [(d, len(t.encode()), len(p), sha(p)) for (d, t), p in zip(rows, padded, strict=True)]
+    media = mpeg.media_features(awkward)
+    assert sorted(map(tuple, media.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").collect()), key=key) == sorted(want, key=key)
+    assert media.where("feature not like '%stored=ok' or feature not like '%/ok;%'").count() == 0
+    items = spark.createDataFrame([(1, ITEM), (None, "one two"), (2, None)], "item_id long, text string").selectExpr("*", "1 as id", "'' as body", "0 as runs")
+    want = sorted(decontam.brute_force(rows, [(1, ITEM)]), key=key)
+    assert sorted(map(tuple, decontam.report(awkward, items).collect()), key=key) == want
+    kept = {r.doc_id: r.text for r in decontam.decontaminate(awkward.withColumnRenamed("id", "others"), items, max_coverage=1.0).collect()}
+    assert len(kept) == len({d for d, _ in rows}) and kept[None] == "stray row" and "word5 " not in kept[3][:80]
+    told = {(r.doc_id, r.part): r.n_tokens for r in token_shards.report(awkward).collect()}
+    assert sum(told.values()) == sum(map(len, ids)) - len(ids[6]) and told[-1, 0] == len(ids[-1])  # equal rows are one key here
+    kept = [(r.doc_id, r.text) for r in line_dedup.dedup_lines(awkward).collect()]
+    assert len(kept) == len(rows) - 1 and (None, "stray row") in kept and 4 not in dict(kept)  # 4 is 3 again
+
+
+def test_empty_tables(spark, awkward):
+    none = awkward.limit(0)
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for made in (bpe.encode(none), mpeg.media_features(none), line_dedup.report(none), line_dedup.dedup_lines(none), decontam.report(none, items), decontam.decontaminate(none, items), token_shards.report(none), suffix_dedup.report(none)):
+        assert made.count() == 0

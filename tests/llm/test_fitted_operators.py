@@ -151,6 +151,26 @@ def test_toxicity(spark, rng):
     assert {r.score for r in toxicity.report(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_does_not_depend_on_partitions(spark, rng):
+    data = labelled(spark, rng, 300)
+    scores = []
+    for parts in (1, 7):
+        docs = data.drop("toxic").repartition(parts)
+        scores.append(sorted((r.doc_id, r.score) for r in toxicity.report(docs, data.select("doc_id", "toxic")).collect()))
+    assert np.allclose([x for _, x in scores[0]], [x for _, x in scores[1]], atol=1e-9)
+
+
+def test_toxicity_held_out_and_neutral_mentions(spark):
+    """On the supplied labels: accuracy on rows that were not learnt from, and neutral mentions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    out = toxicity.score(docs, model).join(labels.where("toxic is not null"), "doc_id").where(toxicity.held_out("doc_id")).collect()
+    assert len(out) > 40 and sum((r.score >= 0.5) == (r.toxic == 1) for r in out) >= 0.95 * len(out)
+    terms = [t for kind in toxicity.IDENTITY_KINDS for t in kind]
+    probe = spark.createDataFrame([(i, f"the {t} of the town read a book and on the way home met a friend") for i, t in enumerate(terms)], "doc_id long, text string")
+    assert sum(r.score >= 0.5 for r in toxicity.score(probe, model).collect()) == 0
+
+
 FRAME = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>menu</a></ul></nav><div class='ad'>buy &amp; save</div>{}<footer>&copy; us</footer></body></html>"
 
 
@@ -245,10 +265,26 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_awkward_rows(spark, awkward):
-    labels = spark.createDataFrame([(0, 0), (1, None), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
-    assert toxicity.report(awkward, labels).count() == awkward.count()
+    labels = spark.createDataFrame([(0, 0), (1, None), (2, 1), (3, 0), (None, 1), (3, 1)], "doc_id long, toxic int").selectExpr("*", "1 as text", "0 as id")
+    scored = toxicity.report(awkward, labels).collect()
+    assert len(scored) == awkward.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    assert [r.held_out for r in scored if r.doc_id is None] == [False]
+    assert toxicity.report(awkward.limit(0), labels).count() == 0
     got = {r.doc_id: r.class_id for r in minhash.near_classes(awkward).collect()}
     assert got[4] == got[3] == 3 and got[1] == got[0] == 0 and None not in got
     kept = minhash.keep_one(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id is null").count() == 1
     assert minhash.near_classes(awkward.limit(0)).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, awkward, sf_dir):
+    """Each stage keeps the columns, and clean rows of any kind; and takes an empty table."""
+    odd = awkward.withColumnRenamed("key", "row").withColumnRenamed("digest", "others")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        texts = [r.text for r in out.collect()]
+        assert "stray row" in texts and "a" in texts and None in texts or "" in texts, name
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+    name, last = corpus_pipeline.STAGES[-1]
+    assert last(spark, odd, sf_dir).count() == odd.count() and last(spark, odd.limit(0), sf_dir).count() == 0
