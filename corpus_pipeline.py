@@ -2,6 +2,11 @@
 
 Each stage is called with what its predecessor kept, written as Parquet and read again. All but
 the last return the columns of ``documents``; the last returns the token ids.
+
+Defined results, of every stage: null and empty texts are clean and stay (near dedup keeps one of those
+that are equal); rows with a null id stay, rows with repeated ids are judged by their own texts; a text
+of any length is read whole; an empty table gives an empty result; further columns may have any name
+and are carried along. What an operator says of ties and repeated rows in its module holds here.
 """
 
 from __future__ import annotations
