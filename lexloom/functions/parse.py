@@ -99,6 +99,60 @@ def alignment_pairs(block: Column) -> Column:
     return F.transform(sound, lambda p: F.struct(F.trim(p[0]).alias("source"), F.trim(p[1]).alias("target")))
 
 
+def tagged_block(text: Column, tag: str = "alignments") -> Column:
+    """What stands between a tag and its end, or after the tag, or else the whole text."""
+    opened, closed = f"<{tag}>", f"</{tag}>"
+    inner = F.regexp_extract(text, rf"(?s){opened}(.*?){closed}", 1)
+    rest = F.substr(text, F.locate(opened, text) + len(opened))
+    return F.trim(F.when(F.contains(text, F.lit(opened)) & text.rlike(rf"(?s){opened}.*?{closed}"), inner).when(F.contains(text, F.lit(opened)), rest).otherwise(text))
+
+
+def tagged_alignments(text: Column) -> Column:
+    """Pairs <source, target> of the ``source - target`` lines of a tagged block."""
+    parts = lambda x: F.struct(F.trim(F.substring_index(x, " - ", 1)).alias("source"), F.trim(F.substr(x, F.locate(" - ", x) + 3)).alias("target"))
+    lines = F.filter(F.transform(F.split(tagged_block(text), "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(" - ")))
+    return F.filter(F.transform(lines, parts), lambda p: (p["source"] != "") & (p["target"] != ""))
+
+
+def alignment_flags(text: Column, tag: str = "alignments") -> dict[str, Column]:
+    """Whether an answer has its tags, how many alignments, and whether its form is sound."""
+    begin, end = F.contains(text, F.lit(f"<{tag}>")), F.contains(text, F.lit(f"</{tag}>"))
+    n = F.size(tagged_alignments(text)).cast("long")
+    return {"has_start_tag": begin, "has_end_tag": end, "has_alignment_tags": begin & end, "num_alignments": n, "is_valid_format": begin & end & (n > 0)}
+
+
+def nested(document: Column, path: str, default: str = "") -> Column:
+    """A field of a JSON document by its path, or a default."""
+    return F.coalesce(F.get_json_object(document, path), F.lit(default))
+
+
+#: How surfaces begin, what analyses begin with, and what is put for what.
+SURFACE_REWRITES = (
+    (("kendisi",), "kendi<", "kendi", "kendisi"),
+    (("kendileri",), "kendi<", "kendi<Prn:refl:3p><p3p>", "kendileri<Prn:refl:3p>"),
+    (("Prof",), "profesör<", "profesör<N>", "Prof<N:abbr>"),
+    (("Doç",), "doçent<", "doçent<N>", "Doç<N:abbr>"),
+    (("Dr",), "doktor<", "doktor<N>", "Dr<N:abbr>"),
+    (("Org",), "orgeneral<", "orgeneral<N>", "Org<N:abbr>"),
+    (("Tıp", "tıp"), "tıb<", "tıb", "tıp"),
+)
+
+
+def surface_rewritten(surface: Column, analysis: Column) -> Column:
+    """The analysis after the first of the rewrites that surface and analysis call for, at its first
+    place."""
+    out = None
+    for begins, lead, old, new in SURFACE_REWRITES:
+        met = F.startswith(surface, F.lit(begins[0]))
+        for b in begins[1:]:
+            met = met | F.startswith(surface, F.lit(b))
+        at = F.locate(old, analysis)
+        made = F.when(at == 0, analysis).otherwise(F.concat(F.left(analysis, F.greatest(at - 1, F.lit(0))), F.lit(new), F.substr(analysis, at + len(old))))
+        case = met & F.startswith(analysis, F.lit(lead))
+        out = F.when(case, made) if out is None else out.when(case, made)
+    return out.otherwise(analysis)
+
+
 def message_of(messages: Column, role: str) -> Column:
     """The content of the first message of a role."""
     return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]

@@ -72,6 +72,10 @@ def with_code(code: Column, text: Column) -> Column:
     return F.concat_ws(" ", code, text)
 
 
+def aligner_line(source: Column, target: Column) -> Column:
+    return F.concat_ws(" ||| ", source, target)
+
+
 def first_token(text: Column, default: str = "unknown") -> Column:
     return F.coalesce(F.get(tokens(text), F.lit(0)), F.lit(default))
 

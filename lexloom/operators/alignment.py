@@ -48,3 +48,21 @@ def label_statistics(rows: DataFrame, ids: Column, prompt_length: Column, size:
 def batches(rows: DataFrame, number: str, size: int) -> DataFrame:
     """Batch numbers and pair numbers of rows counted from 0."""
     return rows.withColumn("batch", F.floor(F.col(number) / size)).withColumn("pair_id", F.col("batch") * size + F.col(number) % size + 1)
+
+
+def inference_statistics(rows: DataFrame) -> DataFrame:
+    """Of answers (error, num_alignments): pairs, failures, success rate in percent, alignments and
+    their average for each answer that came."""
+    good = F.col("error").isNull()
+    out = rows.agg(F.count("*").alias("pairs"), F.count_if(~good).alias("failed"), F.coalesce(F.sum(F.when(good, F.col("num_alignments"))), F.lit(0)).alias("alignments"))
+    made = F.col("pairs") - F.col("failed")
+    return out.withColumn("success_rate", F.coalesce(F.try_divide(100.0 * made, F.col("pairs")), F.lit(0.0))).withColumn("average", F.coalesce(F.try_divide(F.col("alignments").cast("double"), made), F.lit(0.0)))
+
+
+def error_histogram(rows: DataFrame) -> DataFrame:
+    return rows.where("error is not null").groupBy("error").agg(F.count("*").alias("cnt"))
+
+
+def artefact(prompt: Column, output: Column, alignments: Column) -> Column:
+    """An answer's prompt, output and alignments as one JSON document."""
+    return F.to_json(F.struct(prompt.alias("prompt"), output.alias("output"), alignments.alias("alignments")))

@@ -29,3 +29,13 @@ def hash_rank(df: DataFrame, order: Column, within: list[str] | None = None, dig
     offsets = sizes.withColumn("__before", before).withColumn("n", F.sum("__n").over(whole)).drop("__n")
     ranked = parted.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__p").orderBy("__o")))
     return ranked.join(offsets, [*keys, "__p"]).withColumn(name, F.col("__r") + F.col("__before")).drop("__o", "__p", "__r", "__before")
+
+
+def sorted_places(df: DataFrame, order: list[str], name: str = "place", letters: int = 3) -> DataFrame:
+    """Places from 1 in the order of columns of which the first is a text. Rows are dealt by its first
+    letters; the numbers before each part come from a table of a row for each beginning."""
+    parted = df.withColumn("__p", F.left(F.coalesce(F.col(order[0]), F.lit("")), F.lit(letters)))
+    sizes = parted.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).drop("__n")
+    here = F.row_number().over(W.partitionBy("__p").orderBy(*order))
+    return parted.withColumn("__r", here).join(before, "__p").withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")

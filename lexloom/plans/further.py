@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import gloss, metrics, phonology, text
-from lexloom.operators import corpus, dedup, dictionary, evaluation, lookup, retrieval
+from lexloom.functions import gloss, metrics, parse, phonology, text
+from lexloom.operators import alignment, corpus, dedup, dictionary, evaluation, lookup, retrieval
+from lexloom.operators.ranking import sorted_places
 from lexloom.plans.catalogue import _BEST, _COUNTS, _LINES, _M1, _PARALLEL, _PRIO, _STATS, _SUMS, dictionary_pairs, docs_labels, gloss_lines, parallel, query, table
 
 # -- evaluation -----------------------------------------------------------------------------------
@@ -406,3 +407,58 @@ def case_variants(spark, sf_dir):
 def word_sounds(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(text.word_tokens(F.col("text"))).alias("word")).distinct()
     return words.where(F.col("word").rlike("^[a-zçğıöşüâîû]+$")).select("word", phonology.sounds(F.col("word")).alias("sounds"))
+
+
+# -- model output -----------------------------------------------------------------------------------
+
+_ANSWERS = ("<alignments>\nev - house\ngel - come\n</alignments>", "so <alignments> su - water - drink\n - x", "at - horse\nnothing", "<alignments></alignments>", "")
+
+
+def answers(spark, sf_dir) -> DataFrame:
+    pick = F.element_at(F.array(*(F.lit(a) for a in _ANSWERS)), (F.col("event_id") % len(_ANSWERS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", pick.alias("answer"), F.when(F.col("event_id") % 7 == 0, "timeout").when(F.col("event_id") % 11 == 0, "memory").alias("error"))
+
+
+@query("""
+SELECT event_id, event_id % 5 IN (0, 1, 3) AS has_start_tag, event_id % 5 IN (0, 3) AS has_end_tag, event_id % 5 IN (0, 3) AS has_alignment_tags, CAST([2, 1, 1, 0, 0][event_id % 5 + 1] AS BIGINT) AS num_alignments, event_id % 5 = 0 AS is_valid_format,
+  ['ev=house gel=come', 'su=water - drink', 'at=horse', '', ''][event_id % 5 + 1] AS pairs FROM events
+""")
+def alignment_flags(spark, sf_dir):
+    c = F.col("answer")
+    pairs = F.array_join(F.transform(parse.tagged_alignments(c), lambda p: F.concat_ws("=", p["source"], p["target"])), " ")
+    return answers(spark, sf_dir).select("event_id", *(v.alias(k) for k, v in parse.alignment_flags(c).items()), pairs.alias("pairs"))
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 11 = 0 THEN 'memory' END AS error, [2, 1, 1, 0, 0][event_id % 5 + 1] AS n FROM events)
+SELECT count(*) AS pairs, count(error) AS failed, CAST(sum(n) FILTER (error IS NULL) AS BIGINT) AS alignments, round(100.0 * (count(*) - count(error)) / count(*), 6) AS success_rate, round(sum(n) FILTER (error IS NULL) / (count(*) - count(error)), 6) AS average FROM r
+""")
+def inference_statistics(spark, sf_dir):
+    rows = answers(spark, sf_dir).select("error", F.size(parse.tagged_alignments(F.col("answer"))).cast("long").alias("num_alignments"))
+    out = alignment.inference_statistics(rows)
+    return out.withColumn("success_rate", F.round(F.col("success_rate").cast("double"), 6)).withColumn("average", F.round("average", 6))
+
+
+@query("SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' ELSE 'memory' END AS error, count(*) AS cnt FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 GROUP BY 1")
+def error_histogram(spark, sf_dir):
+    return alignment.error_histogram(answers(spark, sf_dir))
+
+
+_SURFACES = (("kendisine", "kendi<Prn:refl><dat>"), ("kendilerini", "kendi<Prn:refl:3p><p3p><acc>"), ("Prof", "profesör<N>"), ("Doç", "doçent<N><pl>"), ("Dr", "doktor<N>"), ("Org", "orgeneral<N>"), ("tıptan", "tıb<N><abl>"), ("ev", "ev<N>"))
+_REWRITTEN = ("kendisi<Prn:refl><dat>", "kendileri<Prn:refl:3p><acc>", "Prof<N:abbr>", "Doç<N:abbr><pl>", "Dr<N:abbr>", "Org<N:abbr>", "tıp<N><abl>", "ev<N>")
+
+
+@query(f"SELECT p_partkey, [{', '.join(repr(x) for x in _REWRITTEN)}][p_partkey % 8 + 1] AS analysis FROM part")
+def surface_rewrites(spark, sf_dir):
+    pick = lambda k: F.element_at(F.array(*(F.lit(s[k]) for s in _SURFACES)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", parse.surface_rewritten(pick(0), pick(1)).alias("analysis"))
+
+
+@query("SELECT item_id, coalesce(nullif(trim(text), ''), 'none') AS answer, 'none' AS missing, lower(text) AS folded, row_number() OVER (ORDER BY lower(text), item_id) AS place FROM benchmark")
+def nested_fields(spark, sf_dir):
+    """Fields of JSON documents with defaults, and places in an order that takes no heed of case,
+    which are counted by range and not in one task."""
+    items = table(spark, sf_dir, "benchmark")
+    documents = items.select("item_id", F.lower("text").alias("folded"), F.to_json(F.struct(F.struct(F.trim("text").alias("generated")).alias("result"))).alias("d"))
+    made = documents.select("item_id", "folded", parse.nested(F.col("d"), "$.result.generated", "none").alias("answer"), parse.nested(F.col("d"), "$.result.score", "none").alias("missing"))
+    return sorted_places(made, ["folded", "item_id"], "place")

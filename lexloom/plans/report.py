@@ -22,3 +22,12 @@ def plain(title: str, df: DataFrame, width: int = 20, most: int = MOST) -> str:
     names = df.columns
     lines = ["".join(str(r[n])[:width].ljust(width) for n in names).rstrip() for r in rows_of(df, most)]
     return "\n".join([title, "=" * len(title), "".join(n.ljust(width) for n in names).rstrip(), *lines, ""])
+
+
+def tee(text: str, path: str | None = None) -> str:
+    """A report on the terminal, and in a file of the driver if one is named."""
+    print(text)
+    if path:
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(text + "\n")
+    return text

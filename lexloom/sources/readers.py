@@ -80,6 +80,21 @@ def splits(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def columns(spark: SparkSession, path: str, keep: list[str]) -> DataFrame:
+    """These columns of a Parquet table; no others are read."""
+    return spark.read.parquet(path).select(*keep)
+
+
+def staged(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first of these Parquet tables that is there: a download, then its cached copy."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(conf).exists(target):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(", ".join(paths))
+
+
 def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=header, multiLine=True, escape='"', mode="PERMISSIVE")
 
