@@ -17,8 +17,11 @@ def dictionary_alignments(words: DataFrame, dictionary: DataFrame, line: list[st
 
 
 def positional_lemmas(surface: Column, lemmas: Column, fallback) -> Column:
-    """A lemma for each token: by place where the lists are equally long, else by a rule."""
-    return F.when(F.size(surface) == F.size(lemmas), lemmas).otherwise(F.transform(surface, fallback))
+    """A lemma for each token: where the lists are equally long that of the token's last place, else
+    the lemma at its place, or by a rule beyond the end."""
+    last = lambda t: F.get(lemmas, F.size(surface) - F.array_position(F.reverse(surface), t).cast("int"))
+    at = lambda t, i: F.when(i < F.size(lemmas), F.get(lemmas, i)).otherwise(fallback(t))
+    return F.when(F.size(surface) == F.size(lemmas), F.transform(surface, last)).otherwise(F.transform(surface, at))
 
 
 def examples(alignments: DataFrame, line: list[str], least: int = 2) -> DataFrame:

@@ -86,6 +86,12 @@ def frequency_of_frequencies(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("cnt").agg(F.count("*").alias("pairs"))
 
 
+def quality(pairs: DataFrame) -> DataFrame:
+    """Words, those with several translations, and the mean and largest number of translations."""
+    words = pairs.groupBy("src").agg(F.count("*").alias("n"))
+    return words.agg(F.count("*").alias("words"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.avg("n").alias("mean_translations"), F.max("n").alias("most"))
+
+
 def rendered(top: DataFrame) -> DataFrame:
     """Lines ``src -> t1 (n), t2 (n)``."""
     item = F.struct("rank", F.concat(F.col("tgt"), F.lit(" ("), F.col("cnt").cast("string"), F.lit(")")).alias("s"))

@@ -87,6 +87,11 @@ def macro_averages(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.agg(*(F.coalesce(100 * F.avg(n), F.lit(0.0)).alias(n) for n in names))
 
 
+def means(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Each metric's mean over the rows that have it, and how many do."""
+    return rows.agg(*(F.avg(n).alias(n) for n in names), *(F.count(n).alias(f"n_{n}") for n in names))
+
+
 def attached(rows: DataFrame, scores: DataFrame, position: str = "idx") -> DataFrame:
     """Rows with the scores that an outside model gave for their positions."""
     return rows.join(scores, position, "left")

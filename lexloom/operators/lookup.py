@@ -41,6 +41,16 @@ def resolve_names(names: DataFrame, table: DataFrame, known: dict[str, str] | No
     return hits.select("name", F.coalesce(manual, "best.code", "c_code", fallback_code(F.col("name"))).alias("code"), method.alias("method"))
 
 
+def match_names(names: DataFrame, table: DataFrame) -> DataFrame:
+    """(name, matched, unmatched): for distinct names the entry of the table (ord, r_name) that is
+    equal but for case, else the first that has it in its name, or the other way round."""
+    asked = names.select("name").distinct().withColumn("low", F.lower("name"))
+    ref, _ = broadcast_if_small(table.select("ord", "r_name", F.lower("r_name").alias("r")))
+    met = F.contains(F.col("low"), F.col("r")) | F.contains(F.col("r"), F.col("low"))
+    best = F.min(F.when(F.col("ord").isNotNull(), F.struct(F.when(F.col("low") == F.col("r"), 1).otherwise(2).alias("rank"), "ord", "r_name"))).alias("b")
+    return asked.join(ref, met, "left").groupBy("name").agg(best).select("name", F.col("b.r_name").alias("matched"), F.col("b").isNull().alias("unmatched"))
+
+
 def mapped(df: DataFrame, mapping: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """A left lookup with a default."""
     return df.join(mapping.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import gloss, metrics, parse, phonology, text
-from lexloom.operators import alignment, corpus, dedup, dictionary, evaluation, lookup, retrieval
+from lexloom.operators import alignment, assessment, corpus, dedup, dictionary, evaluation, lookup, retrieval
 from lexloom.operators.ranking import sorted_places
 from lexloom.plans.catalogue import _BEST, _COUNTS, _LINES, _M1, _PARALLEL, _PRIO, _STATS, _SUMS, dictionary_pairs, docs_labels, gloss_lines, parallel, query, table
 
@@ -462,3 +462,120 @@ def nested_fields(spark, sf_dir):
     documents = items.select("item_id", F.lower("text").alias("folded"), F.to_json(F.struct(F.struct(F.trim("text").alias("generated")).alias("result"))).alias("d"))
     made = documents.select("item_id", "folded", parse.nested(F.col("d"), "$.result.generated", "none").alias("answer"), parse.nested(F.col("d"), "$.result.score", "none").alias("missing"))
     return sorted_places(made, ["folded", "item_id"], "place")
+
+
+# -- smaller reports ----------------------------------------------------------------------------------
+
+
+@query(f"WITH {_COUNTS} SELECT src, tgt, cnt FROM counts ORDER BY cnt DESC, src, tgt LIMIT 50")
+def most_frequent_alignments(spark, sf_dir):
+    return dictionary_pairs(spark, sf_dir).select("src", "tgt", "cnt").orderBy(F.desc("cnt"), "src", "tgt").limit(50)
+
+
+@query(f"WITH {_COUNTS}, w AS (SELECT src, count(*) AS n FROM counts GROUP BY src) SELECT count(*) AS words, count(*) FILTER (n > 1) AS ambiguous, round(avg(n), 6) AS mean_translations, max(n) AS most FROM w")
+def alignment_quality(spark, sf_dir):
+    return dictionary.quality(dictionary_pairs(spark, sf_dir)).withColumn("mean_translations", F.round("mean_translations", 6))
+
+
+@query(f"WITH {_LINES} SELECT t AS tag, count(*) AS cnt FROM (SELECT unnest(tags) AS t FROM lines WHERE p_partkey % 3 <> 0) WHERE t NOT IN ('', 'PUNC') GROUP BY t")
+def gloss_tag_frequency(spark, sf_dir):
+    """Lines of a language code, which may look like a token, and one token."""
+    lines = gloss_lines(spark, sf_dir).where("p_partkey % 3 <> 0").select(F.concat_ws(" ", F.lit("tur-PL"), "token").alias("line"))
+    return gloss_counts(lines)
+
+
+def gloss_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Tags of all tokens but a line's first, which is its language code, counted."""
+    found = lines.select(F.explode(F.flatten(F.transform(F.slice(text.tokens(F.col(line)), F.lit(2), F.greatest(F.size(text.tokens(F.col(line))), F.lit(1))), gloss.tags))).alias("tag"))
+    return found.where(~F.col("tag").isin(*gloss.IGNORED)).groupBy("tag").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, count(quality) AS n_quality, count(toxic) AS n_toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def metric_means(spark, sf_dir):
+    return evaluation.means(docs_labels(spark, sf_dir), ["quality", "toxic"]).select(F.round("quality", 6).alias("quality"), F.round("toxic", 6).alias("toxic"), "n_quality", "n_toxic")
+
+
+@query("SELECT source, count(*) AS cnt FROM documents WHERE source IN (SELECT 'src' || (n_nationkey * 2) FROM nation) GROUP BY source")
+def common_keys(spark, sf_dir):
+    wanted = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), (F.col("n_nationkey") * 2).cast("string")).alias("source"))
+    return table(spark, sf_dir, "documents").join(wanted.distinct(), "source", "left_semi").groupBy("source").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT lang, source, count(*) AS cnt FROM documents WHERE coalesce(lang, '') NOT IN ('es', 'fr') GROUP BY ALL ORDER BY cnt DESC, source DESC, lang LIMIT 20")
+def top_other_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(~F.coalesce("lang", F.lit("")).isin("es", "fr"))
+    return rows.groupBy("lang", "source").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), F.desc_nulls_first("source"), "lang").limit(20)
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+def first_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(5)
+
+
+@query("""
+WITH a AS (SELECT DISTINCT n FROM (SELECT r_name AS n FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT split_part(p_type, ' ', 1) FROM part)),
+h AS (SELECT n, arg_min(n_name, (CASE WHEN lower(n) = lower(n_name) THEN 1 ELSE 2 END, n_nationkey)) AS m FROM a JOIN nation ON contains(lower(n), lower(n_name)) OR contains(lower(n_name), lower(n)) GROUP BY n)
+SELECT a.n AS name, m AS matched, m IS NULL AS unmatched FROM a LEFT JOIN h ON h.n = a.n
+""")
+def name_matches(spark, sf_dir):
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(table(spark, sf_dir, "nation").select("n_name")).union(table(spark, sf_dir, "part").select(F.get(F.split("p_type", " "), F.lit(0))))
+    return lookup.match_names(names, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("r_name")))
+
+
+#: source, target, answer, and what verdict and correction have to be.
+_CASES = (
+    ("köpek", "cat", "<VERDICT>CORRECT</VERDICT>", "CORRECT", ""),
+    ("köpek", "cat", "<verdict>incorrect</verdict> <correction>dog</correction>", "INCORRECT", "dog"),
+    ("köpek", "cat", "Incorrect. It is a dog", "INCORRECT", "Incorrect. It is a dog"),
+    ("köpek", "cat", "that is correct", "CORRECT", ""),
+    ("köpek", "cat", "that is incorrect, not correct", "UNCLEAR", ""),
+    ("köpek", "cat", "no idea", "UNCLEAR", ""),
+    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT><CORRECTION>correct_english_lemma</CORRECTION>", "INCORRECT", ""),
+    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT><CORRECTION>" + "dog " * 20 + "</CORRECTION>", "INCORRECT", ""),
+    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT> hound", "INCORRECT", "hound"),
+    ("Ankara", "Ankara", "<VERDICT>INCORRECT</VERDICT><CORRECTION>capital</CORRECTION>", "CORRECT", ""),
+    ("42", "41", "<VERDICT>INCORRECT</VERDICT><CORRECTION>forty</CORRECTION>", "INCORRECT", "42"),
+    ("+", "plus", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "+"),
+    ("NATO", "north atlantic", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "nato"),
+    ("Izmir", "put", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "izmir"),
+)
+
+
+@query(f"SELECT p_partkey, [{', '.join(repr(c[3]) for c in _CASES)}][p_partkey % {len(_CASES)} + 1] AS verdict, [{', '.join(repr(c[4]) for c in _CASES)}][p_partkey % {len(_CASES)} + 1] AS correction FROM part")
+def verdict_branches(spark, sf_dir):
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in _CASES)), (F.col("p_partkey") % len(_CASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("source"), pick(1).alias("target"), pick(2).alias("response"))
+    return assessment.assessed(rows).select("p_partkey", "verdict", "correction")
+
+
+_LOG = (
+    ("Step 50/1000; Train avg loss: 1.25 lr: 1.0e-3", 50.0, None, 1.25, None, 0.001, None, None, ""),
+    ("Epoch 3: Validation avg loss: 2.5, accuracy: 61.5, ppl: 12.25", None, 3.0, None, 2.5, None, 61.5, 12.25, ""),
+    ("Saving checkpoint model_step_50.pt to disk", None, None, None, None, None, None, None, "model_step_50.pt"),
+    ("nothing of interest", None, None, None, None, None, None, None, ""),
+)
+
+
+def _logged(k: int) -> str:
+    return "[" + ", ".join("NULL" if x[k] is None else repr(x[k]) for x in _LOG) + f"][event_id % {len(_LOG)} + 1]"
+
+
+@query(f"""
+SELECT event_id, CAST({_logged(1)} AS BIGINT) AS step, CAST({_logged(2)} AS BIGINT) AS epoch, CAST({_logged(3)} AS DOUBLE) AS train_loss, CAST({_logged(4)} AS DOUBLE) AS valid_loss, CAST({_logged(5)} AS DOUBLE) AS learning_rate, CAST({_logged(6)} AS DOUBLE) AS accuracy, CAST({_logged(7)} AS DOUBLE) AS perplexity, nullif({_logged(8)}, '') AS checkpoint FROM events
+""")
+def log_branches(spark, sf_dir):
+    line = F.element_at(F.array(*(F.lit(x[0]) for x in _LOG)), (F.col("event_id") % len(_LOG) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in parse.log_metrics(line).items()))
+
+
+#: Analyses, and the gloss tokens that they become.
+_ANALYSES = (
+    ("ev<N><pl><acc>", "ev-NOM-PL-ACC"), ("Ali<N:prop><gen>", "Ali-NOM-PROP-GEN"), ("gel<V><past><3p>", "gel-V-PST-3P"), ("bu<Det:def>", "bu-DET-DEF"), ("xyz ???", "xyz"), ("plain", "plain"),
+    ("evler ev<N><pl>", "evler-NOM-PL"), ("on<Num:ara>", "on-NUM-ARA"),
+)
+
+
+@query(f"SELECT p_partkey, [{', '.join(repr(a[1]) for a in _ANALYSES)}][p_partkey % {len(_ANALYSES)} + 1] AS token FROM part")
+def analysis_branches(spark, sf_dir):
+    pick = F.element_at(F.array(*(F.lit(a[0]) for a in _ANALYSES)), (F.col("p_partkey") % len(_ANALYSES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", gloss.convert_analysis(pick).alias("token"))

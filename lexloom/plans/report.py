@@ -24,6 +24,11 @@ def plain(title: str, df: DataFrame, width: int = 20, most: int = MOST) -> str:
     return "\n".join([title, "=" * len(title), "".join(n.ljust(width) for n in names).rstrip(), *lines, ""])
 
 
+def sections(title: str, frames: dict[str, DataFrame], most: int = MOST) -> str:
+    """One Markdown report of several frames, a section each."""
+    return "\n".join([f"# {title}", "", *(markdown(name, df, most).replace("# ", "## ", 1) for name, df in frames.items())])
+
+
 def tee(text: str, path: str | None = None) -> str:
     """A report on the terminal, and in a file of the driver if one is named."""
     print(text)

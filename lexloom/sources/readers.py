@@ -228,6 +228,23 @@ def lexicon(rows: DataFrame) -> DataFrame:
     return rows.where(bare.rlike(pattern)).select("line_no", F.regexp_extract(bare, pattern, 1).alias("stem"), F.regexp_extract(bare, pattern, 2).alias("class"))
 
 
+def lexicon_with_includes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, stem, class) of a lexicon and of all that it includes, each file once. Names of
+    included files are read on the driver, entries are not."""
+    folder, done, open_, out = path.rsplit("/", 1)[0], [], [path], None
+    while open_:
+        file = open_.pop(0)
+        if file in done:
+            continue
+        done.append(file)
+        rows = lines(spark, file)
+        found = rows.where(F.col("line").rlike(r'^#include\s+"')).orderBy("line_no").select(F.regexp_extract("line", r'^#include\s+"([^"]+)"', 1).alias("f")).collect()
+        open_ += [f"{folder}/{r.f}" for r in found]
+        part = lexicon(rows).withColumn("file", F.lit(file.rsplit("/", 1)[1]))
+        out = part if out is None else out.unionByName(part)
+    return out.select("file", "line_no", "stem", "class")
+
+
 def template(spark: SparkSession, path: str) -> str:
     """A prompt template: a small text, read on the driver."""
     return spark.read.text(path, wholetext=True).first()[0]

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import corpus, dictionary, lookup, morph
+from lexloom.operators import alignment, corpus, dictionary, lookup, morph
+from lexloom.plans import report
 from lexloom.sources import readers, writers
 from lexloom.streaming import logs
 
@@ -93,6 +94,27 @@ def test_exports(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/k", header=True).columns == ["generated", "language"]
 
 
+def test_lexicon_includes(spark, tmp_path):
+    put(tmp_path, "nouns", "ev N; ! house\nsu Nsu;\n")
+    put(tmp_path, "verbs", '#include "nouns"\ngel V;\n')
+    path = put(tmp_path, "all", '#include "nouns"\n#include "verbs"\nve Cnj;\n')
+    assert rows(readers.lexicon_with_includes(spark, path), "file", "line_no") == [("all", 2, "ve", "Cnj"), ("nouns", 0, "ev", "N"), ("nouns", 1, "su", "Nsu"), ("verbs", 1, "gel", "V")]
+
+
+def test_reports(spark, tmp_path, capsys):
+    df = spark.createDataFrame([("a", 0.5)], "name string, value double")
+    made = report.sections("All", {"One": df, "Two": df})
+    assert made.startswith("# All\n\n## One\n\n| name | value |") and made.count("| a | 0.5000 |") == 2
+    report.tee(made, f"{tmp_path}/r.md")
+    assert capsys.readouterr().out.startswith("# All") and (tmp_path / "r.md").read_text().startswith("# All")
+
+
+def test_positional_lemmas(spark):
+    one = lambda s, m: spark.createDataFrame([(s, m)], "s array<string>, m array<string>").select(alignment.positional_lemmas(F.col("s"), F.col("m"), F.upper).alias("x")).first().x
+    assert one(["a", "b", "a"], ["x", "y", "z"]) == ["z", "y", "z"]
+    assert one(["a", "b", "c"], ["x", "y"]) == ["x", "y", "C"]
+
+
 def test_fallbacks(spark):
     df = spark.range(3).withColumnRenamed("id", "n")
     assert sorted((r.n, r.split) for r in corpus.head_tail_split(df, "n", 3, share=1.0, fallback=1).collect()) == [(0, "train"), (1, "train"), (2, "eval"), (2, "train")]
