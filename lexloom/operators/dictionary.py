@@ -107,10 +107,11 @@ def translated_tokens(texts: DataFrame, dictionary: DataFrame, line: str, text:
     words = texts.select(F.col(line), F.posexplode(tokens(text)).alias("pos", "word"))
     base, tail = split_base(F.col("word"))
     words = words.withColumn("base", base).withColumn("tail", tail)
-    exact, small = broadcast_if_small(dictionary.select(F.col("src").alias("base"), F.col("tgt").alias("exact")))
+    dictionary, small = broadcast_if_small(dictionary.select("src", "tgt", "first_pos"))
+    exact = dictionary.select(F.col("src").alias("base"), F.col("tgt").alias("exact"))
     folded = case_folded(dictionary)
     if small:
-        met = words.join(exact, "base", "left").withColumn("low", turkish_lower(F.col("base"))).join(F.broadcast(folded), "low", "left")
+        met = words.join(F.broadcast(exact), "base", "left").withColumn("low", turkish_lower(F.col("base"))).join(F.broadcast(folded), "low", "left")
     else:
         vocabulary = words.select("base").distinct().withColumn("low", turkish_lower(F.col("base")))
         met = words.join(vocabulary.join(exact, "base", "left").join(folded, "low", "left").drop("low"), "base", "left")

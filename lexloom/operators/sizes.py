@@ -10,6 +10,10 @@ MOST_ROWS = 300_000
 
 
 def broadcast_if_small(df: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, bool]:
-    """The table, marked for broadcast if it has ``most`` rows at most, and whether it has."""
-    small = df.limit(most + 1).count() <= most
-    return (F.broadcast(df) if small else df), small
+    """The table and whether it has ``most`` rows at most. Then its rows, which are at hand from the
+    count, take its place, marked for broadcast, so what made it runs once."""
+    spark = df.sparkSession
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return df, False
+    return F.broadcast(spark.createDataFrame(rows, df.schema)), True

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import gloss, metrics, parse, phonology, text
 from lexloom.operators import alignment, assessment, corpus, dedup, dictionary, evaluation, lookup, retrieval
 from lexloom.operators.ranking import sorted_places
-from lexloom.plans.catalogue import _BEST, _COUNTS, _LINES, _M1, _PARALLEL, _PRIO, _STATS, _SUMS, dictionary_pairs, docs_labels, gloss_lines, parallel, query, table
+from lexloom.plans.catalogue import _APPLIED, _BEST, _COUNTS, _LINES, _M1, _PARALLEL, _PRIO, _STATS, _SUMS, dictionary_pairs, docs_labels, gloss_lines, parallel, query, table
 
 # -- evaluation -----------------------------------------------------------------------------------
 
@@ -579,3 +579,25 @@ _ANALYSES = (
 def analysis_branches(spark, sf_dir):
     pick = F.element_at(F.array(*(F.lit(a[0]) for a in _ANALYSES)), (F.col("p_partkey") % len(_ANALYSES) + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", gloss.convert_analysis(pick).alias("token"))
+
+
+_APPLIED_TURNS = _APPLIED.replace("SELECT doc_id, trim(text, ' \t\n\r') AS text", "SELECT conv_id * 1000 + turn AS doc_id, trim(text, ' \t\n\r') AS text").replace("FROM documents)),\nb AS", "FROM conversations)),\nb AS")
+
+
+@query(f"""
+WITH {_APPLIED_TURNS} SELECT count(*) AS total_words, count(*) FILTER (how <> 'kept') AS replaced, count(DISTINCT CASE WHEN how = 'exact' THEN w END) AS used_exact, round(100.0 * count(DISTINCT CASE WHEN how = 'exact' THEN w END) / (SELECT count(*) FROM d), 6) AS usage_rate FROM o
+""")
+def dictionary_usage(spark, sf_dir):
+    entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
+    turns = table(spark, sf_dir, "conversations").withColumn("line", F.col("conv_id") * 1000 + F.col("turn"))
+    out = dictionary.coverage(dictionary.translated_tokens(turns, entries, "line", F.col("text")), entries.count())
+    return out.select("total_words", "replaced", "used_exact", F.round(F.col("usage_rate").cast("double"), 6).alias("usage_rate"))
+
+
+@query(f"""
+WITH {_APPLIED_TURNS} SELECT w AS word, arg_max(r, doc_id * 100000 + i) AS out FROM o WHERE how IN ('exact', 'folded') GROUP BY w
+""")
+def replaced_words(spark, sf_dir):
+    entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
+    turns = table(spark, sf_dir, "conversations").withColumn("line", F.col("conv_id") * 1000 + F.col("turn"))
+    return dictionary.replacements(dictionary.translated_tokens(turns, entries, "line", F.col("text")), "line")[0]
