@@ -11,7 +11,8 @@ from lexloom.llm.storage import drop, materialise
 def connected_components(edges: DataFrame) -> DataFrame:
     """For edges (a, b): (id, component), the smallest id of each component, for every id that an
     edge has. Each step writes at most one row for each edge; steps go on until none changes, about
-    the logarithm of the longest path. Nothing is collected."""
+    the logarithm of the longest path. Nothing is collected. The centre of a large component is a hot
+    key: its minima are partial aggregates, and of its joins adaptive execution splits the large side."""
     spark = edges.sparkSession
     low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     current, path = materialise(edges.where("a <> b").select(low, high).distinct(), "edges")

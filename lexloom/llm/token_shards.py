@@ -27,9 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +39,9 @@ from lexloom.llm.storage import drop, fresh_path, materialise
 
 SEQ_LEN = 512
 PER_SHARD = 1024
-#: About so much text is numbered in a part. The number of parts is that of the whole text by this,
-#: so equal tables have equal orders.
-PART_BYTES = 16_000_000
+#: About so much text is numbered in a part, in so many parts at most, whose counts are broadcast. The
+#: number of parts is that of the whole text by this, so equal tables have equal orders.
+PART_BYTES, MOST_PARTS = 8_000_000, 100_000
 KEY = 0x5EED_0F_0DD
 ROUNDS = 6
 _U = np.uint64
@@ -87,7 +87,7 @@ def stride_of(seq_len: int, width: int) -> int:
 
 
 def _encoded(docs: DataFrame, shared, parts: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document with ids: p, order, doc, ids as bytes; dealt by p, and in order."""
+    """Per document with ids: p, its part, order in it, doc, ids as bytes."""
     slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,30 +100,14 @@ def _encoded(docs: DataFrame, shared, parts: int, width: int, id_col: str, text_
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(live)), body], names=["doc", "ids"])
 
     made = slim.mapInArrow(lean(run, "bpe"), "doc long, ids binary").withColumn("order", F.xxhash64("doc", "ids"))
-    dealt = made.withColumn("p", F.pmod(F.shiftrightunsigned("order", 20), F.lit(parts)).cast("int"))
-    return dealt.repartitionById(parts, "p").sortWithinPartitions("p", "order", "doc", "ids")
+    return made.withColumn("p", F.pmod(F.shiftrightunsigned("order", 20), F.lit(parts)).cast("int"))
 
 
 def _numbered(encoded: DataFrame, seq_len: int, width: int) -> DataFrame:
     """p, start (its first sequence's number in the part), parts, doc, ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, at = None, 0
-        for batch in batches:  # in order of p
-            if not batch.num_rows:
-                continue
-            p = np.asarray(batch.column("p"))
-            sizes = np.asarray(pc.binary_length(batch.column("ids"))).astype(np.int64) // width
-            parts = -(-sizes // seq_len)
-            total = np.concatenate([[0], np.cumsum(parts)])
-            heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            first = np.where(p[heads] == now, -at, 0) if now is not None else np.zeros(len(heads), np.int64)
-            base = np.repeat(total[heads] + first, np.diff(np.append(heads, len(p))))
-            start = total[:-1] - base
-            now, at = int(p[-1]), int(start[-1] + parts[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(start), pa.array(parts), batch.column("doc"), batch.column("ids")], names=["p", "start", "parts", "doc", "ids"])
-
-    return encoded.select("p", "doc", "ids").mapInArrow(lean(run), "p int, start long, parts long, doc long, ids binary")
+    rows = encoded.withColumn("parts", F.ceil(F.octet_length("ids") / (seq_len * width)))
+    upto = F.sum("parts").over(W.partitionBy("p").orderBy("order", "doc", "ids").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("p", (upto - F.col("parts")).alias("start"), "parts", "doc", "ids")
 
 
 def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: int, width: int, key: int) -> DataFrame:
@@ -194,7 +178,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
     spec = bpe.load(vocabulary or bpe.default_vocabulary())
     width = 2 if max([i for i, _ in spec["tokens"]] + [*spec["special"].values()]) < 1 << 16 else 4
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(8, -(-size // PART_BYTES))
+    parts = min(MOST_PARTS, max(8, -(-size // PART_BYTES)))
     encoded, kept = materialise(_numbered(_encoded(docs, spark.sparkContext.broadcast(spec), parts, width, id_col, text_col), seq_len, width), "tokens")
     counts = encoded.groupBy("p").agg(F.max(F.col("start") + F.col("parts")).alias("n")).orderBy("p").collect()
     offsets, total = {}, 0
