@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from lexloom.llm._text import cache, fmix, lean, powers
 from lexloom.llm._text import pieces as text_pieces
 
-CACHE = 20_000
+CACHE = 40_000
 SHORT = 48
 LONG = 1 << 20
 CHUNK = 1 << 16

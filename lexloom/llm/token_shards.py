@@ -154,18 +154,26 @@ def _packed(slotted: DataFrame, per_shard: int, stride: int, partitions: int) ->
         open_, slots, data = None, [], []
 
         def closed() -> pa.RecordBatch:
-            if slots != [*range(slots[0], slots[0] + len(slots))]:
+            own = np.concatenate(slots)
+            if (np.diff(own) != 1).any():
                 raise ValueError(f"shard {open_} has a gap")
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (open_, slots[0], len(slots), stride)] + [pa.array([b"".join(data)], pa.binary())], names=["shard", "first_slot", "n_slots", "stride", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (open_, int(own[0]), len(own), stride)] + [pa.array([b"".join(data)], pa.binary())], names=["shard", "first_slot", "n_slots", "stride", "data"])
 
         for batch in batches:
-            for slot, record in zip(batch.column("slot").to_pylist(), batch.column("record").to_pylist(), strict=True):
-                if slot // per_shard != open_:
+            if not batch.num_rows:
+                continue
+            own, records = np.asarray(batch.column("slot")), batch.column("record")
+            at = np.frombuffer(records.buffers()[1], np.int32)[records.offset : records.offset + len(records) + 1]
+            raw = memoryview(records.buffers()[2])
+            shard = own // per_shard
+            heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
+            for x, y in zip(heads, [*heads[1:], len(own)], strict=True):
+                if shard[x] != open_:
                     if slots:
                         yield closed()
-                    open_, slots, data = slot // per_shard, [], []
-                slots.append(slot)
-                data.append(record)
+                    open_, slots, data = int(shard[x]), [], []
+                slots.append(own[x:y])
+                data.append(bytes(raw[at[x] : at[y]]))
         if slots:
             yield closed()
 
