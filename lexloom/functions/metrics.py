@@ -19,15 +19,16 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def numbered(grams: Column) -> Column:
-    """Each element with how often it came before, so that a set intersection clips counts. Runs of
-    the sorted elements are numbered, in time linear in them but for the sort."""
+    """Each element with how often it came before, so that a set intersection clips counts. Where
+    elements repeat, runs of the sorted ones are numbered, in time linear in them but for the sort."""
 
     def of_sorted(ordered: Column) -> Column:
         starts = F.filter(F.transform(ordered, lambda g, i: F.when((i == 0) | (g != F.get(ordered, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
         run = lambda heads: lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get(heads, k + 1), F.size(ordered)) - 1), lambda j: F.concat(F.get(ordered, s), F.lit("\u0002"), (j - s).cast("string")))
         return let(starts, lambda heads: F.flatten(F.transform(heads, run(heads))))
 
-    return F.when(F.size(grams) == 0, F.array().cast("array<string>")).otherwise(let(F.array_sort(grams), of_sorted))
+    first = lambda g: F.transform(g, lambda x: F.concat(x, F.lit("\u00020")))
+    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), first(g)).otherwise(let(F.array_sort(g), of_sorted)))
 
 
 def overlap(a: Column, b: Column) -> Column:
