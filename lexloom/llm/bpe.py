@@ -490,7 +490,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = of_worker(shared)
-        for batch in text_pieces(batches, "body", 300_000):
+        for batch in text_pieces(batches, "body", 150_000):
             texts = [t or "" for t in batch.column("body").to_pylist()]
             alone = {} if with_ids else {k: coder.digests(t) for k, t in enumerate(texts) if coder.is_odd(t)}
             ids, bounds = coder.encode(["" if k in alone else t for k, t in enumerate(texts)])

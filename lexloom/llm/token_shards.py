@@ -92,7 +92,7 @@ def _encoded(docs: DataFrame, shared, parts: int, width: int, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.of_worker(shared, QuickBPE)
-        for batch in pieces(batches, "body", 300_000):
+        for batch in pieces(batches, "body", 150_000):
             ids, bounds = coder.encode([t or "" for t in batch.column("body").to_pylist()])
             live = np.flatnonzero(np.diff(bounds))
             raw = ids.astype(f"<u{width}")
@@ -146,9 +146,12 @@ def _slotted(encoded: DataFrame, offsets: dict[int, int], total: int, seq_len: i
 SHARD = "shard long, first_slot long, n_slots long, stride long, data binary"
 
 
-def _packed(slotted: DataFrame, per_shard: int, stride: int, partitions: int) -> DataFrame:
-    """Shards of the sorted records. Partitions are ranges of whole shards."""
-    ordered = slotted.repartitionByRange(partitions, F.floor(F.col("slot") / per_shard)).sortWithinPartitions("slot")
+def _packed(slotted: DataFrame, total: int, per_shard: int, stride: int, partitions: int) -> DataFrame:
+    """Shards of the sorted records. Partitions are ranges of whole shards; as slots are 0 to total - 1,
+    their bounds are known, and no sample is taken."""
+    shards = -(-total // per_shard)
+    dealt = slotted.withColumn("range", F.floor(F.floor(F.col("slot") / per_shard) * partitions / shards).cast("int"))
+    ordered = dealt.repartitionById(partitions, "range").select("slot", "record").sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, slots, data = None, [], []
@@ -194,7 +197,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, id_col: str
         offsets[r.p], total = total, total + r.n
     partitions = max(1, min(-(-total // per_shard), -(-total * stride_of(seq_len, width) // (32 << 20))))
     slotted = _slotted(encoded, offsets, total, seq_len, width, key)
-    _packed(slotted, per_shard, stride_of(seq_len, width), partitions).write.option("compression", "zstd").parquet(path)
+    _packed(slotted, max(1, total), per_shard, stride_of(seq_len, width), partitions).write.option("compression", "zstd").parquet(path)
     drop(spark, kept)
     return total
 
