@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, decontam, html_template, line_dedup, minhash, mpeg, suffix_dedup, token_shards, toxicity, warc
+from lexloom.llm import ball_tree, bpe, decontam, dual_tree, html_template, impact_index, line_dedup, minhash, mpeg, suffix_dedup, token_shards, toxicity, warc
 from lexloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,10 +58,25 @@ def op10_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op5_suffix_dedup, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit)}
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.report(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_mpeg_audio, op3_toxicity, op4_bpe_transducer, op5_suffix_dedup, op6_html_template, op7_token_shards, op8_line_dedup, op9_decontamination, op10_warc_revisit, op11_dual_tree_lloyd, op12_impact_topk, op13_hard_negatives)}
 SQL: dict[str, str] = {
     "op5_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op9_decontamination": decontam.ORACLE_SQL,
     "op10_warc_revisit": warc.ORACLE_SQL,
+    "op11_dual_tree_lloyd": dual_tree.ORACLE_SQL,
+    "op12_impact_topk": impact_index.ORACLE_SQL,
+    "op13_hard_negatives": ball_tree.ORACLE_SQL,
 }
