@@ -1,35 +1,141 @@
-"""Runs of equal words in a stream, with their best analysis."""
+"""Runs of equal words in a stream, with their best analysis, by event time.
+
+Rows of a key wait as state until the watermark has passed them, and are then taken one by one in the
+order of (time, order), so what arrives late by less than the watermark's delay finds its place. A run
+ends with the first row of another word, or, by a timer, when its key has been quiet for ``quiet_ms`` of
+event time: the last run of a key comes out as well. A key has one timer at a time, for whatever is
+due first.
+
+Kept for a key: what waits, at most the rows of the delay and of one batch (which a source bounds by
+files or rows a trigger), and the open run, one row. The state store is RocksDB, which keeps it on disk
+and in the checkpoint folder, so a lost executor resumes from there.
+
+Defined results: rows with a null word or time are not part of any run; a null score is less than any
+other; of rows with one time and order any is the first; a key that begins again after it was quiet
+goes on counting its runs; rows later than the watermark are dropped by Spark before they come here.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.query import StreamingQuery
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_WAITING = "at long, ord long, word string, analysis string, score double"
+#: run: number of the open run, or of the last; word is null where none is open; timer: when the key's
+#: timer is due, in milliseconds.
+_OPEN = "run long, word string, analysis string, score double, last long, timer long"
+_LOWEST = float("-inf")
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the worker that plans a stateful query has no shipped packages
+
+
+class BestOfRuns(StatefulProcessor):
+    """One key's runs; its rows come as (at: microseconds, ord, word, analysis, score)."""
+
+    def __init__(self, key: str, quiet_ms: int):
+        self.out = Row(key, "run", "word", "analysis", "score")
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.open = handle.getValueState("open", _OPEN)
+
+    def close(self) -> None:
+        pass
+
+    def _now(self) -> list:
+        return list(self.open.get()) if self.open.exists() else [0, None, None, None, None, None]
+
+    def _timed(self, now: list, due: int) -> None:
+        """The key's timer, moved to ``due`` if that is earlier than what it stands at."""
+        if now[5] is None or due < now[5]:
+            if now[5] is not None:
+                self.handle.deleteTimer(now[5])
+            self.handle.registerTimer(due)
+            now[5] = due
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        first = None
+        for row in rows:
+            if row.word is None or row.at is None:  # a filter of the stream would go before the watermark, and hide marks from it
+                continue
+            self.waiting.appendValue((row.at, row.ord, row.word, row.analysis, row.score))
+            first = row.at if first is None else min(first, row.at)
+        if first is not None:
+            now = self._now()
+            self._timed(now, first // 1000 + 1)
+            self.open.update(tuple(now))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        now = self._now()
+        now[5] = None
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if row[0] // 1000 < passed else later).append(tuple(row))
+        for at, _, word, analysis, score in sorted(due, key=lambda r: (r[0], r[1])):
+            if now[1] != word:
+                if now[1] is not None:
+                    yield self.out(*key, *now[:4])
+                now[:4] = [now[0] + 1, word, analysis, score]
+            elif self._rank(analysis, score) > self._rank(now[2], now[3]):
+                now[2:4] = [analysis, score]
+            now[4] = at
+        if due:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if now[1] is not None and now[4] // 1000 + self.quiet_ms < passed and not later:
+            yield self.out(*key, *now[:4])
+            now[1:5] = [None] * 4
+        if later:
+            self._timed(now, min(r[0] for r in later) // 1000 + 1)
+        elif now[1] is not None:
+            self._timed(now, now[4] // 1000 + self.quiet_ms + 1)
+        self.open.update(tuple(now))
+
+    @staticmethod
+    def _rank(analysis: str | None, score: float | None) -> tuple[float, int]:
+        return (_LOWEST if score is None else score, -len(analysis or ""))
+
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def best_of_runs(stream: DataFrame, key: str, time: str, order: str, quiet_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """For a stream of (key, time, order, word, analysis, score): key, run, word, analysis, score of
+    each run of equal words of a key, once it has ended; the analysis is that of the best score, of
+    equals the shortest, then the first. The query has to run with the state store ``ROCKS``."""
+    rows = stream.withWatermark(time, delay).select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.unix_micros(time).alias("at"), F.col(order).cast("long").alias("ord"), "word", "analysis", F.col("score").cast("double").alias("score"))
+    kind = dict(stream.dtypes)[key]
+    return rows.groupBy("__key").transformWithState(statefulProcessor=BestOfRuns(key, quiet_ms), outputStructType=f"`{key}` {kind}, run long, word string, analysis string, score double", outputMode="Append", timeMode="EventTime")
 
-OUT = "{key} string, run long, word string, analysis string, score double"
-STATE = "run long, word string, analysis string, score double"
 
+def with_marks(stream: DataFrame, marks: str, time: str) -> DataFrame:
+    """The stream and the marks that ``mark`` leaves in a folder: rows that have a time and nothing
+    else, and so only move the watermark."""
+    times = stream.sparkSession.readStream.schema(f"`{time}` timestamp").parquet(marks)
+    return stream.unionByName(times, allowMissingColumns=True)
 
-def best_of_runs(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """For a stream of (key, order, word, analysis, score), in order within a batch and from batch to
-    batch: of each run of equal words of a key, once it has ended, the analysis of the best score, of
-    equals the shortest, then the first. What is open stays as state, one row for a key."""
 
-    def step(own: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
+def mark(spark: SparkSession, marks: str, time: str, at: str) -> None:
+    """Say that nothing older than ``at`` will come: what still waits or is open before comes out."""
+    spark.createDataFrame([(at,)], "at string").select(F.col("at").cast("timestamp").alias(time)).coalesce(1).write.mode("append").parquet(marks)
 
-        now = state.get if state.exists else None
-        done: list[tuple] = []
-        for row in pd.concat([*frames]).sort_values(order, kind="stable").itertuples():
-            better = now is not None and now[1] == row.word and (row.score, -len(row.analysis)) > (now[3], -len(now[2]))
-            if now is None or now[1] != row.word:
-                if now is not None:
-                    done.append((own[0], *now))
-                now = ((now[0] + 1) if now is not None else 1, row.word, row.analysis, row.score)
-            elif better:
-                now = (now[0], row.word, row.analysis, row.score)
-        state.update(now)
-        yield pd.DataFrame(done, columns=[key, "run", "word", "analysis", "score"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, OUT.format(key=key), STATE, "append", GroupStateTimeout.NoTimeout)
+def run_to_end(started: Callable[[], StreamingQuery], spark: SparkSession) -> None:
+    """A query over what is there, with the state store that timers need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        started().awaitTermination()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)

@@ -1,4 +1,4 @@
-"""Plug-in boundaries and streamed runs."""
+"""Plug-in boundaries."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lexloom.functions import parse
 from lexloom.operators import alignment, plugins
 from lexloom.sources import readers
-from lexloom.streaming import logs, runs
 
 
 def test_generated(spark):
@@ -57,17 +56,3 @@ def test_staged(spark, tmp_path):
     assert readers.columns(spark, f"{tmp_path}/b", ["id"]).columns == ["id"]
     with pytest.raises(FileNotFoundError):
         readers.staged(spark, f"{tmp_path}/a")
-
-
-def test_streamed_runs(spark, tmp_path):
-    rows = [(0, "ev", "ev<N>", 0.5), (1, "ev", "ev<V>", 0.9), (2, "gel", "gel<V>", 0.1), (3, "ev", "e<X>", 0.3), (4, "su", "su<N>", 1.0)]
-    folder = tmp_path / "in"
-    folder.mkdir()
-    kind = "doc string, at long, word string, analysis string, score double"
-    seen = []
-    for part in (rows[:2], rows[2:]):
-        spark.createDataFrame([("d", *r) for r in part], kind).coalesce(1).write.mode("append").json(str(folder))
-        stream = spark.readStream.schema(kind).json(str(folder))
-        q = logs.run_batches(runs.best_of_runs(stream, "doc", "at"), lambda df, _: seen.extend(tuple(r) for r in df.collect()), f"{tmp_path}/ck")
-        q.awaitTermination(90)
-    assert sorted(seen) == [("d", 1, "ev", "ev<V>", 0.9), ("d", 2, "gel", "gel<V>", 0.1), ("d", 3, "ev", "e<X>", 0.3)]
