@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.metrics import bleu_effective, bleu_exponential, bleu_international, bleu_method1, bleu_stats, combined_bleu, let, precisions, sentence_bleu, summed, thirteen_a
+from lexloom.operators.ranking import sorted_places
 
 
 def corpus_bleu(pairs: DataFrame, hyp: str, ref: str, keys: list[str] | None = None, how=bleu_method1) -> DataFrame:
@@ -42,28 +47,78 @@ def bleu_sums(hyp: str, ref: str, orders: int = 4) -> tuple[dict[str, Column], C
     return own, combined_bleu(bleu_exponential, orders)
 
 
-def bootstrap(rows: DataFrame, line: Column, metric: tuple[dict[str, Column], Column], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(b, score): any metric that is a function of sums over rows, of each replicate. metric: the
-    sums by name, and the score as a column of these names. A row's multiplicity in a replicate is
-    a Poisson(1) draw from its hash, which resamples in one pass without joining draws to rows; only
-    sums, one row for each replicate and task, are shuffled."""
+#: Rows of a block: replicates are dealt to blocks first, and then inside each. It is part of what is drawn.
+BLOCK = 4096
+#: Draws that a task makes at once.
+DRAWS = 1 << 20
+#: The increment and multipliers of SplitMix64.
+GAMMA, MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    """SplitMix64's output for these states."""
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_A)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_B)
+        return z ^ (z >> np.uint64(31))
+
+
+def draws(seed: int, stage: int, b: np.ndarray, block: int, j: np.ndarray) -> np.ndarray:
+    """Uniform numbers from 0 to 1, the j-th of replicate b, of a stage and block."""
+    start = mixed(mixed(mixed(np.array([seed + stage], np.uint64)) ^ b.astype(np.uint64)) ^ np.uint64(block))
+    with np.errstate(over="ignore"):
+        state = start + (j.astype(np.uint64) + np.uint64(1)) * np.uint64(GAMMA)
+    return (mixed(state) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def bootstrap(rows: DataFrame, order: list[str], metric: tuple[dict[str, Column], Column], replicates: int = 1000, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """(b, score): any metric that is a function of sums over rows, of each replicate of exactly as many
+    draws with replacement as there are rows. metric: the sums by name, and the score as a column of
+    these names; order: columns that tell rows apart.
+
+    A replicate is drawn by splitting: first how many of its draws fall into each block of rows, then,
+    inside the block, which rows they are. The first needs no rows, only their number; the second has a
+    block's rows and the counts of its replicates in one place, and multiplies the replicates' row counts
+    by the rows' sums. So no row is copied for a replicate, and what is shuffled is the rows once,
+    a count for each block and replicate, and a row of sums for each replicate and task."""
+    spark = rows.sparkSession
     sums, score = metric
-    stats = rows.select(line.alias("line"), *(c.alias(n) for n, c in sums.items()))
-    u = F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("line")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
-    steps = poisson_steps()
-    times = sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
-    drawn = stats.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", times).where("k > 0")
-    return drawn.groupBy("b").agg(*(F.sum(F.col("k") * F.col(n)).alias(n) for n in sums)).select("b", score.alias("score"))
-
-
-def poisson_steps(most: int = 8) -> list[float]:
-    """Where a uniform number begins to count 1, 2, ... times under Poisson(1)."""
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(most):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    return steps
+    names = list(sums)
+    slim = rows.select(*(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()))
+    placed = sorted_places(slim, [f"__o{i}" for i in range(len(order))], "__at").withColumn("__block", F.floor((F.col("__at") - 1) / block).cast("long"))
+    stats = placed.select("__block", ((F.col("__at") - 1) % block).alias("__pos"), *names)
+    n = stats.count()
+    chunks = -(-n // DRAWS)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                b, c = divmod(i, chunks)
+                j = np.arange(c * DRAWS, min(n, (c + 1) * DRAWS))
+                blocks, counts = np.unique(np.floor(draws(seed, 1, np.array([b]), 0, j) * n).astype(np.int64) // block, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), b)), pa.array(blocks), pa.array(counts.astype(np.int64))], names=["b", "__block", "k"])
+
+    each = spark.range(replicates * chunks).mapInArrow(dealt, "b long, __block long, k long")
+    counts = each.groupBy("b", "__block").agg(F.sum("k").alias("k"))
+
+    def drawn(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        where, b, k = own.column("__block")[0].as_py(), np.asarray(wanted.column("b")), np.asarray(wanted.column("k"))
+        x = np.stack([np.asarray(own.column(c)) for c in names], 1)[np.argsort(np.asarray(own.column("__pos")))]
+        size = len(x)
+        step = max(1, DRAWS // max(size, int(k.max(initial=1))))
+        out = [np.zeros((0, len(names)))]
+        for at in range(0, len(b), step):
+            some = k[at : at + step]
+            which = np.repeat(np.arange(len(some)), some)
+            j = np.arange(len(which)) - np.repeat(np.cumsum(some) - some, some)
+            rows = np.floor(draws(seed, 2, b[at : at + step][which], where, j) * size).astype(np.int64)
+            out.append(np.bincount(which * size + rows, minlength=len(some) * size).reshape(len(some), size) @ x)
+        made = np.concatenate(out)
+        return pa.table([pa.array(b), pa.array(k), *(pa.array(made[:, i]) for i in range(len(names)))], names=["b", "__n", *names])
+
+    schema = ", ".join(["b long, __n long", *(f"`{c}` double" for c in names)])
+    met = stats.groupBy("__block").cogroup(counts.groupBy("__block")).applyInArrow(drawn, schema)
+    return met.groupBy("b").agg(F.sum("__n").alias("draws"), *(F.sum(c).alias(c) for c in names)).select("b", "draws", score.alias("score"))
 
 
 def interval(scores: DataFrame, replicates: int) -> DataFrame:

@@ -1,54 +1,109 @@
 """Lookups by priority: exact, containment, prefixes. Theta joins run on distinct keys, through
-shared tokens or prefixes, never row against row."""
+shared grams, prefixes or targets, never row against row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.gloss import english_lemma
 from lexloom.functions.text import fallback_code
 from lexloom.operators.sizes import broadcast_if_small
+from lexloom.operators.staging import written
 
 #: Names that no method would resolve, and their codes.
 KNOWN_CODES = {"Unknown language": "und", "Japhug": "jya", "Sanzhi": "xzr", "Pichi": "fpe", "Tsez": "ddo"}
 
 
+#: Letters of the grams by which containment is looked up.
+GRAM = 3
+
+
+def _grams(c: str, n: Column | str) -> Column:
+    """The distinct substrings of a text that have so many letters."""
+    return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(F.col(c), i, n))))
+
+
+def contained(parts: DataFrame, wholes: DataFrame, q: int = GRAM) -> DataFrame:
+    """(part, whole): for distinct texts, each part that is not empty with the wholes that it is in.
+    Wholes are indexed by their grams; a part is looked up by one gram, the rarest of its own of
+    ``q`` letters (or, if it is shorter, by itself), and what meets there is verified. So rows that
+    meet are, for each part, as many as the wholes that have its rarest gram."""
+    n = F.least(F.length("part"), F.lit(q))
+    asked = parts.select("part").where("part <> ''").distinct().select("part", n.alias("n"), _grams("part", n).alias("gram"))
+    lengths = F.array(*(F.lit(i) for i in range(1, q + 1)))
+    by_length = wholes.select("whole").where("whole is not null").distinct().select("whole", F.explode(lengths).alias("n")).where(F.col("n") <= F.length("whole"))
+    grams = by_length.select("whole", "n", _grams("whole", F.col("n")).alias("gram"))
+    wanted = grams.join(asked.select("n").distinct(), "n", "left_semi").join(asked.select("gram").distinct(), "gram", "left_semi")
+    index = written(wanted.select("gram", "whole"), "grams")
+    counts = index.groupBy("gram").agg(F.count("*").alias("c"))
+    # a gram that no whole has rules its part out, and comes first as null
+    rarest = asked.join(counts, "gram", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("g")).where("g.c > 0")
+    return rarest.select("part", F.col("g.gram").alias("gram")).join(index, "gram").where(F.contains("whole", F.col("part"))).select("part", "whole")
+
+
+def _first_entries(asked: DataFrame, ref: DataFrame, words: bool) -> DataFrame:
+    """(low, best): for distinct lower-cased names the least of (rank, ord) of the entries (r, e) that
+    each has: 1 equal, 2 one in the other, 3 a word of more than three letters in the entry. e is the
+    first entry of its name r, a struct that begins with ord."""
+    lows, rs = asked.select("low").where("low is not null").distinct(), ref.where("r is not null")
+    equal = lows.select("low", F.col("low").alias("r"), F.lit(1).alias("rank"))
+    parts = lambda df, c: df.select(F.col(c).alias("part"))
+    wholes = lambda df, c: df.select(F.col(c).alias("whole"))
+    longer = contained(parts(rs, "r"), wholes(lows, "low")).select(F.col("whole").alias("low"), F.col("part").alias("r"), F.lit(2).alias("rank"))
+    shorter = contained(parts(lows, "low"), wholes(rs, "r")).select(F.col("part").alias("low"), F.col("whole").alias("r"), F.lit(2).alias("rank"))
+    met = equal.unionByName(longer).unionByName(shorter)
+    if words:
+        each = lows.select("low", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("part")).where(F.length("part") > 3)
+        by_word = contained(each.select("part"), wholes(rs, "r")).join(each, "part")
+        met = met.unionByName(by_word.select("low", F.col("whole").alias("r"), F.lit(3).alias("rank")))
+    best = F.min(F.struct("rank", "e")).alias("best")
+    found = met.join(rs, "r").groupBy("low").agg(best)
+    # an empty text is in every other: of entries one row stands for that, of names that with no letters
+    ends = rs.agg(F.min("e").alias("first"), F.min(F.when(F.col("r") == "", F.col("e"))).alias("empty")).first()
+    if ends["first"] is None:
+        return found
+    kind = rs.schema["e"].dataType
+    lit = lambda row: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind.fields, strict=True)))
+    extra = [lows.where("low = ''").select("low", F.struct(F.lit(2).alias("rank"), lit(ends["first"]).alias("e")).alias("best"))]
+    if ends["empty"] is not None:
+        extra.append(lows.where("low <> ''").select("low", F.struct(F.lit(2).alias("rank"), lit(ends["empty"]).alias("e")).alias("best")))
+    for one in extra:
+        found = found.unionByName(one)
+    return found.groupBy("low").agg(F.min("best").alias("best"))
+
+
 def resolve_names(names: DataFrame, table: DataFrame, known: dict[str, str] | None = None, countries: DataFrame | None = None) -> DataFrame:
     """For distinct names and a reference table (ord, name, code): name, code, method: manual,
     exact, contains (either way, first of the table), word (of more than three letters), country (a
     name of ``countries`` (ord, name) in it that an entry of the table has in its name as well) or
-    fallback. The reference tables are lists of languages and countries; they are broadcast while
-    they are small (``sizes``)."""
+    fallback. Names meet entries by grams (``contained``), so neither side has to be small."""
     known = KNOWN_CODES if known is None else known
     manual = F.try_element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("name")) if known else F.lit(None).cast("string")
-    asked = names.select("name").distinct().withColumn("low", F.lower("name"))
-    ref, _ = broadcast_if_small(table.select("ord", F.lower("name").alias("r"), "code"))
-    word = F.exists(F.split("low", r"\s+"), lambda w: (F.length(w) > 3) & F.contains(F.col("r"), w))
-    rank = F.when(F.col("low") == F.col("r"), 1).when(F.contains(F.col("low"), F.col("r")) | F.contains(F.col("r"), F.col("low")), 2).when(word, 3)
-    hits = asked.join(ref, rank.isNotNull(), "left").groupBy("name").agg(F.min(F.struct(rank.alias("rank"), "ord", "code")).alias("best"))
-    hits = hits.withColumn("best", F.when(F.col("best.rank").isNotNull(), F.col("best")))
+    asked = written(names.select("name").distinct().withColumn("low", F.lower("name")), "names")
+    ref = written(table.groupBy(F.lower("name").alias("r")).agg(F.min(F.struct("ord", "code")).alias("e")), "entries")
+    hits = asked.join(_first_entries(asked, ref, words=True), "low", "left")
     if countries is not None:
-        c, _ = broadcast_if_small(countries.select(F.col("ord").alias("c_ord"), F.lower("name").alias("c")))
-        spoken = ref.join(c, F.contains(F.col("r"), F.col("c"))).groupBy("c", "c_ord").agg(F.min_by("code", "ord").alias("c_code"))
-        spoken, _ = broadcast_if_small(spoken)
-        by_country = asked.join(spoken, F.contains(F.col("low"), F.col("c"))).groupBy("name").agg(F.min_by("c_code", "c_ord").alias("c_code"))
-        hits = hits.join(by_country, "name", "left")
+        c = countries.groupBy(F.lower("name").alias("c")).agg(F.min("ord").alias("c_ord")).where("c <> ''")
+        parts = c.select(F.col("c").alias("part"))
+        spoken = contained(parts, ref.select(F.col("r").alias("whole"))).join(ref.withColumnRenamed("r", "whole"), "whole").groupBy("part").agg(F.min("e").alias("e"))
+        spoken = spoken.join(c.withColumnRenamed("c", "part"), "part")
+        by_country = contained(spoken.select("part"), asked.select(F.col("low").alias("whole"))).join(spoken, "part").groupBy(F.col("whole").alias("low")).agg(F.min_by("e.code", "c_ord").alias("c_code"))
+        hits = hits.join(by_country, "low", "left")
     else:
         hits = hits.withColumn("c_code", F.lit(None).cast("string"))
     label = F.when(F.col("best.rank").isNotNull(), F.element_at(F.array(F.lit("exact"), F.lit("contains"), F.lit("word")), F.col("best.rank")))
     method = F.when(manual.isNotNull(), "manual").otherwise(F.coalesce(label, F.when(F.col("c_code").isNotNull(), "country"), F.lit("fallback")))
-    return hits.select("name", F.coalesce(manual, "best.code", "c_code", fallback_code(F.col("name"))).alias("code"), method.alias("method"))
+    return hits.select("name", F.coalesce(manual, "best.e.code", "c_code", fallback_code(F.col("name"))).alias("code"), method.alias("method"))
 
 
 def match_names(names: DataFrame, table: DataFrame) -> DataFrame:
     """(name, matched, unmatched): for distinct names the entry of the table (ord, r_name) that is
     equal but for case, else the first that has it in its name, or the other way round."""
-    asked = names.select("name").distinct().withColumn("low", F.lower("name"))
-    ref, _ = broadcast_if_small(table.select("ord", "r_name", F.lower("r_name").alias("r")))
-    met = F.contains(F.col("low"), F.col("r")) | F.contains(F.col("r"), F.col("low"))
-    best = F.min(F.when(F.col("ord").isNotNull(), F.struct(F.when(F.col("low") == F.col("r"), 1).otherwise(2).alias("rank"), "ord", "r_name"))).alias("b")
-    return asked.join(ref, met, "left").groupBy("name").agg(best).select("name", F.col("b.r_name").alias("matched"), F.col("b").isNull().alias("unmatched"))
+    asked = written(names.select("name").distinct().withColumn("low", F.lower("name")), "names")
+    ref = written(table.groupBy(F.lower("r_name").alias("r")).agg(F.min(F.struct("ord", "r_name")).alias("e")), "entries")
+    hits = asked.join(_first_entries(asked, ref, words=False), "low", "left")
+    return hits.select("name", F.col("best.e.r_name").alias("matched"), F.col("best").isNull().alias("unmatched"))
 
 
 def mapped(df: DataFrame, mapping: DataFrame, key: str, value: str, default: str) -> DataFrame:
@@ -92,21 +147,42 @@ def with_lemmas(words: DataFrame, lemmas: DataFrame, word: str = "word", rules:
     return met.withColumn("lemma", lemma).drop("__low", "__known")
 
 
-def sentence_matches(tokens: DataFrame, dictionary: DataFrame, line: list[str], least: int = 3) -> DataFrame:
+#: Targets of one prefix that travel as an array; a prefix with more is looked up with the target.
+TARGETS = 64
+
+
+def sentence_matches(tokens: DataFrame, dictionary: DataFrame, line: list[str], least: int = 3, most: int = TARGETS) -> DataFrame:
     """(line..., pos, token, src, tgt, how): for tokens (line..., pos, token, others), others being
     the lower-cased words of the other side, the entry of the dictionary (ord, src, tgt) whose
     target is among them: the token's own (exact), else the first of those of which one is the
-    other's prefix (prefix). Candidates are found for distinct tokens."""
-    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length(c), F.lit(least))), lambda n: F.left(F.col(c), n)))
-    keys = dictionary.select("ord", "src", "tgt", F.lower("tgt").alias("__t"))
-    distinct = tokens.select("token").distinct()
-    longer = distinct.select("token", prefixes("token").alias("src")).join(keys.where(F.length("src") >= least), "src")
-    shorter = keys.where(F.length("src") >= least).select("ord", "src", "tgt", "__t", prefixes("src").alias("token"))
-    short = keys.where(F.length("src") >= least).select("ord", "src", "tgt", "__t", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max(1, least - 1))), lambda n: F.left("src", n))).alias("token"))
-    shorter = distinct.join(shorter.unionByName(short), "token")
-    exact = distinct.join(keys.withColumn("token", F.col("src")), "token")
-    names = ["token", "ord", "src", "tgt", "__t"]
-    every = exact.select(*names, F.lit(0).alias("rank")).unionByName(longer.select(*names, F.lit(1).alias("rank"))).unionByName(shorter.select(*names, F.lit(1).alias("rank")))
-    met = tokens.join(every, "token").where(F.array_contains("others", F.col("__t")))
-    best = F.min(F.struct("rank", "ord", "src", "tgt")).alias("b")
-    return met.groupBy(*line, "pos", "token").agg(best).select(*line, "pos", "token", "b.src", "b.tgt", F.when(F.col("b.rank") == 0, "exact").otherwise("prefix").alias("how"))
+    other's prefix (prefix).
+
+    The dictionary becomes an index by what a token can meet it with, a whole source (0) or a
+    beginning of one (1), and by target: of each only the first entry. A token looks up itself and its
+    beginnings; where these have ``most`` targets at most, the targets come back as one array for each
+    distinct token and are compared with the others inside the row. A beginning with more targets, as
+    one letter has, is looked up together with each word of the other side, so it meets as many rows
+    as the sentence has words, however many entries begin with it."""
+    beginnings = lambda c, a: F.explode(F.when(F.length(c) >= a, F.transform(F.sequence(F.lit(a), F.length(c)), lambda n: F.left(F.col(c), n))))
+    entry = F.struct("ord", "src", "tgt").alias("e")
+    keys = dictionary.select(F.lower("tgt").alias("t"), "src", entry).where("src is not null and t is not null")
+    whole = keys.select(F.lit(0).alias("kind"), F.col("src").alias("probe"), "t", "e")
+    begun = keys.where(F.length("src") >= least).select(F.lit(1).alias("kind"), beginnings("src", 1).alias("probe"), "t", "e")
+    index = written(whole.unionByName(begun).groupBy("kind", "probe", "t").agg(F.min("e").alias("e")), "sources")
+    sizes = index.groupBy("kind", "probe").agg(F.count("*").alias("n"))
+    few = index.join(sizes.where(F.col("n") <= most), ["kind", "probe"]).groupBy("kind", "probe").agg(F.collect_list(F.struct("t", "e")).alias("found"))
+
+    distinct = tokens.select("token").where("token is not null").distinct()
+    own = distinct.select("token", F.lit(0).alias("kind"), F.col("token").alias("probe"), F.lit(0).alias("rank"))
+    longer = distinct.select("token", F.lit(0).alias("kind"), beginnings("token", least).alias("probe"), F.lit(1).alias("rank"))
+    shorter = distinct.select("token", F.lit(1).alias("kind"), F.col("token").alias("probe"), F.lit(1).alias("rank"))
+    probes = written(own.unionByName(longer).unionByName(shorter).join(sizes, ["kind", "probe"]), "probes")
+
+    ranked = F.transform("found", lambda f: F.struct(f["t"].alias("t"), F.struct(F.col("rank"), f["e"].alias("e")).alias("b")))
+    arrays = probes.where(F.col("n") <= most).join(few, ["kind", "probe"]).groupBy("token").agg(F.flatten(F.collect_list(ranked)).alias("found"))
+    here = F.array_min(F.transform(F.filter("found", lambda f: F.array_contains("others", f["t"])), lambda f: f["b"])).alias("b")
+    near = tokens.join(arrays, "token").select(*line, "pos", "token", here).where("b is not null")
+    each = tokens.join(probes.where(F.col("n") > most).drop("n"), "token").select(*line, "pos", "token", "kind", "probe", "rank", F.explode(F.array_distinct("others")).alias("t"))
+    far = each.join(index, ["kind", "probe", "t"]).select(*line, "pos", "token", F.struct("rank", "e").alias("b"))
+    best = near.unionByName(far).groupBy(*line, "pos", "token").agg(F.min("b").alias("b"))
+    return best.select(*line, "pos", "token", "b.e.src", "b.e.tgt", F.when(F.col("b.rank") == 0, "exact").otherwise("prefix").alias("how"))

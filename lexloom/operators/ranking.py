@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexloom.operators.staging import written
+
 
 def hash_order(seed: int | str, *keys: Column | str) -> Column:
     """A text that orders rows at random but the same in every run and engine."""
@@ -31,11 +33,20 @@ def hash_rank(df: DataFrame, order: Column, within: list[str] | None = None, dig
     return ranked.join(offsets, [*keys, "__p"]).withColumn(name, F.col("__r") + F.col("__before")).drop("__o", "__p", "__r", "__before")
 
 
-def sorted_places(df: DataFrame, order: list[str], name: str = "place", letters: int = 3) -> DataFrame:
-    """Places from 1 in the order of columns of which the first is a text. Rows are dealt by its first
-    letters; the numbers before each part come from a table of a row for each beginning."""
-    parted = df.withColumn("__p", F.left(F.coalesce(F.col(order[0]), F.lit("")), F.lit(letters)))
-    sizes = parted.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).drop("__n")
-    here = F.row_number().over(W.partitionBy("__p").orderBy(*order))
-    return parted.withColumn("__r", here).join(before, "__p").withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+def sorted_places(df: DataFrame, order: list[str], name: str = "place", partitions: int | None = None) -> DataFrame:
+    """Places from 1 in the order of these columns, any among rows that are equal in them. Rows are cut
+    into ranges by a sample of the whole order, not by its beginnings, and rows that are equal are cut
+    by a random number as well, so neither a beginning nor a value that half of all rows have makes
+    a range larger than others. They are sorted and written once, with their place in their range; what
+    comes before a range is a sum over as many numbers as there are ranges."""
+    spark = df.sparkSession
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("__tie", F.rand(7)).repartitionByRange(ranges, *order, "__tie").sortWithinPartitions(*order, "__tie")
+    kept = written(dealt.drop("__tie").withColumn("__id", F.monotonically_increasing_id()), "places")
+    part, here = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, total = [], 0
+    for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        before.append((r.p, total))
+        total += r.n
+    offsets = spark.createDataFrame(before, "__p long, __before long")
+    return kept.withColumn("__p", part).join(F.broadcast(offsets), "__p").withColumn(name, here + F.col("__before") + 1).drop("__p", "__before", "__id")

@@ -60,10 +60,30 @@ def bleu_orders(spark, sf_dir):
     return rows.select(*(F.round(metrics.combined_bleu(metrics.bleu_method1, k), 6).alias(f"bleu{k}") for k in (1, 2, 3)))
 
 
+def _mixed(inner: str) -> str:
+    """Rows of a table with a column z, with what SplitMix64 makes of it in its place."""
+    for shift, times in ((30, evaluation.MIX_A), (27, evaluation.MIX_B)):
+        inner = f"(SELECT * REPLACE ((xor(z, z >> {shift}) * {times}::UHUGEINT) & 18446744073709551615::UHUGEINT AS z) FROM {inner})"
+    return f"(SELECT * REPLACE (xor(z, z >> 31) AS z) FROM {inner})"
+
+
+def _uniform(inner: str, stage: int, seed: int = 42) -> str:
+    """Rows (b, block, j, ...) with the uniform number u of each."""
+    first = _mixed(f"(SELECT *, {seed + stage}::UHUGEINT AS z FROM {inner})")
+    by_block = _mixed(f"(SELECT * REPLACE (xor(z, block::UHUGEINT) AS z) FROM {_mixed(f'(SELECT * REPLACE (xor(z, b::UHUGEINT) AS z) FROM {first})')})")
+    last = _mixed(f"(SELECT * REPLACE ((z + (j + 1)::UHUGEINT * {evaluation.GAMMA}::UHUGEINT) & 18446744073709551615::UHUGEINT AS z) FROM {by_block})")
+    return f"(SELECT * EXCLUDE (z), CAST(CAST(z >> 11 AS UBIGINT) AS DOUBLE) * {2.0**-53!r} AS u FROM {last})"
+
+
 def _drawn(rows: str, sums: list[str], score: str, replicates: int) -> str:
-    times = " + ".join(f"CASE WHEN u >= {s!r} THEN 1 ELSE 0 END" for s in evaluation.poisson_steps())
-    return f"""d AS (SELECT *, CAST(('0x' || left(md5('42:' || b || ':' || conv_id || ':' || turn), 8)) AS BIGINT) / 4294967296.0 AS u FROM {rows}, (SELECT unnest(range({replicates})) AS b)),
-k AS (SELECT *, {times} AS k FROM d), x AS (SELECT b, {', '.join(f'sum(k * {c}) AS {c}' for c in sums)} FROM k WHERE k > 0 GROUP BY b),
+    """n draws of each replicate: into blocks, and to rows inside them."""
+    size = evaluation.BLOCK
+    return f"""placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS at_ FROM {rows}), total AS (SELECT count(*) AS n FROM placed),
+one AS (SELECT b, unnest(range((SELECT n FROM total))) AS j, 0 AS block FROM (SELECT unnest(range({replicates})) AS b)),
+k AS MATERIALIZED (SELECT b, CAST(floor(u * (SELECT n FROM total)) AS BIGINT) // {size} AS block, count(*) AS k FROM {_uniform('one', 1)} GROUP BY ALL),
+two AS (SELECT b, block, unnest(range(k)) AS j FROM k),
+hit AS (SELECT b, block * {size} + CAST(floor(u * least({size}, (SELECT n FROM total) - block * {size})) AS BIGINT) AS at_ FROM {_uniform('two', 2)}),
+x AS (SELECT b, {', '.join(f'sum(r0.{c}) AS {c}' for c in sums)} FROM hit JOIN placed r0 USING (at_) GROUP BY b),
 scores AS (SELECT list_sort(list(score)) AS l, avg(score) AS mean FROM (SELECT {score} AS score FROM x))
 SELECT round(mean, 6) AS mean, round(l[{int(replicates * 0.025) + 1}], 6) AS low, round(l[{int(replicates * 0.975) + 1}], 6) AS high FROM scores"""
 
@@ -72,23 +92,19 @@ _ZERO = {n: " + ".join(f"CASE WHEN m{k} = 0 THEN 1 ELSE 0 END" for k in range(1,
 _EXP = f"CASE WHEN m1 = 0 OR hyp = 0 THEN 0.0 ELSE 100 * {_BP} * exp((" + " + ".join(f"ln(CASE WHEN m{n} = 0 THEN 1 / (pow(2.0, {_ZERO[n]}) * t{n}) ELSE m{n} / t{n} END)" for n in range(1, 5)) + ") / 4) END"
 
 
-def _line():
-    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-
-
 def _interval(scores: DataFrame, replicates: int) -> DataFrame:
     return evaluation.interval(scores, replicates).select(*(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
 
 
 @query(f"WITH {_STATS}, {_drawn('s', ['m1', 'm2', 'm3', 'm4', 't1', 't2', 't3', 't4', 'hyp', 'ref'], _EXP, 1000)}")
 def bootstrap_ci(spark, sf_dir):
-    return _interval(evaluation.bootstrap(parallel(spark, sf_dir), _line(), evaluation.bleu_sums("tgt", "src"), 1000), 1000)
+    return _interval(evaluation.bootstrap(parallel(spark, sf_dir), ["conv_id", "turn"], evaluation.bleu_sums("tgt", "src"), 1000), 1000)
 
 
 @query(f"WITH {_PARALLEL}, r AS (SELECT conv_id, turn, len(tgt) AS h, len(src) AS r FROM pairs), {_drawn('r', ['h', 'r'], 'CASE WHEN r = 0 THEN 0.0 ELSE h / r END', 1000)}")
 def bootstrap_length_ratio(spark, sf_dir):
     metric = {"h": F.size("tgt"), "r": F.size("src")}, F.coalesce(F.try_divide(F.col("h"), F.col("r")), F.lit(0.0))
-    return _interval(evaluation.bootstrap(parallel(spark, sf_dir), _line(), metric, 1000), 1000)
+    return _interval(evaluation.bootstrap(parallel(spark, sf_dir), ["conv_id", "turn"], metric, 1000), 1000)
 
 
 def _chr_grams(side: str, items: str) -> str:
@@ -338,7 +354,7 @@ def sentence_alignments(spark, sf_dir):
 
 @query(f"""
 WITH asked AS (SELECT DISTINCT n FROM (SELECT n_name || ' tongue' AS n FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT 'speech of ' || n_name FROM nation UNION ALL SELECT 'Japhug')),
-ref AS (SELECT p_partkey AS ord, split_part(p_type, ' ', 1) || ' ' || (SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25) AS r, 'p' || p_partkey AS code FROM part WHERE p_partkey <= 60),
+ref AS (SELECT p_partkey AS ord, split_part(p_type, ' ', 1) || ' ' || (SELECT n_name FROM nation WHERE n_nationkey = p_partkey % 25) AS r, 'p' || p_partkey AS code FROM part),
 hits AS (SELECT n, arg_min(code, (rank, ord)) AS code, min(rank) AS rank FROM (SELECT n, code, ord, CASE WHEN lower(n) = lower(r) THEN 1 WHEN contains(lower(n), lower(r)) OR contains(lower(r), lower(n)) THEN 2 WHEN len(list_filter(string_split_regex(lower(n), '\\s+'), lambda w: length(w) > 6 AND contains(lower(r), w))) > 0 THEN 3 END AS rank FROM asked, ref) WHERE rank < 3 GROUP BY n),
 c AS (SELECT a.n, arg_min(x.code, n_nationkey) AS code FROM asked a JOIN nation ON contains(lower(a.n), lower(n_name)) JOIN (SELECT n_nationkey AS k, arg_min(code, ord) AS code FROM nation JOIN ref ON contains(lower(r), lower(n_name)) GROUP BY 1) x ON x.k = n_nationkey GROUP BY a.n),
 w AS (SELECT n, arg_min(code, ord) AS code FROM asked, ref WHERE len(list_filter(string_split_regex(lower(n), '\\s+'), lambda w: length(w) > 3 AND contains(lower(r), w))) > 0 GROUP BY n)
@@ -350,7 +366,7 @@ def name_match_countries(spark, sf_dir):
     nation, region, part = (table(spark, sf_dir, t) for t in ("nation", "region", "part"))
     one = lambda df, c: df.select(c.alias("name"))
     names = one(nation, F.concat("n_name", F.lit(" tongue"))).union(one(region, F.col("r_name"))).union(one(nation, F.concat(F.lit("speech of "), "n_name"))).union(one(region.limit(1), F.lit("Japhug")))
-    few = part.where("p_partkey <= 60").join(F.broadcast(nation), F.col("n_nationkey") == F.col("p_partkey") % 25)
+    few = part.join(F.broadcast(nation), F.col("n_nationkey") == F.col("p_partkey") % 25)
     ref = few.select(F.col("p_partkey").alias("ord"), F.concat(F.get(F.split("p_type", " "), F.lit(0)), F.lit(" "), "n_name").alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("code"))
     return lookup.resolve_names(names, ref, countries=nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name")))
 
