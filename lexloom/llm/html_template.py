@@ -48,6 +48,11 @@ LEAST_SHARE = 0.3
 SURE_PAGES = 8
 LESSER = 0.3
 LINKS = 0.6
+#: Letters of a path beyond which it goes on from a hash, so that deep pages stay linear.
+DEEP = 2000
+#: Shares of a page's text above which an element stays although a word of its class, the whole class
+#: name, or being a form says otherwise; where reader comments are named as such, no share does.
+BY_WORD, BY_NAME, BY_FORM, BY_COMMENT = 0.25, 0.5, 0.5, 1.0
 #: Templates with up to this many tokens in all are broadcast; larger ones are joined by host. This
 #: changes the cost, not a result.
 BROADCAST_TOKENS = 200_000
@@ -56,8 +61,8 @@ BROADCAST_TOKENS = 200_000
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
-OUTSIDE = frozenset("head nav header footer aside form dialog menu select button object audio video canvas fieldset datalist".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
+OUTSIDE = frozenset("head nav header footer aside dialog menu select button object audio video canvas fieldset datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar status".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar sidebar side aside footer foot header masthead"
     " comments comment respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay share sharing social related recommended recommendations breadcrumb breadcrumbs"
@@ -66,15 +71,34 @@ WORDS = frozenset(
 #: Of these, those that say enough as a whole class name where no template is there to confirm them.
 STRONG = frozenset("ad ads adv advert adverts advertisement banner sponsored promo sidebar newsletter subscribe related pagination breadcrumb breadcrumbs share sharing social cookie popup".split())
 COMMENTS = frozenset("comment comments respond disqus".split())
+#: Of reader comments, whole class names or ids.
+COMMENT_NAMES = frozenset("comment comments respond disqus disqus_thread comment-list comments-list commentlist comments-area comments-section comment-body comment-content".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: An attribute: a quote opens a value only right after the equals sign; anywhere else it is a character
+#: like others, and the tag ends at the next angle.
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+)?+"""
+_ANY = re.sub(r"\((?![?])", "(?:", _ATTRIBUTE)
+_token = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ANY})*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_attribute = re.compile(_ATTRIBUTE, re.S)
 _space = re.compile(r"\s+")
 _host = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
 
 
+@dataclass(slots=True)
+class Doubt:
+    """An element outside articles that may not be main text: a form, or one whose class says so. Its
+    text decides, when the page is read: it stays if it holds more than ``most`` of the page's text
+    and not mostly links. above: the next such element that it is in."""
+
+    most: float
+    above: Doubt | None
+    chars: int = 0
+    linked: int = 0
+    gone: bool = False
+
+
 @dataclass(slots=True)
 class Element:
     name: str
@@ -86,6 +110,10 @@ class Element:
     strong: bool = False
     kind: int = 0
     token: int | None = None
+    doubt: Doubt | None = None  # the innermost element that its name or being a form makes doubtful
+
+    def lost(self) -> bool:
+        return self.doubt is not None and self.doubt.gone
 
     def hash(self) -> int:
         if self.token is None:
@@ -116,11 +144,13 @@ def _about(attributes: str) -> tuple[str, set[str], set[str], str]:
     """Signature of class and id, their names, the words of these, and the role."""
     if "=" not in attributes and "hidden" not in attributes:
         return "", set(), set(), ""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)}
+    found: dict[str, str] = {}
+    for m in _attribute.finditer(attributes):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     named = f"{found.get('class', '')} {found.get('id', '')}".lower()
     words = set(re.split(r"[^a-z]+", named)) - {""}
     role = found.get("role", "").lower()
-    if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", _attribute.sub(" ", attributes)):
+    if found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) or "hidden" in found:
         role = "menu"
     if found.get("itemprop", "").lower() == "articlebody":
         role = "article"
@@ -135,6 +165,7 @@ class Page:
         self.tokens: list[tuple[str, Element, int]] = []  # spelled, its element or the one that it is in, kind
         self.containers: list[str] = []
         self._stack = [Element("", "", None)]
+        self._doubts: list[Doubt] = []
         self._open: Block | None = None
         self._link = False
         at, source = 0, source or ""
@@ -155,6 +186,7 @@ class Page:
             self._start(name, m[3])
         self._text(source[at:])
         self._flush()
+        self._settle()
 
     def _text(self, raw: str) -> None:
         if not raw:
@@ -186,28 +218,65 @@ class Page:
             self._stack.pop()
         top = self._stack[-1]
         signature, names, words, role = _about(attributes)
-        e = Element(name, f"{top.path}/{name}{signature}", top, top.outside, top.container, top.named, top.strong)
-        comment = bool(words & COMMENTS)
+        above = top.path if len(top.path) < DEEP else f"#{token_hash(top.path)}"
+        e = Element(name, f"{above}/{name}{signature}", top, top.outside, top.container, top.named, top.strong, doubt=top.doubt)
+        comment = bool(names & COMMENT_NAMES) and name != "main"
         if (name in ("article", "main") or role in ("article", "main")) and not comment:
             if top.container < 0 or self.containers[top.container].startswith("main"):
                 if not any(x.name in OUTSIDE for x in self._stack):
                     e.outside = False
+                while e.doubt is not None and e.doubt.most < BY_COMMENT:
+                    e.doubt = e.doubt.above
                 e.container = len(self.containers)
                 self.containers.append(("article" if name == "article" or role == "article" else "main") + e.path)
                 e.kind |= CONTAINER
-        elif name in OUTSIDE and not (name == "header" and top.container >= 0) or role in ROLES or comment:
+        elif name in OUTSIDE and not (name == "header" and top.container >= 0) or role in ROLES:
             e.outside = True
-        elif name not in ("html", "body") and words & WORDS:
+        elif name in ("html", "body"):
+            pass
+        elif comment or words & COMMENTS and words <= COMMENTS:
+            self._doubted(e, BY_COMMENT)
+        elif name == "form" or role == "form":
+            self._doubted(e, BY_FORM)
+        elif words & WORDS:
             if top.container >= 0:
                 e.named, e.strong = e, bool(names & STRONG)
                 e.kind |= NAMED
             else:
-                e.outside = True
+                self._doubted(e, BY_NAME if names & STRONG else BY_WORD)
         e.kind |= (INSIDE if top.container >= 0 else 0) | (OUTER if e.outside else 0)
         self.tokens.append((e.path, e, e.kind))
         if name not in VOID:
             self._stack.append(e)
 
+    def _doubted(self, e: Element, most: float) -> None:
+        e.doubt = Doubt(most, e.doubt)
+        self._doubts.append(e.doubt)
+
+    def _settle(self) -> None:
+        """Decide what the doubtful elements are, now that their text is known."""
+        if not self._doubts:
+            return
+        page = 0
+        for b in self.blocks:
+            if not b.element.outside:
+                n = len(b.parts[0])
+                page += n
+                if b.element.doubt is not None:
+                    b.element.doubt.chars += n
+                    b.element.doubt.linked += min(n, b.linked)
+        for d in reversed(self._doubts):  # inner ones come later than those that they are in
+            if d.above is not None:
+                d.above.chars += d.chars
+                d.above.linked += d.linked
+        for d in self._doubts:
+            own = d.chars <= d.most * page and (d.chars < page or d.most < BY_COMMENT) or d.linked > LINKS * d.chars
+            d.gone = own or d.above is not None and d.above.gone
+        if not any(not b.element.outside and not b.element.lost() for b in self.blocks):
+            for d in self._doubts:  # nothing else is there
+                d.gone = False
+        self.tokens = [(t, e, kind | OUTER if e.lost() else kind) for t, e, kind in self.tokens]
+
     def _close(self, name: str) -> None:
         if name in INLINE:
             if name == "a":
@@ -226,9 +295,10 @@ class Page:
         if template is not None and not template.fits(self):
             template = None
         if template is None:
-            own = [b for b in self.blocks if not b.element.outside and not (b.element.named and b.element.strong)]
+            own = [b for b in self.blocks if not b.element.outside and not b.element.lost() and not (b.element.named and b.element.strong)]
+            own = own or [b for b in self.blocks if not b.element.outside and not b.element.lost()]
         else:
-            own = [b for b in self.blocks if not b.element.outside and template.slot(b.element) == PAGES]
+            own = [b for b in self.blocks if not b.element.outside and not b.element.lost() and template.slot(b.element) == PAGES]
         slots = [b for b in own if b.element.container >= 0] or own
         if template is not None:
             theirs = [template.sure_texts, template.texts]

@@ -243,6 +243,39 @@ def test_html_awkward(spark):
     assert html_template.extract(pages.limit(0)).count() == 0
 
 
+SAID = "She said yes and went away for a long time."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post comments-open"><p>{}</p></article>',
+        '<body class="single comments-open"><div><p>{}</p></div></body>',
+        '<div class="side-by-side"><p>{}</p></div>',
+        '<div class="share-of-voice"><p>{}</p></div>',
+        '<body><form action=x><p>{}</p><select><option>a</select></form></body>',
+        '<div class="content-sidebar-wrap"><article><p>{}</p></article><div class="sidebar">links</div></div>',
+        '<article><p class=x">{}</article>',
+        '<p title="a > b" hidden>no</p><p data-t=a=b/c>{}</p>',
+        '<article><p>{}</p><form>subscribe <input></form></article><div id="comments"><article class="comment"><p>great post, and a comment that is much longer than the post that it is about</p></article></div>',
+        '<div class="ad">buy</div><p>{}</p><form>subscribe</form><div class=comments>no no no no no no no no no no no no no no no no no no no no no no no no no no no</div>',
+        '<div class="related-posts"><a href=x>one</a> <a href=y>another post that is not this one</a></div><p>{}</p>',
+    ],
+)
+def test_html_class_words_only_confirm(page):
+    assert html_template.Page(page.format(SAID)).main_text() == SAID
+
+
+def test_html_quotes_inside_values_and_without_end():
+    read = lambda x: html_template.Page(x).main_text()
+    assert read("<p data-t=it's>I don't know.</p><p>He can't.</p>") == "I don't know.\nHe can't."
+    assert read('<p a="x>y" b=\'<p>\' c>text</p>') == "text"
+    assert read('one<p a="never closed>text') == "one"
+    assert read("<div class=comment>only this</div>") == "only this"
+    for odd in ("<a " + "b " * 50_000, "<a " + 'b="c ' * 50_000, "<" * 50_000, ("<p " + " " * 1000) * 50, "<div class=ad>" * 50_000 + "x"):
+        read(odd)  # in linear time
+
+
 def test_html_keeps_all_parts():
     split = "<div class='title'><h1>Head</h1></div><div class='body'><section class='a'><p>a long first part</p></section><section class='b'><p>second</p></section></div>"
     assert html_template.Page(FRAME.format(split)).main_text() == "Head\na long first part\nsecond"
