@@ -620,18 +620,6 @@ def consistency_flags(spark, sf_dir):
     return spaced(spark, sf_dir).select("conv_id", "turn", *(c.alias(n) for n, c in flags.items()))
 
 
-@query("""
-WITH r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'INCORRECT' WHEN 2 THEN 'CORRECT' ELSE 'UNCLEAR' END AS verdict, doc_id % 4 = 1 AND doc_id % 3 <> 0 AS fixed FROM documents)
-SELECT count(*) AS total, count(*) FILTER (verdict = 'CORRECT') AS correct, count(*) FILTER (verdict = 'INCORRECT') AS incorrect, count(*) FILTER (fixed) AS corrected, count(*) FILTER (verdict = 'UNCLEAR') AS unclear,
-  round(count(*) FILTER (verdict = 'CORRECT') / count(*), 6) AS accuracy, round(count(*) FILTER (fixed) / count(*) FILTER (verdict = 'INCORRECT'), 6) AS correction_rate FROM r
-""")
-def verdict_rules(spark, sf_dir):
-    answer = F.when(F.col("doc_id") % 4 == 0, "<verdict>Correct</verdict>").when(F.col("doc_id") % 4 == 2, "Correct, it is.").when(F.col("doc_id") % 4 == 3, "no idea").otherwise(F.when(F.col("doc_id") % 3 == 0, "<VERDICT>INCORRECT</VERDICT><CORRECTION>this is the meaning</CORRECTION>").otherwise("<VERDICT>INCORRECT</VERDICT> <CORRECTION>dog</CORRECTION>"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("köpek").alias("source"), F.lit("cat").alias("target"), answer.alias("response"))
-    out = assessment.summary(assessment.assessed(rows))
-    return out.withColumn("accuracy", F.round("accuracy", 6)).withColumn("correction_rate", F.round("correction_rate", 6))
-
-
 @query("""
 SELECT event_id, event_id AS step, round(CAST(CASE WHEN event_id % 2 = 0 THEN event_id / 100 END AS DOUBLE), 6) AS train_loss, CASE WHEN event_id % 2 = 1 THEN CAST(event_id % 10 AS DOUBLE) END AS perplexity FROM events
 """)

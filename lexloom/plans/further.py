@@ -425,49 +425,7 @@ def word_sounds(spark, sf_dir):
     return words.where(F.col("word").rlike("^[a-zçğıöşüâîû]+$")).select("word", phonology.sounds(F.col("word")).alias("sounds"))
 
 
-# -- model output -----------------------------------------------------------------------------------
-
-_ANSWERS = ("<alignments>\nev - house\ngel - come\n</alignments>", "so <alignments> su - water - drink\n - x", "at - horse\nnothing", "<alignments></alignments>", "")
-
-
-def answers(spark, sf_dir) -> DataFrame:
-    pick = F.element_at(F.array(*(F.lit(a) for a in _ANSWERS)), (F.col("event_id") % len(_ANSWERS) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", pick.alias("answer"), F.when(F.col("event_id") % 7 == 0, "timeout").when(F.col("event_id") % 11 == 0, "memory").alias("error"))
-
-
-@query("""
-SELECT event_id, event_id % 5 IN (0, 1, 3) AS has_start_tag, event_id % 5 IN (0, 3) AS has_end_tag, event_id % 5 IN (0, 3) AS has_alignment_tags, CAST([2, 1, 1, 0, 0][event_id % 5 + 1] AS BIGINT) AS num_alignments, event_id % 5 = 0 AS is_valid_format,
-  ['ev=house gel=come', 'su=water - drink', 'at=horse', '', ''][event_id % 5 + 1] AS pairs FROM events
-""")
-def alignment_flags(spark, sf_dir):
-    c = F.col("answer")
-    pairs = F.array_join(F.transform(parse.tagged_alignments(c), lambda p: F.concat_ws("=", p["source"], p["target"])), " ")
-    return answers(spark, sf_dir).select("event_id", *(v.alias(k) for k, v in parse.alignment_flags(c).items()), pairs.alias("pairs"))
-
-
-@query("""
-WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 11 = 0 THEN 'memory' END AS error, [2, 1, 1, 0, 0][event_id % 5 + 1] AS n FROM events)
-SELECT count(*) AS pairs, count(error) AS failed, CAST(sum(n) FILTER (error IS NULL) AS BIGINT) AS alignments, round(100.0 * (count(*) - count(error)) / count(*), 6) AS success_rate, round(sum(n) FILTER (error IS NULL) / (count(*) - count(error)), 6) AS average FROM r
-""")
-def inference_statistics(spark, sf_dir):
-    rows = answers(spark, sf_dir).select("error", F.size(parse.tagged_alignments(F.col("answer"))).cast("long").alias("num_alignments"))
-    out = alignment.inference_statistics(rows)
-    return out.withColumn("success_rate", F.round(F.col("success_rate").cast("double"), 6)).withColumn("average", F.round("average", 6))
-
-
-@query("SELECT CASE WHEN event_id % 7 = 0 THEN 'timeout' ELSE 'memory' END AS error, count(*) AS cnt FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 GROUP BY 1")
-def error_histogram(spark, sf_dir):
-    return alignment.error_histogram(answers(spark, sf_dir))
-
-
-_SURFACES = (("kendisine", "kendi<Prn:refl><dat>"), ("kendilerini", "kendi<Prn:refl:3p><p3p><acc>"), ("Prof", "profesör<N>"), ("Doç", "doçent<N><pl>"), ("Dr", "doktor<N>"), ("Org", "orgeneral<N>"), ("tıptan", "tıb<N><abl>"), ("ev", "ev<N>"))
-_REWRITTEN = ("kendisi<Prn:refl><dat>", "kendileri<Prn:refl:3p><acc>", "Prof<N:abbr>", "Doç<N:abbr><pl>", "Dr<N:abbr>", "Org<N:abbr>", "tıp<N><abl>", "ev<N>")
-
-
-@query(f"SELECT p_partkey, [{', '.join(repr(x) for x in _REWRITTEN)}][p_partkey % 8 + 1] AS analysis FROM part")
-def surface_rewrites(spark, sf_dir):
-    pick = lambda k: F.element_at(F.array(*(F.lit(s[k]) for s in _SURFACES)), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", parse.surface_rewritten(pick(0), pick(1)).alias("analysis"))
+# -- documents and places ---------------------------------------------------------------------------
 
 
 @query("SELECT item_id, coalesce(nullif(trim(text), ''), 'none') AS answer, 'none' AS missing, lower(text) AS folded, row_number() OVER (ORDER BY lower(text), item_id) AS place FROM benchmark")
@@ -493,10 +451,10 @@ def alignment_quality(spark, sf_dir):
     return dictionary.quality(dictionary_pairs(spark, sf_dir)).withColumn("mean_translations", F.round("mean_translations", 6))
 
 
-@query(f"WITH {_LINES} SELECT t AS tag, count(*) AS cnt FROM (SELECT unnest(tags) AS t FROM lines WHERE p_partkey % 3 <> 0) WHERE t NOT IN ('', 'PUNC') GROUP BY t")
+@query(f"WITH {_LINES} SELECT t AS tag, count(*) AS cnt FROM (SELECT unnest(tags) AS t FROM lines) WHERE t NOT IN ('', 'PUNC') GROUP BY t")
 def gloss_tag_frequency(spark, sf_dir):
     """Lines of a language code, which may look like a token, and one token."""
-    lines = gloss_lines(spark, sf_dir).where("p_partkey % 3 <> 0").select(F.concat_ws(" ", F.lit("tur-PL"), "token").alias("line"))
+    lines = gloss_lines(spark, sf_dir).select(F.concat_ws(" ", F.lit("tur-PL"), "token").alias("line"))
     return gloss_counts(lines)
 
 
@@ -538,65 +496,6 @@ def name_matches(spark, sf_dir):
     return lookup.match_names(names, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("r_name")))
 
 
-#: source, target, answer, and what verdict and correction have to be.
-_CASES = (
-    ("köpek", "cat", "<VERDICT>CORRECT</VERDICT>", "CORRECT", ""),
-    ("köpek", "cat", "<verdict>incorrect</verdict> <correction>dog</correction>", "INCORRECT", "dog"),
-    ("köpek", "cat", "Incorrect. It is a dog", "INCORRECT", "Incorrect. It is a dog"),
-    ("köpek", "cat", "that is correct", "CORRECT", ""),
-    ("köpek", "cat", "that is incorrect, not correct", "UNCLEAR", ""),
-    ("köpek", "cat", "no idea", "UNCLEAR", ""),
-    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT><CORRECTION>correct_english_lemma</CORRECTION>", "INCORRECT", ""),
-    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT><CORRECTION>" + "dog " * 20 + "</CORRECTION>", "INCORRECT", ""),
-    ("köpek", "cat", "<VERDICT>INCORRECT</VERDICT> hound", "INCORRECT", "hound"),
-    ("Ankara", "Ankara", "<VERDICT>INCORRECT</VERDICT><CORRECTION>capital</CORRECTION>", "CORRECT", ""),
-    ("42", "41", "<VERDICT>INCORRECT</VERDICT><CORRECTION>forty</CORRECTION>", "INCORRECT", "42"),
-    ("+", "plus", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "+"),
-    ("NATO", "north atlantic", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "nato"),
-    ("Izmir", "put", "<VERDICT>CORRECT</VERDICT>", "INCORRECT", "izmir"),
-)
-
-
-@query(f"SELECT p_partkey, [{', '.join(repr(c[3]) for c in _CASES)}][p_partkey % {len(_CASES)} + 1] AS verdict, [{', '.join(repr(c[4]) for c in _CASES)}][p_partkey % {len(_CASES)} + 1] AS correction FROM part")
-def verdict_branches(spark, sf_dir):
-    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in _CASES)), (F.col("p_partkey") % len(_CASES) + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("source"), pick(1).alias("target"), pick(2).alias("response"))
-    return assessment.assessed(rows).select("p_partkey", "verdict", "correction")
-
-
-_LOG = (
-    ("Step 50/1000; Train avg loss: 1.25 lr: 1.0e-3", 50.0, None, 1.25, None, 0.001, None, None, ""),
-    ("Epoch 3: Validation avg loss: 2.5, accuracy: 61.5, ppl: 12.25", None, 3.0, None, 2.5, None, 61.5, 12.25, ""),
-    ("Saving checkpoint model_step_50.pt to disk", None, None, None, None, None, None, None, "model_step_50.pt"),
-    ("nothing of interest", None, None, None, None, None, None, None, ""),
-)
-
-
-def _logged(k: int) -> str:
-    return "[" + ", ".join("NULL" if x[k] is None else repr(x[k]) for x in _LOG) + f"][event_id % {len(_LOG)} + 1]"
-
-
-@query(f"""
-SELECT event_id, CAST({_logged(1)} AS BIGINT) AS step, CAST({_logged(2)} AS BIGINT) AS epoch, CAST({_logged(3)} AS DOUBLE) AS train_loss, CAST({_logged(4)} AS DOUBLE) AS valid_loss, CAST({_logged(5)} AS DOUBLE) AS learning_rate, CAST({_logged(6)} AS DOUBLE) AS accuracy, CAST({_logged(7)} AS DOUBLE) AS perplexity, nullif({_logged(8)}, '') AS checkpoint FROM events
-""")
-def log_branches(spark, sf_dir):
-    line = F.element_at(F.array(*(F.lit(x[0]) for x in _LOG)), (F.col("event_id") % len(_LOG) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in parse.log_metrics(line).items()))
-
-
-#: Analyses, and the gloss tokens that they become.
-_ANALYSES = (
-    ("ev<N><pl><acc>", "ev-NOM-PL-ACC"), ("Ali<N:prop><gen>", "Ali-NOM-PROP-GEN"), ("gel<V><past><3p>", "gel-V-PST-3P"), ("bu<Det:def>", "bu-DET-DEF"), ("xyz ???", "xyz"), ("plain", "plain"),
-    ("evler ev<N><pl>", "evler-NOM-PL"), ("on<Num:ara>", "on-NUM-ARA"),
-)
-
-
-@query(f"SELECT p_partkey, [{', '.join(repr(a[1]) for a in _ANALYSES)}][p_partkey % {len(_ANALYSES)} + 1] AS token FROM part")
-def analysis_branches(spark, sf_dir):
-    pick = F.element_at(F.array(*(F.lit(a[0]) for a in _ANALYSES)), (F.col("p_partkey") % len(_ANALYSES) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", gloss.convert_analysis(pick).alias("token"))
-
-
 _APPLIED_TURNS = _APPLIED.replace("SELECT doc_id, trim(text, ' \t\n\r') AS text", "SELECT conv_id * 1000 + turn AS doc_id, trim(text, ' \t\n\r') AS text").replace("FROM documents)),\nb AS", "FROM conversations)),\nb AS")
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue, further, morphology  # noqa: F401
+from lexloom.plans import answers, catalogue, further, morphology  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
