@@ -142,3 +142,70 @@ def spelled_number(n: Column) -> Column:
         alone = F.array(F.lit(name)) if i == 1 else F.array(F.lit(UNITS[1]), F.lit(name))
         parts.append(below_thousand(group) if not i else F.when(group == 0, empty).when(group == 1, alone).otherwise(F.concat(below_thousand(group), F.array(F.lit(name)))))
     return F.when(n == 0, F.array(F.lit(UNITS[0]))).otherwise(F.concat(*parts))
+
+
+# -- sentences by a transition table --------------------------------------------------------------
+
+#: Classes of tokens: a word, what spares a mark after it (an abbreviation or a number), a mark that ends
+#: sentences, what opens, what closes, and quotes that do both.
+WORD_CLASS, SPARING, END_MARK, OPENS, CLOSES, QUOTE = range(6)
+#: States are bits: something has opened, the last token spares a mark, a sentence may have ended.
+OPENED, SPARED, ENDED = 1, 2, 4
+#: Ends of sentences in an inner list, so that long texts do not copy one long list for each.
+PIECE = 256
+
+
+def _transitions() -> list[int]:
+    """For state * 6 + class: the next state, plus 8 where a sentence begins with this token. An end
+    counts once the next token is seen: marks go on with the sentence, and so does what closes, once
+    something has opened."""
+    table = []
+    for state in range(8):
+        for kind in range(6):
+            goes_on = kind == END_MARK or kind in (CLOSES, QUOTE) and state & OPENED
+            begins = 8 if state & ENDED and not goes_on else 0
+            opened = OPENED if state & OPENED or kind in (OPENS, QUOTE) else 0
+            ended = ENDED if kind == END_MARK and not state & SPARED else 0
+            table.append(opened | (SPARED if kind == SPARING else 0) | ended | begins)
+    return table
+
+
+def token_classes(tokens: Column, abbreviations: Column) -> Column:
+    """The class of each token of a list. abbreviations: a list of lower-cased words."""
+    quotes = [x for x in OPENING if x in CLOSING]
+    following = lambda i: F.coalesce(F.get(tokens, i + 1).isin(*SENTENCE_ENDS), F.lit(False))
+    one = lambda x, i: (
+        F.when(x.isin(*SENTENCE_ENDS), END_MARK)
+        .when(x.isin(*quotes), QUOTE)
+        .when(x.isin(*OPENING), OPENS)
+        .when(x.isin(*CLOSING), CLOSES)
+        .when(following(i) & (x.rlike("^[0-9]+$") | F.array_contains(abbreviations, F.lower(x))), SPARING)
+        .otherwise(WORD_CLASS)
+    )
+    return F.transform(tokens, one)
+
+
+def sentence_starts(tokens: Column, abbreviations: Column | None = None) -> Column:
+    """Places, from 0, of the tokens that begin a sentence: the transition table folded over a text's
+    tokens in one pass. A sentence ends with a mark that ends one, but not where the mark follows an
+    abbreviation or a number, goes on in further marks, or stands before what closes, once something
+    has opened; what opened stays open to the end of the text."""
+    known = F.array().cast("array<string>") if abbreviations is None else abbreviations
+    table = F.array(*map(F.lit, _transitions()))
+    empty = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("i"), F.array().cast("array<array<int>>").alias("whole"), empty.alias("piece"))
+
+    def step(a: Column, kind: Column) -> Column:
+        found = F.get(table, a["state"] * 6 + kind)
+        begins = (found >= 8) | (a["i"] == 0)
+        full = begins & (F.size(a["piece"]) >= PIECE)
+        piece = F.when(full, F.array(a["i"])).when(begins, F.array_append(a["piece"], a["i"])).otherwise(a["piece"])
+        return F.struct(found.bitwiseAND(F.lit(7)).alias("state"), (a["i"] + 1).alias("i"), F.when(full, F.array_append(a["whole"], a["piece"])).otherwise(a["whole"]).alias("whole"), piece.alias("piece"))
+
+    return let(tokens, lambda t: F.aggregate(token_classes(t, known), start, step, lambda a: F.concat(F.flatten(a["whole"]), a["piece"])))
+
+
+def variant_key(word: Column) -> Column:
+    """What all spellings of a word have in common, whether in capitals or not, with or without
+    circumflexes, in its own letters or in ASCII: small letters by Turkish rules, then ASCII."""
+    return F.translate(F.lower(F.translate(word, CAPITALS, SMALL)), "âîûçğıöşü", "aiucgiosu")

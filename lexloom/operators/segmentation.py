@@ -64,7 +64,7 @@ def learnt(words: DataFrame, per_mille: int, shortest: int = SHORTEST, longest:
     chain = one.unionByName(two)
     final = chain.select(F.col("next").alias("class")).union(words.sparkSession.createDataFrame([(START,)], "class string")).distinct()
     edges = chain.unionByName(final.select("class", F.lit("").alias("affix"), F.lit(END).alias("next")))
-    return stems.withColumn("class", F.lit(START)), written(edges, "edges")
+    return written(stems.withColumn("class", F.lit(START)), "stems"), written(edges, "edges")
 
 
 def lattice(words: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Queries of words: segmentations by continuation classes, guesses for unknown words, streamed runs."""
+"""Queries of words: segmentations by continuation classes, guesses for unknown words,
+streamed runs, sentences and spellings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import text
-from lexloom.operators import segmentation
+from lexloom.functions import phonology, text
+from lexloom.operators import segmentation, sentences
 from lexloom.operators.staging import new_folder, written
 from lexloom.plans.catalogue import SQL, query, table
 from lexloom.session import ship_package
@@ -75,3 +76,47 @@ def streamed_runs(spark, sf_dir):
     runs.run_to_end(lambda: found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(), spark)
     out = spark.read.schema("user_id long, run long, word string, analysis string, score double").parquet(f"{folder}/out")
     return out.select("user_id", "run", F.col("word").alias("event_type"), F.md5(F.col("analysis").cast("binary")).alias("best_md5"), F.col("score").alias("value"))
+
+
+# -- sentences and spellings ------------------------------------------------------------------------
+
+_TOKENS = phonology.PLAIN_TOKEN.replace("'", "''")
+_QUOTED = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+_MARKS, _OPENS, _CLOSES = (_QUOTED(x) for x in (phonology.SENTENCE_ENDS, phonology.OPENING, phonology.CLOSING))
+_TOKENISED = f"""d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, '{_TOKENS}') AS t FROM documents),
+x AS MATERIALIZED (SELECT doc_id, i, t[i] AS x, CASE WHEN i > 1 THEN t[i - 1] END AS before, t[i + 1] AS after FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
+c AS (SELECT lower(before) AS word, count(*) AS dots, count(*) FILTER (NOT regexp_matches(after, '^\\p{{Lu}}')) AS open FROM x WHERE x = '.' AND before IS NOT NULL AND after IS NOT NULL AND regexp_full_match(lower(before), '\\p{{L}}+') GROUP BY 1),
+known AS MATERIALIZED (SELECT word, dots, open FROM c WHERE dots * {sentences.SHARE} >= (SELECT sum(dots) FROM c) AND open * 100 >= {sentences.HUNDREDTHS} * dots)"""
+
+
+def tokenised(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", phonology.sentence_tokens(F.col("text"), initials=False).alias("t"))
+
+
+@query(f"WITH {_TOKENISED} SELECT word, dots, open FROM known")
+def learnt_abbreviations(spark, sf_dir):
+    return sentences.abbreviations(tokenised(spark, sf_dir), "t")
+
+
+@query(f"""
+WITH {_TOKENISED}, e AS (SELECT doc_id, i, x IN ({_MARKS}) AND NOT coalesce(regexp_full_match(before, '[0-9]+') OR lower(before) IN (SELECT word FROM known), false) AND after IS NOT NULL AND after NOT IN ({_MARKS})
+  AND NOT (after IN ({_CLOSES}) AND coalesce(max(CASE WHEN x IN ({_OPENS}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i), 0) = 1) AS ends FROM x),
+s AS (SELECT doc_id, count(*) FILTER (ends) + 1 AS n_sentences, '0' || coalesce(string_agg(',' || i, '' ORDER BY i) FILTER (ends), '') AS starts FROM e GROUP BY doc_id)
+SELECT d.doc_id, len(t) AS n_tokens, coalesce(n_sentences, 0) AS n_sentences, md5(coalesce(starts, '')) AS starts_md5 FROM d LEFT JOIN s USING (doc_id)
+""")
+def document_sentences(spark, sf_dir):
+    rows = tokenised(spark, sf_dir)
+    found = sentences.with_sentences(rows, "t", sentences.abbreviations(rows, "t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("starts").cast("long").alias("n_sentences"), F.md5(F.array_join("starts", ",").cast("binary")).alias("starts_md5"))
+
+
+_KEY = f"translate(lower(translate(word, '{phonology.CAPITALS}', '{phonology.SMALL}')), 'âîûçğıöşü', 'aiucgiosu')"
+
+
+@query(f"""
+WITH w AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents) GROUP BY word), k AS (SELECT *, {_KEY} AS key FROM w)
+SELECT word, key, count(*) OVER (PARTITION BY key) AS spellings, first(word) OVER (PARTITION BY key ORDER BY cnt DESC, word) AS best FROM k
+""")
+def spelling_variants(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(f"({text.WORD})"), F.lit(1))).alias("word"))
+    return sentences.spelling_groups(words.groupBy("word").agg(F.count("*").alias("cnt")))
