@@ -4,6 +4,7 @@ streamed runs, sentences and spellings."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions import phonology, text
@@ -56,6 +57,46 @@ def guessed_words(spark, sf_dir):
     return segmentation.guesses(unknown, segmentation.ending_index(known))
 
 
+def tagged_lexicon(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The lexicon learnt from documents, with a tag for each affix."""
+    stems, edges = segmentation.learnt(written(words_of(spark, sf_dir, "documents"), "words"), PER_MILLE)
+    return stems, written(edges.withColumn("tag", F.when(F.col("affix") == "", "").otherwise(F.concat(F.lit("<"), "affix", F.lit(">")))), "lexicon")
+
+
+def conversion_rules(edges: DataFrame) -> DataFrame:
+    """(ord, old, new): tags of the other set, longer ones first, as one may begin like another; then two
+    rules for what one set joins and the other does not; then some tags turned round, which few words
+    bear out."""
+    tags = edges.where("affix <> ''").select("affix").distinct()
+    names = tags.select((1000 - F.length("affix")).alias("ord"), F.concat(F.lit("+"), "affix").alias("old"), F.concat(F.lit("<"), "affix", F.lit(">")).alias("new"))
+    joined = edges.sparkSession.createDataFrame([(2000, "<e><s>", "<es>"), (2000, "<e><r>", "<er>")], "ord int, old string, new string")
+    turned = tags.where("length(affix) = 2 and affix < 'f'").select(F.lit(3000).alias("ord"), F.concat(F.lit("<"), "affix", F.lit(">")).alias("old"), F.concat(F.lit("<"), F.reverse("affix"), F.lit(">")).alias("new"))
+    rows = names.union(joined).union(turned)
+    return rows.select(F.row_number().over(W.orderBy("ord", "old")).alias("ord"), "old", "new")  # a row for each affix
+
+
+@query(f"""
+WITH RECURSIVE {_LEARNT}, v AS MATERIALIZED {_WORDS.format('conversations')}, seg(word, pos, class, path) AS (
+  SELECT word, k, 'Root', left(word, k) FROM (SELECT word, unnest(range(3, least(length(word), 24) + 1)) AS k FROM v) JOIN stems ON stem = left(word, k)
+  UNION ALL
+  SELECT s.word, s.pos + s.k, e.next, s.path || '+' || e.affix FROM (SELECT seg.*, k, substr(word, pos + 1, k) AS piece FROM seg JOIN sizes ON pos + k <= length(word)) s JOIN edges e ON e.class = s.class AND e.affix = s.piece
+),
+a AS (SELECT DISTINCT word AS surface, path AS analysis FROM seg WHERE pos = length(word)),
+tags AS (SELECT DISTINCT affix FROM edges),
+rules AS (SELECT 1000 - length(affix) AS ord, '+' || affix AS old, '<' || affix || '>' AS new FROM tags UNION ALL SELECT 2000, '<e><s>', '<es>' UNION ALL SELECT 2000, '<e><r>', '<er>' UNION ALL SELECT 3000, '<' || affix || '>', '<' || reverse(affix) || '>' FROM tags WHERE length(affix) = 2 AND affix < 'f'),
+folded AS (SELECT list(old || chr(1) || new ORDER BY ord, old) AS r FROM rules),
+n AS (SELECT surface, analysis, list_reduce(list_prepend(analysis, (SELECT r FROM folded)), lambda x, r: replace(x, split_part(r, chr(1), 1), split_part(r, chr(1), 2))) AS new FROM a),
+g AS (SELECT *, split_part(new, '<', 1) AS stem, regexp_extract_all(new, '<([^>]*)>', 1) AS t FROM n)
+SELECT surface, analysis, new, stem IN (SELECT stem FROM stems) AND stem || array_to_string(t, '') = surface AND CASE len(t) WHEN 0 THEN true WHEN 1 THEN t[1] IN (SELECT ending FROM first) WHEN 2 THEN t[1] IN (SELECT ending FROM first) AND (t[1] || chr(1) || t[2]) IN (SELECT before || chr(1) || ending FROM second) ELSE false END AS sound FROM g
+""")
+def converted_analyses(spark, sf_dir):
+    """The words of conversations, analysed, told in another tag set, and converted back by rules."""
+    stems, edges = tagged_lexicon(spark, sf_dir)
+    words = words_of(spark, sf_dir, "conversations")
+    other = segmentation.analyses(words, stems, edges).select(F.col("word").alias("surface"), F.replace(F.replace("analysis", F.lit("<"), F.lit("+")), F.lit(">"), F.lit("")).alias("analysis"))
+    return segmentation.converted(other, conversion_rules(edges), stems, edges)
+
+
 # -- streams ----------------------------------------------------------------------------------------
 
 _DAY = 86_400_000

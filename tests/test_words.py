@@ -78,6 +78,40 @@ def test_a_lexicon_is_learnt_from_words(spark):
     assert got == {"walkers", "walk-ers", "walk-er-s", "walker-s"}
 
 
+#: A small noun: tags with and without an affix.
+TAGGED = [("Root", "", "N", "<N>"), ("N", "ler", "Pl", "<pl>"), ("N", "", "Pl", ""), ("Pl", "i", "End", "<acc>"), ("Pl", "i", "End", "<p3s>"), ("Pl", "de", "End", "<loc>"), ("Pl", "", "End", ""), ("End", "", "#", ""), ("N", "li", "Adj", "<li>"), ("Adj", "", "#", "<Adj>"), ("Adj", "", "Root", "<Adj>")]
+
+
+def tagged(spark, edges):
+    return spark.createDataFrame(edges, "class string, affix string, next string, tag string")
+
+
+def test_analyses_and_generation(spark):
+    stems, edges = spark.createDataFrame([("ev", "Root"), ("evli", "Root")], "stem string, class string"), tagged(spark, TAGGED)
+    words = spark.createDataFrame([(w,) for w in ("ev", "evler", "evleri", "evde", "evli", "evlilerde", "su")], "word string")
+    got = {(r.word, r.analysis) for r in segmentation.analyses(words, stems, edges).collect()}
+    assert got == {
+        ("ev", "ev<N>"), ("evler", "ev<N><pl>"), ("evleri", "ev<N><pl><acc>"), ("evleri", "ev<N><pl><p3s>"), ("evde", "ev<N><loc>"), ("evli", "ev<N><li><Adj>"), ("evli", "ev<N><li><Adj><N>"), ("evli", "evli<N>"),
+        ("evlilerde", "ev<N><li><Adj><N><pl><loc>"), ("evlilerde", "evli<N><pl><loc>"),
+    }
+    asked = spark.createDataFrame([(a,) for _, a in got] + [("ev<Adj>",), ("su<N>",), ("ev",)], "analysis string")
+    assert {(r.surface, r.analysis) for r in segmentation.generated(asked, stems, edges).collect()} == got
+
+
+def test_endless_analyses_are_refused(spark):
+    edges = tagged(spark, [("Root", "", "A", "<x>"), ("A", "", "Root", ""), ("Root", "", "#", "")])
+    with pytest.raises(ValueError, match="endless"):
+        segmentation.without_empty(edges)
+
+
+def test_conversion_by_ordered_rules(spark):
+    stems, edges = spark.createDataFrame([("ev", "Root")], "stem string, class string"), tagged(spark, TAGGED)
+    rules = spark.createDataFrame([(3, "+A3pl", "<pl>"), (1, "+Noun+A3sg", "<N>"), (2, "+Noun", "<N>"), (4, "+Loc", "<loc>"), (5, "+Acc", "<acc>"), (6, "+Pnon+Nom", "")], "ord int, old string, new string")
+    rows = spark.createDataFrame([("Evlerde", "ev+Noun+A3pl+Loc", 1), ("evde", "ev+Noun+A3sg+Loc", 2), ("evi", "ev+Noun+A3sg+Loc", 3), ("ev", "ev+Noun+A3sg+Pnon+Nom", 4), ("ev", "ev+Verb", 5), (None, None, 6)], "surface string, analysis string, n int")
+    got = sorted((r.n, r.new, r.sound) for r in segmentation.converted(rows, rules, stems, edges).collect())
+    assert got == [(1, "ev<N><pl><loc>", True), (2, "ev<N><loc>", True), (3, "ev<N><loc>", False), (4, "ev<N>", True), (5, "ev+Verb", False), (6, None, False)]
+
+
 def test_no_words_and_no_edges(spark):
     stems, edges = tables(spark, EDGES, [("ev", "Root")])
     none = spark.createDataFrame([], "word string")
