@@ -98,6 +98,14 @@ def rendered(top: DataFrame) -> DataFrame:
     return top.groupBy("src").agg(F.array_sort(F.collect_list(item)).alias("ts")).select(F.concat(F.col("src"), F.lit(" -> "), F.array_join(F.transform("ts", lambda t: t["s"]), ", ")).alias("line"))
 
 
+def _outcome(base: Column, tail: Column, exact: Column, folded: Column) -> Column:
+    """struct<out, how> of a token by what the dictionary has for its base, as it is and case-folded."""
+    number = is_number(base)
+    how = F.when(number, "number").when(exact.isNotNull(), "exact").when(folded.isNotNull(), "folded").otherwise("kept")
+    out = F.when(number, base).otherwise(F.coalesce(exact, case_like(base, folded), base))
+    return F.struct(F.concat(out, tail).alias("out"), how.alias("how"))
+
+
 def translated_tokens(texts: DataFrame, dictionary: DataFrame, line: str, text: Column) -> DataFrame:
     """A row for each token: line, pos, word, out, how: number, exact, folded or kept.
 
@@ -105,6 +113,10 @@ def translated_tokens(texts: DataFrame, dictionary: DataFrame, line: str, text:
     carried over. The dictionary (src, tgt, first_pos) has one row for each src. While it is small it
     is broadcast and tokens are not shuffled; beyond, distinct bases are looked up, not tokens."""
     words = texts.select(F.col(line), F.posexplode(tokens(text)).alias("pos", "word"))
+    return _translated(words, dictionary).select(line, "pos", "word", "out", "how")
+
+
+def _translated(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     base, tail = split_base(F.col("word"))
     words = words.withColumn("base", base).withColumn("tail", tail)
     dictionary, small = broadcast_if_small(dictionary.select("src", "tgt", "first_pos"))
@@ -115,10 +127,15 @@ def translated_tokens(texts: DataFrame, dictionary: DataFrame, line: str, text:
     else:
         vocabulary = words.select("base").distinct().withColumn("low", turkish_lower(F.col("base")))
         met = words.join(vocabulary.join(exact, "base", "left").join(folded, "low", "left").drop("low"), "base", "left")
-    number = is_number(F.col("base"))
-    how = F.when(number, "number").when(F.col("exact").isNotNull(), "exact").when(F.col("folded").isNotNull(), "folded").otherwise("kept")
-    out = F.when(number, F.col("base")).otherwise(F.coalesce("exact", case_like(F.col("base"), F.col("folded")), "base"))
-    return met.select(line, "pos", "word", F.concat(out, F.col("tail")).alias("out"), how.alias("how"))
+    found = _outcome(F.col("base"), F.col("tail"), F.col("exact"), F.col("folded"))
+    return met.withColumn("__o", found).select("*", "__o.*").drop("__o", "base", "tail", "exact", "low", "folded")
+
+
+def coverage_of_texts(texts: DataFrame, dictionary: DataFrame, text: Column, dictionary_size: Column | int | None = None) -> DataFrame:
+    """``coverage`` of texts. What becomes of a token depends on its word alone, so words are counted
+    first, and each distinct one is looked up once."""
+    words = texts.select(F.explode(tokens(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return _covered(_translated(words, dictionary), dictionary_size)
 
 
 def rejoined(translated: DataFrame, line: str) -> DataFrame:
@@ -131,7 +148,10 @@ def coverage(translated: DataFrame, dictionary_size: Column | int | None = None)
     """Totals, rates and distinct words, replaced or not; numbers count as replaced. With the
     dictionary's size also which share of its entries was used, in percent. Words are counted
     first, so that no token is copied for a distinct count."""
-    words = translated.groupBy("word", "how").agg(F.count("*").alias("n"))
+    return _covered(translated.groupBy("word", "how").agg(F.count("*").alias("n")), dictionary_size)
+
+
+def _covered(words: DataFrame, dictionary_size: Column | int | None) -> DataFrame:
     kept = F.col("how") == "kept"
     out = words.agg(
         F.sum("n").alias("total_words"), F.sum(F.when(~kept, F.col("n")).otherwise(0)).alias("replaced"), F.sum(F.when(kept, F.col("n")).otherwise(0)).alias("not_replaced"),

@@ -147,42 +147,51 @@ def with_lemmas(words: DataFrame, lemmas: DataFrame, word: str = "word", rules:
     return met.withColumn("lemma", lemma).drop("__low", "__known")
 
 
-#: Targets of one prefix that travel as an array; a prefix with more is looked up with the target.
-TARGETS = 64
+#: Targets of one token that stand for it; a token with more is looked up from the other side.
+TARGETS = 32
 
 
-def sentence_matches(tokens: DataFrame, dictionary: DataFrame, line: list[str], least: int = 3, most: int = TARGETS) -> DataFrame:
-    """(line..., pos, token, src, tgt, how): for tokens (line..., pos, token, others), others being
-    the lower-cased words of the other side, the entry of the dictionary (ord, src, tgt) whose
-    target is among them: the token's own (exact), else the first of those of which one is the
-    other's prefix (prefix).
+def sentence_matches(lines: DataFrame, dictionary: DataFrame, line: list[str], least: int = 3, most: int = TARGETS) -> DataFrame:
+    """(line..., pos, token, src, tgt, how): for lines (line..., words, others), others being the
+    lower-cased words of the other side, for each word the entry of the dictionary (ord, src, tgt)
+    whose target is among the others: the word's own (exact), else the first of those of which one is
+    the other's prefix (prefix).
 
     The dictionary becomes an index by what a token can meet it with, a whole source (0) or a
-    beginning of one (1), and by target: of each only the first entry. A token looks up itself and its
-    beginnings; where these have ``most`` targets at most, the targets come back as one array for each
-    distinct token and are compared with the others inside the row. A beginning with more targets, as
-    one letter has, is looked up together with each word of the other side, so it meets as many rows
-    as the sentence has words, however many entries begin with it."""
+    beginning of one (1), and by target: of each only the first entry. Distinct tokens, not their
+    occurrences, look themselves and their beginnings up in it. A token with ``most`` targets at most
+    then meets each of a line's other words that way; one with more, as one letter has, is found from
+    the other side, by the targets among the other words, each of which knows such tokens as a list. So
+    no row is made for each pair of a token and an entry, nor for each pair of words of a line, and
+    no line's words travel with each of its tokens."""
     beginnings = lambda c, a: F.explode(F.when(F.length(c) >= a, F.transform(F.sequence(F.lit(a), F.length(c)), lambda n: F.left(F.col(c), n))))
     entry = F.struct("ord", "src", "tgt").alias("e")
     keys = dictionary.select(F.lower("tgt").alias("t"), "src", entry).where("src is not null and t is not null")
     whole = keys.select(F.lit(0).alias("kind"), F.col("src").alias("probe"), "t", "e")
     begun = keys.where(F.length("src") >= least).select(F.lit(1).alias("kind"), beginnings("src", 1).alias("probe"), "t", "e")
-    index = written(whole.unionByName(begun).groupBy("kind", "probe", "t").agg(F.min("e").alias("e")), "sources")
-    sizes = index.groupBy("kind", "probe").agg(F.count("*").alias("n"))
-    few = index.join(sizes.where(F.col("n") <= most), ["kind", "probe"]).groupBy("kind", "probe").agg(F.collect_list(F.struct("t", "e")).alias("found"))
+    index = whole.unionByName(begun).groupBy("kind", "probe", "t").agg(F.min("e").alias("e"))
 
-    distinct = tokens.select("token").where("token is not null").distinct()
+    words = lines.select(*line, F.explode(F.array_distinct("words")).alias("token")).where("token is not null")
+    distinct = written(words.select("token").distinct(), "tokens")
     own = distinct.select("token", F.lit(0).alias("kind"), F.col("token").alias("probe"), F.lit(0).alias("rank"))
     longer = distinct.select("token", F.lit(0).alias("kind"), beginnings("token", least).alias("probe"), F.lit(1).alias("rank"))
     shorter = distinct.select("token", F.lit(1).alias("kind"), F.col("token").alias("probe"), F.lit(1).alias("rank"))
-    probes = written(own.unionByName(longer).unionByName(shorter).join(sizes, ["kind", "probe"]), "probes")
-
-    ranked = F.transform("found", lambda f: F.struct(f["t"].alias("t"), F.struct(F.col("rank"), f["e"].alias("e")).alias("b")))
-    arrays = probes.where(F.col("n") <= most).join(few, ["kind", "probe"]).groupBy("token").agg(F.flatten(F.collect_list(ranked)).alias("found"))
-    here = F.array_min(F.transform(F.filter("found", lambda f: F.array_contains("others", f["t"])), lambda f: f["b"])).alias("b")
-    near = tokens.join(arrays, "token").select(*line, "pos", "token", here).where("b is not null")
-    each = tokens.join(probes.where(F.col("n") > most).drop("n"), "token").select(*line, "pos", "token", "kind", "probe", "rank", F.explode(F.array_distinct("others")).alias("t"))
-    far = each.join(index, ["kind", "probe", "t"]).select(*line, "pos", "token", F.struct("rank", "e").alias("b"))
-    best = near.unionByName(far).groupBy(*line, "pos", "token").agg(F.min("b").alias("b"))
-    return best.select(*line, "pos", "token", "b.e.src", "b.e.tgt", F.when(F.col("b.rank") == 0, "exact").otherwise("prefix").alias("how"))
+    probes = own.unionByName(longer).unionByName(shorter)
+    able = written(probes.join(index, ["kind", "probe"]).groupBy("token", "t").agg(F.min(F.struct("rank", "e")).alias("b")), "candidates")
+    sizes = able.groupBy("token").agg(F.count("*").alias("n"))
+    few, many = sizes.where(F.col("n") <= most).select("token"), sizes.where(F.col("n") > most).select("token")
+
+    targets, _ = broadcast_if_small(able.select("t").distinct())
+    others = lines.select(*line, F.explode(F.array_distinct("others")).alias("t")).join(targets, "t", "left_semi")
+    near = words.join(able.select("token", "t").join(few, "token"), "token").join(others, [*line, "t"])
+    hot, _ = broadcast_if_small(many)
+    here = words.join(hot, "token").groupBy(*line).agg(F.collect_list("token").alias("hot"))
+    by_target, _ = broadcast_if_small(able.join(hot, "token").groupBy("t").agg(F.collect_list("token").alias("able")))
+    far = others.join(here, line).join(by_target, "t").select(*line, F.explode(F.array_intersect("hot", "able")).alias("token"), "t")
+    met = near.select(*line, "token", "t").unionByName(far.select(*line, "token", "t"))
+    best = met.join(able, ["token", "t"]).groupBy(*line, "token").agg(F.min("b").alias("b"))
+    found = best.groupBy(*line).agg(F.collect_list(F.struct("token", "b")).alias("found"))
+    each = lines.join(found, line).select(*line, "found", F.posexplode("words").alias("pos", "token"))
+    own = F.get(F.filter("found", lambda f: f["token"] == F.col("token")), F.lit(0))["b"]
+    out = each.select(*line, "pos", "token", own.alias("b")).where("b is not null")
+    return out.select(*line, "pos", "token", "b.e.src", "b.e.tgt", F.when(F.col("b.rank") == 0, "exact").otherwise("prefix").alias("how"))

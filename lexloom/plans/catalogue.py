@@ -292,14 +292,14 @@ o AS (SELECT doc_id, i, w, CASE WHEN num THEN 'number' WHEN exact IS NOT NULL TH
     WHEN left(base, 1) = upper(left(base, 1)) AND left(base, 1) <> lower(left(base, 1)) THEN upper(left(folded, 1)) || lower(substr(folded, 2)) ELSE folded END || tail AS r FROM m)"""
 
 
-def applied(spark, sf_dir) -> DataFrame:
-    entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
-    return dictionary.translated_tokens(table(spark, sf_dir, "documents"), entries, "doc_id", F.col("text"))
+def entries(spark, sf_dir) -> DataFrame:
+    return dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2")
 
 
 @query(f"WITH {_APPLIED} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (how <> 'kept') AS n_replaced, md5(string_agg(r, ' ' ORDER BY i)) AS text_md5 FROM o GROUP BY doc_id")
 def dict_apply(spark, sf_dir):
-    return dictionary.rejoined(applied(spark, sf_dir), "doc_id").select("doc_id", "n_tokens", "n_replaced", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    found = dictionary.translated_tokens(table(spark, sf_dir, "documents"), entries(spark, sf_dir), "doc_id", F.col("text"))
+    return dictionary.rejoined(found, "doc_id").select("doc_id", "n_tokens", "n_replaced", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(f"""
@@ -308,7 +308,7 @@ WITH {_APPLIED} SELECT count(*) AS total_words, count(*) FILTER (how <> 'kept')
   count(DISTINCT CASE WHEN how = 'exact' THEN w END) AS used_exact, round(count(*) FILTER (how <> 'kept') / count(*), 6) AS replacement_rate FROM o
 """)
 def dict_coverage(spark, sf_dir):
-    return dictionary.coverage(applied(spark, sf_dir)).withColumn("replacement_rate", F.round("replacement_rate", 6))
+    return dictionary.coverage_of_texts(table(spark, sf_dir, "documents"), entries(spark, sf_dir), F.col("text")).withColumn("replacement_rate", F.round("replacement_rate", 6))
 
 
 @query(f"""

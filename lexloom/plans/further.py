@@ -348,7 +348,7 @@ SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS pos, token, src, t AS tgt, CASE
 """)
 def sentence_alignments(spark, sf_dir):
     entries = dictionary.best_translation(dictionary_pairs(spark, sf_dir)).where("cnt >= 2").select(F.col("src").alias("ord"), "src", "tgt")
-    rows = parallel(spark, sf_dir).select("conv_id", "turn", F.col("tgt").alias("others"), F.posexplode("src").alias("pos", "token"))
+    rows = parallel(spark, sf_dir).select("conv_id", "turn", F.col("src").alias("words"), F.col("tgt").alias("others"))
     return lookup.sentence_matches(rows, entries, ["conv_id", "turn"])
 
 
