@@ -6,9 +6,12 @@ that some item contains. A position whose run reaches the window length complete
 words are hits. An item shorter than the window counts as one window of its own length.
 
 Items are read and broadcast in blocks of about ``block_bytes`` of text, which bounds an automaton (some
-300 bytes for each byte of text) and the driver alike: a table of several blocks goes over the
-documents block by block, each time from a table in the shared folder that has what was found
-before, and only one block is in memory at a time. A Python worker builds a block's automaton once.
+300 bytes for each byte of text) and the driver alike. One block is searched in one pass. Where there
+are several, all documents are read twice, however many blocks there are: hashes of the items'
+windows (``MARKS`` at a time) first say which blocks a text can have a match with, most texts with
+none; the few that can are written, and each block goes over its own of them. A hash only ever adds
+a text to be searched, so results are exact. A Python worker builds a block's automaton once, and knows
+it by the run and the number of the block.
 
 Defined results: a null or empty text has no words and no hits; items without words never match;
 equal items each count; rows with a null or repeated id are documents like others; items with a null
@@ -20,15 +23,17 @@ may have any name.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._text import Words, cache, lean, pieces
+from lexloom.llm._text import Words, cache, lean, pieces, shingles
 from lexloom.llm.storage import drop, materialise
 
 WINDOW = 10
@@ -170,58 +175,112 @@ SCANNED = T.StructType([
 ])
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list[tuple[str, str]], bool]]:
-    """Blocks of items, read one at a time, and whether a block is the last."""
-    slim = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()], b == n - 1
+_built: dict[str, object] = cache("decontam")
 
 
-_built: dict[tuple[int, int], Index] = cache("decontam")
-
-
-def _index(shared, window: int) -> Index:
-    """The automaton of a broadcast block, built once in each Python worker."""
-    key = id(shared.value), window
-    if key not in _built:
+def _kept(name: str, make):
+    """What a worker has made of a broadcast value, by a name that no other value has."""
+    if name not in _built:
         _built.clear()
-        _built[key] = Index(shared.value, window)
-    return _built[key]
+        _built[name] = make()
+    return _built[name]
 
 
 def _over_blocks(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_bytes: int, last_schema: T.StructType, finish) -> DataFrame:
     """rows (body, ..., runs, names) after all blocks: finish(batch, words, runs, names) makes what
     the last one returns of word runs and items found."""
-    kept = None
-    for block, last in _blocks(items, item_id, item_text, block_bytes):
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-        out = rows.mapInArrow(lean(_scanner(shared, window, finish if last else None), "decontam"), last_schema if last else rows.schema)
-        if last:
-            return out
-        done, path = materialise(out, "decontam")
-        if kept:
-            drop(rows.sparkSession, kept)
+    slim = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n, run = max(1, -(-total // block_bytes)), uuid.uuid4().hex
+    spark = rows.sparkSession
+
+    def scanned(some: DataFrame, b: int, last: bool) -> tuple[DataFrame, Broadcast]:
+        part = slim if n == 1 else slim.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in part.collect()])
+        return some.mapInArrow(lean(_scanner(shared, f"{run}-{b}", window, finish if last else None), "decontam"), last_schema if last else some.schema), shared
+
+    if n == 1:
+        return scanned(rows, 0, True)[0]
+    marked = _marked(rows, slim.select("t", F.pmod(F.xxhash64("i", "t"), F.lit(n)).alias("b")), window, run)
+    clean = marked.where(F.size("marks") == 0).drop("marks").mapInArrow(lean(_scanner(None, run, window, finish), "decontam"), last_schema)
+    some, kept = materialise(marked.where(F.size("marks") > 0), "decontam")
+    for b in range(n):
+        out, shared = scanned(some.where(F.array_contains("marks", b)), b, False)
+        done, path = materialise(out.unionByName(some.where(~F.array_contains("marks", b))), "decontam")
+        drop(spark, kept)
         shared.destroy()
-        rows, kept = done, path
+        some, kept = done, path
+    return clean.unionByName(some.drop("marks").mapInArrow(lean(_scanner(None, run, window, finish), "decontam"), last_schema))
+
+
+#: Windows of items, as hashes, that are broadcast at once.
+MARKS = 8_000_000
+
+
+def _marked(rows: DataFrame, items: DataFrame, window: int, run: str) -> DataFrame:
+    """rows with a column marks: the blocks that have an item of which a window's hash is in the text.
+    Texts without marks hold no window; what has one is searched exactly. items: t, b."""
+    spark = rows.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = Words(batch.column("t"))
+            h, bounds = shingles(words, window)
+            each, n = np.diff(bounds), np.minimum(np.diff(words.rows), window)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(np.asarray(batch.column("b")).astype(np.int32), each)), pa.array(np.repeat(n, each).astype(np.int32))], names=["h", "b", "n"])
+
+    grams, kept = materialise(items.mapInArrow(lean(hashed), "h long, b int, n int").distinct(), "windows")
+    sizes = sorted(r.n for r in grams.select("n").distinct().collect())  # as many as a window has words
+    chunks = max(1, -(-grams.count() // MARKS))
+    out = rows.withColumn("marks", F.array().cast("array<int>"))
+    for c in range(chunks):
+        table = grams.where(F.pmod("h", F.lit(chunks)) == c).select("h", "b").orderBy("h").toArrow()
+        shared = spark.sparkContext.broadcast((np.asarray(table.column("h")), np.asarray(table.column("b"))))
+
+        def run_(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, blocks = shared.value
+            for batch in pieces(batches, "body"):
+                words = Words(batch.column("body"))
+                found = [np.zeros(0, np.int64)]
+                for n in sizes:
+                    h, bounds = shingles(words, n)
+                    h = h.view(np.int64)
+                    low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+                    at = np.flatnonzero(high > low)
+                    many = (high - low)[at]
+                    which = np.repeat(low[at] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    row = np.searchsorted(bounds, at, "right") - 1
+                    found.append(np.unique(np.repeat(row, many) << 32 | blocks[which]))
+                both = np.unique(np.concatenate(found))
+                cuts = np.searchsorted(both >> 32, np.arange(batch.num_rows + 1))
+                marks = [sorted({*old, *(both[a:b] & 0xFFFFFFFF).tolist()}) for old, a, b in zip(batch.column("marks").to_pylist(), cuts, cuts[1:], strict=False)]
+                yield batch.set_column(batch.num_columns - 1, "marks", pa.array(marks, pa.list_(pa.int32())))
+
+        out = out.mapInArrow(lean(run_, "decontam"), out.schema)
+        if c + 1 < chunks:
+            out, _ = materialise(out, "decontam")
+            shared.destroy()
+    return out
+
 
+def _scanner(shared: Broadcast | None, name: str, window: int, finish):
+    """A task's function: the block's matches join those of before. Without a block, only finish."""
 
-def _scanner(shared, window: int, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "body"):
             words = Words(batch.column("body"))
             before = zip(batch.column("runs").to_pylist(), batch.column("names").to_pylist(), strict=True)
+            now = _kept(name, lambda: Index(shared.value, window)).scan(words) if shared else [([], set())] * batch.num_rows
             runs, names = [], []
-            for (spans, found), (old, old_names) in zip(_index(shared, window).scan(words), before, strict=True):
+            for (spans, found), (old, old_names) in zip(now, before, strict=True):
                 runs.append(_merged([*zip(old[::2], old[1::2], strict=True), *spans]) if old else spans)
                 names.append(sorted(found | set(old_names or ())))
             if finish:
                 yield finish(batch, words, runs, names)
             else:
+                k = batch.schema.get_field_index("runs")
                 flat = [pa.array([[x for span in r for x in span] for r in runs], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-                yield batch.set_column(batch.num_columns - 2, "runs", flat[0]).set_column(batch.num_columns - 1, "names", flat[1])
+                yield batch.set_column(k, "runs", flat[0]).set_column(k + 1, "names", flat[1])
 
     return run
 

@@ -51,6 +51,33 @@ def test_only_minima_travel(spark, rng):
     assert line_dedup._selected(slim, 45).count() < 0.35 * 20 * 400
 
 
+def test_many_blocks_read_the_documents_twice(spark, rng):
+    docs = texts(rng, 60, "abcd  ", 60) + [(60, None), (61, "x y z"), (61, "a b c d e f g")]
+    items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7)))) for i in range(50)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = frame(spark, docs)
+    got = rows_of(decontam.report(source.mapInArrow(counted, source.schema), table, window=3, block_bytes=12))
+    assert got == sorted(decontam.brute_force(docs, items, 3))
+    assert 0 < read.value <= 2 * len(docs)
+    parts = [rows_of(decontam.decontaminate(source.where("text is not null"), table, window=3, block_bytes=b)) for b in (12, 1_000_000)]
+    assert parts[0] == parts[1]
+
+
+def test_windows_are_marked_in_chunks(spark, rng, monkeypatch):
+    monkeypatch.setattr(decontam, "MARKS", 5)
+    docs = texts(rng, 40, "abc  ", 40)
+    items = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))) for i in range(20)]
+    got = rows_of(decontam.report(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window=2, block_bytes=9))
+    assert got == sorted(decontam.brute_force(docs, items, 2))
+
+
 @pytest.mark.parametrize(("window", "block"), [(2, 1_000_000), (4, 1_000_000), (3, 60)])
 def test_decontamination(spark, rng, window, block):
     docs = texts(rng, 80, "abcd  ", 60) + [(80, None), (81, ""), (82, "A b C d")]
