@@ -12,16 +12,19 @@ from lexloom.functions.text import ascii_fold
 CAPITALS, SMALL = "ABCÇDEFGĞHIİJKLMNOÖPRSŞTUÜVYZÎÛÂ", "abcçdefgğhıijklmnoöprsştuüvyzîûâ"
 FRONT, BACK, ROUND = "eiöüî", "aıouâû", "öüouû"
 PALATAL, VOWEL, CONSONANT = FRONT + "âû", FRONT + BACK, "bdcgvzjfğlmnrwyptçksşh"
+#: Sounds between a sound and what it depends on, at most: looking behind needs an end, and no syllable, nor
+#: run of consonants, is that long.
+BEFORE = 250
 #: Sounds by rule, in the order in which rules apply. Rules look at the syllable (no dot
 #: between) or at neighbours; a colon is length.
 SOUNDS = (
     ("j", "ʒ"), ("y", "j"), ("ç", "tʃ"), ("ş", "∫"), ("c", "dʒ"),
-    (f"k(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,6}})k", "c"),
-    (f"g(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,6}})g", "ɟ"),
-    (f"l(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,6}})l", "ł"),
+    (f"k(?:(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,{BEFORE}}}k))", "c"),
+    (f"g(?:(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,{BEFORE}}}g))", "ɟ"),
+    (f"l(?:(?=[^.]*[{PALATAL}])|(?<=[{PALATAL}][^.]{{0,{BEFORE}}}l))", "ł"),
     (f"(tʃ|dʒ|[ptkc])(?=[{VOWEL}]|$)", "$1ʰ"),
-    (f"(?<=[{ROUND}][^{VOWEL}]{{0,6}})v$|^v(?=[^{VOWEL}]*[{ROUND}])", "β"),
-    (f"(?<=[{ROUND}][^{VOWEL}]{{0,6}})v|v(?=[^{VOWEL}]*[{ROUND}])", "ω"),
+    (f"v(?<=[{ROUND}][^{VOWEL}]{{0,{BEFORE}}}v)$|^v(?=[^{VOWEL}]*[{ROUND}])", "β"),
+    (f"v(?:(?<=[{ROUND}][^{VOWEL}]{{0,{BEFORE}}}v)|(?=[^{VOWEL}]*[{ROUND}]))", "ω"),
     (f"h(?=[{FRONT}])|(?<=[{FRONT}])h(?=[{CONSONANT}]|$)", "ç"),
     (f"(?<=[{BACK}])h(?=[{CONSONANT}]|$)", "x"),
     (f"(?<=[{BACK}])n(?=[kg])", "ŋ"), (f"(?<=[{FRONT}])n(?=[cɟ])", "ɲ"), ("r$", "ɾ"),
