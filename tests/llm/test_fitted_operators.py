@@ -317,7 +317,7 @@ def test_stages_on_awkward_rows(spark, awkward, sf_dir):
         out = stage(spark, odd, sf_dir)
         assert out.columns == odd.columns, name
         texts = [r.text for r in out.collect()]
-        assert "stray row" in texts and "a" in texts and None in texts or "" in texts, name
+        assert "stray row" in texts and "a" in texts and (None in texts or "" in texts), name
         assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
     name, last = corpus_pipeline.STAGES[-1]
     assert last(spark, odd, sf_dir).count() == odd.count() and last(spark, odd.limit(0), sf_dir).count() == 0
