@@ -186,10 +186,15 @@ def sentence_matches(lines: DataFrame, dictionary: DataFrame, line: list[str], l
     near = words.join(able.select("token", "t").join(few, "token"), "token").join(others, [*line, "t"])
     hot, _ = broadcast_if_small(many)
     here = words.join(hot, "token").groupBy(*line).agg(F.collect_list("token").alias("hot"))
-    by_target, _ = broadcast_if_small(able.join(hot, "token").groupBy("t").agg(F.collect_list("token").alias("able")))
-    far = others.join(here, line).join(by_target, "t").select(*line, F.explode(F.array_intersect("hot", "able")).alias("token"), "t")
-    met = near.select(*line, "token", "t").unionByName(far.select(*line, "token", "t"))
-    best = met.join(able, ["token", "t"]).groupBy(*line, "token").agg(F.min("b").alias("b"))
+    by_target, _ = broadcast_if_small(able.join(hot, "token").groupBy("t").agg(F.collect_list(F.struct("token", "b")).alias("able")))
+    # the matches of a line stay lists until the first of each token is found
+    some = F.filter("able", lambda x: F.array_contains("hot", x["token"])).alias("some")
+    lists = others.join(here, line).join(by_target, "t").select(*line, some).where(F.size("some") > 0)
+    sorted_ = lists.groupBy(*line).agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("s"))
+    firsts = F.filter("s", lambda x, i: (i == 0) | (x["token"] != F.get("s", F.greatest(i - 1, F.lit(0)))["token"]))
+    far = sorted_.select(*line, F.inline(firsts))
+    close = near.select(*line, "token", "t").join(able, ["token", "t"]).groupBy(*line, "token").agg(F.min("b").alias("b"))
+    best = close.unionByName(far)  # a token is in one of them
     found = best.groupBy(*line).agg(F.collect_list(F.struct("token", "b")).alias("found"))
     each = lines.join(found, line).select(*line, "found", F.posexplode("words").alias("pos", "token"))
     own = F.get(F.filter("found", lambda f: f["token"] == F.col("token")), F.lit(0))["b"]

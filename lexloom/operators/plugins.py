@@ -3,14 +3,21 @@ batches, on the executors. Functions have to be importable there, or to travel w
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
-
+import contextlib
+import queue
+import shlex
+import subprocess
+import threading
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.gloss import keep_segmentation
 from lexloom.operators.morph import analyse
+from lexloom.operators.sizes import broadcast_if_small
 
 
 def generated(prompts: DataFrame, model: Callable[[list[str]], Sequence[str]], prompt: str = "prompt", size: int = 16) -> DataFrame:
@@ -80,13 +87,56 @@ def segmented(words: DataFrame, segmenter: Callable[[str], Iterable[str]], word:
 def converted(rows: DataFrame, mapping: DataFrame, generator: Callable[[str], Iterable[str]]) -> DataFrame:
     """Analyses (surface, lemma, tags) under another tag set: mapping (tags, new_tags) is joined, and
     sound says whether the generator makes the surface of the new analysis again."""
-    met = rows.join(F.broadcast(mapping), "tags", "left").withColumn("analysis", F.concat("lemma", "new_tags"))
+    table, _ = broadcast_if_small(mapping)
+    met = rows.join(table, "tags", "left").withColumn("analysis", F.concat("lemma", "new_tags"))
     made = analyse(met.where("analysis is not null").select(F.col("analysis").alias("word")), generator).groupBy("word").agg(F.collect_set("analysis").alias("surfaces"))
     out = met.join(made, F.col("word") == F.col("analysis"), "left")
     return out.select("surface", "lemma", "tags", "analysis", F.coalesce(F.array_contains("surfaces", F.col("surface")), F.lit(False)).alias("sound"))
 
 
 def piped(lines: DataFrame, command: str, column: str = "line") -> DataFrame:
-    """Lines that a command writes for the lines that it reads, partition by partition."""
-    out = lines.select(F.coalesce(F.col(column), F.lit(""))).rdd.map(lambda r: r[0]).pipe(command, checkCode=True)
-    return lines.sparkSession.createDataFrame(out.map(lambda x: (x,)), f"{column} string")
+    """Lines that a command writes for the lines that it reads, partition by partition. A task runs one
+    process and hands it whole batches; what it has written goes on after each, so a task holds no more
+    than the process is behind. A command that fails fails the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process = subprocess.Popen(shlex.split(command), stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        out: queue.SimpleQueue[bytes] = queue.SimpleQueue()
+
+        def drain() -> None:
+            while piece := process.stdout.read1(1 << 20):
+                out.put(piece)
+
+        reader = threading.Thread(target=drain, daemon=True)
+        reader.start()
+        left = b""
+
+        def made(ended: bool = False) -> Iterator[pa.RecordBatch]:
+            nonlocal left
+            pieces = [left]
+            while not out.empty():
+                pieces.append(out.get())
+            whole, mark, left = b"".join(pieces).rpartition(b"\n")
+            if ended and left:
+                whole, mark, left = whole + mark + left, b"\n", b""
+            if mark:
+                yield pa.RecordBatch.from_arrays([pa.array(whole.decode("utf-8", "replace").split("\n"), pa.string())], names=[column])
+
+        try:
+            for batch in batches:
+                text = "".join(f"{line or ''}\n" for line in batch.column(0).to_pylist())
+                try:
+                    process.stdin.write(text.encode("utf-8", "surrogatepass"))
+                except BrokenPipeError:  # it has read enough, or failed, which its status tells
+                    break
+                yield from made()
+            with contextlib.suppress(BrokenPipeError):
+                process.stdin.close()
+            reader.join()
+            yield from made(True)
+            if process.wait():
+                raise RuntimeError(f"{command}: ended with status {process.returncode}")
+        finally:
+            process.kill()
+
+    return lines.select(F.col(column).cast("string").alias(column)).mapInArrow(run, f"`{column}` string")

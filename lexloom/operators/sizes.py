@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that are broadcast at most; beyond, a join is left to shuffle.
-MOST_ROWS = 300_000
+#: Rows, and bytes of them, that are broadcast at most; beyond, a join is left to shuffle.
+MOST_ROWS, MOST_BYTES = 300_000, 64 << 20
 
 
 def broadcast_if_small(df: DataFrame, most: int = MOST_ROWS) -> tuple[DataFrame, bool]:
-    """The table and whether it has ``most`` rows at most. Then its rows, which are at hand from the
+    """The table and whether it has ``most`` rows and ``MOST_BYTES`` at most. Then its rows, which are at hand from the
     count, take its place, marked for broadcast, so what made it runs once."""
     spark = df.sparkSession
     rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
+    if rows.num_rows > most or rows.nbytes > MOST_BYTES:
         return df, False
     return F.broadcast(spark.createDataFrame(rows, df.schema)), True

@@ -339,6 +339,23 @@ def lemma_lookup(spark, sf_dir):
     return lookup.with_lemmas(plain, lemmas).select("word", "lemma", "plain")
 
 
+_RULE = "CASE WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) WHEN w LIKE '%ed' AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%ing' AND length(w) > 5 THEN left(w, length(w) - 3) ELSE w END"
+
+
+@query(f"""
+WITH {_PARALLEL}, x AS (SELECT conv_id, turn, src, tgt, i, src[i] AS w FROM (SELECT *, unnest(range(1, len(src) + 1)) AS i FROM pairs)),
+m AS (SELECT *, CASE WHEN len(src) = len(tgt) THEN tgt[list_max([j FOR j IN range(1, len(src) + 1) IF src[j] = w])] WHEN i <= len(tgt) THEN tgt[i] ELSE {_RULE} END AS lemma FROM x)
+SELECT conv_id, turn, count(*) AS n, any_value(len(src) = len(tgt)) AS equal, count(*) FILTER (i > len(tgt)) AS beyond, md5(string_agg(lemma, ' ' ORDER BY i)) AS lemmas_md5 FROM m GROUP BY conv_id, turn
+""")
+def positional_lemmas(spark, sf_dir):
+    """The other side's words as lemmas: by word where the sides are equally long, else by place, and by
+    rule beyond the end."""
+    rows = parallel(spark, sf_dir).where(F.size("src") > 0)
+    lemmas = alignment.positional_lemmas(F.col("src"), F.col("tgt"), gloss.english_lemma)
+    beyond = F.greatest(F.size("src") - F.size("tgt"), F.lit(0)).cast("long")
+    return rows.select("conv_id", "turn", F.size("src").cast("long").alias("n"), (F.size("src") == F.size("tgt")).alias("equal"), beyond.alias("beyond"), F.md5(F.array_join(lemmas, " ").cast("binary")).alias("lemmas_md5"))
+
+
 @query(f"""
 WITH {_BEST}, d AS (SELECT src, tgt, cnt, row_number() OVER (ORDER BY src) AS ord FROM best WHERE cnt >= 2),
 a AS (SELECT conv_id, turn, i, src[i] AS token, tgt FROM (SELECT *, unnest(range(1, len(src) + 1)) AS i FROM pairs)),

@@ -39,6 +39,12 @@ def test_transducers(spark):
     mapping = spark.createDataFrame([("+Noun+A3pl", "<N><pl>")], "tags string, new_tags string")
     got = plugins.converted(rows, mapping, lambda a: [a.split("<")[0] + "ler"])
     assert {(r.surface, r.analysis, r.sound) for r in got.collect()} == {("evler", "ev<N><pl>", True), ("su", "su<N><pl>", False), ("o", None, False)}
+    many = spark.range(30_000).selectExpr("cast(id as string) as line").repartition(3)
+    assert sorted(int(r.line) for r in plugins.piped(many, "rev").selectExpr("reverse(line) as line").collect()) == list(range(30_000))
+    assert [r.line for r in plugins.piped(spark.createDataFrame([(None,), ("é",)], "line string").coalesce(1), "sed s/^/x/").collect()] == ["x", "xé"]
+    assert plugins.piped(many, "head -n 2").count() == 6 and plugins.piped(many.limit(0), "cat").count() == 0
+    with pytest.raises(Exception, match="ended with status"):
+        plugins.piped(many, "false").count()
     assert sorted(r.line for r in plugins.piped(spark.createDataFrame([("b",), ("a",)], "line string"), "tr a-z A-Z").collect()) == ["A", "B"]
 
 
