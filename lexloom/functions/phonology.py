@@ -174,36 +174,42 @@ def _transitions() -> list[int]:
 
 
 def token_classes(tokens: Column, abbreviations: Column) -> Column:
-    """The class of each token of a list. abbreviations: a list of lower-cased words."""
+    """The class of each token of a list, with its place: place * 8 + class. What is longer than any
+    mark is only asked whether it spares one. abbreviations: a list of lower-cased words."""
     quotes = [x for x in OPENING if x in CLOSING]
+    longest = max(map(len, (*OPENING, *CLOSING, *SENTENCE_ENDS)))
     following = lambda i: F.coalesce(F.get(tokens, i + 1).isin(*SENTENCE_ENDS), F.lit(False))
+    word = lambda x, i: F.when(following(i) & (x.rlike("^[0-9]+$") | F.array_contains(abbreviations, F.lower(x))), SPARING).otherwise(WORD_CLASS)
     one = lambda x, i: (
-        F.when(x.isin(*SENTENCE_ENDS), END_MARK)
+        F.when(F.length(x) > longest, word(x, i))
+        .when(x.isin(*SENTENCE_ENDS), END_MARK)
         .when(x.isin(*quotes), QUOTE)
         .when(x.isin(*OPENING), OPENS)
         .when(x.isin(*CLOSING), CLOSES)
-        .when(following(i) & (x.rlike("^[0-9]+$") | F.array_contains(abbreviations, F.lower(x))), SPARING)
-        .otherwise(WORD_CLASS)
+        .otherwise(word(x, i))
     )
-    return F.transform(tokens, one)
+    return F.transform(tokens, lambda x, i: i * 8 + one(x, i))
 
 
 def sentence_starts(tokens: Column, abbreviations: Column | None = None) -> Column:
     """Places, from 0, of the tokens that begin a sentence: the transition table folded over a text's
     tokens in one pass. A sentence ends with a mark that ends one, but not where the mark follows an
     abbreviation or a number, goes on in further marks, or stands before what closes, once something
-    has opened; what opened stays open to the end of the text."""
+    has opened; what opened stays open to the end of the text. A word changes nothing where neither an
+    end nor a spared mark is at hand, and leaves the state as it is."""
     known = F.array().cast("array<string>") if abbreviations is None else abbreviations
     table = F.array(*map(F.lit, _transitions()))
     empty = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("i"), F.array().cast("array<array<int>>").alias("whole"), empty.alias("piece"))
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<array<int>>").alias("whole"), empty.alias("piece"))
 
-    def step(a: Column, kind: Column) -> Column:
-        found = F.get(table, a["state"] * 6 + kind)
-        begins = (found >= 8) | (a["i"] == 0)
+    def step(a: Column, code: Column) -> Column:
+        found = F.get(table, a["state"] * 6 + code % 8)
+        place, begins = F.shiftright(code, 3), (found >= 8) | (code < 8)
         full = begins & (F.size(a["piece"]) >= PIECE)
-        piece = F.when(full, F.array(a["i"])).when(begins, F.array_append(a["piece"], a["i"])).otherwise(a["piece"])
-        return F.struct(found.bitwiseAND(F.lit(7)).alias("state"), (a["i"] + 1).alias("i"), F.when(full, F.array_append(a["whole"], a["piece"])).otherwise(a["whole"]).alias("whole"), piece.alias("piece"))
+        piece = F.when(full, F.array(place)).when(begins, F.array_append(a["piece"], place)).otherwise(a["piece"])
+        whole = F.when(full, F.array_append(a["whole"], a["piece"])).otherwise(a["whole"])
+        moved = F.struct(found.bitwiseAND(F.lit(7)).alias("state"), whole.alias("whole"), piece.alias("piece"))
+        return F.when((code % 8 == WORD_CLASS) & (a["state"] < SPARED) & (code >= 8), a).otherwise(moved)
 
     return let(tokens, lambda t: F.aggregate(token_classes(t, known), start, step, lambda a: F.concat(F.flatten(a["whole"]), a["piece"])))
 

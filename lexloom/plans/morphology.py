@@ -146,7 +146,7 @@ s AS (SELECT doc_id, count(*) FILTER (ends) + 1 AS n_sentences, '0' || coalesce(
 SELECT d.doc_id, len(t) AS n_tokens, coalesce(n_sentences, 0) AS n_sentences, md5(coalesce(starts, '')) AS starts_md5 FROM d LEFT JOIN s USING (doc_id)
 """)
 def document_sentences(spark, sf_dir):
-    rows = tokenised(spark, sf_dir)
+    rows = written(tokenised(spark, sf_dir), "tokens")  # read twice
     found = sentences.with_sentences(rows, "t", sentences.abbreviations(rows, "t"))
     return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("starts").cast("long").alias("n_sentences"), F.md5(F.array_join("starts", ",").cast("binary")).alias("starts_md5"))
 
