@@ -90,14 +90,14 @@ def priority(tag: Column) -> Column:
 def top_tags(tag_list: Column, most: int = 2) -> Column:
     """Over the limit, the tags of best priority in that order; else all as they are."""
     kept = F.filter(tag_list, lambda t: ~t.isin(*IGNORED))
-    ranked = F.array_sort(F.transform(kept, lambda t, i: F.struct(priority(t).alias("p"), i.alias("i"), t.alias("t"))))
+    ranked = F.sort_array(F.transform(kept, lambda t, i: F.struct(priority(t).alias("p"), i.alias("i"), t.alias("t"))))
     return F.when(F.size(tag_list) <= most, tag_list).otherwise(F.transform(F.slice(ranked, 1, most), lambda z: z["t"]))
 
 
 def dropped_tags(tag_list: Column, most: int = 2) -> Column:
     """The tags that ``top_tags`` drops for their priority."""
     kept = F.filter(tag_list, lambda t: ~t.isin(*IGNORED))
-    ranked = F.array_sort(F.transform(kept, lambda t, i: F.struct(priority(t).alias("p"), i.alias("i"), t.alias("t"))))
+    ranked = F.sort_array(F.transform(kept, lambda t, i: F.struct(priority(t).alias("p"), i.alias("i"), t.alias("t"))))
     over = (F.size(tag_list) > most) & (F.size(ranked) > most)
     return F.when(over, F.transform(F.slice(ranked, F.lit(most + 1), F.greatest(F.size(ranked) - most, F.lit(1))), lambda z: z["t"])).otherwise(F.array().cast("array<string>"))
 

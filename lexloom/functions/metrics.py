@@ -28,7 +28,7 @@ def numbered(grams: Column) -> Column:
         return let(starts, lambda heads: F.flatten(F.transform(heads, run(heads))))
 
     first = lambda g: F.transform(g, lambda x: F.concat(x, F.lit("\u00020")))
-    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), first(g)).otherwise(let(F.array_sort(g), of_sorted)))
+    return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), first(g)).otherwise(let(F.sort_array(g), of_sorted)))
 
 
 def overlap(a: Column, b: Column) -> Column:

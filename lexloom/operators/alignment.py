@@ -27,7 +27,7 @@ def positional_lemmas(surface: Column, lemmas: Column, fallback) -> Column:
 def examples(alignments: DataFrame, line: list[str], least: int = 2) -> DataFrame:
     """Alignments of each line in order; lines with fewer than ``least`` are left out."""
     pair = F.struct("pos", "source", "target")
-    grouped = alignments.groupBy(*line).agg(F.array_sort(F.collect_list(pair)).alias("a"))
+    grouped = alignments.groupBy(*line).agg(F.sort_array(F.collect_list(pair)).alias("a"))
     pairs = F.transform("a", lambda x: F.array(x["source"], x["target"]))
     return grouped.select(*line, pairs.alias("alignments"), F.size("a").cast("long").alias("num_alignments")).where(F.col("num_alignments") >= least)
 

@@ -47,7 +47,7 @@ def occurrence_lists(df: DataFrame, at: list[str], key: Column, per_row: int = 1
     # a long list is dealt by hash, each part sorted by itself
     parts = F.ceil(F.col("cnt") / per_row)
     dealt = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("place"), parts))
-    return dealt.groupBy("key", "part").agg(F.first("first").alias("first"), F.first("cnt").alias("cnt"), F.array_sort(F.collect_list("place")).alias("places")).drop("key")
+    return dealt.groupBy("key", "part").agg(F.first("first").alias("first"), F.first("cnt").alias("cnt"), F.sort_array(F.collect_list("place")).alias("places")).drop("key")
 
 
 def duplicated_keys(df: DataFrame, id_col: str, key: Column) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.text import case_like, clean_word, is_number, split_base, tokens, turkish_lower
-from lexloom.operators.sizes import broadcast_if_small
+from lexloom.operators.sizes import broadcast_if_small, rows_if_small
 
 #: English function words, by kind.
 ENGLISH_FUNCTION_WORDS = tuple(dict.fromkeys("""
@@ -95,7 +101,7 @@ def quality(pairs: DataFrame) -> DataFrame:
 def rendered(top: DataFrame) -> DataFrame:
     """Lines ``src -> t1 (n), t2 (n)``."""
     item = F.struct("rank", F.concat(F.col("tgt"), F.lit(" ("), F.col("cnt").cast("string"), F.lit(")")).alias("s"))
-    return top.groupBy("src").agg(F.array_sort(F.collect_list(item)).alias("ts")).select(F.concat(F.col("src"), F.lit(" -> "), F.array_join(F.transform("ts", lambda t: t["s"]), ", ")).alias("line"))
+    return top.groupBy("src").agg(F.sort_array(F.collect_list(item)).alias("ts")).select(F.concat(F.col("src"), F.lit(" -> "), F.array_join(F.transform("ts", lambda t: t["s"]), ", ")).alias("line"))
 
 
 def _outcome(base: Column, tail: Column, exact: Column, folded: Column) -> Column:
@@ -131,6 +137,37 @@ def _translated(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return met.withColumn("__o", found).select("*", "__o.*").drop("__o", "base", "tail", "exact", "low", "folded")
 
 
+def applied(texts: DataFrame, dictionary: DataFrame, line: str, text: Column) -> DataFrame:
+    """Texts translated token by token: line, n_tokens, n_replaced, text; those without tokens go. What
+    becomes of a token depends on its word alone, so distinct words are looked up first. While those
+    that are replaced are few enough to broadcast, texts never leave their rows: a task replaces the
+    words of a batch of token lists at once. Beyond that, tokens are joined and meet again by line."""
+    words = texts.select(F.explode(tokens(text)).alias("word")).distinct()
+    found = rows_if_small(_translated(words, dictionary).where("how <> 'kept'").select("word", "out"))
+    if found is None:
+        return rejoined(translated_tokens(texts, dictionary, line, text), line).select(line, "n_tokens", "n_replaced", "text")
+    lists = texts.select(F.col(line).alias("line"), tokens(text).alias("w")).where(F.size("w") > 0)
+    shared = texts.sparkSession.sparkContext.broadcast((found.column("word").combine_chunks(), found.column("out").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, outs = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column("w")
+            flat, sizes = w.flatten(), pc.list_value_length(w)
+            at = pc.index_in(flat, value_set=known)
+            hit = at.is_valid()
+            ends = np.cumsum(np.asarray(sizes, np.int64))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.if_else(hit, pc.take(outs, at), flat)), " ")
+            upto = np.concatenate([[0], np.cumsum(np.asarray(hit, np.int64))])
+            yield pa.RecordBatch.from_arrays([batch.column("line"), sizes.cast(pa.int64()), pa.array(np.diff(upto[np.concatenate([[0], ends])])), joined], names=["line", "n_tokens", "n_replaced", "text"])
+
+    schema = T.StructType([lists.schema["line"], T.StructField("n_tokens", T.LongType()), T.StructField("n_replaced", T.LongType()), T.StructField("text", T.StringType())])
+    return lists.mapInArrow(run, schema).withColumnRenamed("line", line)
+
+
 def coverage_of_texts(texts: DataFrame, dictionary: DataFrame, text: Column, dictionary_size: Column | int | None = None) -> DataFrame:
     """``coverage`` of texts. What becomes of a token depends on its word alone, so words are counted
     first, and each distinct one is looked up once."""
@@ -140,7 +177,7 @@ def coverage_of_texts(texts: DataFrame, dictionary: DataFrame, text: Column, dic
 
 def rejoined(translated: DataFrame, line: str) -> DataFrame:
     """Texts again, with how many tokens were replaced. A text's tokens meet in one row."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda t: t["out"]), " ")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "out"))), lambda t: t["out"]), " ")
     return translated.groupBy(line).agg(F.count("*").alias("n_tokens"), F.count_if(F.col("how") != "kept").alias("n_replaced"), joined.alias("text"))
 
 

@@ -190,7 +190,7 @@ def sentence_matches(lines: DataFrame, dictionary: DataFrame, line: list[str], l
     # the matches of a line stay lists until the first of each token is found
     some = F.filter("able", lambda x: F.array_contains("hot", x["token"])).alias("some")
     lists = others.join(here, line).join(by_target, "t").select(*line, some).where(F.size("some") > 0)
-    sorted_ = lists.groupBy(*line).agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("s"))
+    sorted_ = lists.groupBy(*line).agg(F.sort_array(F.flatten(F.collect_list("some"))).alias("s"))
     firsts = F.filter("s", lambda x, i: (i == 0) | (x["token"] != F.get("s", F.greatest(i - 1, F.lit(0)))["token"]))
     far = sorted_.select(*line, F.inline(firsts))
     close = near.select(*line, "token", "t").join(able, ["token", "t"]).groupBy(*line, "token").agg(F.min("b").alias("b"))

@@ -65,7 +65,7 @@ def per_sentence(words: Column, successors: Column) -> Column:
         sizes = lambda heads: F.transform(heads, lambda s, k: (F.coalesce(F.get(heads, k + 1), F.size(owners)) - s).cast("long"))
         return let(starts, sizes)
 
-    runs = let(F.array_sort(F.transform(successors, lambda p: F.substring_index(p, " ", 1))), of_sorted)
+    runs = let(F.sort_array(F.transform(successors, lambda p: F.substring_index(p, " ", 1))), of_sorted)
     total = F.size(F.array_distinct(words)).cast("long")
     return let(runs, lambda n: F.struct(total.alias("total"), F.size(n).cast("long").alias("analyzed"), F.size(successors).cast("long").alias("analyses"), F.array_max(n).alias("most"), F.array_min(n).alias("least")))
 
@@ -91,7 +91,7 @@ def adjusted_coverage(total: Column, analysed: Column, failed: Column, unique_fa
 def rebuilt_sentences(tokens: DataFrame, chosen: DataFrame) -> DataFrame:
     """Sentences (line, text) of the words (line, pos, word) that have an analysis."""
     met = tokens.join(chosen, "word")
-    return met.groupBy("line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "analysis"))), lambda x: x["analysis"]), " ").alias("text"))
+    return met.groupBy("line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "analysis"))), lambda x: x["analysis"]), " ").alias("text"))
 
 
 def analyse(words: DataFrame, transducer: Callable[[str], Iterable[str]], word: str = "word") -> DataFrame:

@@ -92,5 +92,5 @@ def template_parts(template: str) -> tuple[str, str]:
 def prompts(top: DataFrame, queries: DataFrame, pool: DataFrame, template: str) -> DataFrame:
     """A prompt for each query: its examples in order of rank, then its input."""
     item = F.struct("rank", F.col("input"), F.col("output"))
-    examples = top.join(pool.select("cand_id", "input", "output"), "cand_id").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("examples"))
+    examples = top.join(pool.select("cand_id", "input", "output"), "cand_id").groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("examples"))
     return queries.join(examples, "query_id", "left").select("query_id", filled(template, examples=F.coalesce(example_section(F.col("examples")), F.lit("")), input_text=F.col("query")).alias("prompt"))

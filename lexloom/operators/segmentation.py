@@ -214,5 +214,5 @@ def guesses(unknown: DataFrame, index: DataFrame, shortest: int = GUESS_SHORTEST
     table, _ = broadcast_if_small(index)
     met = _splits(unknown.select("word").distinct(), shortest, longest).join(table, "ending")
     order = F.struct((-F.col("stems")).alias("n"), (-F.length("ending")).alias("l"), "ending", "stem", "stems")
-    rows = met.groupBy("word").agg(F.array_sort(F.collect_list(order)).alias("g"), F.max(F.length("ending")).alias("most"))
+    rows = met.groupBy("word").agg(F.sort_array(F.collect_list(order)).alias("g"), F.max(F.length("ending")).alias("most"))
     return rows.select("word", "most", F.posexplode("g").alias("i", "g")).select("word", "g.stem", "g.ending", "g.stems", (F.col("i") + 1).alias("rank"), (F.length("g.ending") == F.col("most")).alias("longest"))

@@ -298,8 +298,7 @@ def entries(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_APPLIED} SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (how <> 'kept') AS n_replaced, md5(string_agg(r, ' ' ORDER BY i)) AS text_md5 FROM o GROUP BY doc_id")
 def dict_apply(spark, sf_dir):
-    found = dictionary.translated_tokens(table(spark, sf_dir, "documents"), entries(spark, sf_dir), "doc_id", F.col("text"))
-    return dictionary.rejoined(found, "doc_id").select("doc_id", "n_tokens", "n_replaced", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return dictionary.applied(table(spark, sf_dir, "documents"), entries(spark, sf_dir), "doc_id", F.col("text")).select("doc_id", "n_tokens", "n_replaced", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(f"""

@@ -88,7 +88,7 @@ def keyed_csv(df: DataFrame, path: str, key: str) -> None:
 def dictionary_export(top: DataFrame, statistics: DataFrame, path: str) -> None:
     """A dictionary (src, tgt, cnt, rank, confidence, is_primary) as JSON entries, as lines of best
     translations, as a table of all, and its statistics as (name, value) lines."""
-    entry = F.array_sort(F.collect_list(F.struct("rank", "tgt", "cnt", "confidence")))
+    entry = F.sort_array(F.collect_list(F.struct("rank", "tgt", "cnt", "confidence")))
     json_lines(top.groupBy("src").agg(entry.alias("translations")), f"{path}/entries")
     text_lines(top.where("is_primary").select("src", F.concat("src", F.lit(" → "), "tgt").alias("line")), f"{path}/simple", "line", "src")
     csv(top.select("src", "tgt", "cnt", "is_primary", "confidence"), f"{path}/detailed")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import fallback_code
-from lexloom.operators import evaluation, lookup, ranking, staging
+from lexloom.operators import dictionary, evaluation, lookup, ranking, sizes, staging
 
 
 def some_words(rng, n, letters="abc", most=7):
@@ -130,3 +130,27 @@ def test_draws_are_uniform():
 def test_no_rows_have_no_replicates(spark):
     rows = spark.createDataFrame([], "id long, v double")
     assert evaluation.bootstrap(rows, ["id"], ({"s": F.col("v")}, F.col("s")), 5).count() == 0
+
+
+def test_texts_are_translated_in_their_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    words = ["ev", "Ev", "EV", "EV-NOM", "ev-", "-x", "12", "1.5-PL", "İzmir", "izmir-PL", "kedi", "gel-V-PST", "", "é"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(60)] + [(60, None), (61, "  \n\t "), (None, "ev ev"), (62, "ev"), (62, "ev")]
+    texts = spark.createDataFrame(rows, "doc long, text string").repartition(3).withColumn("w", F.lit(1))
+    entries = spark.createDataFrame([("ev", "house", 0), ("izmir", "smyrna", 1), ("gel", "come", 2), ("é", "e", 3)], "src string, tgt string, first_pos int")
+    got = dictionary.applied(texts, entries, "doc", F.col("text"))
+    by_tokens = dictionary.rejoined(dictionary.translated_tokens(texts.where("doc < 62"), entries, "doc", F.col("text")), "doc")
+    assert sorted(tuple(r) for r in got.where("doc < 62").collect()) == sorted((r.doc, r.n_tokens, r.n_replaced, r.text) for r in by_tokens.collect())
+    assert sorted((str(r.doc), r.n_tokens, r.text) for r in got.where("doc is null or doc = 62").collect()) == [("62", 1, "house"), ("62", 1, "house"), ("None", 2, "house house")]
+    monkeypatch.setattr(sizes, "MOST_BYTES", 0)
+    joined = dictionary.applied(texts.where("doc < 62"), entries, "doc", F.col("text"))
+    assert sorted(map(tuple, joined.collect())) == sorted(tuple(r) for r in got.where("doc < 62").collect())
+    assert dictionary.applied(texts.limit(0), entries, "doc", F.col("text")).count() == 0
+
+
+def test_coverage_counts_words_first(spark):
+    texts = spark.createDataFrame([(0, "ev kedi ev 12"), (1, None), (2, "EV at")], "doc long, text string")
+    entries = spark.createDataFrame([("ev", "house", 0)], "src string, tgt string, first_pos int")
+    one = dictionary.coverage_of_texts(texts, entries, F.col("text"), 1).first()
+    assert one == dictionary.coverage(dictionary.translated_tokens(texts, entries, "doc", F.col("text")), 1).first()
+    assert (one.total_words, one.replaced, one.used_exact) == (6, 4, 1)
