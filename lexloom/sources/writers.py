@@ -3,9 +3,13 @@ written in parallel and partitioned."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.ranking import sorted_places
+
 
 def csv(df: DataFrame, path: str, only_if_any: bool = False) -> bool:
     if only_if_any and df.isEmpty():
@@ -53,6 +57,21 @@ def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def json_document(rows: DataFrame, path: str, order: list[str], name: str, metadata: dict[str, str]) -> int:
+    """One nested JSON document, {"metadata": {...}, name: [row, ...]}, of rows in an order: text files
+    that are the document one after another, in the order of their names, as many as the shuffle has
+    parts, so no task holds more than its part. The number of rows."""
+    spark = rows.sparkSession
+    placed = sorted_places(rows, order, "__place")
+    count = placed.count()
+    one = F.to_json(F.struct(*(F.col(c) for c in rows.columns)), {"ignoreNullFields": "false"})
+    body = placed.select(F.col("__place").cast("long").alias("p"), F.concat(one, F.when(F.col("__place") < count, ",").otherwise("")).alias("value"))
+    head = f'{{"metadata": {json.dumps(metadata, ensure_ascii=False)}, {json.dumps(name, ensure_ascii=False)}: ['
+    ends = spark.createDataFrame([(0, head), (count + 1, "]}")], "p long, value string")
+    body.unionByName(ends).repartitionByRange("p").sortWithinPartitions("p").select("value").write.mode("overwrite").text(path)
+    return count
+
+
 def replaced(df: DataFrame, path: str) -> None:
     """A folder's table in place of the old one, which stays as a backup."""
     spark = df.sparkSession

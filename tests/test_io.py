@@ -1,5 +1,7 @@
 """Readers, writers and streams on small files."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +96,15 @@ def test_exports(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/k", header=True).columns == ["generated", "language"]
 
 
+def test_nested_document(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f'söz "{i}"', {f"w{i}": [f"w{i}<N>", "x"]} if i % 3 else None) for i in range(40)], "sentence_id long, text string, analyses map<string,array<string>>").repartition(5)
+    for part, want in ((rows, 40), (rows.limit(0), 0)):
+        assert writers.json_document(part, f"{tmp_path}/d", ["sentence_id"], "sentences", {"input_file": "a"}) == want
+        whole = json.loads("".join(f.read_text() for f in sorted((tmp_path / "d").glob("part-*"))))
+        assert whole["metadata"] == {"input_file": "a"}
+        assert [(s["sentence_id"], s["text"], s["analyses"]) for s in whole["sentences"]] == [(r.sentence_id, r.text, r.analyses) for r in part.orderBy("sentence_id").collect()]
+
+
 def test_lexicon_includes(spark, tmp_path):
     put(tmp_path, "nouns", "ev N; ! house\nsu Nsu;\n")
     put(tmp_path, "verbs", '#include "nouns"\ngel V;\n')
