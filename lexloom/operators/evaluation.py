@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.metrics import bleu_effective, bleu_exponential, bleu_international, bleu_method1, bleu_stats, combined_bleu, let, precisions, sentence_bleu, summed, thirteen_a
 from lexloom.operators.ranking import sorted_places
+from lexloom.operators.staging import written
 
 
 def corpus_bleu(pairs: DataFrame, hyp: str, ref: str, keys: list[str] | None = None, how=bleu_method1) -> DataFrame:
@@ -85,9 +86,10 @@ def bootstrap(rows: DataFrame, order: list[str], metric: tuple[dict[str, Column]
     sums, score = metric
     names = list(sums)
     slim = rows.select(*(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()))
+    slim = written(slim, "sums")  # cutting ranges reads it twice
+    n = slim.count()
     placed = sorted_places(slim, [f"__o{i}" for i in range(len(order))], "__at").withColumn("__block", F.floor((F.col("__at") - 1) / block).cast("long"))
     stats = placed.select("__block", ((F.col("__at") - 1) % block).alias("__pos"), *names)
-    n = stats.count()
     chunks = -(-n // DRAWS)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
