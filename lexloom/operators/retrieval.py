@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.functions.metrics import chrf, cosine
+from lexloom.functions.metrics import chrf
 from lexloom.functions.parse import example_section, filled
+from lexloom.operators import cosine
+from lexloom.operators.staging import written
 
 
 BLOCK = 2000
@@ -49,7 +51,16 @@ def chrf_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
 
 
 def cosine_topk(queries: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
-    return scored_topk(queries, pool, lambda a, b: F.round(cosine(a, b), 6), k)
+    """The k candidates with the highest cosine (``metrics.cosine``, to six places), without those that
+    are equal to the query. Several waves of queries are written one after another, so that one at a
+    time is in the driver's memory."""
+    parts = cosine.waves(queries)
+    out = None
+    for part in parts:
+        best = _top(cosine.hits(part, pool, k).withColumn("score", F.round("score", cosine.PLACES)), k)
+        best = best if len(parts) == 1 else written(best, "cosine")
+        out = best if out is None else out.union(best)
+    return out
 
 
 def refilled(best: DataFrame, queries: DataFrame, pool: DataFrame, score, k: int = 3, block: int = BLOCK) -> DataFrame:
