@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import metrics
 from lexloom.operators import cosine, morph, retrieval
 from lexloom.plans import catalogue
+from lexloom.streaming import runs
 
 
 def plan_of(df) -> str:
@@ -73,3 +75,53 @@ def test_most_analysed_words_shuffle_words_alone(spark, tmp_path):
     assert made.count() == 8 and ("last", 0) in [tuple(r) for r in made.collect()]
     exchanges = [line for line in plan_of(made).split("\n") if "Exchange hashpartitioning" in line]
     assert exchanges and not any("doc_id" in line or "nxt" in line for line in exchanges)
+
+
+class Calls:
+    """A state, timers and a watermark that count the calls."""
+
+    def __init__(self, watermark=0):
+        self.held, self.calls, self.watermark = [], 0, watermark
+
+    def __getattr__(self, name):
+        def call(*values):
+            self.calls += 1
+            if name in ("getListState", "getValueState"):
+                return Calls()
+            if name == "appendValue":
+                self.held.append(values[0])
+            if name == "update":
+                self.held = [values[0]]
+            return iter(self.held)
+
+        return call
+
+    def get(self):
+        self.calls += 1
+        return self.held[0] if self.held and isinstance(self.held[0][0], int) and len(self.held[0]) == 6 else iter(self.held) if self.held else None
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_rows_of_a_key_go_to_the_state_in_packs():
+    made = runs.BestOfRuns("user", 1000)
+    made.init(Calls())
+    line = lambda i: json.dumps({"at": i * 1000, "ord": i, "word": f"w{i // 3}", "analysis": "x", "score": float(i)})
+    rows = [("u", None, i * 1000, line(i)) for i in range(5000)] + [("u", None, None, line(9))]
+    assert [*made.handleInputRows(("u",), iter(rows), None)] == []
+    assert made.waiting.calls <= 5
+    out = [*made.handleExpiredTimer(("u",), Calls(10**9), None)]
+    found = [run for row in out for run in json.loads(row.runs)]
+    assert [(r["run"], r["word"], r["score"]) for r in found] == [(i + 1, f"w{i}", min(3.0 * i + 2, 4999.0)) for i in range(1667)]
+    assert len(out) == 2
+
+
+def test_runs_keep_odd_texts_and_scores(spark, tmp_path):
+    rows = [("d", "2024-01-01 00:00:00", 0, 'a"\\\n,é😀', "[{x", math.nan), ("d", "2024-01-01 00:00:01", 1, "", None, math.inf), ("d", "2024-01-01 00:00:02", 2, "b", "", -math.inf), ("d", "2024-01-01 00:00:03", 3, "c", "y", 0.1 + 0.2), ("d", "2024-01-01 00:00:04", 4, "e", "y", None)]
+    spark.createDataFrame(rows, "doc string, at string, ord long, word string, analysis string, score double").withColumn("at", F.col("at").cast("timestamp")).write.parquet(f"{tmp_path}/in")
+    runs.mark(spark, f"{tmp_path}/marks", "at", "2025-01-01 00:00:00")
+    stream = runs.with_marks(spark.readStream.schema("doc string, at timestamp, ord long, word string, analysis string, score double").parquet(f"{tmp_path}/in"), f"{tmp_path}/marks", "at")
+    found, got = runs.best_of_runs(stream, "doc", "at", "ord", 1000), []
+    runs.run_to_end(lambda: found.writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(), spark)
+    assert sorted(map(repr, got)) == sorted(repr(("d", i + 1, w, a, s)) for i, (_, _, _, w, a, s) in enumerate(rows))
