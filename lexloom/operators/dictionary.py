@@ -27,6 +27,10 @@ as not no yes all any each every some many much more most few little other anoth
 """.split()))
 
 
+#: Bytes of tokens whose words a task replaces at once.
+PART_BYTES = 4 << 20
+
+
 def pharaoh_pairs(alignment: Column) -> Column:
     """array<struct<i, j>> of ``i-j`` items; malformed ones are left out."""
     made = F.transform(tokens(alignment), lambda a: F.struct(F.get(F.split(a, "-"), F.lit(0)).try_cast("int").alias("i"), F.get(F.split(a, "-"), F.lit(1)).try_cast("int").alias("j"), F.size(F.split(a, "-")).alias("n")))
@@ -137,11 +141,38 @@ def _translated(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return met.withColumn("__o", found).select("*", "__o.*").drop("__o", "base", "tail", "exact", "low", "folded")
 
 
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of about ``PART_BYTES`` of tokens, so that what is made of a part stays
+    small however many and long the rows of a batch are."""
+    lists = batch.column(column)
+    ends = np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))
+    upto = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(lists.flatten()), np.int64) + 1)])[ends]
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + PART_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _replaced(batch: pa.RecordBatch, known: pa.Array, outs: pa.Array) -> pa.RecordBatch:
+    """(line, n_tokens, n_replaced, text) of rows (line, w), by words and what they become."""
+    w = batch.column("w")
+    flat, sizes = w.flatten(), pc.list_value_length(w)
+    at = pc.index_in(flat, value_set=known)
+    hit = at.is_valid()
+    ends = np.cumsum(np.asarray(sizes, np.int64))
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.if_else(hit, pc.take(outs, at), flat)), " ")
+    upto = np.concatenate([[0], np.cumsum(np.asarray(hit, np.int64))])
+    return pa.RecordBatch.from_arrays([batch.column("line"), sizes.cast(pa.int64()), pa.array(np.diff(upto[np.concatenate([[0], ends])])), joined], names=["line", "n_tokens", "n_replaced", "text"])
+
+
 def applied(texts: DataFrame, dictionary: DataFrame, line: str, text: Column) -> DataFrame:
     """Texts translated token by token: line, n_tokens, n_replaced, text; those without tokens go. What
     becomes of a token depends on its word alone, so distinct words are looked up first. While those
     that are replaced are few enough to broadcast, texts never leave their rows: a task replaces the
-    words of a batch of token lists at once. Beyond that, tokens are joined and meet again by line."""
+    words of a part of a batch of token lists at once. Beyond that, tokens are joined and meet again by line."""
     words = texts.select(F.explode(tokens(text)).alias("word")).distinct()
     found = rows_if_small(_translated(words, dictionary).where("how <> 'kept'").select("word", "out"))
     if found is None:
@@ -152,17 +183,10 @@ def applied(texts: DataFrame, dictionary: DataFrame, line: str, text: Column) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, outs = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            w = batch.column("w")
-            flat, sizes = w.flatten(), pc.list_value_length(w)
-            at = pc.index_in(flat, value_set=known)
-            hit = at.is_valid()
-            ends = np.cumsum(np.asarray(sizes, np.int64))
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            joined = pc.binary_join(pa.ListArray.from_arrays(offsets, pc.if_else(hit, pc.take(outs, at), flat)), " ")
-            upto = np.concatenate([[0], np.cumsum(np.asarray(hit, np.int64))])
-            yield pa.RecordBatch.from_arrays([batch.column("line"), sizes.cast(pa.int64()), pa.array(np.diff(upto[np.concatenate([[0], ends])])), joined], names=["line", "n_tokens", "n_replaced", "text"])
+            for part in _parts(batch, "w"):
+                yield _replaced(part, known, outs)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([lists.schema["line"], T.StructField("n_tokens", T.LongType()), T.StructField("n_replaced", T.LongType()), T.StructField("text", T.StringType())])
     return lists.mapInArrow(run, schema).withColumnRenamed("line", line)

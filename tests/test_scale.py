@@ -7,10 +7,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.functions import metrics
-from lexloom.operators import cosine, morph, retrieval
+from lexloom.operators import cosine, dictionary, morph, retrieval
 from lexloom.plans import catalogue
 from lexloom.streaming import runs
 
@@ -125,3 +126,34 @@ def test_runs_keep_odd_texts_and_scores(spark, tmp_path):
     found, got = runs.best_of_runs(stream, "doc", "at", "ord", 1000), []
     runs.run_to_end(lambda: found.writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(), spark)
     assert sorted(map(repr, got)) == sorted(repr(("d", i + 1, w, a, s)) for i, (_, _, _, w, a, s) in enumerate(rows))
+
+
+def test_words_are_replaced_in_bounded_parts():
+    known, outs = pa.array(["ev", "su"]), pa.array(["house", "water"])
+    texts = [["ev"] * 3, ["x" * 50] * 40, [], ["su", "é", "ev"], *[["su", f"w{i}"] * 100 for i in range(3000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["line", "w"])
+    whole = dictionary._replaced(batch, known, outs)
+    for size in (100, 50_000):
+        old, dictionary.PART_BYTES = dictionary.PART_BYTES, size
+        try:
+            parts = [*dictionary._parts(batch, "w")]
+        finally:
+            dictionary.PART_BYTES = old
+        most = max(sum(len(t.encode()) + 1 for t in p.column("w").flatten().to_pylist()) for p in parts if p.num_rows > 1)
+        assert most <= size or all(p.num_rows == 1 for p in parts)
+        assert pa.Table.from_batches([dictionary._replaced(p, known, outs) for p in parts]).to_pylist() == whole.to_pylist()
+    assert [*dictionary._parts(batch.slice(0, 0), "w")] == []
+    assert whole.to_pylist()[3] == {"line": 3, "n_tokens": 3, "n_replaced": 2, "text": "water é house"}
+
+
+def test_applied_peaks_below_a_batch():
+    text = [[f"word{i % 50}" for i in range(2000)]] * 4000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(text))), pa.array(text, pa.list_(pa.string()))], names=["line", "w"])
+    pool = pa.default_memory_pool()
+    before = pool.bytes_allocated()
+    most = 0
+    for part in dictionary._parts(batch, "w"):
+        made = dictionary._replaced(part, pa.array(["word1"]), pa.array(["x"]))
+        most = max(most, pool.bytes_allocated() - before)
+        del made
+    assert most < batch.nbytes / 4
